@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.functions.dates import iso_text, published_ago
@@ -166,14 +167,11 @@ def new_since(
 def merge_shown(shown: DataFrame, arrived: DataFrame) -> DataFrame:
     """Put newly arrived rows in front of those on screen, skipping ones already there.
 
-    Both sides carry ``user_id``, ``position`` and the article columns. Arrived rows
-    keep their own order; ids run from 1.
+    Both sides carry ``user_id``, ``position`` and the article columns; positions are
+    renumbered from 1. A user's group is one screen plus what has just arrived.
     """
-    fresh = arrived.join(shown.select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
-    n_fresh = fresh.groupBy("user_id").agg(F.max("position").alias("_lead"))
-    moved = (
-        shown.join(n_fresh, "user_id", "left")
-        .withColumn("position", F.col("position") + F.coalesce("_lead", F.lit(0)))
-        .drop("_lead")
-    )
-    return fresh.unionByName(moved)
+    key = ["user_id", "article_id"]
+    fresh = arrived.join(shown.select(*key), key, "left_anti")
+    both = fresh.withColumn("_part", F.lit(1)).unionByName(shown.withColumn("_part", F.lit(2)))
+    in_order = W.partitionBy("user_id").orderBy("_part", "position")
+    return both.withColumn("position", F.row_number().over(in_order)).drop("_part")

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from presswork.operators.ingest import with_reject_reason
 from presswork.operators.joins import checked_broadcast
 from presswork.session import ntz
+from presswork.sources.rss import parse_items
 
 AS_OF = datetime(2024, 1, 31)
 NOON = datetime(2024, 1, 31, 12)
@@ -187,3 +189,31 @@ class NewsTables:
             .otherwise(F.concat(F.lit("Mon, "), stamp, F.lit(" +0900")))
             .alias("published"),
         )
+
+    @cached_property
+    def parsed_items(self) -> DataFrame:
+        """Cleaned and judged feed entries; sources of even number put content first."""
+        return with_reject_reason(parse_items(self.feed_items, F.col("source_id") % 2 == 0))
+
+    @cached_property
+    def fresh_articles(self) -> DataFrame:
+        """All articles as if processed and not yet compared, for duplicate queries."""
+        return self.articles.withColumn("is_processed", F.lit(True)).withColumn(
+            "is_duplicate", F.lit(False)
+        )
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        """Each session's last user message, asked again."""
+        last = (
+            self.chat_history.filter(F.col("role") == "user")
+            .groupBy("session_id")
+            .agg(F.max_by("message", F.struct("created_at", "chat_id")).alias("question"))
+        )
+        session = F.col("session_id").cast("bigint")
+        vectors = self.raw("embeddings").select(
+            F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
+        )
+        return last.select(
+            session.alias("query_id"), "session_id", (session % 15).alias("user_id"), "question"
+        ).join(vectors, "query_id")

@@ -8,10 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from presswork.functions import dates
-from presswork.operators import feed, recommend
-from presswork.plans.fixtures import AS_OF, YESTERDAY, NewsTables
-from presswork.session import ship_package
+from presswork.functions import dates, text, vectors
+from presswork.functions.encoder import HashedNgrams, embed
+from presswork.operators import (
+    audit,
+    chat,
+    chunking,
+    dedup,
+    feed,
+    ingest,
+    recommend,
+    retrieval,
+    tables,
+)
+from presswork.plans.fixtures import AS_OF, MID_MONTH, NOON, YESTERDAY, NewsTables
+from presswork.session import ntz, scratch_path, ship_package
+from presswork.sources import rss, synthetic
+from presswork.streaming import jobs
 
 QUERIES: dict[str, Callable[[NewsTables], DataFrame]] = {}
 
@@ -117,3 +130,361 @@ def recommend_excluding_seen(t: NewsTables) -> DataFrame:
 
 
 QUERIES["recommend"] = QUERIES.pop("recommend_page1")
+
+
+# --- collection --------------------------------------------------------------
+
+
+@query
+def clean_html_pages(t: NewsTables) -> DataFrame:
+    return t.raw("pages").select("page_id", text.clean_html(F.col("html")).alias("text"))
+
+
+@query
+def parse_feed_dates(t: NewsTables) -> DataFrame:
+    return t.feed_items.select(
+        "item_id", dates.parse_feed_date(F.col("published")).alias("published_at")
+    )
+
+
+def _landed(t: NewsTables) -> str:
+    path = scratch_path(t.spark, "feeds")
+    rss.write_feed_files(t.feed_items, path)
+    return path
+
+
+@query
+def ingest_rss_items(t: NewsTables) -> DataFrame:
+    items = rss.with_section(rss.read_feed_files(t.spark, _landed(t)), t.news_sources)
+    return rss.parse_items(items, F.col("source_id") % 2 == 0)
+
+
+@query
+def ingest_validate(t: NewsTables) -> DataFrame:
+    return t.parsed_items.select("item_id", "reject_reason")
+
+
+def _stored_articles(t: NewsTables) -> DataFrame:
+    return t.articles.filter(F.col("published_at") < ntz(MID_MONTH))
+
+
+def _inserted(t: NewsTables) -> DataFrame:
+    return ingest.insert_if_absent(
+        ingest.valid(t.parsed_items), _stored_articles(t), [F.asc("item_id")]
+    )
+
+
+@query
+def insert_if_absent(t: NewsTables) -> DataFrame:
+    return _inserted(t)
+
+
+@query
+def ingest_stats(t: NewsTables) -> DataFrame:
+    return ingest.ingest_stats(t.parsed_items, _inserted(t))
+
+
+@query
+def synth_articles(t: NewsTables) -> DataFrame:
+    return synthetic.top_up(t.articles, t.news_sources, AS_OF, target=2 * t.articles.count())
+
+
+# --- chunks and embeddings ---------------------------------------------------
+
+
+@query
+def unprocessed_count(t: NewsTables) -> DataFrame:
+    return ingest.unprocessed_count(t.articles)
+
+
+@query
+def partition_bounds(t: NewsTables) -> DataFrame:
+    return ingest.partition_bounds(t.articles)
+
+
+@query
+def chunk_documents(t: NewsTables) -> DataFrame:
+    return chunking.chunk_articles(t.articles)
+
+
+@query
+def embed_chunks(t: NewsTables) -> DataFrame:
+    encoded = embed(chunking.chunk_articles(t.articles), "content")
+    return encoded.select(
+        "article_id",
+        "chunk_index",
+        F.size("embedding").alias("dimensions"),
+        F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"),
+    )
+
+
+@query
+def append_chunks(t: NewsTables) -> DataFrame:
+    new = chunking.chunk_articles(ingest.awaiting_embedding(t.articles))
+    return tables.append_chunks(t.chunks, new)
+
+
+@query
+def mark_processed(t: NewsTables) -> DataFrame:
+    done = ingest.awaiting_embedding(t.articles)
+    return tables.mark_processed(t.articles, done).select(
+        "article_id", "is_processed", "is_duplicate"
+    )
+
+
+@query
+def embedding_backlog(t: NewsTables) -> DataFrame:
+    encoded = embed(
+        tables.embedding_backlog(t.chunks).select("chunk_id", "content"),
+        "content",
+        factory=lambda: HashedNgrams(64),
+        name="hashed-ngrams-64",
+    )
+    return tables.write_embeddings(t.chunks, encoded).select(
+        "chunk_id",
+        F.size("embedding").alias("dimensions"),
+        F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"),
+    )
+
+
+@query
+def parse_embedding(t: NewsTables) -> DataFrame:
+    v = F.col("vec_id")
+    stored = t.raw("embeddings").select(
+        "vec_id",
+        F.when(v % 7 == 3, F.lit(""))
+        .when(v % 7 == 5, F.lit("[0.1,x]"))
+        .otherwise(vectors.format_vector(F.col("embedding")))
+        .alias("embedding_text"),
+    )
+    parsed = stored.withColumn("embedding", vectors.parse_vector(F.col("embedding_text")))
+    return parsed.filter(F.col("embedding").isNotNull()).select(
+        "vec_id", F.posexplode("embedding").alias("pos", "value")
+    ).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@query
+def normalize_vectors(t: NewsTables) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: x * 3)
+    return t.raw("embeddings").select(
+        "vec_id", F.posexplode(vectors.l2_normalize(scaled)).alias("pos", "value")
+    ).withColumn("value", F.round("value", 5))
+
+
+# --- duplicates --------------------------------------------------------------
+
+_MONTH_HOURS = 31 * 24
+_TEST_THRESHOLD = 0.3  # no pair of the test vectors reaches the default
+
+
+def _compared(t: NewsTables) -> DataFrame:
+    return dedup.dedup_candidates(t.fresh_articles, t.chunks, AS_OF, _MONTH_HOURS)
+
+
+def _elected(t: NewsTables) -> DataFrame:
+    return dedup.elect_duplicates(_compared(t), _TEST_THRESHOLD)
+
+
+@query
+def dedup_candidates(t: NewsTables) -> DataFrame:
+    return dedup.dedup_candidates(t.articles, t.chunks, AS_OF, _MONTH_HOURS).drop("vec")
+
+
+@query
+def similar_pairs(t: NewsTables) -> DataFrame:
+    return dedup.similar_pairs(_compared(t), _TEST_THRESHOLD).withColumn(
+        "similarity", F.round("similarity", 4)
+    )
+
+
+@query
+def elect_duplicates(t: NewsTables) -> DataFrame:
+    return _elected(t).withColumn("similarity", F.round("similarity", 4))
+
+
+@query
+def dedup_stats(t: NewsTables) -> DataFrame:
+    return dedup.dedup_stats(_compared(t), _elected(t))
+
+
+def _flagged(t: NewsTables) -> DataFrame:
+    return tables.apply_duplicates(t.articles, _elected(t))
+
+
+@query
+def apply_duplicates(t: NewsTables) -> DataFrame:
+    return _flagged(t).select("article_id", "is_duplicate", "representative_id")
+
+
+@query
+def audit_rep_chains(t: NewsTables) -> DataFrame:
+    return audit.representative_chains(_flagged(t))
+
+
+# --- retrieval and chat ------------------------------------------------------
+
+
+def _retrieved(t: NewsTables, queries: DataFrame) -> DataFrame:
+    return retrieval.retrieve(
+        t.chunks, t.articles, t.categories, t.news_sources, t.prefs, queries, AS_OF
+    )
+
+
+@query
+def retrieve_topk(t: NewsTables) -> DataFrame:
+    return _retrieved(t, t.retrieval_queries).select(
+        "query_id",
+        "rank",
+        "chunk_id",
+        "article_id",
+        "title",
+        "category_name",
+        "source_name",
+        F.round("similarity", 4).alias("similarity"),
+        F.round("score", 4).alias("score"),
+    )
+
+
+@query
+def answer_sources(t: NewsTables) -> DataFrame:
+    return retrieval.answer_sources(_retrieved(t, t.retrieval_queries))
+
+
+@query
+def prompt_context(t: NewsTables) -> DataFrame:
+    questions = t.questions
+    found = _retrieved(t, questions.select("query_id", "user_id", "vector"))
+    return retrieval.build_prompts(questions, found, t.chat_history).select(
+        "session_id", "prompt", "reply"
+    )
+
+
+@query
+def chat_history_last_n(t: NewsTables) -> DataFrame:
+    return chat.last_messages(t.chat_history)
+
+
+@query
+def chat_history_shown(t: NewsTables) -> DataFrame:
+    return chat.last_messages(t.chat_history, chat.SHOWN_MESSAGES)
+
+
+@query
+def chat_turn_batch(t: NewsTables) -> DataFrame:
+    asked = t.questions.select(
+        "session_id", F.lit("user").alias("role"), F.col("question").alias("message"),
+        ntz(NOON).alias("created_at"),
+    )
+    return tables.append_messages(t.chat_history, asked)
+
+
+@query
+def upsert_sessions(t: NewsTables) -> DataFrame:
+    def sessions(messages):
+        return messages.groupBy("session_id").agg(
+            F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at")
+        ).withColumn("user_id", F.col("session_id").cast("bigint") % 15)
+
+    before = t.chat_history.filter(F.col("created_at") < ntz(YESTERDAY))
+    after = t.chat_history.filter(F.col("created_at") >= ntz(YESTERDAY))
+    touches = after.select(
+        "session_id",
+        (F.col("session_id").cast("bigint") % 15 + 100).alias("user_id"),
+        F.col("created_at").alias("touched_at"),
+    )
+    return tables.upsert_sessions(sessions(before), touches)
+
+
+@query
+def user_sessions(t: NewsTables) -> DataFrame:
+    return chat.sessions_by_user(t.chat_sessions)
+
+
+@query
+def session_groups(t: NewsTables) -> DataFrame:
+    return chat.session_groups(t.chat_sessions, NOON)
+
+
+@query
+def user_prefs(t: NewsTables) -> DataFrame:
+    return chat.prefs_with_names(t.prefs, t.categories)
+
+
+@query
+def upsert_prefs(t: NewsTables) -> DataFrame:
+    e = F.col("event_id")
+    changes = t.raw("events").filter(F.col("event_type") == "click").select(
+        "user_id",
+        (1 + e % 4).cast("int").alias("category_id"),
+        (1 + e % 10).cast("int").alias("weight"),
+        e.alias("seq"),
+    )
+    return tables.upsert_prefs(t.prefs, changes)
+
+
+# --- audits ------------------------------------------------------------------
+
+
+@query
+def audit_unique(t: NewsTables) -> DataFrame:
+    return audit.repeated_keys(t.feed_items, ["link"])
+
+
+@query
+def audit_orphans(t: NewsTables) -> DataFrame:
+    return audit.orphans(t.seen, "article_id", feed.servable(t.articles), "article_id")
+
+
+@query
+def audit_ranges(t: NewsTables) -> DataFrame:
+    prefs = audit.violations(t.prefs, weight_from_1_to_10=F.col("weight").between(1, 10))
+    items = audit.violations(
+        t.parsed_items,
+        title_present=F.col("title") != "",
+        url_present=F.col("url") != "",
+        date_present=F.col("published_at").isNotNull(),
+    )
+    return prefs.unionByName(items)
+
+
+# --- streams -----------------------------------------------------------------
+
+
+@query
+def stream_ingest_dedup(t: NewsTables) -> DataFrame:
+    out, state = (scratch_path(t.spark, n) for n in ("stream-articles", "stream-state"))
+    even = [r.source_id for r in t.news_sources.filter("source_id % 2 = 0").collect()]
+    jobs.stream_ingest(
+        t.spark, _landed(t), t.news_sources, out, state, content_first=even
+    ).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query
+def stream_chunk(t: NewsTables) -> DataFrame:
+    stored, out, state = (scratch_path(t.spark, n) for n in ("articles", "chunks", "state"))
+    t.articles.write.parquet(stored)
+    jobs.stream_chunks(t.spark, stored, t.articles.schema, out, state).awaitTermination()
+    return t.spark.read.parquet(out).select("chunk_id", "article_id", "chunk_index", "content")
+
+
+@query
+def live_feed_batch(t: NewsTables) -> DataFrame:
+    stored, out, state = (scratch_path(t.spark, n) for n in ("articles", "live", "state"))
+    t.articles.write.parquet(stored)
+    jobs.stream_live_feed(
+        t.spark, stored, t.articles.schema, t.categories, t.news_sources, t.prefs, out, state,
+        since=YESTERDAY, now=lambda: AS_OF, poll=None,
+    ).awaitTermination()
+    messages = t.spark.read.schema(
+        "user_id bigint, part bigint, payload string, batch int"
+    ).json(out)
+    cards = F.from_json(
+        "payload", "array<struct<article_id:bigint,published_at:string,category_weight:int>>"
+    )
+    is_idle = F.col("payload") == jobs.HEARTBEAT
+    return messages.select(
+        "user_id",
+        is_idle.alias("heartbeat"),
+        F.posexplode_outer(F.when(~is_idle, cards)).alias("pos", "card"),
+    ).select("user_id", "heartbeat", "pos", "card.*")
