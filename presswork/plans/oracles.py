@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from presswork.functions.text import BLANKS
+from presswork.operators.retrieval import NOTHING_FOUND, SYSTEM_PROMPT
+
 # Fixture tables of ``fixtures.py``.
 PRELUDE = r"""
 categories AS (
@@ -196,5 +199,399 @@ arrived AS (
     }
 
 
+_B = BLANKS.replace("'", "''")
+_BLANK_RUN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS) + "]+"
+
+
+def _strip(x: str) -> str:
+    return f"trim({x}, '{_B}')"
+
+
+def _clean(x: str) -> str:
+    return _strip(f"regexp_replace(coalesce({x}, ''), '<[^>]+>', '', 'g')")
+
+
+_PARSED = f"""
+parsed AS (
+  SELECT item_id, source_id, category_id, {_clean('title')} AS title,
+         CASE WHEN source_id % 2 = 0 THEN {_clean('coalesce(content, summary)')}
+              ELSE {_clean('summary')} END AS description,
+         link AS url,
+         TRY_CAST(try_strptime(substr(published, 6, 20), '%d %b %Y %H:%M:%S') AS TIMESTAMP)
+           AS published_at
+  FROM feed_items),
+judged AS (
+  SELECT *, CASE WHEN title = '' OR url = '' OR published_at IS NULL THEN 'missing field'
+                 WHEN length({_strip('description')}) < 50 THEN 'short description' END
+            AS reject_reason
+  FROM parsed)"""
+
+_NEW_COLUMNS = """url, title, description, source_id, category_id, published_at,
+  false AS is_processed, false AS is_duplicate, CAST(NULL AS BIGINT) AS representative_id"""
+
+
+def _insert(order: str, stored: str, base: str) -> str:
+    return f"""
+fresh AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {order}) AS nth
+                 FROM judged WHERE reject_reason IS NULL)
+  WHERE nth = 1 AND url NOT IN ({stored})),
+inserted AS (
+  SELECT {base} + row_number() OVER (ORDER BY md5(url), url) AS article_id, {_NEW_COLUMNS}
+  FROM fresh)"""
+
+
+_INSERT = _insert(
+    "item_id",
+    "SELECT url FROM articles WHERE published_at < TIMESTAMP '2024-01-15'",
+    "(SELECT max(article_id) FROM articles WHERE published_at < TIMESTAMP '2024-01-15')",
+)
+
+_CHUNKED = f"""
+split AS (
+  SELECT article_id, list_filter(string_split(regexp_replace(
+           {_strip("title || '. ' || description")},
+           '([.!?。]){_BLANK_RUN}', '\\1' || chr(57344), 'g'), chr(57344)),
+           lambda x: x <> '') AS sentences
+  FROM articles),
+folded AS (
+  SELECT article_id, list_reduce(
+    list_prepend({{'done': CAST([] AS VARCHAR[]), 'cur': ''}},
+      list_transform(sentences, lambda x: {{'done': CAST([] AS VARCHAR[]), 'cur': x}})),
+    lambda acc, x: CASE
+      WHEN length(x.cur) > 200 THEN {{
+        'done': list_concat(
+          CASE WHEN acc.cur = '' THEN acc.done ELSE list_append(acc.done, acc.cur) END,
+          list_filter(list_transform(range(0, length(x.cur), 170),
+            lambda i: {_strip('substr(x.cur, i + 1, 200)')}), lambda w: w <> '')),
+        'cur': ''}}
+      WHEN length(acc.cur) + length(x.cur) + 1 > 200 THEN {{
+        'done': CASE WHEN acc.cur = '' THEN acc.done ELSE list_append(acc.done, acc.cur) END,
+        'cur': CASE WHEN acc.cur = '' THEN x.cur
+                    ELSE {_strip("right(acc.cur, 30) || ' ' || x.cur")} END}}
+      ELSE {{'done': acc.done,
+            'cur': CASE WHEN acc.cur = '' THEN x.cur ELSE acc.cur || ' ' || x.cur END}} END
+    ) AS s
+  FROM split WHERE len(sentences) > 0),
+pieces AS (
+  SELECT article_id, CASE WHEN s.cur = '' THEN s.done ELSE list_append(s.done, s.cur) END AS p
+  FROM folded),
+numbered AS (SELECT article_id, p, unnest(range(0, len(p))) AS i FROM pieces),
+chunked AS (
+  SELECT article_id, CAST(i AS INT) AS chunk_index, p[i + 1] AS content
+  FROM numbered WHERE length(p[i + 1]) > 10),
+waiting AS (
+  SELECT * FROM articles WHERE NOT is_processed AND NOT is_duplicate
+    AND description IS NOT NULL AND length(description) >= 20)"""
+
+_COMPARED = """
+cand AS (
+  SELECT a.article_id, a.category_id, a.source_id, a.published_at,
+         CAST(c.embedding AS DOUBLE[]) AS vec,
+         row_number() OVER (PARTITION BY a.category_id ORDER BY a.published_at, a.article_id) AS rn
+  FROM articles a JOIN article_chunks c
+    ON c.article_id = a.article_id AND c.chunk_index = 0 AND c.embedding IS NOT NULL)"""
+
+# The election one article at a time, carrying the representatives so far.
+_ELECTED = """
+steps AS (
+  SELECT category_id, rn, article_id, CAST(NULL AS BIGINT) AS rep, CAST(NULL AS DOUBLE[]) AS rep_vec,
+         vec, [{'id': article_id, 'src': source_id, 'vec': vec}] AS reps
+  FROM cand WHERE rn = 1
+  UNION ALL
+  SELECT category_id, rn, article_id, hit.id, hit.vec, vec,
+         CASE WHEN hit IS NULL THEN list_append(reps, me) ELSE reps END
+  FROM (SELECT c.category_id, c.rn, c.article_id, c.vec, s.reps,
+               {'id': c.article_id, 'src': c.source_id, 'vec': c.vec} AS me,
+               list_filter(s.reps, lambda r: r.src <> c.source_id
+                 AND list_cosine_similarity(r.vec, c.vec) >= 0.3)[1] AS hit
+        FROM steps s JOIN cand c ON c.category_id = s.category_id AND c.rn = s.rn + 1)),
+elected AS (
+  SELECT article_id AS duplicate_id, rep AS representative_id,
+         list_cosine_similarity(rep_vec, vec) AS similarity
+  FROM steps WHERE rep IS NOT NULL),
+flagged AS (
+  SELECT a.article_id, a.is_duplicate OR e.duplicate_id IS NOT NULL AS is_duplicate,
+         CASE WHEN NOT a.is_duplicate AND e.duplicate_id IS NOT NULL THEN e.representative_id
+              ELSE a.representative_id END AS representative_id
+  FROM articles a LEFT JOIN elected e ON e.duplicate_id = a.article_id)"""
+
+
+def _retrieved(questions: str) -> str:
+    return f"""
+asked AS ({questions}),
+scored AS (
+  SELECT q.query_id, ac.chunk_id, ac.content, s.article_id, s.title, s.url, s.published_at,
+         s.category_name, s.full_source_name AS source_name,
+         list_cosine_similarity(CAST(ac.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[]))
+           AS similarity,
+         coalesce(p.weight, 5) AS weight
+  FROM asked q, article_chunks ac JOIN servable s ON s.article_id = ac.article_id
+  LEFT JOIN prefs p ON p.category_id = s.category_id AND p.user_id = q.user_id
+  WHERE ac.embedding IS NOT NULL),
+blended AS (
+  SELECT *, similarity * 0.7 + CAST(weight AS DOUBLE) / 10 * 0.2
+            + epoch(published_at) / epoch(TIMESTAMP '2024-01-31') * 0.1 AS score
+  FROM scored),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT)
+              AS rank FROM blended),
+best AS (SELECT * FROM ranked WHERE rank <= 5)"""
+
+
+_EVERY_VECTOR = "SELECT vec_id AS query_id, vec_id AS user_id, embedding AS vector FROM embeddings"
+_QUESTIONS = """
+questions AS (
+  SELECT CAST(session_id AS BIGINT) AS query_id, session_id,
+         CAST(session_id AS BIGINT) % 15 AS user_id,
+         arg_max(message, created_at) AS question, any_value(e.embedding) AS vector
+  FROM chat_history h JOIN embeddings e ON e.vec_id = CAST(h.session_id AS BIGINT)
+  WHERE role = 'user' GROUP BY session_id)"""
+
+
+def collection() -> dict[str, str]:
+    return {
+        "clean_html_pages": f"SELECT page_id, {_clean('html')} AS text FROM pages",
+        "parse_feed_dates": _with("SELECT item_id, published_at FROM parsed", _PARSED),
+        "ingest_rss_items": _with(
+            "SELECT source_id, category_id, title, description, url, published_at FROM parsed",
+            _PARSED,
+        ),
+        "ingest_validate": _with("SELECT item_id, reject_reason FROM judged", _PARSED),
+        "insert_if_absent": _with("SELECT * FROM inserted", _PARSED, _INSERT),
+        "ingest_stats": _with(
+            """SELECT source_id, total, coalesce(saved, 0) AS saved,
+  total - coalesce(saved, 0) AS skipped
+FROM (SELECT source_id, count(*) AS total FROM judged GROUP BY source_id)
+LEFT JOIN (SELECT source_id, count(*) AS saved FROM inserted GROUP BY source_id)
+USING (source_id)""",
+            _PARSED,
+            _INSERT,
+        ),
+        "synth_articles": _with(
+            """SELECT source_id, category_id,
+  ['Budget talks continue', 'Exports rise again', 'Rain closes mountain roads'][n * 31 % 3 + 1]
+    || ' ' || (n + 1) AS title,
+  ['Negotiators met again today and said that they expect a result by the end of the week.',
+   'Analysts call the figures solid and look for a quiet market in the coming days.'][n * 17 % 2 + 1]
+    AS description,
+  'https://dummy-news.com/article/' || (n + 1) AS url,
+  TIMESTAMP '2024-01-01' + to_seconds(n * 104729 % 2592000) AS published_at
+FROM (SELECT unnest(range((SELECT count(*) FROM articles), 2 * (SELECT count(*) FROM articles))) AS n)
+JOIN news_sources ON source_id - 1 = n * 7919 % (SELECT count(*) FROM news_sources)"""
+        ),
+        "unprocessed_count": _with("SELECT count(*) AS n_unprocessed FROM waiting", _CHUNKED),
+        "partition_bounds": _with(
+            "SELECT min(article_id) AS min_id, max(article_id) AS max_id, count(*) AS n_articles "
+            "FROM waiting",
+            _CHUNKED,
+        ),
+        "chunk_documents": _with("SELECT * FROM chunked", _CHUNKED),
+        "embed_chunks": _with(
+            "SELECT article_id, chunk_index, 768 AS dimensions, 1.0::DOUBLE AS norm FROM chunked",
+            _CHUNKED,
+        ),
+        "append_chunks": _with(
+            """SELECT *, (SELECT max(chunk_id) FROM article_chunks)
+  + row_number() OVER (ORDER BY md5(article_id || chr(31) || chunk_index), article_id, chunk_index)
+    AS chunk_id
+FROM chunked WHERE article_id IN (SELECT article_id FROM waiting)
+  AND (article_id, chunk_index) NOT IN (SELECT article_id, chunk_index FROM article_chunks)""",
+            _CHUNKED,
+        ),
+        "mark_processed": _with(
+            """SELECT article_id, is_duplicate,
+  is_processed OR article_id IN (SELECT article_id FROM waiting) AS is_processed FROM articles""",
+            _CHUNKED,
+        ),
+        "embedding_backlog": _with(
+            "SELECT chunk_id, 64 AS dimensions, 1.0::DOUBLE AS norm FROM article_chunks"
+        ),
+        "parse_embedding": """
+SELECT vec_id, CAST(i AS INT) AS pos, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS value
+FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings
+      WHERE vec_id % 7 NOT IN (3, 5))""",
+        "normalize_vectors": """
+SELECT vec_id, CAST(i AS INT) AS pos,
+  round(CAST(embedding[i + 1] AS DOUBLE)
+        / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5)
+    AS value
+FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)""",
+    }
+
+
+def duplicates() -> dict[str, str]:
+    def elected(body):
+        return _with(body, _COMPARED, _ELECTED, recursive=True)
+
+    return {
+        "dedup_candidates": _with(
+            """SELECT a.article_id, a.category_id, a.source_id, a.published_at
+FROM articles a JOIN article_chunks c
+  ON c.article_id = a.article_id AND c.chunk_index = 0 AND c.embedding IS NOT NULL
+WHERE a.is_processed AND NOT a.is_duplicate
+  AND a.published_at > TIMESTAMP '2024-01-31' - INTERVAL 744 HOUR"""
+        ),
+        "similar_pairs": _with(
+            """SELECT article_id, arg_min(other, place) AS first_similar_id,
+  round(arg_min(sim, place), 4) AS similarity
+FROM (SELECT c.article_id, e.article_id AS other, e.rn AS place,
+             list_cosine_similarity(c.vec, e.vec) AS sim
+      FROM cand c JOIN cand e ON e.category_id = c.category_id AND e.rn < c.rn
+        AND e.source_id <> c.source_id)
+WHERE sim >= 0.3 GROUP BY article_id""",
+            _COMPARED,
+        ),
+        "elect_duplicates": elected(
+            "SELECT duplicate_id, representative_id, round(similarity, 4) AS similarity FROM elected"
+        ),
+        "dedup_stats": elected(
+            """SELECT category_id, count(*) AS n_compared, count(duplicate_id) AS n_duplicates
+FROM cand LEFT JOIN elected ON duplicate_id = article_id GROUP BY category_id"""
+        ),
+        "apply_duplicates": elected("SELECT * FROM flagged"),
+        "audit_rep_chains": elected(
+            """SELECT f.representative_id, count(*) AS n_followers,
+  any_value(r.representative_id) AS next_representative_id
+FROM flagged f JOIN flagged r ON r.article_id = f.representative_id AND r.is_duplicate
+GROUP BY f.representative_id"""
+        ),
+    }
+
+
+def retrieval_and_chat() -> dict[str, str]:
+    every = _retrieved(_EVERY_VECTOR)
+    last = """SELECT chat_id, session_id, role, message, created_at,
+  CAST(row_number() OVER (PARTITION BY session_id ORDER BY created_at, chat_id) AS INT) AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id
+                                   ORDER BY created_at DESC, chat_id DESC) AS rn
+      FROM chat_history) WHERE rn <= {n}"""
+    system = SYSTEM_PROMPT.replace("'", "''")
+    return {
+        "retrieve_topk": _with(
+            """SELECT query_id, rank, chunk_id, article_id, title, category_name, source_name,
+  round(similarity, 4) AS similarity, round(score, 4) AS score FROM best""",
+            every,
+        ),
+        "answer_sources": _with(
+            """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT)
+  AS rank, article_id, title, url, source_name, round_even(similarity, 3) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY rank) AS nth
+      FROM best) WHERE nth = 1""",
+            every,
+        ),
+        "prompt_context": _with(
+            f"""SELECT q.session_id,
+  CASE WHEN context IS NOT NULL THEN '[SYSTEM]' || chr(10) || '{system}' || context
+    || coalesce(chr(10) || chr(10) || turns, '')
+    || chr(10) || chr(10) || '[USER]' || chr(10) || question END AS prompt,
+  CASE WHEN context IS NULL THEN '{NOTHING_FOUND}' END AS reply
+FROM questions q
+LEFT JOIN (SELECT query_id, string_agg('[' || rank || '] ' || title || ' (' || source_name || ', '
+             || strftime(published_at, '%Y-%m-%d') || ')' || chr(10) || content,
+             chr(10) || chr(10) ORDER BY rank) AS context FROM best GROUP BY query_id) b
+  ON b.query_id = q.query_id
+LEFT JOIN (SELECT session_id, string_agg('[' || upper(role) || ']' || chr(10) || message,
+             chr(10) || chr(10) ORDER BY position) AS turns
+           FROM ({last.format(n=6)}) GROUP BY session_id) t ON t.session_id = q.session_id""",
+            _QUESTIONS,
+            _retrieved("SELECT query_id, user_id, vector FROM questions"),
+        ),
+        "chat_history_last_n": _with(last.format(n=6)),
+        "chat_history_shown": _with(last.format(n=50)),
+        "chat_turn_batch": _with(
+            """SELECT (SELECT max(chat_id) FROM chat_history) + row_number() OVER (
+    ORDER BY md5(session_id || chr(31) || '2024-01-31 12:00:00' || chr(31) || 'user')) AS chat_id,
+  session_id, 'user' AS role, question AS message, TIMESTAMP '2024-01-31 12:00:00' AS created_at
+FROM questions""",
+            _QUESTIONS,
+        ),
+        "upsert_sessions": _with(
+            """SELECT session_id, min(created_at) AS created_at, max(created_at) AS updated_at,
+  CAST(session_id AS BIGINT) % 15
+    + CASE WHEN min(created_at) < TIMESTAMP '2024-01-30' THEN 0 ELSE 100 END AS user_id
+FROM chat_history GROUP BY session_id"""
+        ),
+        "user_sessions": _with("SELECT * FROM chat_sessions ORDER BY user_id, updated_at DESC"),
+        "session_groups": _with(
+            """SELECT user_id, session_id, substr(session_id, 1, 8) AS short_id,
+  CASE WHEN updated_at >= TIMESTAMP '2024-01-31' THEN '오늘'
+       WHEN updated_at >= TIMESTAMP '2024-01-30' THEN '어제' ELSE '이전' END AS date_group
+FROM chat_sessions"""
+        ),
+        "user_prefs": _with(
+            """SELECT user_id, pref_id, category_id, name AS category_name, weight
+FROM prefs JOIN categories USING (category_id)"""
+        ),
+        "upsert_prefs": _with(
+            """SELECT p.pref_id, p.user_id, p.category_id, coalesce(l.weight, p.weight) AS weight
+FROM prefs p LEFT JOIN latest l USING (user_id, category_id)
+UNION ALL
+SELECT (SELECT max(pref_id) FROM prefs) + row_number() OVER (
+    ORDER BY md5(user_id || chr(31) || category_id), user_id, category_id),
+  user_id, category_id, weight
+FROM latest WHERE (user_id, category_id) NOT IN (SELECT user_id, category_id FROM prefs)""",
+            """latest AS (
+  SELECT user_id, CAST(1 + event_id % 4 AS INT) AS category_id,
+         CAST(arg_max(1 + event_id % 10, event_id) AS INT) AS weight
+  FROM events WHERE event_type = 'click' GROUP BY user_id, 1 + event_id % 4)""",
+        ),
+    }
+
+
+def audits() -> dict[str, str]:
+    return {
+        "audit_unique": _with(
+            "SELECT link, count(*) AS n_rows FROM feed_items GROUP BY link HAVING count(*) > 1"
+        ),
+        "audit_orphans": _with(
+            "SELECT * FROM seen WHERE article_id NOT IN (SELECT article_id FROM servable)"
+        ),
+        "audit_ranges": _with(
+            """SELECT 'weight_from_1_to_10' AS rule, count_if(weight NOT BETWEEN 1 AND 10)::BIGINT
+  AS n_rows FROM prefs
+UNION ALL SELECT 'title_present', count_if(title = '')::BIGINT FROM parsed
+UNION ALL SELECT 'url_present', count_if(url = '')::BIGINT FROM parsed
+UNION ALL SELECT 'date_present', count_if(published_at IS NULL)::BIGINT FROM parsed""",
+            _PARSED,
+        ),
+    }
+
+
+def streams() -> dict[str, str]:
+    return {
+        "stream_ingest_dedup": _with(
+            "SELECT * FROM inserted",
+            _PARSED,
+            _insert("published_at, title, description, source_id", "SELECT ''", "0"),
+        ),
+        "stream_chunk": _with(
+            """SELECT *, row_number() OVER (
+    ORDER BY md5(article_id || chr(31) || chunk_index), article_id, chunk_index) AS chunk_id
+FROM chunked WHERE article_id IN (SELECT article_id FROM waiting)""",
+            _CHUNKED,
+        ),
+        "live_feed_batch": _with(
+            """SELECT user_id, false AS heartbeat,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY n.published_at DESC, article_id) - 1 AS INT)
+    % 100 AS pos,
+  article_id, strftime(n.published_at, '%Y-%m-%dT%H:%M:%S') AS published_at,
+  weight AS category_weight
+FROM prefs JOIN news n USING (category_id)
+UNION ALL
+SELECT DISTINCT user_id, true, CAST(NULL AS INT), CAST(NULL AS BIGINT), NULL, CAST(NULL AS INT)
+FROM prefs WHERE user_id NOT IN (SELECT user_id FROM prefs JOIN news USING (category_id))""",
+            "news AS (SELECT * FROM servable WHERE published_at > TIMESTAMP '2024-01-30')",
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**feeds()}
+    return {
+        **feeds(),
+        **collection(),
+        **duplicates(),
+        **retrieval_and_chat(),
+        **audits(),
+        **streams(),
+    }
