@@ -83,8 +83,8 @@ class NewsTables:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """Two chunks per article; the chunk text is the article text. Every 50th waits
-        for its embedding."""
+        """Two chunks per article; the chunk text is the article text, if there is one.
+        Every 50th waits for its embedding."""
         v = F.col("vec_id")
         texts = self.raw("documents").select(
             F.col("doc_id").alias("article_id"), F.col("text").alias("content")
@@ -98,7 +98,13 @@ class NewsTables:
                 F.when(v % 50 != 49, F.col("embedding")).alias("embedding"),
             )
             .join(texts, "article_id", "left")
-            .select("chunk_id", "article_id", "chunk_index", "content", "embedding")
+            .select(
+                "chunk_id",
+                "article_id",
+                "chunk_index",
+                F.coalesce("content", F.concat(F.lit("passage "), "chunk_id")).alias("content"),
+                "embedding",
+            )
         )
 
     @cached_property

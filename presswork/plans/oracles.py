@@ -26,7 +26,8 @@ articles AS (
   FROM documents d JOIN news_sources s ON s.name = d.source || '_' || d.lang),
 article_chunks AS (
   SELECT vec_id AS chunk_id, vec_id // 2 AS article_id, CAST(vec_id % 2 AS INT) AS chunk_index,
-         d.text AS content, CASE WHEN vec_id % 50 <> 49 THEN embedding END AS embedding
+         coalesce(d.text, 'passage ' || vec_id) AS content,
+         CASE WHEN vec_id % 50 <> 49 THEN embedding END AS embedding
   FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id // 2),
 users AS (SELECT DISTINCT user_id FROM events),
 prefs AS (
@@ -149,7 +150,7 @@ def feeds() -> dict[str, str]:
         ),
         "latest_feed_by_category": _with(
             f"SELECT {_card()} FROM servable WHERE category_id = 2 "
-            "ORDER BY servable.published_at DESC, article_id LIMIT 20 OFFSET 20"
+            "ORDER BY servable.published_at DESC, article_id LIMIT 5 OFFSET 5"
         ),
         "trending": _with(
             f"SELECT {_card(press='press')} FROM story "
@@ -415,7 +416,7 @@ FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embed
 SELECT vec_id, CAST(i AS INT) AS pos,
   round(CAST(embedding[i + 1] AS DOUBLE)
         / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5)
-    AS value
+    + 0.0::DOUBLE AS value
 FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)""",
     }
 

@@ -57,7 +57,9 @@ def latest_feed(t: NewsTables) -> DataFrame:
 
 @query
 def latest_feed_by_category(t: NewsTables) -> DataFrame:
-    page = feed.latest(t.articles, t.categories, t.news_sources, page=2, category_id=2)
+    page = feed.latest(
+        t.articles, t.categories, t.news_sources, page=2, limit=5, category_id=2
+    )
     return feed.article_card(page, AS_OF)
 
 
@@ -268,7 +270,7 @@ def normalize_vectors(t: NewsTables) -> DataFrame:
     scaled = F.transform("embedding", lambda x: x * 3)
     return t.raw("embeddings").select(
         "vec_id", F.posexplode(vectors.l2_normalize(scaled)).alias("pos", "value")
-    ).withColumn("value", F.round("value", 5))
+    ).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 # --- duplicates --------------------------------------------------------------
