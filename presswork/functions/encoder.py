@@ -32,20 +32,24 @@ class HashedNgrams:
         self.dimensions, self.sizes = dimensions, sizes
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimensions))
-        for row, text in enumerate(texts):
-            codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
-            for size in self.sizes:
-                if len(codes) < size:
-                    continue
-                grams = np.full(len(codes) - size + 1, size, dtype=np.uint64)
-                for i in range(size):
-                    grams = (grams ^ codes[i : i + len(grams)]) * np.uint64(0x100000001B3)
-                    grams ^= grams >> np.uint64(29)
-                slots = (grams % np.uint64(self.dimensions)).astype(np.int64)
-                signs = np.where((grams >> np.uint64(60)) & np.uint64(1), 1.0, -1.0)
-                out[row] += np.bincount(slots, weights=signs, minlength=self.dimensions)
-        return out
+        padded = [f" {t.lower()} " for t in texts]
+        codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32)
+        rows = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
+        total = np.zeros(len(texts) * self.dimensions)
+        for size in self.sizes:
+            n = len(codes) - size + 1
+            if n <= 0:
+                continue
+            inside = rows[:n] == rows[size - 1 :]  # a gram does not run into the next text
+            grams = np.full(n, size, dtype=np.uint64)
+            for i in range(size):
+                grams = (grams ^ codes[i : i + n]) * np.uint64(0x100000001B3)
+                grams ^= grams >> np.uint64(29)
+            grams, owner = grams[inside], rows[:n][inside]
+            slots = owner * self.dimensions + (grams % np.uint64(self.dimensions)).astype(np.int64)
+            signs = np.where((grams >> np.uint64(60)) & np.uint64(1), 1.0, -1.0)
+            total += np.bincount(slots, weights=signs, minlength=len(total))
+        return total.reshape(len(texts), self.dimensions)
 
 
 def cached(name: str, factory: Callable[[], Encoder]) -> Encoder:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from presswork.functions.dates import iso_text, published_ago
 from presswork.functions.text import publisher
 from presswork.operators.joins import checked_broadcast, is_small, join_hot_key, top_per_group
-from presswork.session import ntz
+from presswork.session import cut_lineage, ntz
 
 
 def newest_first() -> list[Column]:
@@ -38,6 +38,34 @@ def with_names(articles: DataFrame, categories: DataFrame, sources: DataFrame) -
     )
 
 
+def named_keys(articles: DataFrame, categories: DataFrame, sources: DataFrame) -> DataFrame:
+    """Narrow servable rows with a known category and source: what ranking needs, no text."""
+    narrow = servable(articles).select("article_id", "category_id", "source_id", "published_at")
+    return narrow.join(
+        checked_broadcast(categories.select("category_id")), "category_id", "left_semi"
+    ).join(checked_broadcast(sources.select("source_id")), "source_id", "left_semi")
+
+
+def fetch(
+    articles: DataFrame, keys: DataFrame, categories: DataFrame, sources: DataFrame
+) -> DataFrame:
+    """Full, named rows for a few ``keys`` (article_id, published_at, more columns).
+
+    Feeds rank on narrow columns and read texts for the winners only. The winners' time
+    range goes into the scan as a literal filter, so on a table laid out by time the
+    text of other days is not read. ``keys`` is bounded by the caller and stored.
+    """
+    first, last = keys.agg(F.min("published_at"), F.max("published_at")).first()
+    if first is None:
+        in_range = articles.filter(F.lit(False))
+    else:
+        in_range = articles.filter(F.col("published_at").between(ntz(first), ntz(last)))
+    rows = in_range.select(
+        "article_id", "category_id", "source_id", "title", "description", "url", "published_at"
+    ).join(F.broadcast(keys.drop("published_at", "category_id", "source_id")), "article_id")
+    return with_names(rows, categories, sources)
+
+
 def article_card(articles: DataFrame, as_of: datetime, *keep: str) -> DataFrame:
     """The eleven reader-facing fields; those a feed does not have are NULL.
 
@@ -75,15 +103,11 @@ def latest(
     category_id: int | None = None,
 ) -> DataFrame:
     """One page of the newest articles; no (or zero) ``category_id`` means all."""
-    rows = servable(articles)
+    keys = named_keys(articles, categories, sources)
     if category_id:
-        rows = rows.filter(F.col("category_id") == category_id)
-    return (
-        with_names(rows, categories, sources)
-        .orderBy(*newest_first())
-        .offset((page - 1) * limit)
-        .limit(limit)
-    )
+        keys = keys.filter(F.col("category_id") == category_id)
+    keys = keys.orderBy(*newest_first()).offset((page - 1) * limit).limit(limit)
+    return fetch(articles, cut_lineage(keys), categories, sources).orderBy(*newest_first())
 
 
 def trending(
@@ -104,18 +128,20 @@ def trending(
         .groupBy(F.col("representative_id").alias("article_id"))
         .agg(F.count("*").alias("followers"))
     )
-    recent = published_within(servable(articles), as_of, hours)
-    if is_small(recent.select("article_id")):
+    recent = published_within(named_keys(articles, categories, sources), as_of, hours)
+    ids = recent.select("article_id")
+    if is_small(ids):
         # Few recent stories: keep only their counts, without shuffling the rest.
-        followers = followers.join(F.broadcast(recent.select("article_id")), "article_id", "left_semi")
-    counted = recent.join(followers, "article_id", "left").withColumn(
-        "press_count", F.coalesce("followers", F.lit(0)) + 1
-    )
-    return (
-        with_names(counted, categories, sources)
-        .orderBy(F.desc("press_count"), *newest_first())
+        followers = followers.join(F.broadcast(ids), "article_id", "left_semi")
+    by_size = [F.desc("press_count"), *newest_first()]
+    top = (
+        recent.join(followers, "article_id", "left")
+        .withColumn("press_count", F.coalesce("followers", F.lit(0)) + 1)
+        .select("article_id", "published_at", "press_count")
+        .orderBy(*by_size)
         .limit(limit)
     )
+    return fetch(articles, cut_lineage(top), categories, sources).orderBy(*by_size)
 
 
 def other_press(articles: DataFrame, sources: DataFrame) -> DataFrame:

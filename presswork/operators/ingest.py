@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions.text import strip
 from presswork.operators.joins import absent_from, assign_ids, top_per_group
+from presswork.session import stored
 
 # Shortest description accepted at ingest, and for embedding.
 MIN_DESCRIPTION = 50
@@ -45,8 +46,12 @@ def first_per_url(items: DataFrame, order: Sequence[Column]) -> DataFrame:
 def insert_if_absent(
     items: DataFrame, articles: DataFrame, order: Sequence[Column]
 ) -> DataFrame:
-    """New article rows: valid entries whose url is neither stored nor earlier in the batch."""
-    new = absent_from(first_per_url(items, order), articles, ["url"])
+    """New article rows: valid entries whose url is neither stored nor earlier in the batch.
+
+    The cleaned batch is stored once; looking up urls and numbering rows read it again.
+    """
+    batch = stored(first_per_url(items, order), "feed-batch")
+    new = absent_from(batch, articles, ["url"])
     return assign_ids(new, ["url"], "article_id", articles).select(
         "article_id",
         "source_id",

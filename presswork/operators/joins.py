@@ -27,6 +27,15 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a costly per-row step work for every core when the input is a few files.
+
+    An input of many files is read in enough pieces already and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(key)
+
+
 def join_hot_key(
     many: DataFrame,
     few: DataFrame,

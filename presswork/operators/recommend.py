@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from presswork.operators.feed import newest_first, servable, with_names
-from presswork.operators.joins import (
-    BROADCAST_ROWS,
-    GROUP_LIMIT,
-    checked_broadcast,
-    join_hot_key,
-    top_per_group,
-)
+from presswork.operators.feed import fetch, named_keys, newest_first
+from presswork.operators.joins import BROADCAST_ROWS, GROUP_LIMIT, join_hot_key, top_per_group
+from presswork.session import cut_lineage
 
 # Readers without preferences draw from a bucket that holds every category.
 ALL_CATEGORIES = 0
+# Rows with texts that may be broadcast without counting them.
+TEXT_ROWS = 10_000
+
+_PICKED = ["user_id", "weight", "pref_rank", "bucket_rank", "article_id"]
 
 
 def allocation(prefs: DataFrame, limit: int) -> DataFrame:
@@ -56,9 +55,10 @@ def allocation(prefs: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _newest_ranked(articles: DataFrame, depth: int) -> DataFrame:
-    rows = servable(articles).withColumn("bucket", F.col("category_id"))
-    return top_per_group(rows, ["bucket"], newest_first(), depth)
+def _newest_ranked(keys: DataFrame, depth: int) -> DataFrame:
+    """The ``depth`` newest articles per category, ranked; stored, as it is used repeatedly."""
+    rows = keys.select(F.col("category_id").alias("bucket"), "article_id", "published_at")
+    return cut_lineage(top_per_group(rows, ["bucket"], newest_first(), depth))
 
 
 def _interleave(picked: DataFrame) -> DataFrame:
@@ -83,10 +83,13 @@ def recommend(
     (user_id, article_id) pairs to leave out before ranking; users without
     preferences get the latest page and ignore it.
 
-    A category is ranked once for all users and only as deep as a page can reach,
-    which Spark enforces before the shuffle; users then pick by rank range.
+    A category is ranked once for all users, on narrow columns and only as deep as a
+    page can reach, which Spark enforces before the shuffle. Users pick by rank range,
+    and texts are read for the picked articles alone.
     """
     offset = (page - 1) * limit
+    n_categories = categories.count()
+    keys = named_keys(articles, categories, sources)
     weighted = allocation(prefs, limit).withColumnRenamed("category_id", "bucket")
     without = (
         users.select("user_id")
@@ -100,70 +103,75 @@ def recommend(
             F.lit(limit).alias("slots"),
         )
     )
+    # The newest of all are among the newest of each category.
+    ranked = _newest_ranked(keys, offset + limit)
+    everything = W.orderBy(*newest_first())
     newest = (
-        servable(articles)
-        .orderBy(*newest_first())
-        .limit(offset + limit)
+        ranked.withColumn("rn", F.row_number().over(everything))  # n_categories x page rows
+        .filter(F.col("rn") <= offset + limit)
         .withColumn("bucket", F.lit(ALL_CATEGORIES))
     )
-    newest = top_per_group(newest, ["bucket"], newest_first(), offset + limit)
-
-    n_buckets = categories.count() + 1
 
-    def by_rank(wants: DataFrame, ranked: DataFrame) -> DataFrame:
+    def by_rank(wants: DataFrame, ranks: DataFrame) -> DataFrame:
+        most = (n_categories + 1) * (offset + limit)
         in_page = (F.col("rn") > offset) & (F.col("rn") <= offset + F.col("slots"))
         return (
-            join_hot_key(
-                wants,
-                with_names(ranked, categories, sources),
-                ["bucket"],
-                few_rows=n_buckets * (offset + limit),
-            )
+            join_hot_key(wants, ranks, ["bucket"], few_rows=most)
             .filter(in_page)
             .withColumn("bucket_rank", F.col("rn") - offset)
+            .select(*_PICKED)
         )
 
     if seen is None:
-        ranked = _newest_ranked(articles, offset + limit).unionByName(newest)
-        picked = by_rank(weighted.unionByName(without), ranked)
+        picked = by_rank(weighted.unionByName(without), ranked.unionByName(newest))
+        candidates, most = ranked, n_categories * (offset + limit)
     else:
-        unseen = _pick_unseen(articles, categories, weighted, seen, offset, limit)
-        unseen = with_names(unseen, categories, sources)
-        picked = by_rank(without, newest).unionByName(unseen, allowMissingColumns=True)
-    return _interleave(picked).withColumnRenamed("weight", "category_weight")
+        unseen, candidates, most = _pick_unseen(keys, n_categories, weighted, seen, offset, limit)
+        picked = by_rank(without, newest).unionByName(unseen)
+        candidates = candidates.unionByName(ranked)
+        most += n_categories * (offset + limit)
+    texts = fetch(
+        articles, candidates.select("article_id", "published_at").distinct(), categories, sources
+    )
+    return join_hot_key(
+        _interleave(picked).select("user_id", "position", "article_id", "weight"),
+        texts,
+        ["article_id"],
+        few_rows=most if most <= TEXT_ROWS else None,
+    ).withColumnRenamed("weight", "category_weight")
 
 
 def _pick_unseen(
-    articles: DataFrame,
-    categories: DataFrame,
+    keys: DataFrame,
+    n_categories: int,
     weighted: DataFrame,
     seen: DataFrame,
     offset: int,
     limit: int,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame, int]:
     """Page rows per (user, category) with seen articles left out before ranking.
 
     Only the ``depth`` newest articles per category are looked at. If a user has seen
     s of them, the page is inside the first offset + slots + s ranks, so the pick is
     exact when that is within ``depth`` or the category ends there. Pairs for which it
     is not (a user who has seen nearly all of the newest ``depth``) go to a round with
-    eight times the depth, until none is left.
+    eight times the depth, until none is left. Also returns the articles looked at and
+    a bound of their number.
     """
     depth = max(GROUP_LIMIT, 2 * (offset + limit))
-    n_categories = categories.count()
-    known = categories.select(F.col("category_id").alias("bucket"))
     pending = weighted.filter(F.col("slots") > 0)
     done = []
     while True:
-        ranked = _newest_ranked(articles, depth).join(checked_broadcast(known), "bucket", "left_semi")
+        ranked = _newest_ranked(keys, depth)
         most = n_categories * depth
         sizes = ranked.groupBy("bucket").agg(F.max("rn").alias("n_ranked"))
-        ids = ranked.select("bucket", "article_id", "rn")
+        ids = ranked.select("bucket", "article_id")
         # The seen table may be huge and one user may own a third of it: it is cut to the
         # ranked articles first, by broadcast when those are few.
         recent_seen = seen.select("user_id", "article_id").join(
             F.broadcast(ids) if most <= BROADCAST_ROWS else ids, "article_id"
-        ).distinct()
+        )
+        recent_seen = cut_lineage(recent_seen.distinct())
         n_seen = recent_seen.groupBy("user_id", "bucket").agg(F.count("*").alias("n_seen"))
         wants = (
             join_hot_key(pending, sizes, ["bucket"], few_rows=n_categories)
@@ -177,17 +185,19 @@ def _pick_unseen(
         candidates = (
             join_hot_key(wants.filter(exact), ranked, ["bucket"], few_rows=most)
             .filter(F.col("rn") <= F.col("reach"))
-            .join(recent_seen.select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
+            .join(
+                recent_seen.select("user_id", "article_id"), ["user_id", "article_id"], "left_anti"
+            )
         )
         unseen_rank = W.partitionBy("user_id", "bucket").orderBy("rn")
         done.append(
             candidates.withColumn("bucket_rank", F.row_number().over(unseen_rank) - offset)
             .filter((F.col("bucket_rank") > 0) & (F.col("bucket_rank") <= F.col("slots")))
-            .drop("n_ranked", "n_seen", "reach")
+            .select(*_PICKED)
         )
         if open_pairs.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        pending = open_pairs
+            return reduce(DataFrame.unionByName, done), ranked, most
+        pending = cut_lineage(open_pairs)
         depth *= 8
 
 

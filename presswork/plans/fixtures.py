@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from presswork.operators.ingest import with_reject_reason
 from presswork.operators.joins import checked_broadcast
-from presswork.session import ntz
+from presswork.session import ntz, stored
 from presswork.sources.rss import parse_items
 
 AS_OF = datetime(2024, 1, 31)
@@ -23,6 +23,8 @@ NOON = datetime(2024, 1, 31, 12)
 YESTERDAY = datetime(2024, 1, 30)
 MID_MONTH = datetime(2024, 1, 15)
 
+_DIMENSIONS: dict[tuple[str, str], DataFrame] = {}
+
 
 def _after(start: datetime, seconds):
     return ntz(start) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
@@ -46,15 +48,21 @@ class NewsTables:
 
     @cached_property
     def news_sources(self) -> DataFrame:
-        pairs = self.raw("documents").select("source", "lang").distinct()
-        # One publisher section per row; the window is over this dimension only.
-        return checked_broadcast(
-            pairs.join(self.categories, F.col("lang") == F.col("name")).select(
-                F.dense_rank().over(W.orderBy("source", "lang")).alias("source_id"),
-                "category_id",
-                F.concat_ws("_", "source", "lang").alias("name"),
+        """One row per publisher section, derived once per application and stored, as the
+        dimension table it stands for would be."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _DIMENSIONS:
+            pairs = self.raw("documents").select("source", "lang").distinct()
+            _DIMENSIONS[key] = stored(
+                pairs.join(self.categories, F.col("lang") == F.col("name")).select(
+                    # A window over this dimension only.
+                    F.dense_rank().over(W.orderBy("source", "lang")).alias("source_id"),
+                    "category_id",
+                    F.concat_ws("_", "source", "lang").alias("name"),
+                ),
+                "news-sources",
             )
-        )
+        return checked_broadcast(_DIMENSIONS[key])
 
     @cached_property
     def articles(self) -> DataFrame:

@@ -45,6 +45,17 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str):
+    """Write a table to the shared folder and read it back.
+
+    For steps that read an expensive or wide result more than once: it is computed once,
+    outlives its executors, and later reads take only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``import presswork`` work inside Python workers (once per application)."""
     sc = spark.sparkContext
