@@ -8,6 +8,7 @@ its own; otherwise it is a representative itself.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,21 +112,23 @@ def elect_duplicates(candidates: DataFrame, threshold: float = THRESHOLD) -> Dat
     keyed = _keyed(candidates)
     nodes = cut_lineage(_distinct_copies(keyed))
     tiling = plan_tiles(nodes, threshold)
-    undecided, elected = nodes, nodes.limit(0).select("node_id")
+    undecided, elected = nodes, []
     while True:
         held_up = cut_lineage(
             earliest_hits(undecided, undecided, tiling, threshold, True).select("node_id")
         )
         free = undecided.join(held_up, "node_id", "left_anti")
-        elected = elected.unionByName(free.select("node_id"))
+        elected.append(free.select("node_id"))
         if held_up.isEmpty():
             break
+        if len(elected) >= 16:
+            elected = [cut_lineage(reduce(DataFrame.unionByName, elected))]
         waiting = undecided.join(held_up, "node_id", "left_semi")
         absorbed = earliest_hits(waiting, free, tiling, threshold, True).select("node_id")
         undecided = cut_lineage(waiting.join(absorbed, "node_id", "left_anti"))
-        elected = cut_lineage(elected)
         if undecided.isEmpty():
             break
+    elected = reduce(DataFrame.unionByName, elected)
     representatives = nodes.join(elected, "node_id", "left_semi")
     hits = earliest_hits(nodes, representatives, tiling, threshold, False)
     return _spread_to_articles(keyed, nodes, hits).select(
