@@ -24,9 +24,28 @@ def servable(articles: DataFrame) -> DataFrame:
     return articles.filter(~F.col("is_duplicate") & F.col("is_processed"))
 
 
+def published_after(articles: DataFrame, moment: datetime) -> DataFrame:
+    """Strictly newer than ``moment``: a literal bound, so it reaches the scan.
+
+    On the day-partitioned layout of ``save_articles`` older folders are not listed.
+    """
+    if "published_day" in articles.columns:
+        articles = articles.filter(F.col("published_day") >= F.lit(moment.date()))
+    return articles.filter(F.col("published_at") > ntz(moment))
+
+
 def published_within(articles: DataFrame, as_of: datetime, hours: int) -> DataFrame:
-    """Strictly newer than ``as_of`` minus ``hours``; a literal bound, so it is pushed down."""
-    return articles.filter(F.col("published_at") > ntz(as_of - timedelta(hours=hours)))
+    """Strictly newer than ``as_of`` minus ``hours``."""
+    return published_after(articles, as_of - timedelta(hours=hours))
+
+
+def published_between(articles: DataFrame, first: datetime, last: datetime) -> DataFrame:
+    """From ``first`` to ``last``, both included."""
+    if "published_day" in articles.columns:
+        articles = articles.filter(
+            F.col("published_day").between(F.lit(first.date()), F.lit(last.date()))
+        )
+    return articles.filter(F.col("published_at").between(ntz(first), ntz(last)))
 
 
 def with_names(articles: DataFrame, categories: DataFrame, sources: DataFrame) -> DataFrame:
@@ -59,7 +78,7 @@ def fetch(
     if first is None:
         in_range = articles.filter(F.lit(False))
     else:
-        in_range = articles.filter(F.col("published_at").between(ntz(first), ntz(last)))
+        in_range = published_between(articles, first, last)
     rows = in_range.select(
         "article_id", "category_id", "source_id", "title", "description", "url", "published_at"
     ).join(F.broadcast(keys.drop("published_at", "category_id", "source_id")), "article_id")
@@ -185,7 +204,7 @@ def new_since(
     The literal form of a poll: an article that becomes servable only after the
     cursor has passed it is missed. The streaming feed does not have that gap.
     """
-    fresh = servable(articles).filter(F.col("published_at") > ntz(cursor))
+    fresh = published_after(servable(articles), cursor)
     weights = prefs.select("user_id", "category_id", F.col("weight").alias("category_weight"))
     return join_hot_key(weights, with_names(fresh, categories, sources), ["category_id"])
 

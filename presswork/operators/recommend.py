@@ -113,14 +113,15 @@ def recommend(
     )
 
     def by_rank(wants: DataFrame, ranks: DataFrame) -> DataFrame:
-        most = (n_categories + 1) * (offset + limit)
-        in_page = (F.col("rn") > offset) & (F.col("rn") <= offset + F.col("slots"))
-        return (
-            join_hot_key(wants, ranks, ["bucket"], few_rows=most)
-            .filter(in_page)
-            .withColumn("bucket_rank", F.col("rn") - offset)
-            .select(*_PICKED)
+        """One row per slot, joined to the article of that rank."""
+        turns = F.sequence(F.lit(1), F.col("slots"))
+        per_slot = (
+            wants.filter(F.col("slots") > 0)
+            .withColumn("bucket_rank", F.explode(turns))
+            .withColumn("rn", F.col("bucket_rank") + offset)
         )
+        most = (n_categories + 1) * (offset + limit)
+        return join_hot_key(per_slot, ranks, ["bucket", "rn"], few_rows=most).select(*_PICKED)
 
     if seen is None:
         picked = by_rank(weighted.unionByName(without), ranked.unionByName(newest))
