@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.operators.feed import published_within
-from presswork.operators.joins import join_hot_key
+from presswork.operators.joins import checked_broadcast, join_hot_key
 from presswork.operators.similarity import earliest_hits, micros, plan_tiles
-from presswork.session import cut_lineage
+from presswork.session import cut_lineage, stored
 
 # Cosine threshold and look-back of the hourly run.
 THRESHOLD = 0.75
@@ -36,9 +36,11 @@ def dedup_candidates(
         F.col("is_processed") & ~F.col("is_duplicate")
     )
     first_chunk = chunks.filter((F.col("chunk_index") == 0) & F.col("embedding").isNotNull())
-    return rows.select("article_id", "category_id", "source_id", "published_at").join(
-        first_chunk.select("article_id", F.col("embedding").alias("vec")), "article_id"
-    )
+    recent = rows.select("article_id", "category_id", "source_id", "published_at")
+    # With few recent articles the stored vectors are filtered where they lie.
+    return first_chunk.select("article_id", F.col("embedding").alias("vec")).join(
+        checked_broadcast(recent), "article_id"
+    ).select(*recent.columns, "vec")
 
 
 def _keyed(candidates: DataFrame) -> DataFrame:
@@ -93,8 +95,9 @@ def similar_pairs(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFr
     would be quadratic.
     """
     keyed = _keyed(candidates)
-    nodes = cut_lineage(_distinct_copies(keyed))
-    hits = earliest_hits(nodes, nodes, plan_tiles(nodes, threshold), threshold, False)
+    nodes = stored(_distinct_copies(keyed), "nodes")
+    tiling = plan_tiles(nodes, threshold)
+    hits = cut_lineage(earliest_hits(nodes, nodes, tiling, threshold, False))
     return _spread_to_articles(keyed, nodes, hits).select(
         "article_id", F.col("hit_id").alias("first_similar_id"), "similarity"
     )
@@ -106,11 +109,11 @@ def elect_duplicates(candidates: DataFrame, threshold: float = THRESHOLD) -> Dat
     The sequential rule is run as rounds. In each round every undecided node without
     an earlier undecided neighbour becomes a representative, and the later neighbours
     of these become duplicates. The earliest undecided node is always decided, so the
-    rounds end; clusters of near copies are settled in the first one. The nodes
-    shrink from round to round and are checkpointed, so a lost executor costs one round.
+    rounds end; clusters of near copies are settled in the first one. The undecided
+    nodes shrink from round to round and are stored, so a lost executor costs one round.
     """
     keyed = _keyed(candidates)
-    nodes = cut_lineage(_distinct_copies(keyed))
+    nodes = stored(_distinct_copies(keyed), "nodes")
     tiling = plan_tiles(nodes, threshold)
     undecided, elected = nodes, []
     while True:
@@ -125,17 +128,18 @@ def elect_duplicates(candidates: DataFrame, threshold: float = THRESHOLD) -> Dat
             elected = [cut_lineage(reduce(DataFrame.unionByName, elected))]
         waiting = undecided.join(held_up, "node_id", "left_semi")
         absorbed = earliest_hits(waiting, free, tiling, threshold, True).select("node_id")
-        undecided = cut_lineage(waiting.join(absorbed, "node_id", "left_anti"))
+        undecided = stored(waiting.join(absorbed, "node_id", "left_anti"), "undecided")
         if undecided.isEmpty():
             break
     elected = reduce(DataFrame.unionByName, elected)
     representatives = nodes.join(elected, "node_id", "left_semi")
-    hits = earliest_hits(nodes, representatives, tiling, threshold, False)
-    return _spread_to_articles(keyed, nodes, hits).select(
+    hits = cut_lineage(earliest_hits(nodes, representatives, tiling, threshold, False))
+    pairs = _spread_to_articles(keyed, nodes, hits).select(
         F.col("article_id").alias("duplicate_id"),
         F.col("hit_id").alias("representative_id"),
         "similarity",
     )
+    return cut_lineage(pairs)
 
 
 def dedup_stats(candidates: DataFrame, duplicates: DataFrame) -> DataFrame:

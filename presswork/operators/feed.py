@@ -81,7 +81,7 @@ def fetch(
         in_range = published_between(articles, first, last)
     rows = in_range.select(
         "article_id", "category_id", "source_id", "title", "description", "url", "published_at"
-    ).join(F.broadcast(keys.drop("published_at", "category_id", "source_id")), "article_id")
+    ).join(checked_broadcast(keys.drop("published_at", "category_id", "source_id")), "article_id")
     return with_names(rows, categories, sources)
 
 
@@ -142,16 +142,15 @@ def trending(
     Duplicates are counted per representative before the join, so a story with a
     huge following is reduced on the map side and never fans out.
     """
-    followers = (
-        articles.filter(F.col("representative_id").isNotNull())
-        .groupBy(F.col("representative_id").alias("article_id"))
-        .agg(F.count("*").alias("followers"))
-    )
     recent = published_within(named_keys(articles, categories, sources), as_of, hours)
+    copies = articles.filter(F.col("representative_id").isNotNull()).select(
+        F.col("representative_id").alias("article_id")
+    )
     ids = recent.select("article_id")
     if is_small(ids):
-        # Few recent stories: keep only their counts, without shuffling the rest.
-        followers = followers.join(F.broadcast(ids), "article_id", "left_semi")
+        # Count only the followers of recent stories; the others are not shuffled.
+        copies = copies.join(F.broadcast(ids), "article_id", "left_semi")
+    followers = copies.groupBy("article_id").agg(F.count("*").alias("followers"))
     by_size = [F.desc("press_count"), *newest_first()]
     top = (
         recent.join(followers, "article_id", "left")

@@ -7,24 +7,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 200_000
+# A side is broadcast only up to this many rows and bytes, counted beforehand.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Spark prunes ``row_number() <= k`` before the shuffle up to this k by default.
 GROUP_LIMIT = 1000
 SALTS = 32
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def _width(df: DataFrame) -> Column:
+    """Rough bytes of a row: measured for text and arrays, eight for anything else."""
+    total = F.lit(0)
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        elif isinstance(field.dataType, T.ArrayType):
+            total = total + F.coalesce(F.size(column), F.lit(0)) * 8 + 16
+        else:
+            total = total + 8
+    return total
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting (at most ``max_rows`` + 1 rows are read).
+def is_small(df: DataFrame) -> bool:
+    """Count rows and bytes, reading no more than one row past the limit.
+
+    The frame is evaluated for it, so costly ones are stored by their makers first.
+    """
+    rows, size = (
+        df.limit(BROADCAST_ROWS + 1)
+        .agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0)))
+        .first()
+    )
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Hint a broadcast if the side is small.
 
     A larger side is returned as it is and joined by shuffle, where adaptive
     execution splits skewed partitions.
     """
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -45,8 +71,8 @@ def join_hot_key(
 ) -> DataFrame:
     """Join on a key that may hold a large part of ``many``.
 
-    A small ``few`` is broadcast: ``few_rows`` is a proven upper bound of its size,
-    and without one the rows are counted. Otherwise each key is spread over
+    A small ``few`` is broadcast: ``few_rows`` is a proven bound for a side of a few
+    numeric columns, and without one its size is counted. Otherwise each key is spread over
     ``SALTS`` groups and ``few`` is repeated once per group. ``how`` is inner or left.
     """
     on = list(on)

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from presswork.operators.feed import fetch, named_keys, newest_first
 from presswork.operators.joins import BROADCAST_ROWS, GROUP_LIMIT, join_hot_key, top_per_group
-from presswork.session import cut_lineage
+from presswork.session import cut_lineage, stored
 
 # Readers without preferences draw from a bucket that holds every category.
 ALL_CATEGORIES = 0
-# Rows with texts that may be broadcast without counting them.
-TEXT_ROWS = 10_000
 
 _PICKED = ["user_id", "weight", "pref_rank", "bucket_rank", "article_id"]
 
@@ -125,20 +123,21 @@ def recommend(
 
     if seen is None:
         picked = by_rank(weighted.unionByName(without), ranked.unionByName(newest))
-        candidates, most = ranked, n_categories * (offset + limit)
+        candidates = ranked
     else:
-        unseen, candidates, most = _pick_unseen(keys, n_categories, weighted, seen, offset, limit)
+        unseen, looked_at = _pick_unseen(keys, n_categories, weighted, seen, offset, limit)
         picked = by_rank(without, newest).unionByName(unseen)
-        candidates = candidates.unionByName(ranked)
-        most += n_categories * (offset + limit)
-    texts = fetch(
-        articles, candidates.select("article_id", "published_at").distinct(), categories, sources
+        candidates = looked_at.unionByName(ranked)
+    picked = cut_lineage(picked)
+    chosen = picked.select("article_id").distinct()
+    wanted = (
+        candidates.select("article_id", "published_at").distinct().join(chosen, "article_id")
     )
+    texts = stored(fetch(articles, cut_lineage(wanted), categories, sources), "page-texts")
     return join_hot_key(
         _interleave(picked).select("user_id", "position", "article_id", "weight"),
         texts,
         ["article_id"],
-        few_rows=most if most <= TEXT_ROWS else None,
     ).withColumnRenamed("weight", "category_weight")
 
 
@@ -149,15 +148,14 @@ def _pick_unseen(
     seen: DataFrame,
     offset: int,
     limit: int,
-) -> tuple[DataFrame, DataFrame, int]:
+) -> tuple[DataFrame, DataFrame]:
     """Page rows per (user, category) with seen articles left out before ranking.
 
     Only the ``depth`` newest articles per category are looked at. If a user has seen
     s of them, the page is inside the first offset + slots + s ranks, so the pick is
     exact when that is within ``depth`` or the category ends there. Pairs for which it
     is not (a user who has seen nearly all of the newest ``depth``) go to a round with
-    eight times the depth, until none is left. Also returns the articles looked at and
-    a bound of their number.
+    eight times the depth, until none is left. Also returns the articles looked at.
     """
     depth = max(GROUP_LIMIT, 2 * (offset + limit))
     pending = weighted.filter(F.col("slots") > 0)
@@ -197,7 +195,7 @@ def _pick_unseen(
             .select(*_PICKED)
         )
         if open_pairs.isEmpty():
-            return reduce(DataFrame.unionByName, done), ranked, most
+            return reduce(DataFrame.unionByName, done), ranked
         pending = cut_lineage(open_pairs)
         depth *= 8
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.operators.chat import PROMPT_MESSAGES, last_messages
-from presswork.operators.feed import servable
+from presswork.operators.feed import named_keys
 from presswork.operators.joins import checked_broadcast, top_per_group
 from presswork.operators.similarity import unit_rows
 
@@ -189,25 +189,19 @@ def retrieve(
     question leave a task. Texts are fetched for the winners alone. A zero vector has
     no similarity and ranks last.
     """
-    shown = servable(articles).join(
-        checked_broadcast(categories.select("category_id")), "category_id", "left_semi"
+    shown = named_keys(articles, categories, sources).select(
+        "article_id",
+        "category_id",
+        F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("double").alias("epoch"),
     )
     pool = (
         chunks.filter(F.col("embedding").isNotNull())
         .select("chunk_id", "article_id", "embedding")
-        .join(
-            shown.select(
-                "article_id",
-                "category_id",
-                F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("double").alias("epoch"),
-            ),
-            "article_id",
-        )
+        .join(shown, "article_id")
     )
     asked = _with_weights(queries, prefs)
-    dim = queries.agg(F.max(F.size("vector"))).first()[0] or 1
-    max_queries = max(1, query_bytes // (8 * dim))
-    n_queries = asked.limit(max_queries + 1).count()
+    n_queries, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    max_queries = max(1, query_bytes // (8 * (dim or 1)))
     small = n_queries <= max_queries
     score = score_broadcast if small else score_by_shuffle
     hits = score(pool, asked, k, as_of, max_queries)

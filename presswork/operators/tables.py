@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.operators.joins import absent_from, assign_ids, checked_broadcast, top_per_group
+from presswork.session import cut_lineage, stored
 
 
 def mark_processed(articles: DataFrame, processed: DataFrame) -> DataFrame:
@@ -41,8 +42,12 @@ def apply_duplicates(articles: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def append_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows to append: chunks whose (article, index) is not stored, numbered onwards."""
+    """Rows to append: chunks whose (article, index) is not stored, numbered onwards.
+
+    The new chunks are stored once; looking them up and numbering read them again.
+    """
     key = ["article_id", "chunk_index"]
+    new = stored(new, "new-chunks")
     return assign_ids(absent_from(new, chunks, key), key, "chunk_id", chunks)
 
 
@@ -51,7 +56,10 @@ def embedding_backlog(chunks: DataFrame) -> DataFrame:
 
 
 def write_embeddings(chunks: DataFrame, encoded: DataFrame) -> DataFrame:
-    """Fill missing embeddings from (chunk_id, embedding); present ones stay."""
+    """Fill missing embeddings from (chunk_id, embedding); present ones stay.
+
+    Pass a stored frame: it is measured before the join.
+    """
     filled = encoded.select("chunk_id", F.col("embedding").alias("_new"))
     return chunks.join(checked_broadcast(filled), "chunk_id", "left").select(
         *[
@@ -67,8 +75,10 @@ def upsert_prefs(prefs: DataFrame, changes: DataFrame) -> DataFrame:
     Known pairs keep their ``pref_id``, new ones are numbered onwards.
     """
     key = ["user_id", "category_id"]
-    last = top_per_group(changes, key, [F.desc("seq")], 1).select(
-        *key, F.col("weight").alias("_weight")
+    last = cut_lineage(
+        top_per_group(changes, key, [F.desc("seq")], 1).select(
+            *key, F.col("weight").alias("_weight")
+        )
     )
     kept = prefs.join(checked_broadcast(last), key, "left").select(
         *[
@@ -88,9 +98,11 @@ def upsert_sessions(sessions: DataFrame, touches: DataFrame) -> DataFrame:
     A known session only moves ``updated_at``; its owner stays. A new one belongs to
     the first user who touched it.
     """
-    grouped = touches.groupBy("session_id").agg(
-        F.min(F.struct("touched_at", "user_id")).alias("_first"),
-        F.max("touched_at").alias("_last"),
+    grouped = cut_lineage(
+        touches.groupBy("session_id").agg(
+            F.min(F.struct("touched_at", "user_id")).alias("_first"),
+            F.max("touched_at").alias("_last"),
+        )
     )
     kept = sessions.join(
         checked_broadcast(grouped.select("session_id", "_last")), "session_id", "left"

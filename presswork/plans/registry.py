@@ -22,7 +22,7 @@ from presswork.operators import (
     tables,
 )
 from presswork.plans.fixtures import AS_OF, MID_MONTH, NOON, YESTERDAY, NewsTables
-from presswork.session import ntz, scratch_path, ship_package
+from presswork.session import ntz, scratch_path, ship_package, stored
 from presswork.sources import rss, synthetic
 from presswork.streaming import jobs
 
@@ -242,7 +242,7 @@ def embedding_backlog(t: NewsTables) -> DataFrame:
         factory=lambda: HashedNgrams(64),
         name="hashed-ngrams-64",
     )
-    return tables.write_embeddings(t.chunks, encoded).select(
+    return tables.write_embeddings(t.chunks, stored(encoded, "encoded")).select(
         "chunk_id",
         F.size("embedding").alias("dimensions"),
         F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"),

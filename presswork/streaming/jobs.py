@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from presswork.functions.encoder import HashedNgrams, embed
 from presswork.operators.chunking import chunk_articles
-from presswork.operators.feed import article_card, newest_first, servable, with_names
+from presswork.operators.feed import article_card, newest_first, published_after, servable, with_names
 from presswork.operators.ingest import (
     awaiting_embedding,
     insert_if_absent,
@@ -27,7 +27,6 @@ from presswork.operators.ingest import (
 )
 from presswork.operators.joins import join_hot_key
 from presswork.operators.tables import append_chunks
-from presswork.session import ntz
 from presswork.sources.rss import parse_items, read_feed_files, with_section
 
 # How often the live feed looks for news, and the idle message.
@@ -168,7 +167,7 @@ def stream_live_feed(
     ``since`` only keeps the history out when a feed is opened.
     """
     rows = spark.readStream.schema(schema).parquet(articles_path)
-    rows = rows.filter(F.col("published_at") > ntz(since))
+    rows = published_after(rows, since)
 
     def sink(batch: DataFrame, number: int) -> None:
         messages = live_messages(batch, categories, sources, prefs, now())

@@ -99,7 +99,7 @@ def test_joins_by_shuffle_give_the_same(world, monkeypatch):
     from presswork.operators import joins
 
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(joins, "is_small", lambda df, max_rows=0: False)
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
     assert got_pages(world, limit=9) == want_pages(world, 9, 1)
 
 

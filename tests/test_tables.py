@@ -127,7 +127,7 @@ def test_hot_key_join_by_shuffle(spark, monkeypatch):
     many = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     few = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     small = rows(joins.join_hot_key(many, few, ["k"], "left"))
-    monkeypatch.setattr(joins, "is_small", lambda df, max_rows=0: False)
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
     assert rows(joins.join_hot_key(many, few, ["k"], "left")) == small
 
 
