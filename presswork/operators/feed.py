@@ -13,6 +13,9 @@ from presswork.functions.text import publisher
 from presswork.operators.joins import checked_broadcast, is_small, join_hot_key, top_per_group
 from presswork.session import cut_lineage, ntz
 
+# A list of at most this many rows is a page: its keys are looked up one by one.
+PAGE_ROWS = 1000
+
 
 def newest_first() -> list[Column]:
     """Newest article first; ``article_id`` breaks ties so that pages are repeatable."""
@@ -48,41 +51,62 @@ def published_between(articles: DataFrame, first: datetime, last: datetime) -> D
     return articles.filter(F.col("published_at").between(ntz(first), ntz(last)))
 
 
-def with_names(articles: DataFrame, categories: DataFrame, sources: DataFrame) -> DataFrame:
-    """Star join with both dimensions."""
+def dimensions(categories: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Category and publisher names, measured once and hinted for broadcast."""
     names = categories.select("category_id", F.col("name").alias("category_name"))
-    papers = sources.select("source_id", publisher(F.col("name")).alias("source_name"))
-    return articles.join(checked_broadcast(names), "category_id").join(
-        checked_broadcast(papers), "source_id"
-    )
+    papers = sources.select("source_id", F.col("name").alias("section_name"))
+    return checked_broadcast(names), checked_broadcast(papers)
+
+
+def with_names(articles: DataFrame, dims: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Star join with both dimensions."""
+    names, papers = dims
+    named = articles.join(names, "category_id").join(papers, "source_id")
+    return named.withColumn("source_name", publisher(F.col("section_name")))
 
 
-def named_keys(articles: DataFrame, categories: DataFrame, sources: DataFrame) -> DataFrame:
+def named_keys(articles: DataFrame, dims: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Narrow servable rows with a known category and source: what ranking needs, no text."""
-    narrow = servable(articles).select("article_id", "category_id", "source_id", "published_at")
-    return narrow.join(
-        checked_broadcast(categories.select("category_id")), "category_id", "left_semi"
-    ).join(checked_broadcast(sources.select("source_id")), "source_id", "left_semi")
+    names, papers = dims
+    return (
+        servable(articles)
+        .select("article_id", "category_id", "source_id", "published_at")
+        .join(names, "category_id", "left_semi")
+        .join(papers, "source_id", "left_semi")
+    )
 
 
 def fetch(
-    articles: DataFrame, keys: DataFrame, categories: DataFrame, sources: DataFrame
+    articles: DataFrame,
+    keys: DataFrame,
+    dims: tuple[DataFrame, DataFrame],
+    few_rows: int | None = None,
 ) -> DataFrame:
-    """Full, named rows for a few ``keys`` (article_id, published_at, more columns).
+    """Full, named rows for ``keys`` (article_id, published_at, more columns).
 
     Feeds rank on narrow columns and read texts for the winners only. The winners' time
     range goes into the scan as a literal filter, so on a table laid out by time the
-    text of other days is not read. ``keys`` is bounded by the caller and stored.
+    text of other days is not read. A page (at most ``few_rows`` rows) is looked up
+    directly; a longer list is stored and measured first.
     """
-    first, last = keys.agg(F.min("published_at"), F.max("published_at")).first()
-    if first is None:
-        in_range = articles.filter(F.lit(False))
+    if few_rows is not None and few_rows <= PAGE_ROWS:
+        page = keys.collect()
+        keys = F.broadcast(keys.sparkSession.createDataFrame(page, keys.schema))
+        times = [r["published_at"] for r in page]
+        first, last = (min(times), max(times)) if times else (None, None)
     else:
-        in_range = published_between(articles, first, last)
+        keys = cut_lineage(keys)
+        first, last = keys.agg(F.min("published_at"), F.max("published_at")).first()
+        keys = checked_broadcast(keys)
+    in_range = (
+        articles.filter(F.lit(False))
+        if first is None
+        else published_between(articles, first, last)
+    )
     rows = in_range.select(
         "article_id", "category_id", "source_id", "title", "description", "url", "published_at"
-    ).join(checked_broadcast(keys.drop("published_at", "category_id", "source_id")), "article_id")
-    return with_names(rows, categories, sources)
+    ).join(keys.drop("published_at", "category_id", "source_id"), "article_id")
+    return with_names(rows, dims)
 
 
 def article_card(articles: DataFrame, as_of: datetime, *keep: str) -> DataFrame:
@@ -122,11 +146,12 @@ def latest(
     category_id: int | None = None,
 ) -> DataFrame:
     """One page of the newest articles; no (or zero) ``category_id`` means all."""
-    keys = named_keys(articles, categories, sources)
+    dims = dimensions(categories, sources)
+    keys = named_keys(articles, dims)
     if category_id:
         keys = keys.filter(F.col("category_id") == category_id)
     keys = keys.orderBy(*newest_first()).offset((page - 1) * limit).limit(limit)
-    return fetch(articles, cut_lineage(keys), categories, sources).orderBy(*newest_first())
+    return fetch(articles, keys, dims, few_rows=limit).orderBy(*newest_first())
 
 
 def trending(
@@ -142,7 +167,8 @@ def trending(
     Duplicates are counted per representative before the join, so a story with a
     huge following is reduced on the map side and never fans out.
     """
-    recent = published_within(named_keys(articles, categories, sources), as_of, hours)
+    dims = dimensions(categories, sources)
+    recent = published_within(named_keys(articles, dims), as_of, hours)
     copies = articles.filter(F.col("representative_id").isNotNull()).select(
         F.col("representative_id").alias("article_id")
     )
@@ -159,7 +185,7 @@ def trending(
         .orderBy(*by_size)
         .limit(limit)
     )
-    return fetch(articles, cut_lineage(top), categories, sources).orderBy(*by_size)
+    return fetch(articles, top, dims, few_rows=limit).orderBy(*by_size)
 
 
 def other_press(articles: DataFrame, sources: DataFrame) -> DataFrame:
@@ -205,7 +231,8 @@ def new_since(
     """
     fresh = published_after(servable(articles), cursor)
     weights = prefs.select("user_id", "category_id", F.col("weight").alias("category_weight"))
-    return join_hot_key(weights, with_names(fresh, categories, sources), ["category_id"])
+    named = with_names(fresh, dimensions(categories, sources))
+    return join_hot_key(weights, named, ["category_id"])
 
 
 def merge_shown(shown: DataFrame, arrived: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from presswork.operators.feed import fetch, named_keys, newest_first
+from presswork.operators.feed import dimensions, fetch, named_keys, newest_first
 from presswork.operators.joins import BROADCAST_ROWS, GROUP_LIMIT, join_hot_key, top_per_group
 from presswork.session import cut_lineage, stored
 
@@ -87,7 +87,8 @@ def recommend(
     """
     offset = (page - 1) * limit
     n_categories = categories.count()
-    keys = named_keys(articles, categories, sources)
+    dims = dimensions(categories, sources)
+    keys = named_keys(articles, dims)
     weighted = allocation(prefs, limit).withColumnRenamed("category_id", "bucket")
     without = (
         users.select("user_id")
@@ -133,7 +134,7 @@ def recommend(
     wanted = (
         candidates.select("article_id", "published_at").distinct().join(chosen, "article_id")
     )
-    texts = stored(fetch(articles, cut_lineage(wanted), categories, sources), "page-texts")
+    texts = stored(fetch(articles, wanted, dims), "page-texts")
     return join_hot_key(
         _interleave(picked).select("user_id", "position", "article_id", "weight"),
         texts,

@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.operators.chat import PROMPT_MESSAGES, last_messages
-from presswork.operators.feed import named_keys
-from presswork.operators.joins import checked_broadcast, top_per_group
+from presswork.operators.feed import dimensions, named_keys
+from presswork.operators.joins import top_per_group
 from presswork.operators.similarity import unit_rows
 
 # Score weights, default category weight and its scale, top k.
@@ -189,7 +189,8 @@ def retrieve(
     question leave a task. Texts are fetched for the winners alone. A zero vector has
     no similarity and ranks last.
     """
-    shown = named_keys(articles, categories, sources).select(
+    dims = dimensions(categories, sources)
+    shown = named_keys(articles, dims).select(
         "article_id",
         "category_id",
         F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("double").alias("epoch"),
@@ -210,16 +211,14 @@ def retrieve(
     )
     if small and n_queries * k <= 1_000_000:
         best = F.broadcast(best)  # at most k rows per question
-    names = categories.select("category_id", F.col("name").alias("category_name"))
-    papers = sources.select("source_id", F.col("name").alias("source_name"))
     texts = chunks.select("chunk_id", "content").join(best, "chunk_id")
     if small and n_queries * k <= 1_000_000:
         texts = F.broadcast(texts)
     return (
         articles.select("article_id", "title", "url", "published_at", "category_id", "source_id")
         .join(texts, "article_id")
-        .join(checked_broadcast(names), "category_id")
-        .join(checked_broadcast(papers), "source_id")
+        .join(dims[0], "category_id")
+        .join(dims[1], "source_id")
         .select(
             "query_id",
             "rank",
@@ -229,7 +228,7 @@ def retrieve(
             "url",
             "published_at",
             "category_name",
-            "source_name",
+            F.col("section_name").alias("source_name"),
             "content",
             "similarity",
             "score",

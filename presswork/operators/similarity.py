@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.operators.joins import checked_broadcast
+from presswork.session import cut_lineage
 
 TILE_BYTES = 64 * 1024 * 1024
 MAX_TILE_ROWS = 32_768
@@ -105,7 +106,7 @@ def _add_cells(nodes: DataFrame, pivots: np.ndarray, radius: float | None) -> Da
 def plan_tiles(nodes: DataFrame, threshold: float) -> Tiling:
     """Choose pivots and tile counts for a set of nodes that serves as both sides.
 
-    ``nodes`` should be a stored or checkpointed table: it is read three times.
+    ``nodes`` should be a stored table: it is read three times.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -129,7 +130,7 @@ def plan_tiles(nodes: DataFrame, threshold: float) -> Tiling:
         F.ceil(F.col("n_anchors") / rows).cast("int").alias("anchor_tiles"),
         F.ceil(F.col("n_probes") / rows).cast("int").alias("probe_tiles"),
     )
-    return Tiling(pivots, radius, checked_broadcast(tiles))
+    return Tiling(pivots, radius, checked_broadcast(cut_lineage(tiles)))
 
 
 def _tile(rows: DataFrame, tiling: Tiling, own: str, other: str) -> DataFrame:

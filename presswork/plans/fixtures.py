@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.operators.ingest import with_reject_reason
-from presswork.operators.joins import checked_broadcast
 from presswork.session import ntz, stored
 from presswork.sources.rss import parse_items
 
@@ -42,8 +41,8 @@ class NewsTables:
 
     @cached_property
     def categories(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [(1, "en"), (2, "de"), (3, "es"), (4, "fr")], "category_id int, name string"
+        return self.spark.sql(
+            "SELECT * FROM VALUES (1, 'en'), (2, 'de'), (3, 'es'), (4, 'fr') AS c(category_id, name)"
         )
 
     @cached_property
@@ -62,7 +61,7 @@ class NewsTables:
                 ),
                 "news-sources",
             )
-        return checked_broadcast(_DIMENSIONS[key])
+        return _DIMENSIONS[key]
 
     @cached_property
     def articles(self) -> DataFrame:

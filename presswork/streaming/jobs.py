@@ -18,7 +18,14 @@ from pyspark.sql.types import StructType
 
 from presswork.functions.encoder import HashedNgrams, embed
 from presswork.operators.chunking import chunk_articles
-from presswork.operators.feed import article_card, newest_first, published_after, servable, with_names
+from presswork.operators.feed import (
+    article_card,
+    dimensions,
+    newest_first,
+    published_after,
+    servable,
+    with_names,
+)
 from presswork.operators.ingest import (
     awaiting_embedding,
     insert_if_absent,
@@ -122,7 +129,7 @@ def live_messages(
     """
     weights = prefs.select("user_id", "category_id", F.col("weight").alias("category_weight"))
     news = join_hot_key(
-        weights, with_names(servable(articles), categories, sources), ["category_id"]
+        weights, with_names(servable(articles), dimensions(categories, sources)), ["category_id"]
     )
     ranked = news.withColumn(
         "rn", F.row_number().over(W.partitionBy("user_id").orderBy(*newest_first()))
