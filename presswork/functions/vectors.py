@@ -42,3 +42,8 @@ def l2_normalize(vector: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; NULL if either vector is zero."""
     return F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b))
+
+
+def percent_match(similarity: Column) -> Column:
+    """Similarity as a whole percentage, halves rounded up."""
+    return F.floor(similarity * 100 + 0.5)

@@ -387,6 +387,11 @@ JOIN news_sources ON source_id - 1 = n * 7919 % (SELECT count(*) FROM news_sourc
             "FROM waiting",
             _CHUNKED,
         ),
+        "newest_unprocessed": _with(
+            "SELECT article_id, published_at FROM waiting "
+            "ORDER BY published_at DESC, article_id LIMIT 5000",
+            _CHUNKED,
+        ),
         "chunk_documents": _with("SELECT * FROM chunked", _CHUNKED),
         "embed_chunks": _with(
             "SELECT article_id, chunk_index, 768 AS dimensions, 1.0::DOUBLE AS norm FROM chunked",

@@ -22,6 +22,7 @@ from presswork.operators import (
     tables,
 )
 from presswork.plans.fixtures import AS_OF, MID_MONTH, NOON, YESTERDAY, NewsTables
+from presswork.plans.hourly import run_hourly
 from presswork.session import ntz, scratch_path, ship_package, stored
 from presswork.sources import rss, synthetic
 from presswork.streaming import jobs
@@ -204,6 +205,11 @@ def partition_bounds(t: NewsTables) -> DataFrame:
     return ingest.partition_bounds(t.articles)
 
 
+@query
+def newest_unprocessed(t: NewsTables) -> DataFrame:
+    return ingest.newest_unprocessed(t.articles).select("article_id", "published_at")
+
+
 @query
 def chunk_documents(t: NewsTables) -> DataFrame:
     return chunking.chunk_articles(t.articles)
@@ -323,6 +329,18 @@ def audit_rep_chains(t: NewsTables) -> DataFrame:
     return audit.representative_chains(_flagged(t))
 
 
+@query
+def hourly_run(t: NewsTables) -> DataFrame:
+    """The whole run with every article new: chunk, embed, append, flag, compare."""
+    new = t.articles.withColumn("is_processed", F.lit(False)).withColumn(
+        "is_duplicate", F.lit(False)
+    )
+    result = run_hourly(new, t.chunks.limit(0), AS_OF, hours=_MONTH_HOURS)
+    return result.articles.select(
+        "article_id", "is_processed", "is_duplicate", "representative_id"
+    )
+
+
 # --- retrieval and chat ------------------------------------------------------
 
 

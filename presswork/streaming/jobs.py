@@ -6,7 +6,7 @@ what is stored first, so a batch that is run again after a failure adds nothing
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -26,15 +26,11 @@ from presswork.operators.feed import (
     servable,
     with_names,
 )
-from presswork.operators.ingest import (
-    awaiting_embedding,
-    insert_if_absent,
-    valid,
-    with_reject_reason,
-)
+from presswork.operators.ingest import awaiting_embedding
 from presswork.operators.joins import join_hot_key
 from presswork.operators.tables import append_chunks
-from presswork.sources.rss import parse_items, read_feed_files, with_section
+from presswork.plans.collect import judge_entries, new_articles
+from presswork.sources.rss import read_feed_files
 
 # How often the live feed looks for news, and the idle message.
 POLL = "10 seconds"
@@ -75,7 +71,7 @@ def stream_ingest(
     sources: DataFrame,
     out_path: str,
     checkpoint: str,
-    content_first: list[int] | None = None,
+    content_first: Sequence[int] = (),
     poll: str | None = None,
 ) -> StreamingQuery:
     """Append new articles from feed files as they land.
@@ -86,12 +82,9 @@ def stream_ingest(
     items = read_feed_files(spark, feed_path, streaming=True)
 
     def sink(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        chosen = F.col("source_id").isin(content_first or [])
-        parsed = with_reject_reason(parse_items(with_section(batch, sources), chosen))
-        stored = _stored(session, out_path, STORED_ARTICLES)
-        order = [F.asc("published_at"), F.asc("title"), F.asc("description"), F.asc("source_id")]
-        insert_if_absent(valid(parsed), stored, order).write.mode("append").parquet(out_path)
+        stored = _stored(batch.sparkSession, out_path, STORED_ARTICLES)
+        judged = judge_entries(batch, sources, content_first)
+        new_articles(judged, stored).write.mode("append").parquet(out_path)
 
     return _start(items, sink, checkpoint, poll)
 

@@ -57,3 +57,9 @@ def test_custom_encoder_and_batches(spark):
     for r in got:
         n = len(r.t)
         assert np.allclose(r.embedding, np.array([n, 1]) / math.hypot(n, 1))
+
+
+def test_percent_match(spark):
+    df = spark.createDataFrame([(0.125, 13), (0.8849, 88), (-0.005, 0), (1.0, 100)], "s double, p int")
+    got = df.select(vectors.percent_match(F.col("s")).alias("g"), "p").collect()
+    assert all(r.g == r.p for r in got)
