@@ -26,6 +26,7 @@ HEADLINE = [
     "recommend_excluding_seen",
     "chunk_documents",
     "embed_chunks",
+    "hourly_run",
     "ingest_rss_items",
     "insert_if_absent",
     "similar_pairs",

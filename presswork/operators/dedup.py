@@ -94,7 +94,7 @@ def similar_pairs(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFr
     One row per article, not one per pair: in a group of near copies the pair list
     would be quadratic.
     """
-    keyed = _keyed(candidates)
+    keyed = stored(_keyed(candidates), "keyed")
     nodes = stored(_distinct_copies(keyed), "nodes")
     tiling = plan_tiles(nodes, threshold)
     hits = cut_lineage(earliest_hits(nodes, nodes, tiling, threshold, False))
@@ -112,7 +112,7 @@ def elect_duplicates(candidates: DataFrame, threshold: float = THRESHOLD) -> Dat
     rounds end; clusters of near copies are settled in the first one. The undecided
     nodes shrink from round to round and are stored, so a lost executor costs one round.
     """
-    keyed = _keyed(candidates)
+    keyed = stored(_keyed(candidates), "keyed")
     nodes = stored(_distinct_copies(keyed), "nodes")
     tiling = plan_tiles(nodes, threshold)
     undecided, elected = nodes, []

@@ -73,7 +73,8 @@ def close_turns(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows to append for (query_id, session_id, answer): messages and their ranked sources.
 
-    ``history`` holds the questions already. An answer without sources stores none.
+    ``history`` holds the questions already. An answer without sources stores none. A
+    session has one turn per batch.
     """
     said = answers.select(
         "query_id", "session_id", F.lit("assistant").alias("role"),

@@ -76,7 +76,7 @@ class NewsTables:
                 i.alias("article_id"),
                 "source_id",
                 "category_id",
-                F.substring("text", 1, 60).alias("title"),
+                F.concat(F.lit("Report "), i.cast("string"), F.lit(" by "), "source").alias("title"),
                 F.col("text").alias("description"),
                 F.concat(F.lit("http://news.example/"), i.cast("string")).alias("url"),
                 _after(datetime(2024, 1, 1), i * 104729 % 2592000).alias("published_at"),
@@ -135,10 +135,11 @@ class NewsTables:
 
     @cached_property
     def seen(self) -> DataFrame:
+        n_articles = self.raw("documents").count()
         return (
             self.raw("events")
             .filter(F.col("event_type") == "view")
-            .select("user_id", (F.col("event_id") % 200).alias("article_id"))
+            .select("user_id", (F.col("event_id") % n_articles).alias("article_id"))
             .distinct()
         )
 

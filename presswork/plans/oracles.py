@@ -16,7 +16,7 @@ news_sources AS (
   JOIN categories c ON d.lang = c.name),
 articles AS (
   SELECT doc_id AS article_id, s.source_id, s.category_id,
-         substr(text, 1, 60) AS title, text AS description,
+         'Report ' || doc_id || ' by ' || source AS title, text AS description,
          'http://news.example/' || doc_id AS url,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds((doc_id * 104729) % 2592000) AS published_at,
          doc_id % 11 <> 0 AS is_processed,
@@ -36,7 +36,8 @@ prefs AS (
   FROM users CROSS JOIN categories
   WHERE user_id % 7 <> 0 AND (user_id + category_id) % 5 <> 0),
 seen AS (
-  SELECT DISTINCT user_id, event_id % 200 AS article_id FROM events WHERE event_type = 'view'),
+  SELECT DISTINCT user_id, event_id % (SELECT count(*) FROM documents) AS article_id
+  FROM events WHERE event_type = 'view'),
 chat_history AS (
   SELECT conv_id * 1000 + turn AS chat_id, CAST(conv_id AS VARCHAR) AS session_id, role,
          text AS message,
