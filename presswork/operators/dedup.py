@@ -17,6 +17,7 @@ from presswork.operators.feed import published_within
 from presswork.operators.joins import checked_broadcast, join_hot_key
 from presswork.operators.similarity import earliest_hits, micros, plan_tiles
 from presswork.session import cut_lineage, stored
+from presswork.sources.tables import first_chunks
 
 # Cosine threshold and look-back of the hourly run.
 THRESHOLD = 0.75
@@ -35,12 +36,10 @@ def dedup_candidates(
     rows = published_within(articles, as_of, hours).filter(
         F.col("is_processed") & ~F.col("is_duplicate")
     )
-    first_chunk = chunks.filter((F.col("chunk_index") == 0) & F.col("embedding").isNotNull())
     recent = rows.select("article_id", "category_id", "source_id", "published_at")
     # With few recent articles the stored vectors are filtered where they lie.
-    return first_chunk.select("article_id", F.col("embedding").alias("vec")).join(
-        checked_broadcast(recent), "article_id"
-    ).select(*recent.columns, "vec")
+    vectors = first_chunks(chunks).select("article_id", F.col("embedding").alias("vec"))
+    return vectors.join(checked_broadcast(recent), "article_id").select(*recent.columns, "vec")
 
 
 def _keyed(candidates: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from presswork.operators.dedup import THRESHOLD, WINDOW_HOURS, dedup_candidates,
 from presswork.operators.ingest import awaiting_embedding
 from presswork.operators.tables import append_chunks, apply_duplicates, mark_processed
 from presswork.session import scratch_path
+from presswork.sources.tables import first_chunks, save_chunks
 
 
 @dataclass(frozen=True)
@@ -43,11 +44,11 @@ def run_hourly(
     spark = articles.sparkSession
     path = scratch_path(spark, "new-chunks")
     new = append_chunks(chunks, chunk_articles(waiting))
-    embed(new, "content", factory=factory, name=encoder_name).write.parquet(path)
+    save_chunks(embed(new, "content", factory=factory, name=encoder_name), path)
     new_chunks = spark.read.parquet(path)
     processed = mark_processed(articles, waiting)
-    stored = chunks.select("article_id", "chunk_index", "embedding").unionByName(
-        new_chunks.select("article_id", "chunk_index", "embedding")
-    )
+    stored = first_chunks(chunks).unionByName(first_chunks(new_chunks))
     duplicates = elect_duplicates(dedup_candidates(processed, stored, as_of, hours), threshold)
-    return HourlyResult(apply_duplicates(processed, duplicates), new_chunks, duplicates)
+    return HourlyResult(
+        apply_duplicates(processed, duplicates), new_chunks.drop("first_chunk"), duplicates
+    )

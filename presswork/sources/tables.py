@@ -21,6 +21,30 @@ def save_articles(articles: DataFrame, path: str) -> None:
     )
 
 
+def save_chunks(chunks: DataFrame, path: str) -> None:
+    """Parquet with first chunks in a folder of their own (``first_chunk=1``).
+
+    Duplicate detection reads only the first chunk of an article, which is a small part
+    of all vectors.
+    """
+    (
+        chunks.withColumn("first_chunk", (F.col("chunk_index") == 0).cast("int"))
+        .write.partitionBy("first_chunk")
+        .parquet(path)
+    )
+
+
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """Embedded first chunks: (article_id, chunk_index, embedding).
+
+    On the layout of ``save_chunks`` the other folder is not read.
+    """
+    if "first_chunk" in chunks.columns:
+        chunks = chunks.filter(F.col("first_chunk") == 1)
+    rows = chunks.filter((F.col("chunk_index") == 0) & F.col("embedding").isNotNull())
+    return rows.select("article_id", "chunk_index", "embedding")
+
+
 def save_bucketed(df: DataFrame, table: str, key: str = "article_id", buckets: int = 16) -> None:
     """A managed table bucketed and sorted by ``key``.
 

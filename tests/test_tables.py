@@ -165,3 +165,18 @@ def test_day_layout_prunes(spark, tmp_path):
     save_articles(df, path)
     back = spark.read.parquet(path)
     assert back.count() == 96 and back.select("published_day").distinct().count() == 4
+
+
+def test_first_chunks_have_their_own_folder(spark, tmp_path):
+    from presswork.sources.tables import first_chunks, save_chunks
+
+    schema = "chunk_id long, article_id long, chunk_index int, content string, embedding array<float>"
+    chunks = spark.createDataFrame(
+        [(1, 1, 0, "a", [1.0]), (2, 1, 1, "b", [2.0]), (3, 2, 0, "c", None), (4, 3, 0, "d", [3.0])], schema
+    )
+    path = str(tmp_path / "chunks")
+    save_chunks(chunks, path)
+    back = spark.read.parquet(path)
+    assert rows(first_chunks(back)) == rows(first_chunks(chunks)) == [(1, 0, [1.0]), (3, 0, [3.0])]
+    plan = first_chunks(back)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(first_chunk" in plan
