@@ -129,7 +129,7 @@ def recommend(
         unseen, looked_at = _pick_unseen(keys, n_categories, weighted, seen, offset, limit)
         picked = by_rank(without, newest).unionByName(unseen)
         candidates = looked_at.unionByName(ranked)
-    picked = cut_lineage(picked)
+    picked = stored(picked, "picked")
     chosen = picked.select("article_id").distinct()
     wanted = (
         candidates.select("article_id", "published_at").distinct().join(chosen, "article_id")

@@ -79,12 +79,14 @@ def _ago(published: str, as_of: str = "TIMESTAMP '2024-01-31 00:00:00'") -> str:
     )
 
 
-def _card(press="CAST(NULL AS BIGINT)", similarity="CAST(NULL AS DOUBLE)", weight="CAST(NULL AS INT)"):
+def _card(press="NULL", similarity="CAST(NULL AS DOUBLE)", weight="NULL"):
+    # Whole numbers that may be NULL are compared as text, here and below.
     return (
         "article_id, title, description, url, "
         "strftime(published_at, '%Y-%m-%dT%H:%M:%S') AS published_at, "
         f"{_ago('published_at')} AS published_ago, category_name, source_name, "
-        f"{press} AS press_count, {similarity} AS similarity, {weight} AS category_weight"
+        f"CAST({press} AS VARCHAR) AS press_count, {similarity} AS similarity, "
+        f"CAST({weight} AS VARCHAR) AS category_weight"
     )
 
 
@@ -229,7 +231,7 @@ judged AS (
   FROM parsed)"""
 
 _NEW_COLUMNS = """url, title, description, source_id, category_id, published_at,
-  false AS is_processed, false AS is_duplicate, CAST(NULL AS BIGINT) AS representative_id"""
+  false AS is_processed, false AS is_duplicate, CAST(NULL AS VARCHAR) AS representative_id"""
 
 
 def _insert(order: str, stored: str, base: str) -> str:
@@ -456,7 +458,9 @@ WHERE sim >= 0.3 GROUP BY article_id""",
             """SELECT category_id, count(*) AS n_compared, count(duplicate_id) AS n_duplicates
 FROM cand LEFT JOIN elected ON duplicate_id = article_id GROUP BY category_id"""
         ),
-        "apply_duplicates": elected("SELECT * FROM flagged"),
+        "apply_duplicates": elected(
+            "SELECT * REPLACE (CAST(representative_id AS VARCHAR) AS representative_id) FROM flagged"
+        ),
         "audit_rep_chains": elected(
             """SELECT f.representative_id, count(*) AS n_followers,
   any_value(r.representative_id) AS next_representative_id
@@ -580,13 +584,14 @@ FROM chunked WHERE article_id IN (SELECT article_id FROM waiting)""",
         ),
         "live_feed_batch": _with(
             """SELECT user_id, false AS heartbeat,
-  CAST(row_number() OVER (PARTITION BY user_id ORDER BY n.published_at DESC, article_id) - 1 AS INT)
-    % 100 AS pos,
-  article_id, strftime(n.published_at, '%Y-%m-%dT%H:%M:%S') AS published_at,
-  weight AS category_weight
+  CAST((row_number() OVER (PARTITION BY user_id ORDER BY n.published_at DESC, article_id) - 1)
+       % 100 AS VARCHAR) AS pos,
+  CAST(article_id AS VARCHAR) AS article_id,
+  strftime(n.published_at, '%Y-%m-%dT%H:%M:%S') AS published_at,
+  CAST(weight AS VARCHAR) AS category_weight
 FROM prefs JOIN news n USING (category_id)
 UNION ALL
-SELECT DISTINCT user_id, true, CAST(NULL AS INT), CAST(NULL AS BIGINT), NULL, CAST(NULL AS INT)
+SELECT DISTINCT user_id, true, NULL, NULL, NULL, NULL
 FROM prefs WHERE user_id NOT IN (SELECT user_id FROM prefs JOIN news USING (category_id))""",
             "news AS (SELECT * FROM servable WHERE published_at > TIMESTAMP '2024-01-30')",
         ),

@@ -48,12 +48,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(fn) for name, fn in QUERIES.items()}
 
 
+def _nulls_as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be NULL go out as text: tools that compare results tend to
+    turn such columns into floats, each in its own way."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def _cards(rows: DataFrame, *keep: str) -> DataFrame:
+    return _nulls_as_text(
+        feed.article_card(rows, AS_OF, *keep), "press_count", "category_weight"
+    )
+
+
 # --- feeds -------------------------------------------------------------------
 
 
 @query
 def latest_feed(t: NewsTables) -> DataFrame:
-    return feed.article_card(feed.latest(t.articles, t.categories, t.news_sources), AS_OF)
+    return _cards(feed.latest(t.articles, t.categories, t.news_sources))
 
 
 @query
@@ -61,14 +73,12 @@ def latest_feed_by_category(t: NewsTables) -> DataFrame:
     page = feed.latest(
         t.articles, t.categories, t.news_sources, page=2, limit=5, category_id=2
     )
-    return feed.article_card(page, AS_OF)
+    return _cards(page)
 
 
 @query
 def trending(t: NewsTables) -> DataFrame:
-    return feed.article_card(
-        feed.trending(t.articles, t.categories, t.news_sources, AS_OF), AS_OF
-    )
+    return _cards(feed.trending(t.articles, t.categories, t.news_sources, AS_OF))
 
 
 @query
@@ -79,7 +89,7 @@ def other_press(t: NewsTables) -> DataFrame:
 @query
 def new_since_cursor(t: NewsTables) -> DataFrame:
     rows = feed.new_since(t.articles, t.categories, t.news_sources, t.prefs, YESTERDAY)
-    return feed.article_card(rows, AS_OF, "user_id")
+    return _cards(rows, "user_id")
 
 
 @query
@@ -114,7 +124,7 @@ def _recommended(t: NewsTables, **options) -> DataFrame:
     rows = recommend.recommend(
         t.articles, t.categories, t.news_sources, t.users, t.prefs, limit=12, **options
     )
-    return feed.article_card(rows, AS_OF, "user_id", "position")
+    return _cards(rows, "user_id", "position")
 
 
 @query
@@ -179,7 +189,7 @@ def _inserted(t: NewsTables) -> DataFrame:
 
 @query
 def insert_if_absent(t: NewsTables) -> DataFrame:
-    return _inserted(t)
+    return _nulls_as_text(_inserted(t), "representative_id")
 
 
 @query
@@ -321,7 +331,8 @@ def _flagged(t: NewsTables) -> DataFrame:
 
 @query
 def apply_duplicates(t: NewsTables) -> DataFrame:
-    return _flagged(t).select("article_id", "is_duplicate", "representative_id")
+    flags = _flagged(t).select("article_id", "is_duplicate", "representative_id")
+    return _nulls_as_text(flags, "representative_id")
 
 
 @query
@@ -336,9 +347,10 @@ def hourly_run(t: NewsTables) -> DataFrame:
         "is_duplicate", F.lit(False)
     )
     result = run_hourly(new, t.chunks.limit(0), AS_OF, hours=_MONTH_HOURS)
-    return result.articles.select(
+    flags = result.articles.select(
         "article_id", "is_processed", "is_duplicate", "representative_id"
     )
+    return _nulls_as_text(flags, "representative_id")
 
 
 # --- retrieval and chat ------------------------------------------------------
@@ -477,7 +489,7 @@ def stream_ingest_dedup(t: NewsTables) -> DataFrame:
     jobs.stream_ingest(
         t.spark, _landed(t), t.news_sources, out, state, content_first=even
     ).awaitTermination()
-    return t.spark.read.parquet(out)
+    return _nulls_as_text(t.spark.read.parquet(out), "representative_id")
 
 
 @query
@@ -503,8 +515,9 @@ def live_feed_batch(t: NewsTables) -> DataFrame:
         "payload", "array<struct<article_id:bigint,published_at:string,category_weight:int>>"
     )
     is_idle = F.col("payload") == jobs.HEARTBEAT
-    return messages.select(
+    pushed = messages.select(
         "user_id",
         is_idle.alias("heartbeat"),
         F.posexplode_outer(F.when(~is_idle, cards)).alias("pos", "card"),
     ).select("user_id", "heartbeat", "pos", "card.*")
+    return _nulls_as_text(pushed, "pos", "article_id", "category_weight")
