@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from presswork.operators.feed import published_within
 from presswork.operators.joins import checked_broadcast, join_hot_key
-from presswork.operators.similarity import earliest_hits, micros, plan_tiles
+from presswork.operators.similarity import earliest_hits, micros, place
 from presswork.session import cut_lineage, stored
 from presswork.sources.tables import first_chunks
 
@@ -94,9 +94,8 @@ def similar_pairs(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFr
     would be quadratic.
     """
     keyed = stored(_keyed(candidates), "keyed")
-    nodes = stored(_distinct_copies(keyed), "nodes")
-    tiling = plan_tiles(nodes, threshold)
-    hits = cut_lineage(earliest_hits(nodes, nodes, tiling, threshold, False))
+    nodes = place(stored(_distinct_copies(keyed), "nodes"), threshold)
+    hits = cut_lineage(earliest_hits(nodes, nodes, threshold, False))
     return _spread_to_articles(keyed, nodes, hits).select(
         "article_id", F.col("hit_id").alias("first_similar_id"), "similarity"
     )
@@ -112,12 +111,11 @@ def elect_duplicates(candidates: DataFrame, threshold: float = THRESHOLD) -> Dat
     nodes shrink from round to round and are stored, so a lost executor costs one round.
     """
     keyed = stored(_keyed(candidates), "keyed")
-    nodes = stored(_distinct_copies(keyed), "nodes")
-    tiling = plan_tiles(nodes, threshold)
+    nodes = place(stored(_distinct_copies(keyed), "nodes"), threshold)
     undecided, elected = nodes, []
     while True:
         held_up = cut_lineage(
-            earliest_hits(undecided, undecided, tiling, threshold, True).select("node_id")
+            earliest_hits(undecided, undecided, threshold, True).select("node_id")
         )
         free = undecided.join(held_up, "node_id", "left_anti")
         elected.append(free.select("node_id"))
@@ -126,13 +124,13 @@ def elect_duplicates(candidates: DataFrame, threshold: float = THRESHOLD) -> Dat
         if len(elected) >= 16:
             elected = [cut_lineage(reduce(DataFrame.unionByName, elected))]
         waiting = undecided.join(held_up, "node_id", "left_semi")
-        absorbed = earliest_hits(waiting, free, tiling, threshold, True).select("node_id")
+        absorbed = earliest_hits(waiting, free, threshold, True).select("node_id")
         undecided = stored(waiting.join(absorbed, "node_id", "left_anti"), "undecided")
         if undecided.isEmpty():
             break
     elected = reduce(DataFrame.unionByName, elected)
     representatives = nodes.join(elected, "node_id", "left_semi")
-    hits = cut_lineage(earliest_hits(nodes, representatives, tiling, threshold, False))
+    hits = cut_lineage(earliest_hits(nodes, representatives, threshold, False))
     pairs = _spread_to_articles(keyed, nodes, hits).select(
         F.col("article_id").alias("duplicate_id"),
         F.col("hit_id").alias("representative_id"),

@@ -20,15 +20,14 @@ Spark decides which tiles meet:
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.operators.joins import checked_broadcast
-from presswork.session import cut_lineage
+from presswork.operators.joins import is_small
+from presswork.session import cut_lineage, stored
 
 TILE_BYTES = 64 * 1024 * 1024
 MAX_TILE_ROWS = 32_768
@@ -54,59 +53,39 @@ def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-@dataclass(frozen=True)
-class Tiling:
-    """Pivots and, per (category, cell), how many tiles each side is cut into."""
-
-    pivots: np.ndarray
-    radius: float
-    tiles: DataFrame
-
-    def home(self, nodes: DataFrame) -> DataFrame:
-        """Anchors with their cell."""
-        return _add_cells(nodes, self.pivots, None).withColumn("cell", F.col("cells")[0]).drop("cells")
-
-    def visits(self, nodes: DataFrame) -> DataFrame:
-        """Probes, once per cell that can hold a match."""
-        return _add_cells(nodes, self.pivots, self.radius).withColumn(
-            "cell", F.explode("cells")
-        ).drop("cells")
-
-
-def _add_cells(nodes: DataFrame, pivots: np.ndarray, radius: float | None) -> DataFrame:
-    """Add ``cells``: the home cell, or with a radius every cell worth a visit."""
+def _add_cells(nodes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
+    """Add ``home``, the nearest pivot, and ``cells``, all cells worth a visit."""
     if len(pivots) <= 1:
-        return nodes.withColumn("cells", F.array(F.lit(0)))
+        return nodes.withColumns({"home": F.lit(0), "cells": F.array(F.lit(0))})
     gaps = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
 
     def assign(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vectors = batch.column("vec")
-            sims = unit_rows(vectors) @ pivots.T
+            sims = unit_rows(batch.column("vec")) @ pivots.T
             home = sims.argmax(axis=1)
-            if radius is None:
-                cells = [[int(h)] for h in home]
-            else:
-                behind = sims[np.arange(len(home)), home][:, None] - sims
-                cells = [
-                    np.flatnonzero(b <= radius * gaps[h] + _SLACK).tolist()
-                    for b, h in zip(behind, home)
-                ]
+            behind = sims[np.arange(len(home)), home][:, None] - sims
+            cells = [
+                np.flatnonzero(b <= radius * gaps[h] + _SLACK).tolist()
+                for b, h in zip(behind, home)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cells, pa.list_(pa.int32()))],
-                [*batch.schema.names, "cells"],
+                [*batch.columns, pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32()))],
+                [*batch.schema.names, "home", "cells"],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
-    return nodes.mapInArrow(assign, f"{fields}, cells array<int>")
+    return nodes.mapInArrow(assign, f"{fields}, home int, cells array<int>")
 
 
-def plan_tiles(nodes: DataFrame, threshold: float) -> Tiling:
-    """Choose pivots and tile counts for a set of nodes that serves as both sides.
+def place(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Decide once where every node meets others; the result is stored.
 
-    ``nodes`` should be a stored table: it is read three times.
+    Adds ``anchor`` (cell, tile, probe_tiles), the node's place as an anchor, and
+    ``visits``, an array of (cell, tile, anchor_tiles), its places as a probe.
+    ``nodes`` (node_id, category_id, source_id, at in microseconds, vec) should be a
+    stored table: it is read four times.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -120,45 +99,89 @@ def plan_tiles(nodes: DataFrame, threshold: float) -> Tiling:
             nodes.select("vec").orderBy(F.xxhash64("vec")).limit(n_pivots).toArrow().column(0)
         )
         pivots = np.unique(unit_rows(picked), axis=0)
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    layout = Tiling(pivots, radius, None)
-    key = ["category_id", "cell"]
-    held = layout.home(nodes).groupBy(*key).agg(F.count("*").alias("n_anchors"))
-    visited = layout.visits(nodes).groupBy(*key).agg(F.count("*").alias("n_probes"))
-    tiles = held.join(visited, key).select(
-        *key,
-        F.ceil(F.col("n_anchors") / rows).cast("int").alias("anchor_tiles"),
-        F.ceil(F.col("n_probes") / rows).cast("int").alias("probe_tiles"),
+    celled = _add_cells(nodes, pivots, math.sqrt(2 - 2 * threshold))
+
+    as_anchor = F.array(F.struct(F.col("home").alias("cell"), F.lit(1).alias("anchor")))
+    as_probe = F.transform("cells", lambda c: F.struct(c.alias("cell"), F.lit(0).alias("anchor")))
+    counts = (
+        celled.select("category_id", F.explode(F.concat(as_anchor, as_probe)).alias("use"))
+        .groupBy("category_id", "use.cell")
+        .agg(
+            F.ceil(F.sum("use.anchor") / rows).cast("int").alias("anchor_tiles"),
+            F.ceil(F.sum(1 - F.col("use.anchor")) / rows).cast("int").alias("probe_tiles"),
+        )
+    )
+    counts = cut_lineage(counts.filter("anchor_tiles > 0"))
+    tiles = counts.groupBy("category_id").agg(  # at most MAX_PIVOTS entries per category
+        F.map_from_entries(
+            F.collect_list(F.struct("cell", F.struct("anchor_tiles", "probe_tiles")))
+        ).alias("tiles")
+    )
+    if is_small(counts):
+        tiles = F.broadcast(tiles)
+
+    def tile(n_tiles):
+        return F.pmod(F.xxhash64("node_id"), n_tiles).cast("int")
+
+    def at(cell):
+        return F.element_at("tiles", cell)
+
+    open_cells = F.filter("cells", lambda c: F.map_contains_key("tiles", c))
+    visit = F.transform(
+        open_cells,
+        lambda c: F.struct(
+            c.alias("cell"),
+            tile(at(c)["probe_tiles"]).alias("tile"),
+            at(c)["anchor_tiles"].alias("anchor_tiles"),
+        ),
+    )
+    home = at(F.col("home"))
+    anchor = F.struct(
+        F.col("home").alias("cell"),
+        tile(home["anchor_tiles"]).alias("tile"),
+        home["probe_tiles"].alias("probe_tiles"),
     )
-    return Tiling(pivots, radius, checked_broadcast(cut_lineage(tiles)))
-
-
-def _tile(rows: DataFrame, tiling: Tiling, own: str, other: str) -> DataFrame:
-    """Put each row in one of its side's tiles and repeat it for the other side's."""
-    number = F.pmod(F.xxhash64("node_id"), F.col(f"{own}_tiles")).cast("int")
-    return (
-        rows.join(tiling.tiles, ["category_id", "cell"])
-        .withColumn(f"{own}_tile", number)
-        .withColumn(
-            f"{other}_tile",
-            F.explode(F.sequence(F.lit(0), F.col(f"{other}_tiles") - 1)),
+    placed = celled.join(tiles, "category_id").withColumns({"anchor": anchor, "visits": visit})
+    return stored(placed.drop("home", "cells", "tiles"), "placed-nodes")
+
+
+def _meetings(probes: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides by (category, cell, anchor tile, probe tile); each tile pair meets once."""
+
+    def count_to(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    payload = ["node_id", "source_id", "at", "vec"]
+    left = (
+        probes.select("category_id", F.explode("visits").alias("v"), *payload)
+        .select(
+            "category_id",
+            F.col("v.cell").alias("cell"),
+            count_to(F.col("v.anchor_tiles")).alias("anchor_tile"),
+            F.col("v.tile").alias("probe_tile"),
+            *payload,
         )
-        .drop("anchor_tiles", "probe_tiles")
     )
+    # Both sides may come from one table; new names keep their columns apart.
+    right = anchors.select(
+        F.col("category_id").alias("a_category_id"),
+        F.col("anchor.cell").alias("a_cell"),
+        F.col("anchor.tile").alias("a_anchor_tile"),
+        count_to(F.col("anchor.probe_tiles")).alias("a_probe_tile"),
+        *[F.col(c).alias(f"a_{c}") for c in payload],
+    )
+    return left, right
 
 
 def earliest_hits(
-    probes: DataFrame,
-    anchors: DataFrame,
-    tiling: Tiling,
-    threshold: float,
-    only_earlier: bool,
+    probes: DataFrame, anchors: DataFrame, threshold: float, only_earlier: bool
 ) -> DataFrame:
     """Per probe with a match: time, id and similarity of its earliest matching anchor.
 
-    Columns of both sides: node_id, category_id, source_id, at (microseconds), vec.
-    ``only_earlier`` asks for anchors that precede the probe in (at, node_id) order.
+    Both sides are subsets of one ``place``d set of nodes. ``only_earlier`` asks for
+    anchors that precede the probe in (at, node_id) order.
     """
+
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table(
@@ -208,12 +231,7 @@ def earliest_hits(
         )
 
     key = ["category_id", "cell", "anchor_tile", "probe_tile"]
-    columns = [*key, "node_id", "source_id", "at", "vec"]
-    left = _tile(tiling.visits(probes), tiling, "probe", "anchor").select(*columns)
-    # Both sides may come from one table; new names keep their columns apart.
-    right = _tile(tiling.home(anchors), tiling, "anchor", "probe").select(
-        *[F.col(c).alias(f"a_{c}") for c in columns]
-    )
+    left, right = _meetings(probes, anchors)
     per_tile = (
         left.groupBy(*key)
         .cogroup(right.groupBy(*[f"a_{c}" for c in key]))

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.operators import audit, dedup, similarity
@@ -97,11 +98,11 @@ def test_cells_rule_out_work(spark, monkeypatch):
     """Tight clusters: probes visit few of the cells, and still nothing is missed."""
     monkeypatch.setattr(similarity, "MAX_TILE_ROWS", 10)
     rows = clustered(400, 30, 16, 4, 0.05, seed=11, copies=0.0)
-    nodes = dedup._distinct_copies(dedup._keyed(spark.createDataFrame(rows, SCHEMA))).cache()
-    tiling = similarity.plan_tiles(nodes, 0.9)
-    n_cells = len(tiling.pivots)
-    assert n_cells > 20
-    assert tiling.visits(nodes).count() < 0.5 * n_cells * nodes.count()
+    nodes = dedup._distinct_copies(dedup._keyed(spark.createDataFrame(rows, SCHEMA)))
+    placed = similarity.place(nodes, 0.9)
+    n_cells = placed.select("anchor.cell").distinct().count()
+    visits = placed.agg(F.avg(F.size("visits"))).first()[0]
+    assert n_cells > 20 and visits < 0.5 * n_cells
 
 
 def test_hot_copies_shrink_to_one_node_per_source(spark):

@@ -104,6 +104,21 @@ def test_shared_folder_follows_the_session(spark, monkeypatch, tmp_path):
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
 
 
+def test_a_cluster_without_shared_folder_is_refused():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "yarn"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+
+
 def test_stored_table_reads_back(spark):
     df = session.stored(spark.range(10), "numbers")
     assert df.count() == 10 and "FileScan parquet" in plan(df)
