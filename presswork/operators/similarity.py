@@ -34,6 +34,9 @@ MAX_TILE_ROWS = 32_768
 MAX_PIVOTS = 256
 _STEP = 2048
 _SLACK = 1e-9
+# Products are taken in single precision; those this close to the threshold again in double.
+_UNSURE = 1e-4
+_PAIRS = 4096
 
 HIT_SCHEMA = "node_id long, hit_at long, hit_id long, similarity double"
 
@@ -53,6 +56,15 @@ def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _pair_dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of rows ``a[i]`` and ``b[j]`` in double, a few thousand at a time."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), _PAIRS):
+        part = slice(at, at + _PAIRS)
+        out[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]])
+    return out
+
+
 def _add_cells(nodes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     """Add ``home``, the nearest pivot, and ``cells``, all cells worth a visit."""
     if len(pivots) <= 1:
@@ -90,8 +102,11 @@ def place(nodes: DataFrame, threshold: float) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     size, dim = nodes.agg(F.count("*"), F.max(F.size("vec"))).first()
-    rows = max(1, min(MAX_TILE_ROWS, TILE_BYTES // (4 * max(dim or 1, 1))))
-    n_pivots = min(MAX_PIVOTS, size // rows + 1)
+    most_rows = max(1, min(MAX_TILE_ROWS, TILE_BYTES // (4 * max(dim or 1, 1))))
+    n_pivots = min(MAX_PIVOTS, size // most_rows + 1)
+    # Smaller tiles than memory asks for, if that gives every core a few tile pairs.
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    rows = min(most_rows, max(_STEP // 2, math.ceil(size / math.sqrt(4 * cores))))
     pivots = np.zeros((1, dim or 1))
     if n_pivots > 1:
         # A bounded number of vectors, picked by hash so that the choice repeats.
@@ -194,6 +209,7 @@ def earliest_hits(
         right = right.rename_columns([c.removeprefix("a_") for c in right.column_names])
         right = right.sort_by([("at", "ascending"), ("node_id", "ascending")])
         p_vec, a_vec = unit_rows(left.column("vec")), unit_rows(right.column("vec"))
+        p_single, a_single = p_vec.astype(np.float32), a_vec.astype(np.float32)
         p_id, a_id = (t.column("node_id").to_numpy() for t in (left, right))
         p_at, a_at = (t.column("at").to_numpy() for t in (left, right))
         p_src, a_src = (t.column("source_id").to_numpy() for t in (left, right))
@@ -203,22 +219,21 @@ def earliest_hits(
             tied = slice(n_before[i], np.searchsorted(a_at, p_at[i], "right"))
             n_before[i] += np.searchsorted(a_id[tied], p_id[i], "left")
         first = np.full(len(p_id), -1)
-        score = np.zeros(len(p_id))
         for p in range(0, len(p_id), _STEP):
             rows = np.arange(p, min(p + _STEP, len(p_id)))
             for a in range(0, len(a_id), _STEP):
                 if len(rows) == 0:
                     break
                 cols = slice(a, a + _STEP)
-                sims = p_vec[rows] @ a_vec[cols].T
-                hit = (sims >= threshold) & (p_src[rows, None] != a_src[None, cols])
+                sims = p_single[rows] @ a_single[cols].T
+                hit = (sims >= threshold - _UNSURE) & (p_src[rows, None] != a_src[None, cols])
                 if only_earlier:
                     place = np.arange(a, min(a + _STEP, len(a_id)))
                     hit &= place[None, :] < n_before[rows, None]
+                i, j = np.nonzero(hit & (sims < threshold + _UNSURE))
+                hit[i, j] = _pair_dots(p_vec, a_vec, rows[i], a + j) >= threshold
                 found = hit.any(axis=1)
-                at = hit.argmax(axis=1)
-                first[rows[found]] = a + at[found]
-                score[rows[found]] = sims[found, at[found]]
+                first[rows[found]] = a + hit.argmax(axis=1)[found]
                 rows = rows[~found]
         got = first >= 0
         return pa.table(
@@ -226,7 +241,7 @@ def earliest_hits(
                 "node_id": p_id[got],
                 "hit_at": a_at[first[got]],
                 "hit_id": a_id[first[got]],
-                "similarity": score[got],
+                "similarity": _pair_dots(p_vec, a_vec, np.flatnonzero(got), first[got]),
             }
         )
 
