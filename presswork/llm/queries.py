@@ -21,6 +21,7 @@ from presswork.llm import (
     warc,
 )
 from presswork.llm.common import table
+from presswork.llm.oracles import ORACLES  # noqa: F401  (part of what the entry point adds)
 from presswork.session import ship_package, stored
 
 # Production parameters.
@@ -39,7 +40,6 @@ URL_RULES = [
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
