@@ -45,6 +45,7 @@ SUBSET = 0.75
 GRID = 1024
 BINS_PER_OCTAVE = 16
 MAX_STEPS = 20
+TOLERANCE = 0.02
 # A text of n words counts with n / (n + this) of its squared distance: the statistics of
 # short texts scatter widely by chance.
 PRIOR_WORDS = 30
@@ -207,8 +208,16 @@ def squared_distance() -> Column:
     return total
 
 
-def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    placed = join_hot_key(rows, fit.select("g", "mu", "inv"), ["g"])
+def _moved(before: DataFrame, now: DataFrame) -> float:
+    """The largest move of a centre in any group, in units of the floors."""
+    both = before.select("g", F.col("mu").alias("old")).join(now, "g")
+    moves = [F.abs(F.col("mu")[i] - F.col("old")[i]) / f for i, f in enumerate(FLOORS)]
+    return both.agg(F.max(F.greatest(*moves))).first()[0] or 0.0
+
+
+def _step(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
+    # An estimate is as wide as some fifteen rows of a few numbers.
+    placed = join_hot_key(rows, fit.select("g", "mu", "inv"), ["g"], few_rows=16 * groups)
     place = F.floor(F.log2(F.greatest(squared_distance(), F.lit(1e-9))) * BINS_PER_OCTAVE)
     binned = placed.select("g", place.cast("int").alias("bin"), *[f"x{i}" for i in range(DIM)])
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)]
@@ -229,7 +238,8 @@ def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
 def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(pair, mu, inv, scale, n) per language and source of ``measured`` (with statistics).
 
-    Rows that fail the base rules take no part. Converged as soon as a step changes nothing.
+    Rows that fail the base rules take no part. Steps go on until no centre moves by more
+    than ``TOLERANCE`` of a floor, which is far below what a verdict can depend on.
     """
     good = measured.filter(~base_failed()).select(
         pair_key(lang, source).alias("pair"),
@@ -238,6 +248,7 @@ def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> Data
     )
     good = stored(good, "vectors")
     keys = stored(_fit_keys(good), "fit-keys")
+    size = keys.select("g").distinct().count()
     rows = stored(join_hot_key(good, keys, ["pair"]).drop("pair", "language"), "grouped-vectors")
     axes = F.array(
         *[F.struct(F.lit(i).alias("axis"), F.col(f"x{i}").alias("x")) for i in range(DIM)]
@@ -249,15 +260,9 @@ def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> Data
     )
     # Grid values of a bounded range: at most some ten thousand for a group and axis.
     now = stored(values.groupBy("g").applyInPandas(_start, _FIT), "fit")
-    state = None
     for _ in range(MAX_STEPS):
-        now = stored(_step(rows, now), "fit")
-        before, state = state, tuple(
-            now.agg(
-                F.count("*"), F.sum(F.xxhash64("g", "mu", "inv", "scale").cast("decimal(20,0)"))
-            ).first()
-        )
-        if state == before:
+        before, now = now, stored(_step(rows, now, size), "fit")
+        if _moved(before, now) < TOLERANCE:
             break
     return keys.join(now, "g").drop("g")
 
