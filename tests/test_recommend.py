@@ -12,25 +12,14 @@ from presswork.operators.joins import top_per_group
 START = datetime(2024, 3, 1)
 
 
-def slots(weights, limit):
-    """weights: [(category, weight)] heaviest first."""
-    total = sum(w for _, w in weights)
-    left, out = limit, []
-    for n, (category, w) in enumerate(weights, start=1):
-        share = left if n == len(weights) else max(1, round(limit * w / total))
-        left = max(0, left - share)
-        out.append((category, share))
-    return out
-
-
-def page_for(user, prefs, articles, limit, page, seen):
+def page_for(slots, articles, limit, page, seen, user):
+    """``slots``: (category, number) of the user's categories in order of preference."""
     skip = (page - 1) * limit
-    mine = sorted(((c, w) for u, c, w in prefs if u == user), key=lambda p: (-p[1], p[0]))
     newest = sorted((a for a in articles if a[4] and not a[5]), key=lambda a: (-a[3].timestamp(), a[0]))
-    if not mine:
+    if not slots:
         return [a[0] for a in newest[skip : skip + limit]]
     piles = []
-    for category, n in slots(mine, limit):
+    for category, n in slots:
         pile = [a[0] for a in newest if a[2] == category and (user, a[0]) not in seen]
         piles.append(pile[skip : skip + n])
     longest = max(map(len, piles))
@@ -77,7 +66,13 @@ def got_pages(w, **options):
 
 
 def want_pages(w, limit, page, seen=frozenset()):
-    pages = {u: page_for(u, w["prefs"], w["articles"], limit, page, seen) for u in range(30)}
+    # How many of each category is checked by itself below.
+    slots = {}
+    for r in recommend.allocation(w["prefs_df"], limit).orderBy("user_id", "pref_rank").collect():
+        slots.setdefault(r.user_id, []).append((r.category_id, r.slots))
+    pages = {
+        u: page_for(slots.get(u, []), w["articles"], limit, page, seen, u) for u in range(30)
+    }
     return {u: p for u, p in pages.items() if p}
 
 
@@ -118,7 +113,8 @@ def test_allocation_examples(spark):
     assert got(1)[2] == [1, 1, 0]  # at least one each, even past the limit
 
 
-def test_allocation_matches_rule(spark):
+def test_allocation_rules(spark):
+    """Order, floor of one, proportion and remainder, for many weights."""
     rnd = random.Random(9)
     people = {u: [(c, rnd.randint(1, 10)) for c in range(1, rnd.randint(2, 6))] for u in range(400)}
     prefs = spark.createDataFrame(
@@ -127,8 +123,31 @@ def test_allocation_matches_rule(spark):
     for limit in (1, 2, 7, 12, 50):
         got = {}
         for r in recommend.allocation(prefs, limit).orderBy("user_id", "pref_rank").collect():
-            got.setdefault(r.user_id, []).append((r.category_id, r.slots))
-        assert got == {u: slots(sorted(ps, key=lambda p: (-p[1], p[0])), limit) for u, ps in people.items()}
+            got.setdefault(r.user_id, []).append(r)
+        assert set(got) == set(people)
+        for u, rows in got.items():
+            total = sum(w for _, w in people[u])
+            order = [(-r.weight, r.category_id) for r in rows]
+            assert order == sorted((-w, c) for c, w in people[u])
+            for r in rows[:-1]:
+                assert r.slots >= 1 and (r.slots == 1 or abs(r.slots - limit * r.weight / total) <= 0.5)
+            used = sum(r.slots for r in rows)
+            assert rows[-1].slots >= 0 and (used == limit or (rows[-1].slots == 0 and used > limit))
+
+
+def test_allocation_halves(spark):
+    """Halves go to the even neighbour: 2.5 to 2, 3.5 to 4, 0.5 to the floor of one."""
+    prefs = spark.createDataFrame(
+        [(1, 1, 5), (1, 2, 5), (2, 1, 7), (2, 2, 7), (3, 1, 9), (3, 2, 1)],
+        "user_id long, category_id int, weight int",
+    )
+
+    def got(user, limit):
+        rows = recommend.allocation(prefs, limit).filter(F.col("user_id") == user)
+        return [r.slots for r in rows.orderBy("pref_rank").collect()]
+
+    assert got(1, 5) == [2, 3] and got(2, 7) == [4, 3] and got(1, 1) == [1, 0]
+    assert got(3, 5) == [4, 1] and got(3, 1) == [1, 0]
 
 
 def test_seen_id_lists(spark):

@@ -6,30 +6,6 @@ from presswork.functions import text
 from presswork.operators.chunking import chunk_articles
 
 
-def expected_sentences(t):
-    out, start = [], 0
-    for i in range(1, len(t)):
-        if t[i].isspace() and t[i - 1] in ".!?。":
-            out.append(t[start:i])
-            start = i
-    return [s.strip() for s in [*out, t[start:]] if s.strip()]
-
-
-def expected_chunks(t, size=200, keep=30):
-    done, current = [], ""
-    for s in expected_sentences(t):
-        if len(s) > size:
-            pieces = [s[k : k + size].strip() for k in range(0, len(s), size - keep)]
-            done += [c for c in (current, *pieces) if c]
-            current = ""
-        elif len(current) + 1 + len(s) <= size:
-            current = f"{current} {s}".strip()
-        else:
-            done += [current] if current else []
-            current = f"{current[-keep:]} {s}".strip()
-    return done + ([current] if current else [])
-
-
 def run_chunks(spark, texts, size=200, keep=30):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(4)
     got = df.select("id", text.chunk_text(F.col("t"), size, keep).alias("c")).collect()
@@ -37,24 +13,38 @@ def run_chunks(spark, texts, size=200, keep=30):
 
 
 def test_chunk_edges(spark):
+    """Worked by hand with 200 characters and an overlap of 30."""
     word = "x" * 199
-    texts = [
-        "",
-        "  \n　 ",
-        "a" * 200,
-        "a" * 201,
-        "a" * 371,
-        word + ". " + word + ". tail",
-        "Short one. Short two! Short three? End",
-        "一つ目。 二つ目。　三つ目。四つ目",
-        "a." + " " + "b. c",
-        "x" * 120 + ". " + "y" * 90 + ".",
-        "no final period " * 30,
-        "One.\n\nTwo.\tThree.  Four.",
-        "\x1cleading separator. trailing\x1f",
-        "emoji 😀😀. " * 30,
-    ]
-    assert run_chunks(spark, texts) == [expected_chunks(t) for t in texts]
+    loop = ("no final period " * 30).strip()
+    smile = "emoji 😀😀."
+    cases = {
+        "": [],
+        "  \n　 ": [],
+        "a" * 200: ["a" * 200],
+        # Windows begin 170 apart: 0-200, 170-201.
+        "a" * 201: ["a" * 200, "a" * 31],
+        # The second sentence fits with no other but is led by the tail of the first.
+        word + ". " + word + ". tail": [
+            word + ".",
+            "x" * 29 + ". " + word + ".",
+            "x" * 29 + ". tail",
+        ],
+        "Short one. Short two! Short three? End": ["Short one. Short two! Short three? End"],
+        # A full stop without white space behind it ends nothing.
+        "一つ目。 二つ目。　三つ目。四つ目": ["一つ目。 二つ目。 三つ目。四つ目"],
+        "a." + " " + "b. c": ["a. b. c"],
+        "x" * 120 + ". " + "y" * 90 + ".": [
+            "x" * 120 + ".",
+            "x" * 29 + ". " + "y" * 90 + ".",
+        ],
+        loop: [loop[0:200].strip(), loop[170:370].strip(), loop[340:].strip()],
+        "One.\n\nTwo.\tThree.  Four.": ["One. Two. Three. Four."],
+        "\x1cleading separator. trailing\x1f": ["leading separator. trailing"],
+        # Twenty sentences of nine characters and their blanks are 199; the tail of 30
+        # holds three of them, so ten new ones make thirteen.
+        (smile + " ") * 30: [" ".join([smile] * 20), " ".join([smile] * 13)],
+    }
+    assert run_chunks(spark, list(cases)) == list(cases.values())
 
 
 def test_exact_boundaries(spark):
@@ -70,28 +60,30 @@ def test_overlap_lead_may_pass_the_limit(spark):
     assert [len(c) for c in chunks] == [151, 30 + 1 + 200]
 
 
+def bare(t):
+    return "".join(t.split())
+
+
 def test_random_texts(spark):
+    """What every chunking must hold to, whatever the text."""
     rnd = random.Random(7)
-    alphabet = ["a", "bc", "。", ".", "!", " ", "  ", "\n", "　", "long" * 20, "é", "한국"]
+    alphabet = ["a", "bc", "。", ".", "!", " ", "  ", "\n", "　", "long" * 13, "long. ", "é"]
     texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 120))) for _ in range(300)]
-    assert run_chunks(spark, texts, 60, 12) == [expected_chunks(t, 60, 12) for t in texts]
-    assert run_chunks(spark, texts, 60, 0) == [
-        expected_without_overlap(t, 60) for t in texts
-    ]
-
-
-def expected_without_overlap(t, size):
-    done, current = [], ""
-    for s in expected_sentences(t):
-        if len(s) > size:
-            done += [c for c in (current, *(s[k : k + size].strip() for k in range(0, len(s), size))) if c]
-            current = ""
-        elif len(current) + 1 + len(s) <= size:
-            current = f"{current} {s}".strip()
-        else:
-            done += [current] if current else []
-            current = s
-    return done + ([current] if current else [])
+    size, keep = 60, 12
+    for t, chunks in zip(texts, run_chunks(spark, texts, size, 0)):
+        # Without overlap nothing is lost, repeated or too long.
+        assert bare("".join(chunks)) == bare(t)
+        assert all(0 < len(c) <= size and c == c.strip() for c in chunks)
+    led = 0
+    for t, chunks in zip(texts, run_chunks(spark, texts, size, keep)):
+        assert bool(chunks) == bool(bare(t))
+        for before, chunk in zip(["", *chunks], chunks):
+            assert chunk and chunk == chunk.strip()
+            if len(chunk) > size:  # only the tail of the chunk before can make it longer
+                assert chunk.startswith(before[-keep:].strip()) and len(chunk) <= size + keep + 1
+                led += 1
+            assert bare(chunk) in bare(t) or chunk.startswith(before[-keep:].strip())
+    assert led > 3
 
 
 def test_short_chunks_leave_index_gaps(spark):
