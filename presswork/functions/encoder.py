@@ -1,17 +1,20 @@
 """Text encoding in Arrow batches with a pluggable, per-worker cached encoder.
 
-An encoder is any object with ``encode(list[str]) -> matrix``; a *factory* builds it
-and is called once per Python worker. The default is a hashed character n-gram
-encoder: repeatable, no model file, and no claim to match a neural model.
+An encoder is any object with ``encode(list[str]) -> matrix``; an ``EncoderSpec`` says how
+to build one and is its identity: a worker keeps one encoder per spec, so two specs never
+share one. The default is a hashed character n-gram encoder: repeatable, no model file, and
+no claim to match a neural model.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 # Vector size and texts per encoder call.
@@ -52,11 +55,25 @@ class HashedNgrams:
         return total.reshape(len(texts), self.dimensions)
 
 
-def cached(name: str, factory: Callable[[], Encoder]) -> Encoder:
-    """The worker's encoder of that name, built on first use and kept across tasks."""
-    if name not in _CACHE:
-        _CACHE[name] = factory()
-    return _CACHE[name]
+class EncoderSpec:
+    """A factory and its identity, made from what the factory is rather than given by name.
+
+    Specs of equal pickled factories are equal, in every worker and session.
+    """
+
+    def __init__(self, factory: Callable[[], Encoder]):
+        self.factory = factory
+        self.key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+HASHED = EncoderSpec(HashedNgrams)
+
+
+def cached(spec: EncoderSpec) -> Encoder:
+    """The worker's encoder of that spec, built on first use and kept across tasks."""
+    if spec.key not in _CACHE:
+        _CACHE[spec.key] = spec.factory()
+    return _CACHE[spec.key]
 
 
 def unit_float32(matrix: np.ndarray) -> np.ndarray:
@@ -68,19 +85,18 @@ def embed(
     df: DataFrame,
     text_column: str,
     out_column: str = "embedding",
-    factory: Callable[[], Encoder] = HashedNgrams,
-    name: str = "hashed-ngrams",
+    spec: EncoderSpec = HASHED,
     batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Add unit-length ``array<float>`` embeddings of a text column; rows are not moved.
 
-    Chunks and questions must use the same ``factory``.
+    Chunks and questions must use the same ``spec``.
     """
 
     def run(batches):
         from presswork.functions.encoder import cached, unit_float32
 
-        encoder = cached(name, factory)
+        encoder = cached(spec)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_column).to_pylist()]
             vectors = [

@@ -32,15 +32,12 @@ def _width(df: DataFrame) -> Column:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Count rows and bytes, reading no more than one row past the limit.
+    """Count rows and bytes.
 
-    The frame is evaluated for it, so costly ones are stored by their makers first.
+    Every task sends back two numbers; no row is moved for it. The frame is evaluated, so
+    costly ones are stored by their makers first.
     """
-    rows, size = (
-        df.limit(BROADCAST_ROWS + 1)
-        .agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0)))
-        .first()
-    )
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
@@ -54,12 +51,8 @@ def checked_broadcast(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a costly per-row step work for every core when the input is a few files.
-
-    An input of many files is read in enough pieces already and is not moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(key)
+    """Deal rows out by ``key`` before a costly per-row step, whatever files they come from."""
+    return df.repartition(key)
 
 
 def join_hot_key(

@@ -7,6 +7,7 @@ user, 5 if none) / 10 + 0.1 published epoch / now epoch.
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from presswork.operators.chat import PROMPT_MESSAGES, last_messages
 from presswork.operators.feed import dimensions, named_keys
-from presswork.operators.joins import top_per_group
-from presswork.operators.similarity import unit_rows
+from presswork.operators.joins import BROADCAST_ROWS, top_per_group
+from presswork.operators.similarity import pair_dots, unit_rows
+from presswork.session import stored
 
 # Score weights, default category weight and its scale, top k.
 SIMILARITY_SHARE, PREFERENCE_SHARE, RECENCY_SHARE = 0.7, 0.2, 0.1
@@ -34,10 +36,14 @@ SYSTEM_PROMPT = """당신은 최신 뉴스를 기반으로 질문에 답변하
     """
 NOTHING_FOUND = "관련된 최신 뉴스를 찾지 못했어요. 다른 질문을 해보시겠어요?"
 
-# One broadcast block of questions, in bytes of vectors; more questions go by shuffle.
+# One broadcast block of questions, in bytes of vectors; more questions go in more passes.
 QUERY_BYTES = 64 * 1024 * 1024
-CHUNK_TILE_ROWS = 16_384
-_CELLS = 2_000_000
+# A matrix product covers this many questions and chunks at a time.
+QUESTION_TILE = 1024
+CHUNK_TILE = 4096
+# Scores of a matrix product this close to the k-th best are taken again one by one.
+_UNSURE = 1e-9
+_NO_CHUNK = np.iinfo(np.int64).max
 
 _HITS = "query_id long, chunk_id long, article_id long, similarity double, score double"
 _HITS_ARROW = pa.schema(
@@ -70,51 +76,106 @@ class _Questions:
         return np.stack([self.by_category[c] for c in known.tolist()], axis=1)[:, where]
 
 
-def _best(questions: _Questions, batches, k: int, now: float) -> pa.Table:
-    """The k best chunks per question over all batches; lower chunk id wins a tie."""
-    kept = None  # columns q, chunk, article, similarity, score
-    step = max(1, _CELLS // max(1, len(questions.ids)))
-    for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
+class _Best:
+    """The k best chunks per question so far, best first; lower chunk id wins a tie.
+
+    Matrix products only find candidates: those at or near the k-th score a question has
+    reached. Their scores are computed again in a fixed order of summation, so they do not
+    depend on how rows were batched.
+    """
+
+    def __init__(self, questions: _Questions, k: int, now: float):
+        self.questions, self.k, self.now = questions, k, now
+        shape = (len(questions.ids), k)
+        self.rank_by = np.full(shape, -np.inf)  # the score, or -inf without one
+        self.chunk = np.full(shape, _NO_CHUNK)
+        self.article = np.zeros(shape, np.int64)
+        self.similarity = np.full(shape, np.nan)
+
+    def _score(self, similarity, preference, recency):
+        return (
+            similarity * SIMILARITY_SHARE + preference / WEIGHT_SCALE * PREFERENCE_SHARE + recency
+        )
+
+    def add(self, batch) -> None:
+        for at in range(0, batch.num_rows, CHUNK_TILE):
+            part = batch.slice(at, CHUNK_TILE)
             unit = unit_rows(part.column("embedding"))
-            chunk = part.column("chunk_id").to_numpy()
-            article = part.column("article_id").to_numpy()
-            sims = questions.unit @ unit.T
-            no_direction = ~unit.any(axis=1)
-            sims[:, no_direction] = np.nan
-            sims[~questions.unit.any(axis=1)] = np.nan
-            score = (
-                sims * SIMILARITY_SHARE
-                + questions.preference(part.column("category_id").to_numpy())
-                / WEIGHT_SCALE * PREFERENCE_SHARE
-                + (part.column("epoch").to_numpy() / now * RECENCY_SHARE)[None, :]
-            )
-            rank_by = np.where(np.isnan(score), -np.inf, score)
-            cut = rank_by.shape[1] - k
-            floor = (
-                np.partition(rank_by, cut, axis=1)[:, cut]
-                if cut > 0
-                else np.full(len(rank_by), -np.inf)
+            tile = {
+                "unit": unit,
+                "chunk": part.column("chunk_id").to_numpy(),
+                "article": part.column("article_id").to_numpy(),
+                "recency": part.column("epoch").to_numpy() / self.now * RECENCY_SHARE,
+                "preference": self.questions.preference(part.column("category_id").to_numpy()),
+                "no_direction": ~unit.any(axis=1),
+            }
+            for q in range(0, len(self.questions.ids), QUESTION_TILE):
+                self._add_tile(tile, slice(q, q + QUESTION_TILE))
+
+    def _add_tile(self, tile: dict, rows: slice) -> None:
+        unit = self.questions.unit[rows]
+        preference = tile["preference"][rows]
+        rank_by = self._score(unit @ tile["unit"].T, preference, tile["recency"][None, :])
+        rank_by[:, tile["no_direction"]] = -np.inf
+        rank_by[~unit.any(axis=1)] = -np.inf
+        floor = self.rank_by[rows, -1]
+        open_ = np.flatnonzero(rank_by.max(axis=1) >= floor - _UNSURE)
+        if not len(open_):
+            return
+        rank_by = rank_by[open_]
+        cut = rank_by.shape[1] - self.k
+        if cut > 0:
+            floor = np.maximum(floor[open_], np.partition(rank_by, cut, axis=1)[:, cut])
+        else:
+            floor = floor[open_]
+        q, c = np.nonzero(rank_by >= floor[:, None] - _UNSURE)
+        q = open_[q]
+        similarity = pair_dots(unit, tile["unit"], q, c)
+        similarity[tile["no_direction"][c] | ~unit[q].any(axis=1)] = np.nan
+        score = self._score(similarity, preference[q, c], tile["recency"][c])
+        self._merge(
+            rows.start + q,
+            np.where(np.isnan(score), -np.inf, score),
+            tile["chunk"][c],
+            tile["article"][c],
+            similarity,
+        )
+
+    def _merge(self, q, rank_by, chunk, article, similarity) -> None:
+        touched = np.unique(q)
+        own = np.repeat(touched, self.k)
+        found = [
+            np.concatenate([new, old[touched].ravel()])
+            for new, old in (
+                (rank_by, self.rank_by),
+                (chunk, self.chunk),
+                (article, self.article),
+                (similarity, self.similarity),
             )
-            q, c = np.nonzero(rank_by >= floor[:, None])
-            found = [q, chunk[c], article[c], sims[q, c], score[q, c]]
-            if kept is not None:
-                found = [np.concatenate(pair) for pair in zip(kept, found)]
-            by = np.where(np.isnan(found[4]), np.inf, -found[4])
-            order = np.lexsort((found[1], by, found[0]))
-            q = found[0][order]
-            starts = np.searchsorted(q, q, "left")
-            keep = order[np.arange(len(q)) - starts < k]
-            kept = [column[keep] for column in found]
-    if kept is None:
-        return _HITS_ARROW.empty_table()
-    kept[0] = questions.ids[kept[0]]
-    nan = [np.isnan(kept[i]) for i in (3, 4)]
-    arrays = [pa.array(c) for c in kept[:3]] + [
-        pa.array(kept[i], mask=m) for i, m in zip((3, 4), nan)
-    ]
-    return pa.Table.from_arrays(arrays, schema=_HITS_ARROW)
+        ]
+        q = np.concatenate([q, own])
+        order = np.lexsort((found[1], -found[0], q))
+        q = q[order]
+        keep = order[np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k]
+        for column, table in zip(
+            found, (self.rank_by, self.chunk, self.article, self.similarity)
+        ):
+            table[touched] = column[keep].reshape(len(touched), self.k)
+
+    def hits(self) -> pa.Table:
+        q, at = np.nonzero(self.chunk != _NO_CHUNK)
+        similarity, score = self.similarity[q, at], self.rank_by[q, at]
+        none = np.isnan(similarity)
+        return pa.Table.from_arrays(
+            [
+                pa.array(self.questions.ids[q]),
+                pa.array(self.chunk[q, at]),
+                pa.array(self.article[q, at]),
+                pa.array(similarity, mask=none),
+                pa.array(score, mask=none),
+            ],
+            schema=_HITS_ARROW,
+        )
 
 
 def _with_weights(queries: DataFrame, prefs: DataFrame) -> DataFrame:
@@ -129,47 +190,40 @@ def _now_epoch(as_of: datetime) -> float:
     return as_of.replace(tzinfo=UTC).timestamp()
 
 
-def score_broadcast(
-    pool: DataFrame, asked: DataFrame, k: int, as_of: datetime, max_queries: int
-) -> DataFrame:
-    """Every task scores its chunks against all questions; chunks are not moved.
-
-    The caller has checked that there are at most ``max_queries`` questions.
-    """
-    table = asked.limit(max_queries).toArrow()
-    block = pool.sparkSession.sparkContext.broadcast(table)
+def score_block(pool: DataFrame, block: pa.Table, k: int, as_of: datetime) -> DataFrame:
+    """Every task scores its chunks against a block of questions; chunks are not moved."""
+    shared = pool.sparkSession.sparkContext.broadcast(block)
     now = _now_epoch(as_of)
 
     def score(batches):
-        questions = _Questions(block.value)
-        yield from _best(questions, batches, k, now).to_batches()
+        best = _Best(_Questions(shared.value), k, now)
+        for batch in batches:
+            best.add(batch)
+        yield from best.hits().to_batches()
 
     return pool.mapInArrow(score, _HITS)
 
 
-def score_by_shuffle(
-    pool: DataFrame, asked: DataFrame, k: int, as_of: datetime, max_queries: int
-) -> DataFrame:
-    """Blocks of questions meet blocks of chunks; no side is broadcast or collected."""
-    n_queries, n_chunks = asked.count(), pool.count()
-    q_blocks = -(-n_queries // max_queries) or 1
-    c_blocks = -(-n_chunks // CHUNK_TILE_ROWS) or 1
-    now = _now_epoch(as_of)
-
-    def blocks(own: str, key: str, n_own: int, other: str, n_other: int, df: DataFrame):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    left = blocks("qb", "query_id", q_blocks, "cb", c_blocks, asked)
-    right = blocks("cb", "chunk_id", c_blocks, "qb", q_blocks, pool)
+def _blocks(asked: DataFrame, query_bytes: int) -> list[pa.Table]:
+    """All questions in blocks of about ``query_bytes`` of vectors, dealt by a hash."""
+    n, dim = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    n_blocks = max(1, -(-n * 8 * (dim or 1) // query_bytes))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    parts = (numbered.filter(F.col("_block") == b).drop("_block") for b in range(n_blocks))
+    return [t for t in (p.toArrow() for p in parts) if t.num_rows]
 
-    def score(questions: pa.Table, chunks: pa.Table) -> pa.Table:
-        if questions.num_rows == 0 or chunks.num_rows == 0:
-            return _HITS_ARROW.empty_table()
-        return _best(_Questions(questions), chunks.to_batches(), k, now)
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(score, _HITS)
+def scoring_pool(
+    chunks: DataFrame, articles: DataFrame, categories: DataFrame, sources: DataFrame, dims=None
+) -> DataFrame:
+    """Embedded chunks of servable articles with what their score takes."""
+    shown = named_keys(articles, dims or dimensions(categories, sources)).select(
+        "article_id",
+        "category_id",
+        F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("double").alias("epoch"),
+    )
+    embedded = chunks.filter(F.col("embedding").isNotNull())
+    return embedded.select("chunk_id", "article_id", "embedding").join(shown, "article_id")
 
 
 def retrieve(
@@ -185,35 +239,26 @@ def retrieve(
 ) -> DataFrame:
     """The k best chunks for every (query_id, user_id, vector), with rank and names.
 
-    Exact: every embedded chunk of a servable article is scored. Only k rows per
-    question leave a task. Texts are fetched for the winners alone. A zero vector has
-    no similarity and ranks last.
+    Exact: every embedded chunk of a servable article is scored. Questions come in blocks
+    of a bounded size, as many as it takes; each block is one pass over the chunks. On
+    tables of ``save_bucketed`` no pass moves a vector. Only k rows per question leave a
+    task; texts are fetched for the winners alone. A zero vector has no similarity and
+    ranks last.
     """
     dims = dimensions(categories, sources)
-    shown = named_keys(articles, dims).select(
-        "article_id",
-        "category_id",
-        F.unix_timestamp(F.col("published_at").cast("timestamp")).cast("double").alias("epoch"),
-    )
-    pool = (
-        chunks.filter(F.col("embedding").isNotNull())
-        .select("chunk_id", "article_id", "embedding")
-        .join(shown, "article_id")
-    )
-    asked = _with_weights(queries, prefs)
-    n_queries, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    max_queries = max(1, query_bytes // (8 * (dim or 1)))
-    small = n_queries <= max_queries
-    score = score_broadcast if small else score_by_shuffle
-    hits = score(pool, asked, k, as_of, max_queries)
+    pool = scoring_pool(chunks, articles, categories, sources, dims)
+    blocks = _blocks(stored(_with_weights(queries, prefs), "questions"), query_bytes)
+    if not blocks:
+        hits = chunks.sparkSession.createDataFrame([], _HITS)
+    else:
+        hits = reduce(DataFrame.unionByName, (score_block(pool, b, k, as_of) for b in blocks))
     best = top_per_group(
         hits, ["query_id"], [F.desc_nulls_last("score"), F.asc("chunk_id")], k, rank="rank"
     )
-    if small and n_queries * k <= 1_000_000:
-        best = F.broadcast(best)  # at most k rows per question
+    # Five numbers a row; a larger set of winners, and all texts, are joined as Spark sees fit.
+    if sum(b.num_rows for b in blocks) * k <= BROADCAST_ROWS:
+        best = F.broadcast(best)
     texts = chunks.select("chunk_id", "content").join(best, "chunk_id")
-    if small and n_queries * k <= 1_000_000:
-        texts = F.broadcast(texts)
     return (
         articles.select("article_id", "title", "url", "published_at", "category_id", "source_id")
         .join(texts, "article_id")

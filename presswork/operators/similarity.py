@@ -47,16 +47,24 @@ def micros(moment: Column) -> Column:
 
 
 def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """List column to a matrix of unit rows; a zero vector stays zero."""
+    """List column to a matrix of unit rows; a zero vector stays zero.
+
+    Vectors of different length, and missing vectors or elements, are an error: they would
+    silently shift every row behind them.
+    """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(vectors), -1)
+    values = vectors.flatten()
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    if vectors.null_count or values.null_count or len(np.unique(lengths)) > 1:
+        raise ValueError("vectors must have one length and no missing elements")
+    matrix = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = matrix.reshape(len(vectors), int(lengths[0]) if len(lengths) else 0)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _pair_dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def pair_dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Dot products of rows ``a[i]`` and ``b[j]`` in double, a few thousand at a time."""
     out = np.empty(len(i))
     for at in range(0, len(i), _PAIRS):
@@ -101,7 +109,9 @@ def place(nodes: DataFrame, threshold: float) -> DataFrame:
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    size, dim = nodes.agg(F.count("*"), F.max(F.size("vec"))).first()
+    size, dim, least = nodes.agg(F.count("*"), F.max(F.size("vec")), F.min(F.size("vec"))).first()
+    if dim != least:
+        raise ValueError("vectors must have one length")
     most_rows = max(1, min(MAX_TILE_ROWS, TILE_BYTES // (4 * max(dim or 1, 1))))
     n_pivots = min(MAX_PIVOTS, size // most_rows + 1)
     # Smaller tiles than memory asks for, if that gives every core a few tile pairs.
@@ -231,7 +241,7 @@ def earliest_hits(
                     place = np.arange(a, min(a + _STEP, len(a_id)))
                     hit &= place[None, :] < n_before[rows, None]
                 i, j = np.nonzero(hit & (sims < threshold + _UNSURE))
-                hit[i, j] = _pair_dots(p_vec, a_vec, rows[i], a + j) >= threshold
+                hit[i, j] = pair_dots(p_vec, a_vec, rows[i], a + j) >= threshold
                 found = hit.any(axis=1)
                 first[rows[found]] = a + hit.argmax(axis=1)[found]
                 rows = rows[~found]
@@ -241,7 +251,7 @@ def earliest_hits(
                 "node_id": p_id[got],
                 "hit_at": a_at[first[got]],
                 "hit_id": a_id[first[got]],
-                "similarity": _pair_dots(p_vec, a_vec, np.flatnonzero(got), first[got]),
+                "similarity": pair_dots(p_vec, a_vec, np.flatnonzero(got), first[got]),
             }
         )
 

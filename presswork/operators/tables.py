@@ -1,4 +1,8 @@
-"""Table changes as functions from tables to tables; every one can be run again safely."""
+"""Table changes as functions from tables to tables.
+
+Marks, flags, upserts and inserts of what is absent can be run again safely. Appending
+messages and sources adds rows each time; run these once per batch.
+"""
 
 from __future__ import annotations
 
@@ -121,16 +125,21 @@ def upsert_sessions(sessions: DataFrame, touches: DataFrame) -> DataFrame:
     return kept.unionByName(opened)
 
 
+MESSAGE = ["chat_id", "session_id", "role", "message", "created_at"]
+
+
+def number_messages(history: DataFrame, messages: DataFrame, tie: list[str]) -> DataFrame:
+    """``messages`` with new ids; ``tie`` tells those of one session, time and role apart."""
+    return assign_ids(messages, ["session_id", "created_at", "role", *tie], "chat_id", history)
+
+
 def append_messages(history: DataFrame, messages: DataFrame) -> DataFrame:
     """Rows to append to the history, with new ids.
 
-    ``messages`` has session_id, role, message, created_at; a session takes part with
-    one message per role and time.
+    ``messages`` has session_id, role, message, created_at; equal ones of one session are
+    numbered in the order of their texts.
     """
-    key = ["session_id", "created_at", "role"]
-    return assign_ids(messages, key, "chat_id", history).select(
-        "chat_id", "session_id", "role", "message", "created_at"
-    )
+    return number_messages(history, messages, ["message"]).select(*MESSAGE)
 
 
 def append_sources(stored: DataFrame | None, sources: DataFrame) -> DataFrame:

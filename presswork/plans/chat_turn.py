@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.encoder import HashedNgrams, embed
+from presswork.functions.encoder import HASHED, EncoderSpec, embed
 from presswork.operators import retrieval, tables
 from presswork.session import ntz, stored
 
@@ -21,9 +21,9 @@ class OpenTurns:
     sources: DataFrame
 
 
-def encode_questions(questions: DataFrame, factory=HashedNgrams, name="hashed-ngrams") -> DataFrame:
+def encode_questions(questions: DataFrame, encoder: EncoderSpec = HASHED) -> DataFrame:
     """Add ``vector`` with the encoder that made the chunk embeddings."""
-    return embed(questions, "question", "vector", factory=factory, name=name)
+    return embed(questions, "question", "vector", spec=encoder)
 
 
 def open_turns(
@@ -74,15 +74,13 @@ def close_turns(
     """Rows to append for (query_id, session_id, answer): messages and their ranked sources.
 
     ``history`` holds the questions already. An answer without sources stores none. A
-    session has one turn per batch.
+    session may have several turns in a batch; they are numbered by query.
     """
     said = answers.select(
         "query_id", "session_id", F.lit("assistant").alias("role"),
         F.col("answer").alias("message"), ntz(as_of).alias("created_at"),
     )
-    messages = tables.append_messages(history, said)
-    asked = said.select("query_id", "session_id")
-    cited = messages.select("chat_id", "session_id").join(asked, "session_id").join(
-        sources, "query_id"
-    )
+    numbered = stored(tables.number_messages(history, said, ["query_id"]), "answers")
+    messages = numbered.select(*tables.MESSAGE)
+    cited = numbered.select("chat_id", "query_id").join(sources, "query_id")
     return messages, tables.append_sources(stored_sources, cited)

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from presswork.functions.encoder import HashedNgrams, embed
+from presswork.functions.encoder import HASHED, EncoderSpec, embed
 from presswork.operators.chunking import chunk_articles
 from presswork.operators.dedup import THRESHOLD, WINDOW_HOURS, dedup_candidates, elect_duplicates
 from presswork.operators.ingest import awaiting_embedding
@@ -27,8 +27,7 @@ def run_hourly(
     articles: DataFrame,
     chunks: DataFrame,
     as_of: datetime,
-    factory=HashedNgrams,
-    encoder_name: str = "hashed-ngrams",
+    encoder: EncoderSpec = HASHED,
     threshold: float = THRESHOLD,
     hours: int = WINDOW_HOURS,
 ) -> HourlyResult | None:
@@ -44,7 +43,7 @@ def run_hourly(
     spark = articles.sparkSession
     path = scratch_path(spark, "new-chunks")
     new = append_chunks(chunks, chunk_articles(waiting))
-    save_chunks(embed(new, "content", factory=factory, name=encoder_name), path)
+    save_chunks(embed(new, "content", spec=encoder), path)
     new_chunks = spark.read.parquet(path)
     processed = mark_processed(articles, waiting)
     stored = first_chunks(chunks).unionByName(first_chunks(new_chunks))

@@ -512,7 +512,7 @@ LEFT JOIN (SELECT session_id, string_agg('[' || upper(role) || ']' || chr(10) ||
         "chat_history_shown": _with(last.format(n=50)),
         "chat_turn_batch": _with(
             """SELECT (SELECT max(chat_id) FROM chat_history) + row_number() OVER (
-    ORDER BY md5(session_id || chr(31) || '2024-01-31 12:00:00' || chr(31) || 'user')) AS chat_id,
+    ORDER BY md5(session_id || chr(31) || '2024-01-31 12:00:00' || chr(31) || 'user' || chr(31) || question)) AS chat_id,
   session_id, 'user' AS role, question AS message, TIMESTAMP '2024-01-31 12:00:00' AS created_at
 FROM questions""",
             _QUESTIONS,

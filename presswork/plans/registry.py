@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.functions import dates, text, vectors
-from presswork.functions.encoder import HashedNgrams, embed
+from presswork.functions.encoder import EncoderSpec, HashedNgrams, embed
 from presswork.operators import (
     audit,
     chat,
@@ -255,8 +255,7 @@ def embedding_backlog(t: NewsTables) -> DataFrame:
     encoded = embed(
         tables.embedding_backlog(t.chunks).select("chunk_id", "content"),
         "content",
-        factory=lambda: HashedNgrams(64),
-        name="hashed-ngrams-64",
+        spec=EncoderSpec(lambda: HashedNgrams(64)),
     )
     return tables.write_embeddings(t.chunks, stored(encoded, "encoded")).select(
         "chunk_id",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from presswork.functions.encoder import HashedNgrams, embed
+from presswork.functions.encoder import HASHED, EncoderSpec, embed
 from presswork.operators.chunking import chunk_articles
 from presswork.operators.feed import (
     article_card,
@@ -95,7 +95,7 @@ def stream_chunks(
     schema: StructType,
     out_path: str,
     checkpoint: str,
-    factory=HashedNgrams,
+    encoder: EncoderSpec = HASHED,
     poll: str | None = None,
 ) -> StreamingQuery:
     """Chunk and embed articles as they are stored; (article, index) is written once."""
@@ -104,7 +104,7 @@ def stream_chunks(
     def sink(batch: DataFrame, _: int) -> None:
         stored = _stored(batch.sparkSession, out_path, STORED_CHUNKS)
         new = append_chunks(stored, chunk_articles(batch))
-        embed(new, "content", factory=factory).write.mode("append").parquet(out_path)
+        embed(new, "content", spec=encoder).write.mode("append").parquet(out_path)
 
     return _start(rows, sink, checkpoint, poll)
 

@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from presswork.functions.encoder import HashedNgrams, embed
+from presswork.functions.encoder import EncoderSpec, HashedNgrams, embed
 from presswork.operators.retrieval import NOTHING_FOUND
 from presswork.plans.chat_turn import close_turns, encode_questions, open_turns
 from presswork.plans.collect import collect_feeds
@@ -35,12 +35,13 @@ def test_collect(spark, tmp_path):
 
 
 def test_chat_turns(spark):
+    small = EncoderSpec(lambda: HashedNgrams(128))
     texts = ["Schools get a larger budget this year.", "Heavy rain closed the mountain road."]
     chunks = embed(
         spark.createDataFrame(
             [(i, i, t) for i, t in enumerate(texts)], "chunk_id long, article_id long, content string"
         ),
-        "content", factory=lambda: HashedNgrams(128), name="n128",
+        "content", spec=small,
     )
     articles = spark.createDataFrame(
         [(i, 1, 1, f"T{i}", f"u{i}", NOW, True, False) for i in range(2)],
@@ -56,7 +57,7 @@ def test_chat_turns(spark):
             [(1, "s", 1, "Was the mountain road closed by rain?"), (2, "n", 2, "Is there a school budget?")],
             "query_id long, session_id string, user_id long, question string",
         ),
-        factory=lambda: HashedNgrams(128), name="n128",
+        small,
     )
     turn = open_turns(questions, sessions, history, chunks, articles, categories, sources, prefs, NOW, k=1)
     assert {(r.session_id, r.updated_at) for r in turn.sessions.collect()} == {("s", NOW), ("n", NOW)}
@@ -74,5 +75,12 @@ def test_chat_turns(spark):
         (by_session["s"], 1, 1), (by_session["n"], 0, 1)
     }
 
+    # Two turns of one session in a batch: each answer keeps its own sources.
+    twice = spark.createDataFrame([(1, "s", "Yes."), (2, "s", "No.")], "query_id long, session_id string, answer string")
+    said, cited = close_turns(twice, history, turn.sources, None, NOW)
+    answer = {r.chat_id: r.message for r in said.collect()}
+    assert len(answer) == 2
+    assert sorted((answer[r.chat_id], r.article_id) for r in cited.collect()) == [("No.", 0), ("Yes.", 1)]
+
     nothing = open_turns(questions, sessions, history, chunks.limit(0), articles, categories, sources, prefs, NOW)
     assert {r.reply for r in nothing.prompts.collect()} == {NOTHING_FOUND}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from presswork import session
-from presswork.functions.encoder import HashedNgrams
+from presswork.functions.encoder import EncoderSpec, HashedNgrams
 from presswork.operators import feed, ingest
 from presswork.operators.joins import top_per_group
 from presswork.plans.hourly import run_hourly
@@ -86,7 +86,7 @@ def test_hourly_run(spark):
     chunks = spark.createDataFrame(
         [], "article_id long, chunk_index int, content string, embedding array<float>, chunk_id long"
     )
-    first = run_hourly(articles, chunks, now, factory=lambda: HashedNgrams(64), encoder_name="n64")
+    first = run_hourly(articles, chunks, now, encoder=EncoderSpec(lambda: HashedNgrams(64)))
     state = {r.article_id: r for r in first.articles.collect()}
     assert {i for i, r in state.items() if r.is_processed} == {1, 2, 3, 4, 5}
     # 4 is outside the window, 5 in another category.

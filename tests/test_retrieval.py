@@ -1,10 +1,13 @@
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from presswork.operators import retrieval
+from presswork.sources.tables import save_bucketed
 
 NOW = datetime(2024, 3, 10)
 EPOCH = datetime(1970, 1, 1)
@@ -85,17 +88,91 @@ def test_broadcast(world, k):
     assert collected(retrieval.retrieve(*world["args"], k=k)) == expected(world, k)
 
 
-def test_small_steps(world, monkeypatch):
-    monkeypatch.setattr(retrieval, "_CELLS", 40)
+@pytest.mark.parametrize("questions, chunks", [(5, 7), (1, 4096), (1024, 1)])
+def test_tiles(world, monkeypatch, questions, chunks):
+    monkeypatch.setattr(retrieval, "QUESTION_TILE", questions)
+    monkeypatch.setattr(retrieval, "CHUNK_TILE", chunks)
     assert collected(retrieval.retrieve(*world["args"], k=5)) == expected(world, 5)
 
 
-def test_by_shuffle(world, monkeypatch):
-    monkeypatch.setattr(retrieval, "CHUNK_TILE_ROWS", 50)
-    got = retrieval.retrieve(*world["args"], k=5, query_bytes=4 * 8 * 6)
+@pytest.mark.parametrize("per_block", [1, 4])
+def test_several_blocks_of_questions(world, per_block):
+    """No question is lost, however many blocks it takes."""
+    got = retrieval.retrieve(*world["args"], k=5, query_bytes=per_block * 8 * 6)
     assert collected(got) == expected(world, 5)
 
 
+def test_scores_do_not_depend_on_batches(world):
+    """Bit for bit, so that equal scores rank by chunk id everywhere."""
+    chunks, *rest = world["args"]
+    rows = [
+        sorted(map(tuple, retrieval.retrieve(chunks.repartition(n), *rest, k=9).collect()), key=repr)
+        for n in (1, 7)
+    ]
+    assert rows[0] == rows[1]
+
+
+def test_no_questions(world):
+    *args, queries, now = world["args"]
+    assert retrieval.retrieve(*args, queries.limit(0), now).count() == 0
+
+
+def test_cost_follows_the_matrix_product():
+    """Many questions against few chunks: no more than a few times the product itself."""
+    rnd = np.random.default_rng(1)
+    n, dim = 20_000, 64
+    table = pa.table(
+        {
+            "query_id": np.arange(n),
+            "vector": pa.array(list(rnd.normal(size=(n, dim))), pa.list_(pa.float64())),
+            "weights": pa.nulls(n, pa.map_(pa.int32(), pa.int32())),
+        }
+    )
+    batches = [
+        pa.table(
+            {
+                "chunk_id": np.arange(at, at + 100),
+                "article_id": np.arange(at, at + 100),
+                "embedding": pa.array(list(rnd.normal(size=(100, dim))), pa.list_(pa.float64())),
+                "category_id": np.ones(100, np.int32),
+                "epoch": np.ones(100),
+            }
+        )
+        for at in range(0, 600, 100)
+    ]
+    best = retrieval._Best(retrieval._Questions(table), 5, 1.0)
+    start = time.process_time()
+    for batch in batches:
+        best.add(batch)
+    assert best.hits().num_rows == 5 * n
+    spent = time.process_time() - start
+    start = time.process_time()
+    for _ in range(10):
+        best.questions.unit @ rnd.normal(size=(dim, 600))
+    assert spent < 10 * (time.process_time() - start) + 5
+
+
+def test_bucketed_chunks_stay_where_they_are(spark, world):
+    chunks, articles, *rest = world["args"]
+    save_bucketed(chunks, "presswork_r_chunks", buckets=4)
+    save_bucketed(articles, "presswork_r_articles", buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pool = retrieval.scoring_pool(
+            spark.table("presswork_r_chunks"), spark.table("presswork_r_articles"), *rest[:2]
+        )
+        plan = pool._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" in plan
+        got = retrieval.retrieve(
+            spark.table("presswork_r_chunks"), spark.table("presswork_r_articles"), *rest, k=5
+        )
+        assert collected(got) == expected(world, 5)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE presswork_r_chunks")
+        spark.sql("DROP TABLE presswork_r_articles")
+
+
 def test_sources_keep_each_article_once(world):
     found = retrieval.retrieve(*world["args"], k=40)
     want = {}

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.functions.encoder import HashedNgrams
+from presswork.functions.encoder import EncoderSpec, HashedNgrams
 from presswork.streaming import jobs
 from tests.test_sources import land
 
@@ -106,7 +106,7 @@ def test_chunks_once(spark, tmp_path):
 
     def run(checkpoint):
         jobs.stream_chunks(
-            spark, stored, df.schema, out, checkpoint, factory=lambda: HashedNgrams(16)
+            spark, stored, df.schema, out, checkpoint, encoder=EncoderSpec(lambda: HashedNgrams(16))
         ).awaitTermination()
         return spark.read.parquet(out)
 

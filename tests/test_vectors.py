@@ -1,10 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import vectors
-from presswork.functions.encoder import HashedNgrams, embed
+from presswork.functions.encoder import EncoderSpec, HashedNgrams, embed
+from presswork.operators.similarity import unit_rows
 
 
 def test_parse_vector(spark):
@@ -53,7 +56,7 @@ def test_custom_encoder_and_batches(spark):
             return np.array([[len(t), 1.0] for t in batch])
 
     df = spark.createDataFrame([("a" * n,) for n in range(11)], "t string")
-    got = embed(df, "t", factory=Lengths, name="lengths", batch_size=4).collect()
+    got = embed(df, "t", spec=EncoderSpec(Lengths), batch_size=4).collect()
     for r in got:
         n = len(r.t)
         assert np.allclose(r.embedding, np.array([n, 1]) / math.hypot(n, 1))
@@ -63,3 +66,33 @@ def test_percent_match(spark):
     df = spark.createDataFrame([(0.125, 13), (0.8849, 88), (-0.005, 0), (1.0, 100)], "s double, p int")
     got = df.select(vectors.percent_match(F.col("s")).alias("g"), "p").collect()
     assert all(r.g == r.p for r in got)
+
+
+def test_encoders_never_answer_for_each_other(spark):
+    """Two encoders of one kind in one worker, without names to mix up."""
+
+    def constant(value):
+        class Constant:
+            def encode(self, batch):
+                return np.array([[1.0, value] for _ in batch])
+
+        return EncoderSpec(Constant)
+
+    df = spark.createDataFrame([("a",)], "t string").coalesce(1)
+    for value in (0.0, 2.0, -3.0, 0.0):
+        (row,) = embed(df, "t", spec=constant(value)).collect()
+        assert np.allclose(row.embedding, np.array([1, value]) / math.hypot(1, value))
+
+
+@pytest.mark.parametrize(
+    "vectors", [[[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]], [[1.0, None]], [[1.0, 2.0], None], [[], [1.0]]]
+)
+def test_ragged_vectors_are_refused(vectors):
+    with pytest.raises(ValueError):
+        unit_rows(pa.array(vectors, pa.list_(pa.float64())))
+
+
+def test_unit_rows():
+    got = unit_rows(pa.array([[3.0, 4.0], [0.0, 0.0]], pa.list_(pa.float64())))
+    assert got.tolist() == [[0.6, 0.8], [0.0, 0.0]]
+    assert unit_rows(pa.array([], pa.list_(pa.float64()))).shape == (0, 0)
