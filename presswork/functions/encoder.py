@@ -55,6 +55,20 @@ class HashedNgrams:
         return total.reshape(len(texts), self.dimensions)
 
 
+class LetterCounts:
+    """How often characters of each residue class occur: plain enough to be restated anywhere."""
+
+    def __init__(self, dimensions: int = 64):
+        self.dimensions = dimensions
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimensions))
+        for row, text in zip(out, texts):
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) % self.dimensions
+            row += np.bincount(codes, minlength=self.dimensions)
+        return out
+
+
 class EncoderSpec:
     """A factory and its identity, made from what the factory is rather than given by name.
 

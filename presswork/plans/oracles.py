@@ -288,6 +288,37 @@ waiting AS (
   SELECT * FROM articles WHERE NOT is_processed AND NOT is_duplicate
     AND description IS NOT NULL AND length(description) >= 20)"""
 
+
+
+def _letters(text: str) -> str:
+    """Characters by code point modulo 64, the encoder of the runs that are compared."""
+    return (
+        f"list_transform(range(64), lambda k: CAST(len(list_filter(string_split({text}, ''), "
+        "lambda c: unicode(c) % 64 = k)) AS DOUBLE))"
+    )
+
+
+_APPENDED = """
+appended AS (
+  SELECT *, (SELECT max(chunk_id) FROM article_chunks)
+    + row_number() OVER (ORDER BY md5(article_id || chr(31) || chunk_index), article_id, chunk_index)
+      AS chunk_id
+  FROM chunked WHERE article_id IN (SELECT article_id FROM waiting)
+    AND (article_id, chunk_index) NOT IN (SELECT article_id, chunk_index FROM article_chunks))"""
+
+_COMPARED_HOURLY = f"""
+first_vectors AS (
+  SELECT article_id, CAST(embedding AS DOUBLE[]) AS vec FROM article_chunks
+  WHERE chunk_index = 0 AND embedding IS NOT NULL
+  UNION ALL
+  SELECT article_id, {_letters('content')} FROM appended WHERE chunk_index = 0),
+cand AS (
+  SELECT a.article_id, a.category_id, a.source_id, a.published_at, f.vec,
+         row_number() OVER (PARTITION BY a.category_id ORDER BY a.published_at, a.article_id) AS rn
+  FROM articles a JOIN first_vectors f ON f.article_id = a.article_id
+  WHERE (a.is_processed OR a.article_id IN (SELECT article_id FROM waiting)) AND NOT a.is_duplicate
+    AND a.published_at > TIMESTAMP '2024-01-31' - INTERVAL 744 HOUR)"""
+
 _COMPARED = """
 cand AS (
   SELECT a.article_id, a.category_id, a.source_id, a.published_at,
@@ -400,21 +431,18 @@ JOIN news_sources ON source_id - 1 = n * 7919 % (SELECT count(*) FROM news_sourc
             "SELECT article_id, chunk_index, 768 AS dimensions, 1.0::DOUBLE AS norm FROM chunked",
             _CHUNKED,
         ),
-        "append_chunks": _with(
-            """SELECT *, (SELECT max(chunk_id) FROM article_chunks)
-  + row_number() OVER (ORDER BY md5(article_id || chr(31) || chunk_index), article_id, chunk_index)
-    AS chunk_id
-FROM chunked WHERE article_id IN (SELECT article_id FROM waiting)
-  AND (article_id, chunk_index) NOT IN (SELECT article_id, chunk_index FROM article_chunks)""",
-            _CHUNKED,
-        ),
+        "append_chunks": _with("SELECT * FROM appended", _CHUNKED, _APPENDED),
         "mark_processed": _with(
             """SELECT article_id, is_duplicate,
   is_processed OR article_id IN (SELECT article_id FROM waiting) AS is_processed FROM articles""",
             _CHUNKED,
         ),
         "embedding_backlog": _with(
-            "SELECT chunk_id, 64 AS dimensions, 1.0::DOUBLE AS norm FROM article_chunks"
+            f"""SELECT chunk_id, 64 AS dimensions, 1.0::DOUBLE AS norm,
+  round(list_sum(list_transform(v, lambda x, i: x * i))
+        / sqrt(list_sum(list_transform(v, lambda x: x * x))), 2) AS weighted
+FROM (SELECT chunk_id, CASE WHEN embedding IS NOT NULL THEN CAST(embedding AS DOUBLE[])
+                            ELSE {_letters('content')} END AS v FROM article_chunks)"""
         ),
         "parse_embedding": """
 SELECT vec_id, CAST(i AS INT) AS pos, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS value
@@ -458,6 +486,22 @@ WHERE sim >= 0.3 GROUP BY article_id""",
             """SELECT category_id, count(*) AS n_compared, count(duplicate_id) AS n_duplicates
 FROM cand LEFT JOIN elected ON duplicate_id = article_id GROUP BY category_id"""
         ),
+        "hourly_run": _with(
+            """SELECT f.article_id, f.is_duplicate,
+  CAST(f.representative_id AS VARCHAR) AS representative_id,
+  a.is_processed OR a.article_id IN (SELECT article_id FROM waiting) AS is_processed,
+  CAST(n_new AS VARCHAR) AS n_new, CAST(first_new AS VARCHAR) AS first_new,
+  CAST(new_length AS VARCHAR) AS new_length
+FROM flagged f JOIN articles a USING (article_id)
+LEFT JOIN (SELECT article_id, count(*) AS n_new, min(chunk_id) AS first_new,
+                  sum(length(content)) AS new_length FROM appended GROUP BY article_id)
+  USING (article_id)""",
+            _CHUNKED,
+            _APPENDED,
+            _COMPARED_HOURLY,
+            _ELECTED,
+            recursive=True,
+        ),
         "apply_duplicates": elected(
             "SELECT * REPLACE (CAST(representative_id AS VARCHAR) AS representative_id) FROM flagged"
         ),

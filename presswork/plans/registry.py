@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.functions import dates, text, vectors
-from presswork.functions.encoder import EncoderSpec, HashedNgrams, embed
+from presswork.functions.encoder import EncoderSpec, LetterCounts, embed
 from presswork.operators import (
     audit,
     chat,
@@ -28,6 +28,7 @@ from presswork.sources import rss, synthetic
 from presswork.streaming import jobs
 
 QUERIES: dict[str, Callable[[NewsTables], DataFrame]] = {}
+_LETTERS = EncoderSpec(LetterCounts)
 
 
 def query(fn: Callable[[NewsTables], DataFrame]):
@@ -255,12 +256,15 @@ def embedding_backlog(t: NewsTables) -> DataFrame:
     encoded = embed(
         tables.embedding_backlog(t.chunks).select("chunk_id", "content"),
         "content",
-        spec=EncoderSpec(lambda: HashedNgrams(64)),
+        spec=_LETTERS,
     )
+    # The weighted sum tells vectors apart: present ones stay, missing ones are the new ones.
+    places = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
     return tables.write_embeddings(t.chunks, stored(encoded, "encoded")).select(
         "chunk_id",
         F.size("embedding").alias("dimensions"),
         F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"),
+        F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 2).alias("weighted"),
     )
 
 
@@ -341,15 +345,19 @@ def audit_rep_chains(t: NewsTables) -> DataFrame:
 
 @query
 def hourly_run(t: NewsTables) -> DataFrame:
-    """The whole run with every article new: chunk, embed, append, flag, compare."""
-    new = t.articles.withColumn("is_processed", F.lit(False)).withColumn(
-        "is_duplicate", F.lit(False)
+    """The whole run on partly processed articles and their stored chunks."""
+    result = run_hourly(
+        t.articles, t.chunks, AS_OF, _LETTERS, threshold=_TEST_THRESHOLD, hours=_MONTH_HOURS
+    )
+    added = result.new_chunks.groupBy("article_id").agg(
+        F.count("*").alias("n_new"),
+        F.min("chunk_id").alias("first_new"),
+        F.sum(F.length("content")).alias("new_length"),
     )
-    result = run_hourly(new, t.chunks.limit(0), AS_OF, hours=_MONTH_HOURS)
     flags = result.articles.select(
         "article_id", "is_processed", "is_duplicate", "representative_id"
-    )
-    return _nulls_as_text(flags, "representative_id")
+    ).join(added, "article_id", "left")
+    return _nulls_as_text(flags, "representative_id", "n_new", "first_new", "new_length")
 
 
 # --- retrieval and chat ------------------------------------------------------
