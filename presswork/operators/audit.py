@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswork import schemas
+
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with how often."""
@@ -48,3 +51,49 @@ def representative_chains(articles: DataFrame) -> DataFrame:
         F.col("representative_id").alias("next_representative_id"),
     )
     return counts.join(chained, "representative_id")
+
+
+def check_constraints(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(kind, table, columns, n_rows) for every declared constraint of the given tables.
+
+    n_rows counts the offending rows: values missing where one is required, rows beyond the
+    first of a key, references without a parent, values out of range. Keys with a missing
+    part are not compared. A constraint that holds has a row with zero; a reference to a
+    table that is not given is left out.
+    """
+    found = []
+
+    def report(counts: DataFrame, kind: str, table: str, columns: str) -> None:
+        found.append(
+            counts.select(
+                F.lit(kind).alias("kind"),
+                F.lit(table).alias("table"),
+                F.lit(columns).alias("columns"),
+                F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows"),
+            )
+        )
+
+    for name, df in tables.items():
+        fields = schemas.TABLES[name].fields
+        needed = {f.name: F.col(f.name).isNotNull() for f in fields if not f.nullable}
+        missing = violations(df, **needed)  # all columns in one pass
+        found.append(
+            missing.select(
+                F.lit("required").alias("kind"),
+                F.lit(name).alias("table"),
+                F.col("rule").alias("columns"),
+                F.col("n_rows").cast("long").alias("n_rows"),
+            )
+        )
+        for key in [(fields[0].name,), *schemas.UNIQUE.get(name, [])]:
+            repeats = repeated_keys(df.dropna(subset=list(key)), key)
+            report(repeats.agg(F.sum(F.col("n_rows") - 1).alias("n_rows")), "unique", name, ",".join(key))
+    for name, column, parent, key in schemas.REFERENCES:
+        if name in tables and parent in tables:
+            broken = orphans(tables[name], column, tables[parent], key)
+            report(broken.agg(F.count("*").alias("n_rows")), "reference", name, column)
+    for name, column, low, high in schemas.RANGES:
+        if name in tables:
+            outside = F.count_if(~F.col(column).between(low, high)).alias("n_rows")
+            report(tables[name].agg(outside), "range", name, column)
+    return reduce(DataFrame.unionByName, found)

@@ -216,6 +216,75 @@ class NewsTables:
             "is_duplicate", F.lit(False)
         )
 
+    @cached_property
+    def broken_tables(self) -> dict[str, DataFrame]:
+        """All tables, each with some rows that break every constraint it declares."""
+
+        def unless(column: str, every: int, key: str = "article_id", other=None):
+            bad = F.lit(other).cast("string") if other is None else F.lit(other)
+            return F.when(F.col(key) % every == 0, bad).otherwise(F.col(column))
+
+        extra = self.spark.sql("SELECT 1 AS category_id, 'xx' AS name UNION ALL SELECT 9, 'de' UNION ALL SELECT 8, NULL")
+        s, u, chat = F.col("source_id"), F.col("user_id"), F.col("chat_id")
+        feed = F.concat(F.lit("http://feeds.example/"), (s - s % 2).cast("string"))
+        session = F.col("session_id")
+        doubled = self.prefs.filter("pref_id % 41 = 0").withColumn("pref_id", F.col("pref_id") + 10**6)
+        return {
+            "categories": self.categories.unionByName(extra),
+            "news_sources": self.news_sources.select(
+                "source_id",
+                unless("category_id", 13, "source_id", 99).alias("category_id"),
+                "name",
+                F.when(s % 7 != 0, feed).alias("rss_url"),
+            ),
+            "articles": self.articles.select(
+                "article_id",
+                unless("source_id", 83, other=0).alias("source_id"),
+                unless("category_id", 71, other=77).alias("category_id"),
+                unless("title", 89).alias("title"),
+                F.when(F.col("article_id") % 10 == 9, F.lit("http://news.example/again"))
+                .otherwise(F.col("url")).alias("url"),
+                F.when(F.col("article_id") % 97 != 0, F.col("published_at")).alias("published_at"),
+                unless("representative_id", 67, other=-1).alias("representative_id"),
+            ),
+            "article_chunks": self.chunks.select(
+                unless("chunk_id", 53, "chunk_id", 1).alias("chunk_id"),
+                unless("article_id", 61, "chunk_id", 10**9).alias("article_id"),
+                "chunk_index",
+                unless("content", 59, "chunk_id").alias("content"),
+            ),
+            "users": self.users.select(
+                "user_id",
+                F.concat(F.lit("u"), (u - u % 3).cast("string")).alias("email"),
+                F.when(u % 11 != 0, F.lit("-")).alias("password_hash"),
+            ),
+            "user_category_prefs": self.prefs.unionByName(doubled).select(
+                "pref_id",
+                unless("user_id", 43, "pref_id", 10**9).alias("user_id"),
+                unless("category_id", 47, "pref_id", 80).alias("category_id"),
+                unless("weight", 37, "pref_id", 11).alias("weight"),
+            ),
+            "chat_sessions": self.chat_sessions.select(
+                "session_id",
+                F.when(session.cast("bigint") % 5 == 0, F.lit(-5).cast("bigint"))
+                .otherwise(F.col("user_id")).alias("user_id"),
+            ),
+            "chat_history": self.chat_history.select(
+                "chat_id",
+                unless("session_id", 53, "chat_id", "gone").alias("session_id"),
+                unless("role", 29, "chat_id").alias("role"),
+                "message",
+                "created_at",
+            ),
+            "chat_sources": self.chat_history.select(
+                chat.alias("id"),
+                unless("chat_id", 31, "chat_id", -1).alias("chat_id"),
+                (chat % 2000).alias("article_id"),
+                F.lit(1).alias("rank"),
+                F.when(chat % 23 != 0, F.lit(0.5)).alias("similarity"),
+            ),
+        }
+
     @cached_property
     def questions(self) -> DataFrame:
         """Each session's last user message, asked again."""

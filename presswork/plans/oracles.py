@@ -426,6 +426,11 @@ JOIN news_sources ON source_id - 1 = n * 7919 % (SELECT count(*) FROM news_sourc
             "ORDER BY published_at DESC, article_id LIMIT 5000",
             _CHUNKED,
         ),
+        "newest_unprocessed_cut": _with(
+            "SELECT article_id, published_at FROM waiting "
+            "ORDER BY published_at DESC, article_id LIMIT 10",
+            _CHUNKED,
+        ),
         "chunk_documents": _with("SELECT * FROM chunked", _CHUNKED),
         "embed_chunks": _with(
             "SELECT article_id, chunk_index, 768 AS dimensions, 1.0::DOUBLE AS norm FROM chunked",
@@ -554,6 +559,7 @@ LEFT JOIN (SELECT session_id, string_agg('[' || upper(role) || ']' || chr(10) ||
         ),
         "chat_history_last_n": _with(last.format(n=6)),
         "chat_history_shown": _with(last.format(n=50)),
+        "chat_history_cut": _with(last.format(n=4)),
         "chat_turn_batch": _with(
             """SELECT (SELECT max(chat_id) FROM chat_history) + row_number() OVER (
     ORDER BY md5(session_id || chr(31) || '2024-01-31 12:00:00' || chr(31) || 'user' || chr(31) || question)) AS chat_id,
@@ -594,8 +600,106 @@ FROM latest WHERE (user_id, category_id) NOT IN (SELECT user_id, category_id FRO
     }
 
 
+# The tables with planted violations, and what each constraint must find in them.
+_BROKEN = """
+b_categories AS (
+  SELECT category_id, name FROM categories
+  UNION ALL VALUES (1, 'xx'), (9, 'de'), (8, NULL)),
+b_news_sources AS (
+  SELECT source_id, CASE WHEN source_id % 13 = 0 THEN 99 ELSE category_id END AS category_id, name,
+         CASE WHEN source_id % 7 <> 0 THEN 'http://feeds.example/' || (source_id - source_id % 2) END AS rss_url
+  FROM news_sources),
+b_articles AS (
+  SELECT article_id, CASE WHEN article_id % 83 = 0 THEN 0 ELSE source_id END AS source_id,
+         CASE WHEN article_id % 71 = 0 THEN 77 ELSE category_id END AS category_id,
+         CASE WHEN article_id % 89 <> 0 THEN title END AS title,
+         CASE WHEN article_id % 10 = 9 THEN 'http://news.example/again' ELSE url END AS url,
+         CASE WHEN article_id % 97 <> 0 THEN published_at END AS published_at,
+         CASE WHEN article_id % 67 = 0 THEN -1 ELSE representative_id END AS representative_id
+  FROM articles),
+b_article_chunks AS (
+  SELECT CASE WHEN chunk_id % 53 = 0 THEN 1 ELSE chunk_id END AS chunk_id,
+         CASE WHEN chunk_id % 61 = 0 THEN 1000000000 ELSE article_id END AS article_id, chunk_index,
+         CASE WHEN chunk_id % 59 <> 0 THEN content END AS content
+  FROM article_chunks),
+b_users AS (
+  SELECT user_id, 'u' || (user_id - user_id % 3) AS email,
+         CASE WHEN user_id % 11 <> 0 THEN '-' END AS password_hash FROM users),
+b_user_category_prefs AS (
+  SELECT pref_id, CASE WHEN pref_id % 43 = 0 THEN 1000000000 ELSE user_id END AS user_id,
+         CASE WHEN pref_id % 47 = 0 THEN 80 ELSE category_id END AS category_id,
+         CASE WHEN pref_id % 37 = 0 THEN 11 ELSE weight END AS weight
+  FROM (SELECT * FROM prefs UNION ALL
+        SELECT pref_id + 1000000, user_id, category_id, weight FROM prefs WHERE pref_id % 41 = 0)),
+b_chat_sessions AS (
+  SELECT session_id, CASE WHEN CAST(session_id AS BIGINT) % 5 = 0 THEN -5 ELSE user_id END AS user_id
+  FROM chat_sessions),
+b_chat_history AS (
+  SELECT chat_id, CASE WHEN chat_id % 53 = 0 THEN 'gone' ELSE session_id END AS session_id,
+         CASE WHEN chat_id % 29 <> 0 THEN role END AS role, message, created_at
+  FROM chat_history),
+b_chat_sources AS (
+  SELECT chat_id AS id, CASE WHEN chat_id % 31 = 0 THEN -1 ELSE chat_id END AS chat_id,
+         chat_id % 2000 AS article_id, 1 AS rank, CASE WHEN chat_id % 23 <> 0 THEN 0.5 END AS similarity
+  FROM chat_history)"""
+
+_REQUIRED = {
+    "categories": "category_id name",
+    "news_sources": "source_id category_id name rss_url",
+    "articles": "article_id source_id category_id title url published_at",
+    "article_chunks": "chunk_id article_id chunk_index content",
+    "users": "user_id email password_hash",
+    "user_category_prefs": "pref_id user_id category_id weight",
+    "chat_sessions": "session_id user_id",
+    "chat_history": "chat_id session_id role message",
+    "chat_sources": "id chat_id article_id rank similarity",
+}
+_KEYS = """categories.category_id categories.name news_sources.source_id news_sources.rss_url
+articles.article_id articles.url article_chunks.chunk_id users.user_id users.email
+user_category_prefs.pref_id user_category_prefs.user_id,category_id chat_sessions.session_id
+chat_history.chat_id chat_sources.id"""
+_PARENTS = """news_sources.category_id>categories.category_id articles.source_id>news_sources.source_id
+articles.category_id>categories.category_id articles.representative_id>articles.article_id
+article_chunks.article_id>articles.article_id user_category_prefs.user_id>users.user_id
+user_category_prefs.category_id>categories.category_id chat_sessions.user_id>users.user_id
+chat_history.session_id>chat_sessions.session_id chat_sources.chat_id>chat_history.chat_id
+chat_sources.article_id>articles.article_id"""
+
+
+def _constraints() -> str:
+    def row(kind, table, columns, count, source):
+        return (
+            f"SELECT '{kind}' AS kind, '{table}' AS \"table\", '{columns}' AS columns, "
+            f"CAST({count} AS BIGINT) AS n_rows FROM {source}"
+        )
+
+    out = [
+        row("required", t, c, f"count_if({c} IS NULL)", f"b_{t}")
+        for t, columns in _REQUIRED.items()
+        for c in columns.split()
+    ]
+    for key in _KEYS.split():
+        t, columns = key.split(".")
+        present = " AND ".join(f"{c} IS NOT NULL" for c in columns.split(","))
+        out.append(
+            row("unique", t, columns, "count(*) - (SELECT count(*) FROM "
+                f"(SELECT DISTINCT {columns} FROM b_{t} WHERE {present}))", f"b_{t} WHERE {present}")
+        )
+    for link in _PARENTS.split():
+        child, parent = (x.split(".") for x in link.split(">"))
+        out.append(
+            row("reference", *child, "count(*)", f"b_{child[0]} x WHERE {child[1]} IS NOT NULL AND NOT EXISTS "
+                f"(SELECT 1 FROM b_{parent[0]} p WHERE p.{parent[1]} = x.{child[1]})")
+        )
+    out.append(
+        row("range", "user_category_prefs", "weight", "count_if(weight NOT BETWEEN 1 AND 10)", "b_user_category_prefs")
+    )
+    return _with(" UNION ALL ".join(out), _BROKEN)
+
+
 def audits() -> dict[str, str]:
     return {
+        "audit_constraints": _constraints(),
         "audit_unique": _with(
             "SELECT link, count(*) AS n_rows FROM feed_items GROUP BY link HAVING count(*) > 1"
         ),

@@ -221,6 +221,12 @@ def newest_unprocessed(t: NewsTables) -> DataFrame:
     return ingest.newest_unprocessed(t.articles).select("article_id", "published_at")
 
 
+@query
+def newest_unprocessed_cut(t: NewsTables) -> DataFrame:
+    """Fewer articles than there are, so that the cut is met."""
+    return ingest.newest_unprocessed(t.articles, 10).select("article_id", "published_at")
+
+
 @query
 def chunk_documents(t: NewsTables) -> DataFrame:
     return chunking.chunk_articles(t.articles)
@@ -408,6 +414,12 @@ def chat_history_shown(t: NewsTables) -> DataFrame:
     return chat.last_messages(t.chat_history, chat.SHOWN_MESSAGES)
 
 
+@query
+def chat_history_cut(t: NewsTables) -> DataFrame:
+    """Fewer messages than the longest conversations have, so that the cut is met."""
+    return chat.last_messages(t.chat_history, 4)
+
+
 @query
 def chat_turn_batch(t: NewsTables) -> DataFrame:
     asked = t.questions.select(
@@ -486,6 +498,12 @@ def audit_ranges(t: NewsTables) -> DataFrame:
     return prefs.unionByName(items)
 
 
+@query
+def audit_constraints(t: NewsTables) -> DataFrame:
+    # Each table is read by several checks.
+    return audit.check_constraints({n: stored(df, n) for n, df in t.broken_tables.items()})
+
+
 # --- streams -----------------------------------------------------------------
 
 

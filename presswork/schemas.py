@@ -81,3 +81,42 @@ CHAT_SOURCES = _table(
     ("rank", _I, False),
     ("similarity", _D, False),
 )
+
+TABLES = {
+    "categories": CATEGORIES,
+    "news_sources": NEWS_SOURCES,
+    "articles": ARTICLES,
+    "article_chunks": ARTICLE_CHUNKS,
+    "users": USERS,
+    "user_category_prefs": USER_CATEGORY_PREFS,
+    "chat_sessions": CHAT_SESSIONS,
+    "chat_history": CHAT_HISTORY,
+    "chat_sources": CHAT_SOURCES,
+}
+
+# Primary keys are the first columns; these are unique besides.
+UNIQUE = {
+    "categories": [("name",)],
+    "news_sources": [("rss_url",)],
+    "articles": [("url",)],
+    "users": [("email",)],
+    "user_category_prefs": [("user_id", "category_id")],
+}
+
+# (table, column, table referred to, its column)
+REFERENCES = [
+    ("news_sources", "category_id", "categories", "category_id"),
+    ("articles", "source_id", "news_sources", "source_id"),
+    ("articles", "category_id", "categories", "category_id"),
+    ("articles", "representative_id", "articles", "article_id"),
+    ("article_chunks", "article_id", "articles", "article_id"),
+    ("user_category_prefs", "user_id", "users", "user_id"),
+    ("user_category_prefs", "category_id", "categories", "category_id"),
+    ("chat_sessions", "user_id", "users", "user_id"),
+    ("chat_history", "session_id", "chat_sessions", "session_id"),
+    ("chat_sources", "chat_id", "chat_history", "chat_id"),
+    ("chat_sources", "article_id", "articles", "article_id"),
+]
+
+# (table, column, lowest, highest)
+RANGES = [("user_category_prefs", "weight", 1, 10)]
