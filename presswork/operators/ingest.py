@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.text import strip
 from presswork.operators.joins import absent_from, assign_ids, top_per_group
-from presswork.session import stored
+from presswork.session import ntz, stored
 
 # Shortest description accepted at ingest, and for embedding.
 MIN_DESCRIPTION = 50
@@ -44,9 +45,10 @@ def first_per_url(items: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 def insert_if_absent(
-    items: DataFrame, articles: DataFrame, order: Sequence[Column]
+    items: DataFrame, articles: DataFrame, order: Sequence[Column], as_of: datetime
 ) -> DataFrame:
-    """New article rows: valid entries whose url is neither stored nor earlier in the batch.
+    """New article rows, created at ``as_of``: valid entries whose url is neither stored nor
+    earlier in the batch.
 
     The cleaned batch is stored once; looking up urls and numbering rows read it again.
     """
@@ -63,6 +65,7 @@ def insert_if_absent(
         F.lit(False).alias("is_processed"),
         F.lit(False).alias("is_duplicate"),
         F.lit(None).cast("bigint").alias("representative_id"),
+        ntz(as_of).alias("created_at"),
     )
 
 

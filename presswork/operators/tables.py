@@ -6,11 +6,13 @@ messages and sources adds rows each time; run these once per batch.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.operators.joins import absent_from, assign_ids, checked_broadcast, top_per_group
-from presswork.session import cut_lineage, stored
+from presswork.session import cut_lineage, ntz, stored
 
 
 def mark_processed(articles: DataFrame, processed: DataFrame) -> DataFrame:
@@ -45,14 +47,16 @@ def apply_duplicates(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def append_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows to append: chunks whose (article, index) is not stored, numbered onwards.
+def append_chunks(chunks: DataFrame, new: DataFrame, as_of: datetime) -> DataFrame:
+    """Rows to append, created at ``as_of``: chunks whose (article, index) is not stored,
+    numbered onwards.
 
     The new chunks are stored once; looking them up and numbering read them again.
     """
     key = ["article_id", "chunk_index"]
     new = stored(new, "new-chunks")
-    return assign_ids(absent_from(new, chunks, key), key, "chunk_id", chunks)
+    added = assign_ids(absent_from(new, chunks, key), key, "chunk_id", chunks)
+    return added.withColumn("created_at", ntz(as_of))
 
 
 def embedding_backlog(chunks: DataFrame) -> DataFrame:
@@ -73,10 +77,11 @@ def write_embeddings(chunks: DataFrame, encoded: DataFrame) -> DataFrame:
     )
 
 
-def upsert_prefs(prefs: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_prefs(prefs: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
     """Set weights from (user_id, category_id, weight, seq); the highest ``seq`` wins.
 
-    Known pairs keep their ``pref_id``, new ones are numbered onwards.
+    Known pairs keep their ``pref_id`` and creation time, new ones are numbered onwards and
+    created at ``as_of``.
     """
     key = ["user_id", "category_id"]
     last = cut_lineage(
@@ -91,9 +96,19 @@ def upsert_prefs(prefs: DataFrame, changes: DataFrame) -> DataFrame:
         ]
     )
     added = assign_ids(absent_from(last, prefs, key), key, "pref_id", prefs)
-    return kept.unionByName(
-        added.withColumnRenamed("_weight", "weight"), allowMissingColumns=True
-    )
+    added = added.withColumnRenamed("_weight", "weight")
+    if "created_at" in prefs.columns:
+        added = added.withColumn("created_at", ntz(as_of))
+    return kept.unionByName(added)
+
+
+def changed_articles(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of ``after`` whose flags or representative differ from ``before``, whole."""
+    flags = ["is_processed", "is_duplicate", "representative_id"]
+    old = before.select("article_id", F.struct(*flags).alias("_old"))
+    new = after.withColumn("_new", F.struct(*flags))
+    different = ~F.col("_new").eqNullSafe(F.col("_old"))
+    return new.join(old, "article_id", "left").filter(different).drop("_old", "_new")
 
 
 def upsert_sessions(sessions: DataFrame, touches: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ def judge_entries(
     return with_reject_reason(parse_items(with_section(items, sources), chosen))
 
 
-def new_articles(judged: DataFrame, articles: DataFrame) -> DataFrame:
-    return insert_if_absent(valid(judged), articles, [F.asc(c) for c in FIRST_WINS])
+def new_articles(judged: DataFrame, articles: DataFrame, as_of: datetime) -> DataFrame:
+    return insert_if_absent(valid(judged), articles, [F.asc(c) for c in FIRST_WINS], as_of)
 
 
 def collect_feeds(
@@ -35,9 +36,10 @@ def collect_feeds(
     path: str,
     sources: DataFrame,
     articles: DataFrame,
+    as_of: datetime,
     content_first: Sequence[int] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(article rows to append, total / saved / skipped per source)."""
     judged = judge_entries(read_feed_files(spark, path), sources, content_first)
-    added = stored(new_articles(judged, articles), "new-articles")
+    added = stored(new_articles(judged, articles, as_of), "new-articles")
     return added, ingest_stats(judged, added)

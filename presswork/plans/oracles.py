@@ -231,7 +231,8 @@ judged AS (
   FROM parsed)"""
 
 _NEW_COLUMNS = """url, title, description, source_id, category_id, published_at,
-  false AS is_processed, false AS is_duplicate, CAST(NULL AS VARCHAR) AS representative_id"""
+  false AS is_processed, false AS is_duplicate, CAST(NULL AS VARCHAR) AS representative_id,
+  TIMESTAMP '2024-01-31' AS created_at"""
 
 
 def _insert(order: str, stored: str, base: str) -> str:
@@ -302,7 +303,7 @@ _APPENDED = """
 appended AS (
   SELECT *, (SELECT max(chunk_id) FROM article_chunks)
     + row_number() OVER (ORDER BY md5(article_id || chr(31) || chunk_index), article_id, chunk_index)
-      AS chunk_id
+      AS chunk_id, TIMESTAMP '2024-01-31' AS created_at
   FROM chunked WHERE article_id IN (SELECT article_id FROM waiting)
     AND (article_id, chunk_index) NOT IN (SELECT article_id, chunk_index FROM article_chunks))"""
 
@@ -585,12 +586,13 @@ FROM chat_sessions"""
 FROM prefs JOIN categories USING (category_id)"""
         ),
         "upsert_prefs": _with(
-            """SELECT p.pref_id, p.user_id, p.category_id, coalesce(l.weight, p.weight) AS weight
+            """SELECT p.pref_id, p.user_id, p.category_id, coalesce(l.weight, p.weight) AS weight,
+  TIMESTAMP '2024-01-30' AS created_at
 FROM prefs p LEFT JOIN latest l USING (user_id, category_id)
 UNION ALL
 SELECT (SELECT max(pref_id) FROM prefs) + row_number() OVER (
     ORDER BY md5(user_id || chr(31) || category_id), user_id, category_id),
-  user_id, category_id, weight
+  user_id, category_id, weight, TIMESTAMP '2024-01-31'
 FROM latest WHERE (user_id, category_id) NOT IN (SELECT user_id, category_id FROM prefs)""",
             """latest AS (
   SELECT user_id, CAST(1 + event_id % 4 AS INT) AS category_id,
@@ -730,20 +732,27 @@ def streams() -> dict[str, str]:
 FROM chunked WHERE article_id IN (SELECT article_id FROM waiting)""",
             _CHUNKED,
         ),
-        "live_feed_batch": _with(
-            """SELECT user_id, false AS heartbeat,
-  CAST((row_number() OVER (PARTITION BY user_id ORDER BY n.published_at DESC, article_id) - 1)
+        "live_feed_batch": _live_feed("2024-01-30"),
+        "live_feed_quiet": _live_feed("2024-01-30 21:00:00"),
+    }
+
+
+def _live_feed(since: str) -> str:
+    return _with(
+        f"""SELECT user_id, false AS heartbeat,
+  CAST((row_number() OVER (PARTITION BY user_id ORDER BY n.published_at DESC, n.article_id) - 1)
        % 100 AS VARCHAR) AS pos,
-  CAST(article_id AS VARCHAR) AS article_id,
+  CAST(n.article_id AS VARCHAR) AS article_id, title, description, url,
   strftime(n.published_at, '%Y-%m-%dT%H:%M:%S') AS published_at,
+  {_ago('n.published_at')} AS published_ago, category_name, source_name,
+  CAST(NULL AS VARCHAR) AS press_count, CAST(NULL AS DOUBLE) AS similarity,
   CAST(weight AS VARCHAR) AS category_weight
 FROM prefs JOIN news n USING (category_id)
 UNION ALL
-SELECT DISTINCT user_id, true, NULL, NULL, NULL, NULL
+SELECT DISTINCT user_id, true, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM prefs WHERE user_id NOT IN (SELECT user_id FROM prefs JOIN news USING (category_id))""",
-            "news AS (SELECT * FROM servable WHERE published_at > TIMESTAMP '2024-01-30')",
-        ),
-    }
+        f"news AS (SELECT * FROM servable WHERE published_at > TIMESTAMP '{since}')",
+    )
 
 
 def oracle_sql() -> dict[str, str]:

@@ -184,7 +184,7 @@ def _stored_articles(t: NewsTables) -> DataFrame:
 
 def _inserted(t: NewsTables) -> DataFrame:
     return ingest.insert_if_absent(
-        ingest.valid(t.parsed_items), _stored_articles(t), [F.asc("item_id")]
+        ingest.valid(t.parsed_items), _stored_articles(t), [F.asc("item_id")], AS_OF
     )
 
 
@@ -246,7 +246,7 @@ def embed_chunks(t: NewsTables) -> DataFrame:
 @query
 def append_chunks(t: NewsTables) -> DataFrame:
     new = chunking.chunk_articles(ingest.awaiting_embedding(t.articles))
-    return tables.append_chunks(t.chunks, new)
+    return tables.append_chunks(t.chunks, new, AS_OF)
 
 
 @query
@@ -470,7 +470,8 @@ def upsert_prefs(t: NewsTables) -> DataFrame:
         (1 + e % 10).cast("int").alias("weight"),
         e.alias("seq"),
     )
-    return tables.upsert_prefs(t.prefs, changes)
+    prefs = t.prefs.withColumn("created_at", ntz(YESTERDAY))
+    return tables.upsert_prefs(prefs, changes, AS_OF)
 
 
 # --- audits ------------------------------------------------------------------
@@ -512,7 +513,7 @@ def stream_ingest_dedup(t: NewsTables) -> DataFrame:
     out, state = (scratch_path(t.spark, n) for n in ("stream-articles", "stream-state"))
     even = [r.source_id for r in t.news_sources.filter("source_id % 2 = 0").collect()]
     jobs.stream_ingest(
-        t.spark, _landed(t), t.news_sources, out, state, content_first=even
+        t.spark, _landed(t), t.news_sources, out, state, lambda: AS_OF, content_first=even
     ).awaitTermination()
     return _nulls_as_text(t.spark.read.parquet(out), "representative_id")
 
@@ -521,23 +522,29 @@ def stream_ingest_dedup(t: NewsTables) -> DataFrame:
 def stream_chunk(t: NewsTables) -> DataFrame:
     stored, out, state = (scratch_path(t.spark, n) for n in ("articles", "chunks", "state"))
     t.articles.write.parquet(stored)
-    jobs.stream_chunks(t.spark, stored, t.articles.schema, out, state).awaitTermination()
+    jobs.stream_chunks(
+        t.spark, stored, t.articles.schema, out, state, lambda: AS_OF
+    ).awaitTermination()
     return t.spark.read.parquet(out).select("chunk_id", "article_id", "chunk_index", "content")
 
 
-@query
-def live_feed_batch(t: NewsTables) -> DataFrame:
+def _pushed(t: NewsTables, since) -> DataFrame:
+    """All card fields and heartbeats of one poll of the live feed."""
     stored, out, state = (scratch_path(t.spark, n) for n in ("articles", "live", "state"))
     t.articles.write.parquet(stored)
-    jobs.stream_live_feed(
-        t.spark, stored, t.articles.schema, t.categories, t.news_sources, t.prefs, out, state,
-        since=YESTERDAY, now=lambda: AS_OF, poll=None,
-    ).awaitTermination()
-    messages = t.spark.read.schema(
-        "user_id bigint, part bigint, payload string, batch int"
-    ).json(out)
+    jobs.push_once(
+        t.prefs, out, 0, spark=t.spark, articles_path=stored, schema=t.articles.schema,
+        categories=t.categories, sources=t.news_sources, checkpoint=state, since=since,
+        now=lambda: AS_OF,
+    )
+    messages = t.spark.read.schema("user_id bigint, part bigint, payload string").json(
+        f"{out}/*", recursiveFileLookup=True
+    )
     cards = F.from_json(
-        "payload", "array<struct<article_id:bigint,published_at:string,category_weight:int>>"
+        "payload",
+        "array<struct<article_id:bigint,title:string,description:string,url:string,"
+        "published_at:string,published_ago:string,category_name:string,source_name:string,"
+        "press_count:bigint,similarity:double,category_weight:int>>",
     )
     is_idle = F.col("payload") == jobs.HEARTBEAT
     pushed = messages.select(
@@ -545,4 +552,15 @@ def live_feed_batch(t: NewsTables) -> DataFrame:
         is_idle.alias("heartbeat"),
         F.posexplode_outer(F.when(~is_idle, cards)).alias("pos", "card"),
     ).select("user_id", "heartbeat", "pos", "card.*")
-    return _nulls_as_text(pushed, "pos", "article_id", "category_weight")
+    return _nulls_as_text(pushed, "pos", "article_id", "press_count", "category_weight")
+
+
+@query
+def live_feed_batch(t: NewsTables) -> DataFrame:
+    return _pushed(t, YESTERDAY)
+
+
+@query
+def live_feed_quiet(t: NewsTables) -> DataFrame:
+    """So little news that most users get the heartbeat."""
+    return _pushed(t, "2024-01-30 21:00:00")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_SCOPE = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,10 +36,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/presswork/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written intermediate table."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/presswork/{app}/{name}-{uuid.uuid4().hex}"
+    scope = getattr(_SCOPE, "name", "tables")
+    return f"{_scratch_root(spark)}/{scope}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Intermediate tables made inside, in this thread, are deleted at the end.
+
+    For work that has stored its results when the block ends, such as a micro-batch.
+    """
+    before = getattr(_SCOPE, "name", "tables")
+    _SCOPE.name = f"scope-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        _delete(spark, f"{_scratch_root(spark)}/{_SCOPE.name}")
+        _SCOPE.name = before
 
 
 def cut_lineage(df):
@@ -58,7 +80,10 @@ def stored(df, name: str):
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when their readers are done."""
-    path = f"{shared_folder(spark)}/presswork/{spark.sparkContext.applicationId}"
+    _delete(spark, _scratch_root(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

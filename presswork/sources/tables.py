@@ -5,31 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.session import stored
 
-def save_articles(articles: DataFrame, path: str) -> None:
+
+def _by_day(articles: DataFrame, files_per_day: int):
+    """A writer of the day layout."""
+    return (
+        articles.withColumn("published_day", F.to_date("published_at"))
+        .repartition("published_day", F.pmod(F.xxhash64("article_id"), F.lit(files_per_day)))
+        .sortWithinPartitions("published_day", "published_at")
+        .write.partitionBy("published_day")
+    )
+
+
+def save_articles(articles: DataFrame, path: str, files_per_day: int = 16) -> None:
     """Parquet by day of publication, sorted by time inside a file.
 
     Feeds and the duplicate window filter on ``published_at``: a day folder bounds what
     is read and the row-group ranges bound it further.
     """
-    (
-        articles.withColumn("published_day", F.to_date("published_at"))
-        .repartition("published_day", F.pmod(F.xxhash64("article_id"), F.lit(16)))
-        .sortWithinPartitions("published_day", "published_at")
-        .write.partitionBy("published_day")
-        .parquet(path)
+    _by_day(articles, files_per_day).parquet(path)
+
+
+def update_articles(spark: SparkSession, path: str, changed: DataFrame, files_per_day: int = 16):
+    """Put changed rows, and new ones, into a table of ``save_articles``.
+
+    Only the day folders in which a row changes are rewritten; all others keep their files.
+    A changed row replaces the one with its article_id and must have its publication time.
+    The new contents of the days are stored first, so a run that fails before the last step
+    has changed nothing and can be run again.
+    """
+    rows = stored(changed.withColumn("published_day", F.to_date("published_at")), "changed")
+    days = rows.select("published_day").distinct()
+    kept = (
+        spark.read.parquet(path)
+        .join(days, "published_day", "left_semi")
+        .join(rows.select("published_day", "article_id"), ["published_day", "article_id"], "left_anti")
     )
+    whole = stored(kept.unionByName(rows).drop("published_day"), "rewritten-days")
+    writer = _by_day(whole, files_per_day).mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def save_chunks(chunks: DataFrame, path: str) -> None:
+def save_chunks(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet with first chunks in a folder of their own (``first_chunk=1``).
 
     Duplicate detection reads only the first chunk of an article, which is a small part
-    of all vectors.
+    of all vectors. New chunks are added with mode ``append``; nothing is rewritten.
     """
     (
         chunks.withColumn("first_chunk", (F.col("chunk_index") == 0).cast("int"))
         .write.partitionBy("first_chunk")
+        .mode(mode)
         .parquet(path)
     )
 

@@ -30,6 +30,7 @@ from presswork.operators.ingest import awaiting_embedding
 from presswork.operators.joins import join_hot_key
 from presswork.operators.tables import append_chunks
 from presswork.plans.collect import judge_entries, new_articles
+from presswork.session import scratch_scope, stored
 from presswork.sources.rss import read_feed_files
 
 # How often the live feed looks for news, and the idle message.
@@ -41,10 +42,11 @@ EVENT_ARTICLES = 100
 STORED_ARTICLES = (
     "article_id bigint, source_id int, category_id int, title string, description string, "
     "url string, published_at timestamp_ntz, is_processed boolean, is_duplicate boolean, "
-    "representative_id bigint"
+    "representative_id bigint, created_at timestamp_ntz"
 )
 STORED_CHUNKS = (
-    "article_id bigint, chunk_index int, content string, embedding array<float>, chunk_id bigint"
+    "article_id bigint, chunk_index int, content string, embedding array<float>, "
+    "chunk_id bigint, created_at timestamp_ntz"
 )
 
 
@@ -71,10 +73,11 @@ def stream_ingest(
     sources: DataFrame,
     out_path: str,
     checkpoint: str,
+    now: Callable[[], datetime],
     content_first: Sequence[int] = (),
     poll: str | None = None,
 ) -> StreamingQuery:
-    """Append new articles from feed files as they land.
+    """Append new articles from feed files as they land, created at ``now()``.
 
     A url is unique for good: each batch is checked against all that is stored. A
     watermark would bound that check but also drop articles that arrive late.
@@ -82,9 +85,11 @@ def stream_ingest(
     items = read_feed_files(spark, feed_path, streaming=True)
 
     def sink(batch: DataFrame, _: int) -> None:
-        stored = _stored(batch.sparkSession, out_path, STORED_ARTICLES)
-        judged = judge_entries(batch, sources, content_first)
-        new_articles(judged, stored).write.mode("append").parquet(out_path)
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            known = _stored(spark, out_path, STORED_ARTICLES)
+            judged = judge_entries(batch, sources, content_first)
+            new_articles(judged, known, now()).write.mode("append").parquet(out_path)
 
     return _start(items, sink, checkpoint, poll)
 
@@ -95,6 +100,7 @@ def stream_chunks(
     schema: StructType,
     out_path: str,
     checkpoint: str,
+    now: Callable[[], datetime],
     encoder: EncoderSpec = HASHED,
     poll: str | None = None,
 ) -> StreamingQuery:
@@ -102,9 +108,11 @@ def stream_chunks(
     rows = awaiting_embedding(spark.readStream.schema(schema).parquet(articles_path))
 
     def sink(batch: DataFrame, _: int) -> None:
-        stored = _stored(batch.sparkSession, out_path, STORED_CHUNKS)
-        new = append_chunks(stored, chunk_articles(batch))
-        embed(new, "content", spec=encoder).write.mode("append").parquet(out_path)
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            known = _stored(spark, out_path, STORED_CHUNKS)
+            new = append_chunks(known, chunk_articles(batch), now())
+            embed(new, "content", spec=encoder).write.mode("append").parquet(out_path)
 
     return _start(rows, sink, checkpoint, poll)
 
@@ -138,12 +146,9 @@ def live_messages(
             ).alias("payload")
         )
     )
-    idle = (
-        prefs.select("user_id")
-        .distinct()
-        .join(full.select("user_id").distinct(), "user_id", "left_anti")
-        .select("user_id", F.lit(1).cast("bigint").alias("part"), F.lit(HEARTBEAT).alias("payload"))
-    )
+    # Messages are read twice: to be sent, and to see who gets none.
+    full = stored(full, "messages")
+    idle = heartbeats(prefs).join(full.select("user_id").distinct(), "user_id", "left_anti")
     return full.unionByName(idle)
 
 
@@ -170,7 +175,30 @@ def stream_live_feed(
     rows = published_after(rows, since)
 
     def sink(batch: DataFrame, number: int) -> None:
-        messages = live_messages(batch, categories, sources, prefs, now())
-        messages.write.mode("overwrite").json(f"{out_path}/batch={number}")
+        with scratch_scope(batch.sparkSession):
+            messages = live_messages(batch, categories, sources, prefs, now())
+            messages.write.mode("overwrite").json(f"{out_path}/batch={number}")
 
     return _start(rows, sink, checkpoint, poll)
+
+
+def heartbeats(prefs: DataFrame) -> DataFrame:
+    """The idle message for every user with preferences."""
+    return prefs.select("user_id").distinct().select(
+        "user_id", F.lit(1).cast("bigint").alias("part"), F.lit(HEARTBEAT).alias("payload")
+    )
+
+
+def push_once(prefs: DataFrame, out_path: str, number: int, **feed) -> bool:
+    """One poll of the live feed; False if nothing had arrived.
+
+    A stream runs no batch when no file arrived, so a quiet poll writes its heartbeats
+    here, below ``out_path/idle=<number>``. The other arguments are those of
+    ``stream_live_feed``; a caller polls by calling this every ``POLL``.
+    """
+    query = stream_live_feed(prefs=prefs, out_path=out_path, poll=None, **feed)
+    query.awaitTermination()
+    if any(p.numInputRows for p in query.recentProgress):
+        return True
+    heartbeats(prefs).write.mode("overwrite").json(f"{out_path}/idle={number}")
+    return False

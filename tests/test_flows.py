@@ -28,7 +28,7 @@ def test_collect(spark, tmp_path):
          + entry("e", "u5", good, body) + "</channel></rss>")
     sources = spark.createDataFrame([(1, 1), (2, 2)], "source_id int, category_id int")
     stored = spark.createDataFrame([(100, "u3")], "article_id long, url string")
-    added, stats = collect_feeds(spark, str(tmp_path), sources, stored)
+    added, stats = collect_feeds(spark, str(tmp_path), sources, stored, NOW)
     assert {(r.url, r.source_id, r.category_id) for r in added.collect()} == {("u1", 1, 1), ("u5", 2, 2)}
     assert sorted(r.article_id for r in added.collect()) == [101, 102]
     assert sorted(map(tuple, stats.collect())) == [(1, 3, 1, 2), (2, 3, 1, 2)]

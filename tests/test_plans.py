@@ -1,5 +1,6 @@
 """Plan shapes, partition independence, the hourly run and the shared folder."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,8 +11,9 @@ from presswork import session
 from presswork.functions.encoder import EncoderSpec, HashedNgrams
 from presswork.operators import feed, ingest
 from presswork.operators.joins import top_per_group
-from presswork.plans.hourly import run_hourly
-from presswork.schemas import ARTICLES
+from presswork.plans.hourly import run_hourly, store_hourly
+from presswork.schemas import ARTICLE_CHUNKS, ARTICLES
+from presswork.sources.tables import save_articles, save_chunks
 from tests.compare import _cell
 
 SF = "/root/testdata/sf0.001"
@@ -93,9 +95,36 @@ def test_hourly_run(spark):
     assert {(i, r.representative_id) for i, r in state.items() if r.is_duplicate} == {(2, 1)}
     assert first.new_chunks.select("article_id", "chunk_index").distinct().count() == first.new_chunks.count()
     assert first.articles.columns == articles.columns and len(state) == 6
+    assert {r.article_id for r in first.changed.collect()} == {1, 2, 3, 4, 5}
     assert run_hourly(first.articles, first.new_chunks, now) is None
 
 
+def test_hourly_run_is_stored_and_can_be_repeated(spark, tmp_path):
+    now = datetime(2024, 3, 1, 12)
+    text = "The council agreed on a new budget for schools after a long debate. " * 3
+    old = [(i, 1, 1, "Old", text, f"o{i}", now - timedelta(days=9, hours=i), True, False, None, now) for i in (1, 2)]
+    new = [(i, i, 1, "New", text, f"n{i}", now - timedelta(hours=i), False, False, None, now) for i in (3, 4)]
+    articles, chunks = str(tmp_path / "articles"), str(tmp_path / "chunks")
+    save_articles(spark.createDataFrame(old + new, ARTICLES), articles, files_per_day=2)
+    first = [(1, 1, 0, "An old chunk.", [1.0] + [0.0] * 63, now)]
+    save_chunks(spark.createDataFrame(first, ARTICLE_CHUNKS), chunks)
+    encoder = EncoderSpec(lambda: HashedNgrams(64))
+    kept = {f for f in os.listdir(articles) if "02-2" in f}
+    files = {f: sorted(os.listdir(f"{articles}/{f}")) for f in kept}
+
+    assert store_hourly(spark, articles, chunks, now, encoder=encoder)
+    state = {r.article_id: r for r in spark.read.parquet(articles).collect()}
+    assert len(state) == 4 and all(r.is_processed for r in state.values())
+    assert {(i, r.representative_id) for i, r in state.items() if r.is_duplicate} == {(3, 4)}
+    stored_chunks = spark.read.parquet(chunks)
+    n = stored_chunks.count()
+    assert n > 1 and {r[0] for r in stored_chunks.select("created_at").distinct().collect()} == {now}
+    assert not store_hourly(spark, articles, chunks, now, encoder=encoder)
+    assert spark.read.parquet(chunks).count() == n
+    # Days without a change keep their files.
+    assert files and {f: sorted(os.listdir(f"{articles}/{f}")) for f in kept} == files
+
+
 def test_shared_folder_follows_the_session(spark, monkeypatch, tmp_path):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:

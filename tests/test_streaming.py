@@ -1,10 +1,12 @@
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions.encoder import EncoderSpec, HashedNgrams
+from presswork.session import shared_folder
 from presswork.streaming import jobs
 from tests.test_sources import land
 
@@ -25,7 +27,7 @@ def test_ingest_keeps_late_articles_and_urls_unique(spark, tmp_path):
     sources = spark.createDataFrame([(1, 7, "p_s")], "source_id int, category_id int, name string")
 
     def run():
-        jobs.stream_ingest(spark, feeds, sources, out, state).awaitTermination()
+        jobs.stream_ingest(spark, feeds, sources, out, state, lambda: T0).awaitTermination()
         return {r.url: r for r in spark.read.parquet(out).collect()}
 
     land(tmp_path / "feeds", 1, feed(("one", "u1", "Fri, 01 Mar 2024 10:00:00 GMT"), ("bad", "u9", "never")), "a.xml")
@@ -40,6 +42,23 @@ def test_ingest_keeps_late_articles_and_urls_unique(spark, tmp_path):
     assert sorted(r.article_id for r in got.values()) == [1, 2]
     assert set(run()) == {"u1", "u2"}  # nothing new, nothing repeated
     assert spark.read.parquet(out).count() == 2
+    assert {r.created_at for r in got.values()} == {T0}
+
+
+def scratch_folders(spark):
+    root = f"{shared_folder(spark)}/presswork/{spark.sparkContext.applicationId}"
+    return {n for n in os.listdir(root.removeprefix("file:"))} if os.path.exists(root) else set()
+
+
+def test_micro_batches_leave_no_scratch(spark, tmp_path):
+    feeds, out, state = (str(tmp_path / n) for n in ("feeds", "out", "state"))
+    sources = spark.createDataFrame([(1, 7, "p_s")], "source_id int, category_id int, name string")
+    before = scratch_folders(spark)
+    for n in range(3):
+        land(tmp_path / "feeds", 1, feed((f"t{n}", f"u{n}", "Fri, 01 Mar 2024 10:00:00 GMT")), f"{n}.xml")
+        jobs.stream_ingest(spark, feeds, sources, out, state, lambda: T0).awaitTermination()
+    assert spark.read.parquet(out).count() == 3
+    assert scratch_folders(spark) == before
 
 
 ARTICLES = (
@@ -89,6 +108,25 @@ def test_live_feed(spark, tmp_path, dims):
     assert second[10] == {"type": "heartbeat"}
 
 
+def test_quiet_poll_sends_heartbeats(spark, tmp_path, dims):
+    stored, out, state = (str(tmp_path / n) for n in ("articles", "out", "state"))
+    categories, sources, prefs = dims
+    df = spark.createDataFrame([article(1, 1, 0)], ARTICLES)
+    df.write.parquet(stored)
+
+    def poll(number):
+        return jobs.push_once(
+            prefs, out, number, spark=spark, articles_path=stored, schema=df.schema,
+            categories=categories, sources=sources, checkpoint=state,
+            since=T0 - timedelta(days=1), now=lambda: T0,
+        )
+
+    assert poll(0) and not os.path.exists(f"{out}/idle=0")
+    assert not poll(1)
+    beats = spark.read.json(f"{out}/idle=1").collect()
+    assert {(r.user_id, r.payload) for r in beats} == {(10, jobs.HEARTBEAT), (11, jobs.HEARTBEAT)}
+
+
 def test_long_batches_are_split_into_messages(spark, dims, monkeypatch):
     monkeypatch.setattr(jobs, "EVENT_ARTICLES", 4)
     df = spark.createDataFrame([article(i, 1, i) for i in range(10)], ARTICLES)
@@ -106,7 +144,7 @@ def test_chunks_once(spark, tmp_path):
 
     def run(checkpoint):
         jobs.stream_chunks(
-            spark, stored, df.schema, out, checkpoint, encoder=EncoderSpec(lambda: HashedNgrams(16))
+            spark, stored, df.schema, out, checkpoint, now=lambda: T0, encoder=EncoderSpec(lambda: HashedNgrams(16))
         ).awaitTermination()
         return spark.read.parquet(out)
 

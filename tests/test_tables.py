@@ -5,7 +5,12 @@ from pyspark.sql import functions as F
 from presswork.operators import audit, ingest, joins, tables
 from presswork.schemas import CATEGORIES
 from presswork.sources import seeds
-from presswork.sources.tables import read_jdbc_range, save_articles, save_bucketed
+from presswork.sources.tables import (
+    read_jdbc_range,
+    save_articles,
+    save_bucketed,
+    update_articles,
+)
 
 T0 = datetime(2024, 1, 1)
 
@@ -39,11 +44,11 @@ def test_insert_if_absent(spark):
     )
     stored = spark.createDataFrame([(10, "b")], "article_id long, url string")
     judged = ingest.with_reject_reason(items)
-    new = ingest.insert_if_absent(ingest.valid(judged), stored, [F.asc("item_id")])
+    new = ingest.insert_if_absent(ingest.valid(judged), stored, [F.asc("item_id")], T0)
     assert {(r.url, r.title) for r in new.collect()} == {("a", "first"), ("c", "t")}
     assert sorted(r.article_id for r in new.collect()) == [11, 12]
     again = ingest.insert_if_absent(
-        ingest.valid(judged), stored.unionByName(new.select("article_id", "url")), [F.asc("item_id")]
+        ingest.valid(judged), stored.unionByName(new.select("article_id", "url")), [F.asc("item_id")], T0
     )
     assert again.count() == 0
     stats = ingest.ingest_stats(judged, new).collect()
@@ -65,10 +70,10 @@ def test_append_chunks_twice(spark):
     schema = "chunk_id long, article_id long, chunk_index int, content string"
     stored = spark.createDataFrame([(3, 1, 0, "x")], schema)
     new = spark.createDataFrame([(1, 0, "again"), (1, 1, "y"), (2, 0, "z")], "article_id long, chunk_index int, content string")
-    added = tables.append_chunks(stored, new)
+    added = tables.append_chunks(stored, new, T0)
     assert sorted((r.article_id, r.chunk_index) for r in added.collect()) == [(1, 1), (2, 0)]
     assert sorted(r.chunk_id for r in added.collect()) == [4, 5]
-    assert tables.append_chunks(stored.unionByName(added), new).count() == 0
+    assert tables.append_chunks(stored.unionByName(added.drop("created_at")), new, T0).count() == 0
 
 
 def test_mark_and_embed(spark):
@@ -85,11 +90,11 @@ def test_upsert_prefs(spark):
     changes = spark.createDataFrame(
         [(1, 1, 9, 0), (1, 1, 8, 1), (2, 1, 7, 2)], "user_id long, category_id int, weight int, seq long"
     )
-    once = tables.upsert_prefs(prefs, changes)
+    once = tables.upsert_prefs(prefs, changes, T0)
     assert {tuple(r[c] for c in ("pref_id", "user_id", "category_id", "weight")) for r in once.collect()} == {
         (5, 1, 1, 8), (6, 1, 2, 4), (7, 2, 1, 7)
     }
-    twice = tables.upsert_prefs(once, changes)
+    twice = tables.upsert_prefs(once, changes, T0)
     assert rows(twice.select(*sorted(twice.columns))) == rows(once.select(*sorted(once.columns)))
 
 
@@ -165,6 +170,40 @@ def test_day_layout_prunes(spark, tmp_path):
     save_articles(df, path)
     back = spark.read.parquet(path)
     assert back.count() == 96 and back.select("published_day").distinct().count() == 4
+    one = back.filter(F.col("published_day") == F.lit(T0.date()))
+    assert one.count() == 24
+    scanned = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(published_day" in scanned
+    files = {r[0] for r in one.select(F.input_file_name()).distinct().collect()}
+    assert files and all(f"published_day={T0.date()}" in f for f in files)
+
+
+def test_only_changed_days_are_rewritten(spark, tmp_path):
+    from datetime import timedelta
+
+    rows = [(i, T0 + timedelta(hours=i), "old") for i in range(96)]
+    schema = "article_id long, published_at timestamp_ntz, state string"
+    path = str(tmp_path / "articles")
+    save_articles(spark.createDataFrame(rows, schema), path, files_per_day=2)
+
+    def files():
+        names = spark.read.parquet(path).select("published_day", F.input_file_name().alias("f")).distinct()
+        out = {}
+        for r in names.collect():
+            out.setdefault(str(r.published_day), set()).add(r.f)
+        return out
+
+    before = files()
+    day = T0.date() + timedelta(days=1)
+    inside = [r for r in rows if r[1].date() == day][3]
+    changed = spark.createDataFrame([(inside[0], inside[1], "new"), (500, inside[1], "added")], schema)
+    for _ in range(2):  # once more changes nothing
+        update_articles(spark, path, changed, files_per_day=2)
+        got = {r.article_id: r.state for r in spark.read.parquet(path).collect()}
+        assert got == {r[0]: "old" for r in rows} | {inside[0]: "new", 500: "added"}
+    after = files()
+    assert after.keys() == before.keys()
+    assert {d for d in before if before[d] != after[d]} == {str(day)}
 
 
 def test_first_chunks_have_their_own_folder(spark, tmp_path):
