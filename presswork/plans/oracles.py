@@ -568,6 +568,21 @@ LEFT JOIN (SELECT session_id, string_agg('[' || upper(role) || ']' || chr(10) ||
 FROM questions""",
             _QUESTIONS,
         ),
+        "chat_turn_closed": _with(
+            """SELECT CAST(row_number() OVER (ORDER BY md5(chat_id || chr(31) || rank), chat_id, rank) AS BIGINT) AS id,
+  chat_id, session_id, 'assistant' AS role, message, rank,
+  query_id * 2 + rank AS article_id, CAST(1 AS DOUBLE) / rank AS similarity
+FROM numbered CROSS JOIN (VALUES (1), (2)) AS r(rank)""",
+            _QUESTIONS,
+            """turns AS (
+  SELECT query_id + extra AS query_id, session_id, 'answer ' || (query_id + extra) AS message
+  FROM questions CROSS JOIN (VALUES (0), (1000000)) AS e(extra)),
+numbered AS (
+  SELECT *, (SELECT max(chat_id) FROM chat_history) + row_number() OVER (
+    ORDER BY md5(session_id || chr(31) || '2024-01-31 12:00:00' || chr(31) || 'assistant'
+                 || chr(31) || query_id), session_id, query_id) AS chat_id
+  FROM turns)""",
+        ),
         "upsert_sessions": _with(
             """SELECT session_id, min(created_at) AS created_at, max(created_at) AS updated_at,
   CAST(session_id AS BIGINT) % 15

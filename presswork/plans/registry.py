@@ -21,6 +21,7 @@ from presswork.operators import (
     retrieval,
     tables,
 )
+from presswork.plans.chat_turn import close_turns
 from presswork.plans.fixtures import AS_OF, MID_MONTH, NOON, YESTERDAY, NewsTables
 from presswork.plans.hourly import run_hourly
 from presswork.session import ntz, scratch_path, ship_package, stored
@@ -429,6 +430,26 @@ def chat_turn_batch(t: NewsTables) -> DataFrame:
     return tables.append_messages(t.chat_history, asked)
 
 
+@query
+def chat_turn_closed(t: NewsTables) -> DataFrame:
+    """Two turns of each session are answered in one batch; every answer cites its own."""
+    asked = t.questions.select("query_id", "session_id")
+    turns = asked.unionByName(asked.withColumn("query_id", F.col("query_id") + 10**6))
+    answers = turns.withColumn("answer", F.concat(F.lit("answer "), "query_id"))
+    ranks = F.explode(F.sequence(F.lit(1), F.lit(2)))
+    sources = turns.select(
+        "query_id",
+        ranks.alias("rank"),
+    ).select(
+        "query_id", "rank", (F.col("query_id") * 2 + F.col("rank")).alias("article_id"),
+        (1 / F.col("rank")).alias("similarity"),
+    )
+    messages, cited = close_turns(answers, t.chat_history, sources, None, NOON)
+    return messages.join(cited, "chat_id").select(
+        "id", "chat_id", "session_id", "role", "message", "rank", "article_id", "similarity"
+    )
+
+
 @query
 def upsert_sessions(t: NewsTables) -> DataFrame:
     def sessions(messages):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from presswork.operators.joins import absent_from
-from presswork.schemas import CATEGORIES, NEWS_SOURCES
 
 # Sections.
 SEED_CATEGORIES = ["정치", "경제", "사회"]
@@ -27,21 +28,36 @@ SEED_SOURCES = [
 ]
 
 
-def seed_categories(spark: SparkSession) -> DataFrame:
-    rows = [(i, name) for i, name in enumerate(SEED_CATEGORIES, start=1)]
-    return spark.createDataFrame(rows, CATEGORIES)
+def _numbered(new: DataFrame, existing: DataFrame, id_column: str) -> DataFrame:
+    """New seed rows, of which there are a few, with ids after the highest stored one."""
+    highest = existing.agg(F.max(id_column)).first()[0] or 0
+    place = F.row_number().over(W.orderBy("position"))
+    return new.withColumn(id_column, (place + highest).cast("int"))
 
 
-def seed_sources(spark: SparkSession) -> DataFrame:
-    rows = [
-        (i, section, name, url, True)
-        for i, (name, url, section) in enumerate(SEED_SOURCES, start=1)
-    ]
-    return spark.createDataFrame(rows, NEWS_SOURCES)
+def add_categories(existing: DataFrame) -> DataFrame:
+    """Stored categories plus the seed categories whose name is not stored yet."""
+    seeds = existing.sparkSession.createDataFrame(
+        list(enumerate(SEED_CATEGORIES)), "position int, name string"
+    )
+    new = _numbered(absent_from(seeds, existing, ["name"]), existing, "category_id")
+    return existing.unionByName(new.select(*existing.columns))
+
 
+def add_sources(existing: DataFrame, categories: DataFrame) -> DataFrame:
+    """Stored sources plus the seed sources whose feed address is not stored yet.
 
-def add_missing(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Stored rows plus those seed rows whose key is not stored yet."""
+    A source belongs to the stored category of its section's name, whatever id that has.
+    """
+    rows = [
+        (i, name, url, SEED_CATEGORIES[section - 1], True)
+        for i, (name, url, section) in enumerate(SEED_SOURCES)
+    ]
+    seeds = existing.sparkSession.createDataFrame(
+        rows, "position int, name string, rss_url string, section string, is_active boolean"
+    )
+    sections = categories.select("category_id", F.col("name").alias("section"))
+    placed = absent_from(seeds, existing, ["rss_url"]).join(sections, "section")
     return existing.unionByName(
-        absent_from(rows, existing, [key]).select(*existing.columns)
+        _numbered(placed, existing, "source_id").select(*existing.columns)
     )

@@ -1,9 +1,10 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from presswork.operators import audit, ingest, joins, tables
-from presswork.schemas import CATEGORIES
+from presswork.schemas import CATEGORIES, NEWS_SOURCES
 from presswork.sources import seeds
 from presswork.sources.tables import (
     read_jdbc_range,
@@ -117,15 +118,24 @@ def test_append_sources(spark):
     assert sorted(r.id for r in more.collect()) == [3, 4]
 
 
-def test_seeds_are_added_once(spark):
-    empty = spark.createDataFrame([], CATEGORIES)
-    once = seeds.add_missing(empty, seeds.seed_categories(spark), "name")
-    twice = seeds.add_missing(once, seeds.seed_categories(spark), "name")
-    assert once.count() == twice.count() == 3
-    sources = seeds.seed_sources(spark)
-    assert sources.count() == 12
-    assert audit.repeated_keys(sources, ["rss_url"]).count() == 0
-    assert audit.orphans(sources, "category_id", once, "category_id").count() == 0
+@pytest.mark.parametrize("stored", [[], [(1, "other"), (5, seeds.SEED_CATEGORIES[1])]])
+def test_seeds_are_added_once(spark, stored):
+    """By name and address, with ids that nothing stored has."""
+    categories = seeds.add_categories(spark.createDataFrame(stored, CATEGORIES))
+    ids = {r.name: r.category_id for r in categories.collect()}
+    assert set(ids) == {n for _, n in stored} | set(seeds.SEED_CATEGORIES)
+    assert len(set(ids.values())) == len(ids) and all(ids[n] == i for i, n in stored)
+    assert rows(seeds.add_categories(categories)) == rows(categories)
+    known = [(3, 1, "p_s", seeds.SEED_SOURCES[4][1], True)] if stored else []
+    sources = seeds.add_sources(spark.createDataFrame(known, NEWS_SOURCES), categories)
+    got = {r.rss_url: r for r in sources.collect()}
+    assert len(got) == sources.count() == 12
+    assert len({r.source_id for r in got.values()}) == 12
+    for name, url, section in seeds.SEED_SOURCES:
+        if not known or url != known[0][3]:
+            assert got[url].name == name
+            assert got[url].category_id == ids[seeds.SEED_CATEGORIES[section - 1]]
+    assert rows(seeds.add_sources(sources, categories)) == rows(sources)
 
 
 def test_hot_key_join_by_shuffle(spark, monkeypatch):
