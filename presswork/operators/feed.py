@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,28 @@ def published_between(articles: DataFrame, first: datetime, last: datetime) -> D
     return articles.filter(F.col("published_at").between(ntz(first), ntz(last)))
 
 
+def newest_days(articles: DataFrame, enough: Callable[[DataFrame], bool]) -> DataFrame:
+    """The newest day folders of a ``save_articles`` table, as many as ``enough`` asks for.
+
+    The span of days doubles until ``enough`` holds for its articles or no day is left.
+    Everything outside is older than everything inside, so a newest-first choice that is
+    satisfied inside is the choice from the whole table. Other layouts come back as they are.
+    """
+    if "published_day" not in articles.columns:
+        return articles
+    oldest, newest = articles.agg(F.min("published_day"), F.max("published_day")).first()
+    days = 1
+    while newest is not None:
+        start = newest - timedelta(days=days - 1)
+        if start <= oldest:
+            break
+        part = articles.filter(F.col("published_day") >= F.lit(start))
+        if enough(part):
+            return part
+        days *= 2
+    return articles
+
+
 def dimensions(categories: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Category and publisher names, measured once and hinted for broadcast."""
     names = categories.select("category_id", F.col("name").alias("category_name"))
@@ -147,10 +170,14 @@ def latest(
 ) -> DataFrame:
     """One page of the newest articles; no (or zero) ``category_id`` means all."""
     dims = dimensions(categories, sources)
-    keys = named_keys(articles, dims)
-    if category_id:
-        keys = keys.filter(F.col("category_id") == category_id)
-    keys = keys.orderBy(*newest_first()).offset((page - 1) * limit).limit(limit)
+
+    def keys_of(part: DataFrame) -> DataFrame:
+        keys = named_keys(part, dims)
+        return keys.filter(F.col("category_id") == category_id) if category_id else keys
+
+    last = page * limit
+    days = newest_days(articles, lambda part: keys_of(part).limit(last).count() == last)
+    keys = keys_of(days).orderBy(*newest_first()).offset(last - limit).limit(limit)
     return fetch(articles, keys, dims, few_rows=limit).orderBy(*newest_first())
 
 

@@ -15,6 +15,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # Spark prunes ``row_number() <= k`` before the shuffle up to this k by default.
 GROUP_LIMIT = 1000
 SALTS = 32
+# Deeper rankings than this take two levels.
+SALT_FROM = 64
 
 
 def _width(df: DataFrame) -> Column:
@@ -83,13 +85,15 @@ def top_per_group(
 ) -> DataFrame:
     """The first ``k`` rows per key with their rank.
 
-    Up to ``GROUP_LIMIT`` Spark drops surplus rows before the shuffle, so a hot
-    key ships at most k rows per task. Beyond it the key is salted first, which
-    leaves at most ``SALTS`` * k rows for the closing window.
+    Up to ``GROUP_LIMIT`` Spark drops surplus rows before the shuffle, so a hot key ships at
+    most k rows per task. From ``SALT_FROM`` on that adds up in the task of the key, so the
+    key is first spread over as many groups as there are shuffle partitions, and the closing
+    window receives k rows of each.
     """
     keys = list(keys)
-    if k > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    if k > SALT_FROM:
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
         first = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             salted.withColumn(rank, F.row_number().over(first))

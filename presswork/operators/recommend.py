@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from presswork.operators.feed import dimensions, fetch, named_keys, newest_first
+from presswork.operators.feed import (
+    dimensions,
+    fetch,
+    named_keys,
+    newest_days,
+    newest_first,
+)
 from presswork.operators.joins import BROADCAST_ROWS, GROUP_LIMIT, join_hot_key, top_per_group
 from presswork.session import cut_lineage, stored
 
@@ -53,8 +59,17 @@ def allocation(prefs: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _newest_ranked(keys: DataFrame, depth: int) -> DataFrame:
-    """The ``depth`` newest articles per category, ranked; stored, as it is used repeatedly."""
+def _newest_ranked(articles: DataFrame, dims: tuple, n_categories: int, depth: int) -> DataFrame:
+    """The ``depth`` newest articles per category, ranked; stored, as it is used repeatedly.
+
+    On a table laid out by day, only days in which some category may still need more are read.
+    """
+
+    def all_deep(part: DataFrame) -> bool:
+        sizes = named_keys(part, dims).groupBy("category_id").count()
+        return sizes.filter(F.col("count") >= depth).count() >= n_categories
+
+    keys = named_keys(newest_days(articles, all_deep), dims)
     rows = keys.select(F.col("category_id").alias("bucket"), "article_id", "published_at")
     return cut_lineage(top_per_group(rows, ["bucket"], newest_first(), depth))
 
@@ -88,7 +103,6 @@ def recommend(
     offset = (page - 1) * limit
     n_categories = categories.count()
     dims = dimensions(categories, sources)
-    keys = named_keys(articles, dims)
     weighted = allocation(prefs, limit).withColumnRenamed("category_id", "bucket")
     without = (
         users.select("user_id")
@@ -103,7 +117,7 @@ def recommend(
         )
     )
     # The newest of all are among the newest of each category.
-    ranked = _newest_ranked(keys, offset + limit)
+    ranked = _newest_ranked(articles, dims, n_categories, offset + limit)
     everything = W.orderBy(*newest_first())
     newest = (
         ranked.withColumn("rn", F.row_number().over(everything))  # n_categories x page rows
@@ -126,7 +140,7 @@ def recommend(
         picked = by_rank(weighted.unionByName(without), ranked.unionByName(newest))
         candidates = ranked
     else:
-        unseen, looked_at = _pick_unseen(keys, n_categories, weighted, seen, offset, limit)
+        unseen, looked_at = _pick_unseen(articles, dims, n_categories, weighted, seen, offset, limit)
         picked = by_rank(without, newest).unionByName(unseen)
         candidates = looked_at.unionByName(ranked)
     picked = stored(picked, "picked")
@@ -143,7 +157,8 @@ def recommend(
 
 
 def _pick_unseen(
-    keys: DataFrame,
+    articles: DataFrame,
+    dims: tuple,
     n_categories: int,
     weighted: DataFrame,
     seen: DataFrame,
@@ -162,7 +177,7 @@ def _pick_unseen(
     pending = weighted.filter(F.col("slots") > 0)
     done = []
     while True:
-        ranked = _newest_ranked(keys, depth)
+        ranked = _newest_ranked(articles, dims, n_categories, depth)
         most = n_categories * depth
         sizes = ranked.groupBy("bucket").agg(F.max("rn").alias("n_ranked"))
         ids = ranked.select("bucket", "article_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from presswork import session
 from presswork.functions.encoder import EncoderSpec, HashedNgrams
-from presswork.operators import feed, ingest
+from presswork.operators import feed, ingest, recommend
 from presswork.operators.joins import top_per_group
 from presswork.plans.hourly import run_hourly, store_hourly
 from presswork.schemas import ARTICLE_CHUNKS, ARTICLES
@@ -151,3 +151,45 @@ def test_a_cluster_without_shared_folder_is_refused():
 def test_stored_table_reads_back(spark):
     df = session.stored(spark.range(10), "numbers")
     assert df.count() == 10 and "FileScan parquet" in plan(df)
+
+
+def test_newest_articles_are_found_in_the_newest_days(spark, tmp_path, monkeypatch):
+    """The feed reads the days it needs and shows what the whole table would."""
+    start = datetime(2024, 3, 1)
+    rows = [
+        (i, 1, 1 + i % 2, f"t{i}", "d", f"u{i}", start + timedelta(hours=i), i % 5 != 0, i % 7 == 0, None, start)
+        for i in range(24 * 20)
+    ]
+    # The second category has not been written about for a week.
+    rows = [r for r in rows if r[2] == 1 or r[6] < start + timedelta(days=13)]
+    plain = spark.createDataFrame(rows, ARTICLES)
+    path = str(tmp_path / "articles")
+    save_articles(plain, path, files_per_day=1)
+    laid_out = spark.read.parquet(path)
+    categories = spark.createDataFrame([(1, "a"), (2, "b")], "category_id int, name string")
+    sources = spark.createDataFrame([(1, 1, "p_s")], "source_id int, category_id int, name string")
+    read = []
+    wide = feed.newest_days
+
+    def noted(articles, enough):
+        part = wide(articles, enough)
+        read.append(part.select("published_day").distinct().count())
+        return part
+
+    monkeypatch.setattr(feed, "newest_days", noted)
+    for options, days in [({}, 4), ({"category_id": 2, "limit": 5}, 8), ({"page": 9}, 20), ({"page": 99}, 20)]:
+        got = feed.latest(laid_out, categories, sources, **options).select("article_id").collect()
+        monkeypatch.setattr(feed, "newest_days", lambda articles, enough: articles)
+        want = feed.latest(plain, categories, sources, **options).select("article_id").collect()
+        monkeypatch.setattr(feed, "newest_days", noted)
+        assert got == want
+        assert read.pop() <= days
+    users = spark.range(5).withColumnRenamed("id", "user_id")
+    prefs = spark.createDataFrame([(u, c, 1 + u) for u in range(4) for c in (1, 2)], "user_id long, category_id int, weight int")
+    seen = spark.createDataFrame([(1, i) for i in range(0, 480, 3)], "user_id long, article_id long")
+    for extra in ({}, {"seen": seen}):
+        pages = [
+            sorted(map(tuple, recommend.recommend(df, categories, sources, users, prefs, **extra).select("user_id", "position", "article_id").collect()))
+            for df in (laid_out, plain)
+        ]
+        assert pages[0] == pages[1] and pages[0]
