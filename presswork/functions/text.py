@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 MAX_CHUNK_CHARS = 200
 OVERLAP_CHARS = 30
 MIN_CHUNK_CHARS = 10
+# Sentences that are folded at a time; no fixed value.
+BLOCK_SENTENCES = 64
 SENTENCE_END = ".!?。"
 TAG_PATTERN = "<[^>]+>"
 
@@ -50,6 +52,9 @@ def chunk_text(
 ) -> Column:
     """Array of sentence-aware chunks, as a fold over the sentence array.
 
+    The fold runs over blocks of sentences, because the state is copied at each step: it
+    holds the chunks of one block, and those of finished blocks are set aside.
+
     The state is (finished chunks, open chunk). A sentence longer than ``max_len``
     closes the open chunk and is cut into windows that overlap; one that does not
     fit starts a new open chunk led by the tail of the old one; any other is
@@ -97,4 +102,27 @@ def chunk_text(
             )
         )
 
-    return F.aggregate(sentences(text), state(blank_chunks, F.lit("")), add, close)
+    def add_block(acc, block):
+        folded = F.aggregate(block, state(blank_chunks, acc["open"]), add)
+        return F.transform(
+            F.array(folded),
+            lambda f: state(F.concat(acc["done"], F.array(f["done"])), f["open"]),
+        )[0]
+
+    def blocks(parts):
+        last = F.greatest(F.ceil(F.size(parts) / BLOCK_SENTENCES).cast("int") - 1, F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda b: F.slice(parts, b * BLOCK_SENTENCES + 1, F.lit(BLOCK_SENTENCES)),
+        )
+
+    nothing = state(F.array().cast("array<array<string>>"), F.lit(""))
+
+    def finish(acc):
+        done = F.flatten(acc["done"])
+        return F.when(acc["open"] == "", done).otherwise(F.concat(done, F.array(acc["open"])))
+
+    # Bound once: the split would else be repeated for every block.
+    return F.transform(
+        F.array(sentences(text)), lambda parts: F.aggregate(blocks(parts), nothing, add_block, finish)
+    )[0]
