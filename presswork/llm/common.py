@@ -9,10 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.session import ship_package
+
 BLOCK_BYTES = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
+ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep the batches in which texts go to Python small."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -27,8 +27,8 @@ from presswork.llm.common import decoded, raw_texts
 PROFILE = 400
 UNKNOWN = "und"
 MAX_LANGUAGES = 2_000
-_BLOCK_CHARS = 1 << 20
-_FLUSH = 1 << 20
+_BLOCK_CHARS = 1 << 18
+_FLUSH = 1 << 19
 _OTHER = regex.compile(r"\P{L}+")
 
 

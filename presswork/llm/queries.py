@@ -20,9 +20,9 @@ from presswork.llm import (
     urls,
     warc,
 )
-from presswork.llm.common import table
+from presswork.llm.common import prepare, table
 from presswork.llm.oracles import ORACLES  # noqa: F401  (part of what the entry point adds)
-from presswork.session import ship_package, stored
+from presswork.session import stored
 
 # Production parameters.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
@@ -44,7 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
 
     run.__name__ = fn.__name__

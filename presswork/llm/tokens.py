@@ -34,7 +34,7 @@ PATTERN = (
 VISIBLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
 _NEVER = np.iinfo(np.int32).max
-_MEMO = 1 << 18
+_MEMO = 1 << 17
 _STRETCH = 1 << 20
 # Sequences beyond this many symbols are merged by a queue instead of rounds over all.
 LONG = 1 << 14
@@ -217,7 +217,7 @@ class ByteBpe:
                     continue
                 waiting.append((i, self.pattern.findall(stretch)))
                 held += len(stretch)
-                if held > 2 * _STRETCH:
+                if held > _STRETCH:
                     settle()
         settle()
         return totals
