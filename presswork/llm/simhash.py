@@ -222,15 +222,16 @@ def near_links(prints: DataFrame, budget: int = MAX_BITS, tile: int = TILE) -> D
             F.array(*[F.struct(F.lit(q).alias("q"), t.alias("turned")) for q, t in enumerate(turned)])
         ).alias("x")
     ).select("x.q", "x.turned", F.shiftrightunsigned("x.turned", 48).alias("head"))
-    hot = checked_broadcast(
-        stored(
-            rows.groupBy("q", "head")
-            .agg(F.count("*").alias("n"))
-            .filter(F.col("n") > tile)
-            .select("q", "head", F.ceil(F.col("n") / tile).alias("tiles")),
-            "hot-subtrees",
-        )
+    hot = stored(
+        rows.groupBy("q", "head")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > tile)
+        .select("q", "head", "n", F.ceil(F.col("n") / tile).alias("tiles")),
+        "hot-subtrees",
     )
+    # A row of a cut subtree stands in a cell for each of the other tiles.
+    repeats = hot.agg(F.sum(F.col("n") * (F.col("tiles") - 1))).first()[0] or 0
+    hot = checked_broadcast(hot.drop("n"))
     tiles = F.coalesce("tiles", F.lit(1).cast("long"))
     own = F.pmod(F.xxhash64("turned"), F.col("tiles"))
     dealt = (
@@ -255,7 +256,7 @@ def near_links(prints: DataFrame, budget: int = MAX_BITS, tile: int = TILE) -> D
             "turned",
         )
     )
-    wanted = partitions_for(4 * size, ROWS_PER_TASK, spark)
+    wanted = partitions_for(4 * size + repeats, ROWS_PER_TASK, spark)
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
