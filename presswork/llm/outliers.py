@@ -2,13 +2,14 @@
 
 Every text that passes two base rules becomes a vector of transformed statistics. For each
 language and source the minimum covariance determinant (MCD) estimate gives a centre and a
-covariance from the most concentrated three quarters of its texts, so that junk cannot
-pull them towards itself; texts too far from the centre by Mahalanobis distance go.
+covariance from the most concentrated half of its texts, so that junk below about half of
+a group cannot pull them towards itself; texts too far from the centre by Mahalanobis
+distance go.
 
 The fit covers all rows and no group is gathered anywhere. Starting from medians and
 median deviations, a concentration step is one aggregation: distances are counted in fine
 logarithmic bins, with sums and sums of products per group and bin, and the bins that hold
-the nearest three quarters give the next centre and covariance. Vectors lie on a grid and
+the nearest half give the next centre and covariance. Vectors lie on a grid and
 are summed as whole numbers, so results do not depend on how rows are dealt out.
 
 Groups with fewer than ``MIN_GROUP`` texts are pooled by language, and those of languages
@@ -41,7 +42,6 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 MIN_GROUP = 50
-SUBSET = 0.75
 GRID = 1024
 BINS_PER_OCTAVE = 16
 MAX_STEPS = 20
@@ -55,6 +55,11 @@ FLOORS = [0.05, 0.2, 0.1, 0.1, 0.02, 0.2, 0.2]
 DIM = len(FLOORS)
 
 
+def subset_size(size: int) -> int:
+    """Texts of a group that are concentrated on: the size with the highest breakdown point."""
+    return min(size, (size + DIM + 1) // 2)
+
+
 def chi_square(quantile: float, dof: int = DIM) -> float:
     """Quantile of the chi-square distribution (cube-root normal approximation)."""
     z = NormalDist().inv_cdf(quantile)
@@ -172,12 +177,12 @@ def _start(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
-    """Centre, covariance and scale of the nearest ``SUBSET`` from sums per distance bin."""
+    """Centre, covariance and scale of the nearest ``subset_size`` from sums per distance bin."""
     group = group.sort_values("bin")
     counts = group["n"].to_numpy()
     run = np.cumsum(counts)
     size = int(run[-1])
-    last = int(np.searchsorted(run, math.ceil(SUBSET * size)))
+    last = int(np.searchsorted(run, subset_size(size)))
     near = group.iloc[: last + 1]
     n = int(run[last])
     sums = [sum(map(int, near[f"s{i}"])) for i in range(DIM)]
@@ -190,7 +195,7 @@ def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
     middle = group["bin"].iloc[int(np.searchsorted(run, (size + 1) // 2))]
     half = 2.0 ** ((middle + 1) / BINS_PER_OCTAVE)
     mu = [s / (n * GRID) for s in sums]
-    # The spread of three quarters is too small; scaled so that half are within the median.
+    # The spread of the nearest half is too small; scaled so that half are within the median.
     return pd.DataFrame(
         [(group["g"].iloc[0], size, mu, _inverse(cov).ravel().tolist(), max(1.0, half / chi_square(0.5)))],
         columns=_FIT.names,

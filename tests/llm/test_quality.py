@@ -145,3 +145,20 @@ def test_equal_texts_have_no_spread(spark):
     odd = (999, "### " + "| ".join(f"w{i}" for i in range(60)), "en", "a", 1)
     got = outliers.assess(cases.documents(spark, [*rows, odd])).collect()
     assert {r.doc_id for r in got if not r.kept} == {999}
+
+
+def test_a_tight_third_of_junk_that_passes_the_base_rules_goes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'")
+    plain = docs.withColumn("source", F.lit("s"))
+    n = outliers.assess(plain).filter("not base_failed").count()
+    menus = [
+        (10_000_000 + i, " | ".join(f"<item{i}x{k}>" for k in range(60)), "en", "s", 1)
+        for i in range(n // 2)
+    ]
+    got = outliers.assess(plain.unionByName(cases.documents(spark, menus))).collect()
+    junk = [r for r in got if r.doc_id >= 10_000_000]
+    assert len(junk) == n // 2 and not any(r.base_failed for r in junk)
+    assert not any(r.kept for r in junk)
+    good = [r.kept for r in got if r.doc_id < 10_000_000 and not r.base_failed]
+    alone = outliers.assess(plain).filter("kept").count()
+    assert sum(good) >= 0.98 * alone
