@@ -6,11 +6,14 @@ covariance from the most concentrated half of its texts, so that junk below abou
 a group cannot pull them towards itself; texts too far from the centre by Mahalanobis
 distance go.
 
-The fit covers all rows and no group is gathered anywhere. Starting from medians and
-median deviations, a concentration step is one aggregation: distances are counted in fine
-logarithmic bins, with sums and sums of products per group and bin, and the bins that hold
-the nearest half give the next centre and covariance. Vectors lie on a grid and
-are summed as whole numbers, so results do not depend on how rows are dealt out.
+The fit covers all rows and no group is gathered anywhere. A concentration step is one
+aggregation: distances are counted in fine logarithmic bins, with sums and sums of products
+per group and bin, and the bins that hold the nearest half give the next centre and
+covariance. Steps start from medians with three covariances (median deviations alone, and
+with the correlations of squashed values and of directions) and go on, each for itself,
+until the determinant falls no more; the least determinant of a group is its estimate.
+Vectors lie on a grid and are summed as whole numbers, so results do not depend on how rows
+are dealt out.
 
 Groups with fewer than ``MIN_GROUP`` texts are pooled by language, and those of languages
 where the pool is still too small in one pool of all; if that is too small, nothing in it
@@ -44,8 +47,10 @@ MAX_REPEAT_PERCENT = 20
 MIN_GROUP = 50
 GRID = 1024
 BINS_PER_OCTAVE = 16
-MAX_STEPS = 20
-TOLERANCE = 0.02
+# More steps than this are an error. The determinant falls with every step, so they do end.
+MAX_STEPS = 100
+# Falls of the logarithm of the determinant that are no more than rounding.
+TOLERANCE = 1e-9
 # A text of n words counts with n / (n + this) of its squared distance: the statistics of
 # short texts scatter widely by chance.
 PRIOR_WORDS = 30
@@ -139,12 +144,25 @@ def _fit_keys(rows: DataFrame) -> DataFrame:
     )
 
 
+# Where steps start from: median deviations, correlations of squashed values, of directions.
+STARTS = 3
+_SPREAD = T.StructType(
+    [
+        T.StructField("g", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("mu", T.ArrayType(T.DoubleType())),
+        T.StructField("sd", T.ArrayType(T.DoubleType())),
+    ]
+)
+# logdet is null before the first step; a fit that rests has the scale of its own distances.
 _FIT = T.StructType(
     [
         T.StructField("g", T.StringType()),
+        T.StructField("start", T.IntegerType()),
         T.StructField("n", T.LongType()),
         T.StructField("mu", T.ArrayType(T.DoubleType())),
         T.StructField("inv", T.ArrayType(T.DoubleType())),
+        T.StructField("logdet", T.DoubleType()),
         T.StructField("scale", T.DoubleType()),
     ]
 )
@@ -154,30 +172,82 @@ def _inverse(cov: np.ndarray) -> np.ndarray:
     return np.linalg.inv(cov + np.diag(np.square(FLOORS)))
 
 
+def _logdet(cov: np.ndarray) -> float:
+    return float(np.linalg.slogdet(cov + np.diag(np.square(FLOORS)))[1])
+
+
 def _weighted_median(values: np.ndarray, counts: np.ndarray) -> float:
     order = np.argsort(values, kind="stable")
     run = np.cumsum(counts[order])
     return float(values[order][np.searchsorted(run, (run[-1] + 1) // 2)])
 
 
-def _start(group: pd.DataFrame) -> pd.DataFrame:
+def _spread(group: pd.DataFrame) -> pd.DataFrame:
     """Medians and median deviations from counts of grid values."""
-    mu, var = [], []
+    mu, sd = [], []
     for i in range(DIM):
         own = group[group["axis"] == i]
         x, n = own["x"].to_numpy() / GRID, own["n"].to_numpy()
         mid = _weighted_median(x, n)
         mu.append(mid)
-        var.append((1.4826 * _weighted_median(np.abs(x - mid), n)) ** 2)
+        sd.append(1.4826 * _weighted_median(np.abs(x - mid), n))
     size = int(group.loc[group["axis"] == 0, "n"].sum())
+    return pd.DataFrame([(group["g"].iloc[0], size, mu, sd)], columns=_SPREAD.names)
+
+
+def _start(group: pd.DataFrame) -> pd.DataFrame:
+    """The fits that steps start from, of one group."""
+    row = group.iloc[0]
+    sd = np.array(row["sd"])
+    shapes = [np.eye(DIM)]
+    for kind in ("t", "u"):
+        cov = np.empty((DIM, DIM))
+        for i in range(DIM):
+            for j in range(i, DIM):
+                cov[i, j] = cov[j, i] = float(int(row[f"{kind}{i}_{j}"]))
+        spread = np.sqrt(np.diag(cov))
+        spread[spread == 0] = 1.0
+        shape = cov / np.outer(spread, spread)
+        np.fill_diagonal(shape, 1.0)
+        shapes.append(shape)
     return pd.DataFrame(
-        [(group["g"].iloc[0], size, mu, _inverse(np.diag(var)).ravel().tolist(), 1.0)],
+        [
+            (row["g"], i, row["n"], row["mu"], _inverse(shape * np.outer(sd, sd)).ravel().tolist(), None, 1.0)
+            for i, shape in enumerate(shapes)
+        ],
         columns=_FIT.names,
     )
 
 
+def _starts(rows: DataFrame, spread: DataFrame, groups: int) -> DataFrame:
+    """Starting fits, with the correlations about the medians from one aggregation."""
+    placed = join_hot_key(rows, spread.select("g", "mu", "sd"), ["g"], few_rows=3 * groups)
+    gap = [
+        (F.col(f"x{i}") / F.lit(float(GRID)) - F.col("mu")[i])
+        / F.sqrt(F.col("sd")[i] * F.col("sd")[i] + F.lit(f * f))
+        for i, f in enumerate(FLOORS)
+    ]
+    gaps = placed.select("g", *[y.alias(f"y{i}") for i, y in enumerate(gap)])
+    length = F.sqrt(sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIM)), F.lit(0.0)))
+    away = F.greatest(length, F.lit(1e-9))
+    whole = gaps.select(
+        "g",
+        *[F.round(F.tanh(f"y{i}") * GRID).cast("long").alias(f"t{i}") for i in range(DIM)],
+        *[F.round(F.col(f"y{i}") / away * GRID).cast("long").alias(f"u{i}") for i in range(DIM)],
+    )
+    sums = [
+        F.sum(F.col(f"{kind}{i}") * F.col(f"{kind}{j}")).alias(f"{kind}{i}_{j}")
+        for kind in ("t", "u")
+        for i in range(DIM)
+        for j in range(i, DIM)
+    ]
+    return (
+        whole.groupBy("g").agg(*sums).join(spread, "g").groupBy("g").applyInPandas(_start, _FIT)
+    )
+
+
 def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
-    """Centre, covariance and scale of the nearest ``subset_size`` from sums per distance bin."""
+    """The next fit, of the nearest ``subset_size``, and the scale of the distances in use."""
     group = group.sort_values("bin")
     counts = group["n"].to_numpy()
     run = np.cumsum(counts)
@@ -197,7 +267,13 @@ def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
     mu = [s / (n * GRID) for s in sums]
     # The spread of the nearest half is too small; scaled so that half are within the median.
     return pd.DataFrame(
-        [(group["g"].iloc[0], size, mu, _inverse(cov).ravel().tolist(), max(1.0, half / chi_square(0.5)))],
+        [
+            (
+                *(group["g"].iloc[0], int(group["start"].iloc[0]), size, mu),
+                *(_inverse(cov).ravel().tolist(), _logdet(cov)),
+                max(1.0, half / chi_square(0.5)),
+            )
+        ],
         columns=_FIT.names,
     )
 
@@ -213,38 +289,47 @@ def squared_distance() -> Column:
     return total
 
 
-def _moved(before: DataFrame, now: DataFrame) -> float:
-    """The largest move of a centre in any group, in units of the floors."""
-    both = before.select("g", F.col("mu").alias("old")).join(now, "g")
-    moves = [F.abs(F.col("mu")[i] - F.col("old")[i]) / f for i, f in enumerate(FLOORS)]
-    return both.agg(F.max(F.greatest(*moves))).first()[0] or 0.0
-
-
-def _step(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
+def _step(rows: DataFrame, fits: DataFrame, groups: int) -> DataFrame:
+    """The fits after one step more, with ``rests``; those that rest stay as they are."""
+    moving = fits.filter("not rests").select("g", "start", "mu", "inv")
     # An estimate is as wide as some fifteen rows of a few numbers.
-    placed = join_hot_key(rows, fit.select("g", "mu", "inv"), ["g"], few_rows=16 * groups)
+    placed = join_hot_key(rows, moving, ["g"], few_rows=16 * STARTS * groups)
     place = F.floor(F.log2(F.greatest(squared_distance(), F.lit(1e-9))) * BINS_PER_OCTAVE)
-    binned = placed.select("g", place.cast("int").alias("bin"), *[f"x{i}" for i in range(DIM)])
+    binned = placed.select(
+        "g", "start", place.cast("int").alias("bin"), *[f"x{i}" for i in range(DIM)]
+    )
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)]
     sums += [
         F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}")
         for i in range(DIM)
         for j in range(i, DIM)
     ]
-    # At most about 1,000 bins for a group, whatever its size.
-    return (
-        binned.groupBy("g", "bin")
+    # At most about 1,000 bins for a group and start, whatever the size of the group.
+    found = (
+        binned.groupBy("g", "start", "bin")
         .agg(F.count("*").alias("n"), *sums)
-        .groupBy("g")
+        .groupBy("g", "start")
         .applyInPandas(_concentrate, _FIT)
     )
+    new = found.select("g", "start", F.struct("mu", "inv", "logdet", "scale").alias("new"))
+    falls = F.col("logdet").isNull() | (F.col("new.logdet") < F.col("logdet") - TOLERANCE)
+    moves = ~F.col("rests") & falls
+    old_scale = F.when(F.col("rests"), F.col("scale")).otherwise(F.col("new.scale"))
+    return fits.join(new, ["g", "start"], "left").select(
+        "g",
+        "start",
+        "n",
+        *[F.when(moves, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("mu", "inv", "logdet")],
+        F.when(moves, F.lit(1.0)).otherwise(old_scale).alias("scale"),
+        (~moves).alias("rests"),
+    )
 
 
 def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(pair, mu, inv, scale, n) per language and source of ``measured`` (with statistics).
 
-    Rows that fail the base rules take no part. Steps go on until no centre moves by more
-    than ``TOLERANCE`` of a floor, which is far below what a verdict can depend on.
+    Rows that fail the base rules take no part. Each start of each group is followed until
+    its determinant falls no more; more than ``MAX_STEPS`` steps are an error.
     """
     good = measured.filter(~base_failed()).select(
         pair_key(lang, source).alias("pair"),
@@ -264,12 +349,16 @@ def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> Data
         .agg(F.count("*").alias("n"))
     )
     # Grid values of a bounded range: at most some ten thousand for a group and axis.
-    now = stored(values.groupBy("g").applyInPandas(_start, _FIT), "fit")
-    for _ in range(MAX_STEPS):
-        before, now = now, stored(_step(rows, now, size), "fit")
-        if _moved(before, now) < TOLERANCE:
-            break
-    return keys.join(now, "g").drop("g")
+    spread = stored(values.groupBy("g").applyInPandas(_spread, _SPREAD), "medians")
+    now = stored(_starts(rows, spread, size).withColumn("rests", F.lit(False)), "fit")
+    steps = 0
+    while moving := now.filter("not rests").count():
+        if steps == MAX_STEPS:
+            raise RuntimeError(f"{moving} estimates do not rest after {MAX_STEPS} steps")
+        now = stored(_step(rows, now, size), "fit")
+        steps += 1
+    best = now.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "mu", "inv", "scale")).alias("b"))
+    return keys.join(best.select("g", "b.mu", "b.inv", "b.scale", "b.n"), "g").drop("g")
 
 
 def judge(measured: DataFrame, fitted: DataFrame, lang: str = "lang", source: str = "source"):

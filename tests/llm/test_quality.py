@@ -162,3 +162,68 @@ def test_a_tight_third_of_junk_that_passes_the_base_rules_goes(spark):
     good = [r.kept for r in got if r.doc_id < 10_000_000 and not r.base_failed]
     alone = outliers.assess(plain).filter("kept").count()
     assert sum(good) >= 0.98 * alone
+
+
+def brute_step(x, mu, inv):
+    """Next centre, covariance with floors and its log determinant, and the scale in use."""
+    gap = x - mu
+    d2 = np.einsum("ij,jk,ik->i", gap, inv, gap)
+    place = np.floor(np.log2(np.maximum(d2, 1e-9)) * outliers.BINS_PER_OCTAVE)
+    ordered = np.sort(place)
+    near = x[place <= ordered[min(len(x), (len(x) + outliers.DIM + 1) // 2) - 1]]
+    cov = np.cov(near.T, bias=True) + np.diag(np.square(outliers.FLOORS))
+    half = 2 ** ((ordered[(len(x) + 1) // 2 - 1] + 1) / outliers.BINS_PER_OCTAVE)
+    return near.mean(axis=0), cov, np.linalg.slogdet(cov)[1], max(1.0, half / outliers.chi_square(0.5))
+
+
+def brute_rest(x, mu, inv):
+    last = math.inf
+    while True:
+        new, cov, logdet, scale = brute_step(x, mu, inv)
+        if logdet >= last - 1e-9:
+            return last, mu, inv, scale
+        last, mu, inv = logdet, new, np.linalg.inv(cov)
+
+
+def test_no_step_and_no_start_lowers_the_determinant(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.lit("s"))
+    measured = outliers.with_stats(docs.select("doc_id", "lang", "source", "text"), "text")
+    fitted = {r.pair: r for r in outliers.fit(measured).collect()}
+    good = measured.filter(~outliers.base_failed()).select(
+        outliers.pair_key("lang", "source").alias("pair"), *outliers._vector()
+    ).collect()
+    seen = 0
+    for name, size in Counter(r.pair for r in good).items():
+        if size < outliers.MIN_GROUP:
+            continue
+        x = np.array([list(r)[1:] for r in good if r.pair == name]) / outliers.GRID
+        got = fitted[name]
+        own = -np.linalg.slogdet(np.reshape(got.inv, (outliers.DIM,) * 2))[1]
+        mu = np.array([np.sort(c)[(len(c) + 1) // 2 - 1] for c in x.T])
+        sd = 1.4826 * np.array([np.sort(c)[(len(c) + 1) // 2 - 1] for c in np.abs(x - mu).T])
+        floors = np.array(outliers.FLOORS)
+        y = (x - mu) / np.sqrt(sd**2 + floors**2)
+        shapes = [np.eye(outliers.DIM)]
+        for z in (np.tanh(y), y / np.maximum(np.sqrt((y**2).sum(axis=1, keepdims=True)), 1e-9)):
+            z = np.sign(z) * np.floor(np.abs(z) * outliers.GRID + 0.5)
+            cov = z.T @ z
+            spread = np.where(np.diag(cov) == 0, 1.0, np.sqrt(np.diag(cov)))
+            shape = cov / np.outer(spread, spread)
+            np.fill_diagonal(shape, 1.0)
+            shapes.append(shape)
+        ends = [
+            brute_rest(x, mu, np.linalg.inv(s * np.outer(sd, sd) + np.diag(floors**2))) for s in shapes
+        ]
+        logdet, centre, inv, scale = min(ends, key=lambda e: e[0])
+        assert own == pytest.approx(logdet, abs=1e-6)
+        assert np.allclose(got.mu, centre, atol=1e-6) and got.scale == pytest.approx(scale)
+        assert brute_step(x, np.array(got.mu), np.reshape(got.inv, inv.shape))[2] >= own - 1e-6
+        seen += 1
+    assert seen > 1
+
+
+def test_estimates_that_do_not_rest_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "MAX_STEPS", 1)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source", "text")
+    with pytest.raises(RuntimeError, match="do not rest"):
+        outliers.fit(outliers.with_stats(docs, "text"))
