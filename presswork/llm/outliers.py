@@ -16,8 +16,8 @@ Vectors lie on a grid and are summed as whole numbers, so results do not depend
 are dealt out.
 
 Groups with fewer than ``MIN_GROUP`` texts are pooled by language, and those of languages
-where the pool is still too small in one pool of all; if that is too small, nothing in it
-is rejected. A variance floor per statistic keeps constant statistics from turning small
+where the pool is still too small are judged by an estimate over all texts; if even these are
+too few, nothing is rejected. A variance floor per statistic keeps constant statistics from turning small
 differences into large distances.
 """
 
@@ -129,6 +129,10 @@ def pair_key(lang: str, source: str) -> Column:
     return F.concat(part(lang), F.lit("/"), part(source))
 
 
+# The group of all texts, which judges what no smaller one does.
+_ALL = "3"
+
+
 def _fit_keys(rows: DataFrame) -> DataFrame:
     """(pair, g): the group whose estimate judges each language and source."""
     sizes = rows.groupBy("pair", "language").agg(F.count("*").alias("n"))
@@ -139,7 +143,7 @@ def _fit_keys(rows: DataFrame) -> DataFrame:
         "pair",
         F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("1"), "pair"))
         .when(F.col("pool") >= MIN_GROUP, F.concat(F.lit("2"), "language"))
-        .otherwise(F.lit("3"))
+        .otherwise(F.lit(_ALL))
         .alias("g"),
     )
 
@@ -339,7 +343,11 @@ def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> Data
     good = stored(good, "vectors")
     keys = stored(_fit_keys(good), "fit-keys")
     size = keys.select("g").distinct().count()
-    rows = stored(join_hot_key(good, keys, ["pair"]).drop("pair", "language"), "grouped-vectors")
+    grouped = join_hot_key(good, keys, ["pair"]).drop("pair", "language")
+    if keys.filter(F.col("g") == _ALL).count():
+        everyone = good.drop("pair", "language").withColumn("g", F.lit(_ALL))
+        grouped = grouped.filter(F.col("g") != _ALL).unionByName(everyone)
+    rows = stored(grouped, "grouped-vectors")
     axes = F.array(
         *[F.struct(F.lit(i).alias("axis"), F.col(f"x{i}").alias("x")) for i in range(DIM)]
     )

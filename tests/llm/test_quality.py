@@ -227,3 +227,24 @@ def test_estimates_that_do_not_rest_are_an_error(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source", "text")
     with pytest.raises(RuntimeError, match="do not rest"):
         outliers.fit(outliers.with_stats(docs, "text"))
+
+
+def test_leftovers_are_judged_by_all_texts(spark):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'")
+    plain = plain.withColumn("source", F.lit("s"))
+    rare = [
+        (10_000_000 + i, " | ".join(f"<item{i}x{k}>" for k in range(60)), f"rare{i % 3}", "r", 1)
+        for i in range(9)
+    ]
+    fine = plain.limit(20).select(
+        (F.col("doc_id") + 20_000_000).alias("doc_id"),
+        *["text", F.lit("rare9").alias("lang"), "source", "n_chars"],
+    )
+    docs = plain.unionByName(cases.documents(spark, rare)).unionByName(fine)
+    got = outliers.assess(docs).filter("not base_failed").collect()
+    junk = [r.kept for r in got if 10_000_000 <= r.doc_id < 20_000_000]
+    assert len(junk) == 9 and not any(junk)
+    assert all(r.distance is not None for r in got)
+    assert {r.doc_id - 20_000_000 for r in got if r.doc_id >= 20_000_000 and r.kept} == {
+        r.doc_id for r in got if r.kept
+    } & {r.doc_id - 20_000_000 for r in got if r.doc_id >= 20_000_000}
