@@ -1,6 +1,8 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form: ASCII letters in lower case, copyright lines removed,
+A text is brought to a canonical form: ASCII letters in lower case, lines that are copyright
+statements removed (a notice in such a line is still looked up), other lines kept wherever
+they break,
 runs of punctuation and blanks one blank, equivalent spellings of licence texts made one.
 The digest of the whole canonical text, and that of each of its lines taken as a text of its
 own (a one-line notice inside a document), are looked up among the digests of known licence
@@ -21,7 +23,22 @@ from presswork.session import stored
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Patterns and spellings of the normalisation, in order.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A statement names a year, a sign or a holder; text after a line break of a licence does not.
+_NO_HOLDER = (
+    "notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|protection|"
+    "infringements?|materials?|works?|year|and|or|in|to|on|of|for|is|are|as|that|which|has|"
+    "permissions?|disclaimers?|treaty|rights?"
+)
+COPYRIGHT_LINE = (
+    r"(^|\n)[^a-z0-9\n©(]*(?:"
+    r"copyright[^a-z0-9\n]*(?:(?<=\()c\)|(?<=©[^a-z0-9\n]{0,9})[a-z]|[0-9]{4}|yyyy\b)"
+    rf"|copyright[ \t]+(?!(?:{_NO_HOLDER})\b)[a-z0-9]"
+    r"|\(c\)[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*)?[0-9]{4}|©"
+    r"|all rights reserved[^a-z0-9\n]*(?=\n|$)"
+    r")[^\n]*"
+)
+# What may stand behind a copyright statement in its line.
+NOTICE_TAIL = r"(?:\bthis (?:work|software) is )?\b(?:licen[sc]ed|released|distributed) under\b[^\n]*"
 BETWEEN_WORDS = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 LINE_EDGE = r" ?\n ?"
 SPELLINGS = [
@@ -82,7 +99,17 @@ def known_texts() -> list[tuple[str, str]]:
 def canonical(text: Column) -> Column:
     """Canonical form; lines stay apart, empty ones go."""
     out = F.translate(text, _UPPER, _LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    return _joined_words(F.regexp_replace(out, COPYRIGHT_LINE, "$1"))
+
+
+def stated_notices(text: Column) -> Column:
+    """The canonical lines of notices that stand behind copyright statements."""
+    found = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(COPYRIGHT_LINE), F.lit(0))
+    tails = F.transform(found, lambda x: F.regexp_extract(x, NOTICE_TAIL, 0))
+    return F.filter(F.split(_joined_words(F.array_join(tails, "\n")), "\n"), lambda x: x != "")
+
+
+def _joined_words(out: Column) -> Column:
     out = F.regexp_replace(out, BETWEEN_WORDS, " ")
     for spelling, one in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(one))
@@ -114,14 +141,17 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | None = None) -> Dat
     spark = docs.sparkSession
     table = stored(known_digests(spark, known_texts() if known is None else known), "licences")
     table = checked_broadcast(table)
-    form = canonical(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    form = canonical(text)
     # The row number exists only in the stored table, so it cannot change on a retry.
     lines = stored(
-        docs.select("doc_id", form.alias("form")).select(
+        docs.select("doc_id", form.alias("form"), stated_notices(text).alias("stated")).select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             digest(F.col("form")).alias("digest"),
-            F.transform(F.split("form", "\n"), lambda x: F.sha2(x, 256)).alias("lines"),
+            F.transform(
+                F.concat(F.split("form", "\n"), F.col("stated")), lambda x: F.sha2(x, 256)
+            ).alias("lines"),
         ),
         "text-digests",
     )

@@ -1,3 +1,5 @@
+import textwrap
+
 from presswork.llm import licences
 from tests.llm import cases
 
@@ -53,3 +55,35 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id for r in got), key=repr) == sorted((r[0] for r in cases.ROWS), key=repr)
     assert len({r.digest for r in got if r.doc_id in (4, 5, 8)}) == 1
     assert licences.scan(cases.documents(spark, [])).count() == 0
+
+
+def test_wherever_lines_break(spark):
+    texts, want = [], []
+    for name, whole in (("MIT", licences.MIT), ("ISC", licences.ISC)):
+        for width in range(20, 100, 3):
+            for text in (whole, whole.upper()):
+                texts.append("\n".join(textwrap.fill(x, width) for x in text.split("\n")))
+                want.append(name)
+    assert [x[0] for x in scanned(spark, texts)] == want
+
+
+def test_copyright_statements_and_what_stands_behind_them(spark):
+    head, body = licences.MIT.split("\n", 1)
+    for line in (
+        "Copyright 2020 X", "Copyright © X", "* Copyright (C) X", "Copyright The X Authors",
+        "Copyright by X", "© X", "(c) 2020 X", "All Rights Reserved.", "Copyright, 2020, X",
+    ):
+        assert scanned(spark, [f"{head}\n{line}\n{body}"])[0][0] == "MIT", line
+    line = "Copyright 2020 X Co., Ltd. Licensed under the MIT License"
+    assert scanned(spark, [f"a\n{line}\nb", "(c) us who do this\n", "copyright law is old"]) == [
+        (None, 1, "MIT"),
+        (None, 0, None),
+        (None, 0, None),
+    ]
+    with_notice = scanned(spark, [f"{head}\n{line}\n{body}"])[0]
+    assert with_notice[0] == "MIT" and with_notice[2] == "MIT"
+    kept = [("house", "copyright law is old"), ("c", "(c) us who do this")]
+    assert [x[0] for x in scanned(spark, ["Copyright\nlaw is old", "Copyright law\nis old"], kept)] == [
+        "house",
+        "house",
+    ]
