@@ -12,11 +12,13 @@ to the normalisation.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.llm.licence_texts import TEXTS
 from presswork.operators.joins import checked_broadcast
 from presswork.session import stored
 
@@ -88,12 +90,40 @@ NOTICES = [
     "This work is licensed under the {}",
     "This software is licensed under the {}",
 ]
+# Titles above whole texts that are published without one, or with several.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of whole licences in the forms they are published in."""
+    bodies = {"MIT": MIT.split("\n", 1)[1], "ISC": ISC.split("\n", 1)[1], **TEXTS}
+    forms = []
+    for spdx, body in bodies.items():
+        made = [body]
+        if spdx.startswith("BSD"):
+            # Conditions are numbered or have bullets, which the canonical form drops.
+            made.append(re.sub(r"(?m)^[123]\. ", "", body))
+        if _END in body:
+            # Without the appendix on how to apply the licence.
+            terms = body.split(_END)[0]
+            made += [terms, terms + _END]
+        made += [x.replace("https://", "http://") for x in made if "https://" in x]
+        forms += [(spdx, x) for x in made]
+        forms += [(spdx, f"{title}\n{x}") for title in TITLES.get(spdx, []) for x in made]
+    return forms
 
 
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of the built-in full texts and one-line notices."""
     notices = [(spdx, form.format(name)) for spdx, name in NAMES for form in NOTICES]
-    return [("MIT", MIT), ("ISC", ISC), *notices]
+    return [*whole_texts(), *notices]
 
 
 def canonical(text: Column) -> Column:
@@ -119,7 +149,12 @@ def _joined_words(out: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """Digest of a canonical text, wherever its lines break."""
-    return F.sha2(F.replace(text, F.lit("\n"), F.lit(" ")), 256)
+    out = F.replace(text, F.lit("\n"), F.lit(" "))
+    for spelling, one in SPELLINGS:
+        # Spellings of two words may have had a line break in them.
+        if " " in spelling:
+            out = F.replace(out, F.lit(spelling), F.lit(one))
+    return F.sha2(out, 256)
 
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]]) -> DataFrame:

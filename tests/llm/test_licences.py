@@ -1,6 +1,6 @@
 import textwrap
 
-from presswork.llm import licences
+from presswork.llm import licence_texts, licences
 from tests.llm import cases
 
 
@@ -87,3 +87,19 @@ def test_copyright_statements_and_what_stands_behind_them(spark):
         "house",
         "house",
     ]
+
+
+def test_whole_texts_of_common_licences(spark):
+    mit, isc = licences.MIT.split("\n", 1)[1], licences.ISC.split("\n", 1)[1]
+    texts = [("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2015 X Y\n\n" + mit)]
+    texts += [("ISC", isc), ("ISC", "The ISC License\n\nCopyright (c) X\n\n" + isc)]
+    for name, text in licence_texts.TEXTS.items():
+        lines = "\n\n".join(textwrap.fill(" ".join(x.split()), 61) for x in text.split("\n\n"))
+        texts += [(name, "Copyright 2020 X\n" + text), (name, text.upper())]
+        if name.startswith(("BSD", "Un")):
+            texts += [(name, lines), (name, licences.TITLES[name][0] + "\n\n" + text)]
+    bsd = licence_texts.TEXTS["BSD-3-Clause"]
+    texts += [("BSD-3-Clause", bsd.replace("1.", "*").replace("2.", "*").replace("3.", "*"))]
+    apache = licence_texts.TEXTS["Apache-2.0"]
+    texts += [("Apache-2.0", apache.split("APPENDIX")[0]), (None, apache.replace("royalty", "royal"))]
+    assert [x[0] for x in scanned(spark, [t for _, t in texts])] == [n for n, _ in texts]
