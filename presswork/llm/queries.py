@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm import (
+    divergence,
     forest,
+    interaction,
     langid,
     licences,
     mixing,
     outliers,
     packing,
+    pieces,
     simhash,
     tokens,
     urls,
@@ -29,6 +32,7 @@ MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 MIX_OTHER = 1.0
 MIX_SEED = 7
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 1024
 NEIGHBOURS = 20
 URL_RULES = [
@@ -121,6 +125,33 @@ def op10_url_filter(spark, sf_dir):
     return urls.judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op11_filter_audit(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return interaction.audit_documents(docs, labels)
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_pieces(spark, sf_dir):
+    """Digests of the ids and of the decoded text of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path(PIECES)
+    decoded = pieces.decode(pieces.encode(docs, path, keep_text=False), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.element_at("ends", -1), F.lit(0)).alias("n_bytes"),
+    )
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
