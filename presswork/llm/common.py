@@ -76,3 +76,30 @@ def word_blocks(raw: bytes, block: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
 def partitions_for(rows: int, per_partition: int, spark: SparkSession) -> int:
     """Enough partitions for tasks of a bounded number of rows, and for every core."""
     return max(-(-rows // per_partition), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+class Memo:
+    """What was made for texts, in two generations: when the younger one is full the older
+    one goes, and texts still in use move over, so common ones are never made again.
+
+    Texts of more than ``longest`` characters are forgotten at the next call.
+    """
+
+    def __init__(self, limit: int, longest: int):
+        self.limit, self.longest = limit, longest
+        self.young: dict = {}
+        self.old: dict = {}
+        self.passing: list = []
+
+    def fill(self, wanted: set[str], make) -> dict:
+        """A mapping that holds all ``wanted``; ``make`` gives the values of a list of new ones."""
+        for text in self.passing:
+            del self.young[text]
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        new = wanted.difference(self.young)
+        self.young.update((k, self.old[k]) for k in new if k in self.old)
+        made = [k for k in new if k not in self.old]
+        self.young.update(zip(made, make(made)))
+        self.passing = [k for k in made if len(k) > self.longest]
+        return self.young

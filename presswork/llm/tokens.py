@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswork.llm.common import decoded, raw_texts
+from presswork.llm.common import Memo, decoded, raw_texts
 
 # Fixed values of byte-level BPE: the pattern, with white space as the library has it, and
 # the code points that stand for themselves in the vocabulary.
@@ -33,8 +34,22 @@ PATTERN = (
 )
 VISIBLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
-_NEVER = np.iinfo(np.int32).max
-_MEMO = 1 << 17
+
+def _narrow_pattern() -> str:
+    """The pattern for texts of code points below 256, which the standard library cuts faster."""
+    narrow = [chr(c) for c in range(256)]
+    letters, digits = (
+        "".join(re.escape(c) for c in narrow if regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}")
+    )
+    spaces = "".join(re.escape(c) for c in narrow if re.match(f"[{WHITE}]", c))
+    return PATTERN.replace(WHITE, spaces).replace(r"\p{L}+", f"[{letters}]+").replace(r"\p{N}+", f"[{digits}]+").replace(
+        r"\p{L}\p{N}", letters + digits
+    )
+
+
+NEVER = np.iinfo(np.int32).max
+_MEMO = 1 << 18
+_MEMO_CHARS = 64
 _STRETCH = 1 << 20
 # Sequences beyond this many symbols are merged by a queue instead of rounds over all.
 LONG = 1 << 14
@@ -43,23 +58,37 @@ LONG = 1 << 14
 _MASK = (1 << 19) - 1
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
+def pair_slot(keys: np.ndarray) -> np.ndarray:
     mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(45)).astype(np.int64)
 
 
-def _spread(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spread_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Open-addressing table of pair keys and their ranks; unused places hold -1."""
     if len(keys) > _MASK // 2:
         raise ValueError("more merges than the lookup table has room for")
     table, ranks = np.full(_MASK + 1, -1, np.int64), np.zeros(_MASK + 1, np.int32)
-    for rank, (key, at) in enumerate(zip(keys.tolist(), _slot(keys).tolist())):
+    for rank, (key, at) in enumerate(zip(keys.tolist(), pair_slot(keys).tolist())):
         while table[at] != -1:
             at = (at + 1) & _MASK
         table[at], ranks[at] = key, rank
     return table, ranks
 
 
+def pair_ranks(table: np.ndarray, ranks: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ranks of pair keys in a table of ``spread_pairs``; ``NEVER`` for keys not in it."""
+    at = pair_slot(key)
+    out = np.full(len(key), NEVER, np.int32)
+    open_ = np.arange(len(key))
+    while len(open_):
+        found = table[at]
+        hit = found == key
+        out[open_[hit]] = ranks[at[hit]]
+        go_on = ~hit & (found != -1)
+        open_, key, at = open_[go_on], key[go_on], (at[go_on] + 1) & _MASK
+    return out
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary of the ``tokenizers`` library, for counting only."""
 
@@ -88,26 +117,18 @@ class ByteBpe:
         self.size = max(vocab.values()) + 1
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        self.keys, self.ranks = _spread(keys)
+        self.keys, self.ranks = spread_pairs(keys)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(PATTERN)
+        self.narrow = re.compile(_narrow_pattern())
+        self.memo = Memo(_MEMO, _MEMO_CHARS)
         self.gap = regex.compile(f"(?<=[^{WHITE}])[{WHITE}]")
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Merge rank of each pair, or ``_NEVER``."""
-        key = left * self.size + right
-        at = _slot(key)
-        out = np.full(len(key), _NEVER, np.int32)
-        open_ = np.arange(len(key))
-        while len(open_):
-            found = self.keys[at]
-            hit = found == key
-            out[open_[hit]] = self.ranks[at[hit]]
-            go_on = ~hit & (found != -1)
-            open_, key, at = open_[go_on], key[go_on], (at[go_on] + 1) & _MASK
-        return out
+        """Merge rank of each pair, or ``NEVER``."""
+        return pair_ranks(self.keys, self.ranks, left * self.size + right)
 
     def count_pre_tokens(self, pre_tokens: list[bytes]) -> np.ndarray:
         """Tokens of each pre-token."""
@@ -119,27 +140,35 @@ class ByteBpe:
         flat = self.first[np.frombuffer(b"".join(pre_tokens[i] for i in short), np.uint8)]
         lengths = np.array([len(pre_tokens[i]) for i in short], np.int64)
         row = np.repeat(np.array(short, np.int64), lengths)
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """Ranks of the pairs that begin at places, none at the end of a sequence."""
+            after = np.minimum(at + 1, len(flat) - 1)
+            out = pair_ranks(self.keys, self.ranks, flat[at] * self.size + flat[after])
+            out[(row[after] != row[at]) | (after == at)] = NEVER
+            return out
+
+        rank = ranks(np.arange(len(flat)))
         while len(flat):
-            rank = np.full(len(flat), _NEVER, np.int32)
-            rank[:-1] = self._rank(flat[:-1], flat[1:])
-            rank[:-1][row[:-1] != row[1:]] = _NEVER
             starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             size = np.diff(np.concatenate((starts, [len(row)])))
             least = np.minimum.reduceat(rank, starts)
-            done = least == _NEVER
+            done = least == NEVER
             counts[row[starts[done]]] = size[done]
             least = np.repeat(least, size)
-            hit = (rank == least) & (least != _NEVER)
+            stay = least != NEVER
             # Of overlapping hits (a a a) every second one is applied, from the left.
-            place = np.flatnonzero(hit)
+            place = np.flatnonzero((rank == least) & stay)
             if len(place):
                 new_run = np.concatenate(([True], np.diff(place) != 1))
                 run_start = place[new_run][np.cumsum(new_run) - 1]
                 place = place[(place - run_start) % 2 == 0]
                 flat[place] = self.made[rank[place]]
-            stay = least != _NEVER
-            stay[place + 1] = False
-            flat, row = flat[stay], row[stay]
+                stay[place + 1] = False
+            place = (np.cumsum(stay) - 1)[place]
+            flat, row, rank = flat[stay], row[stay], rank[stay]
+            changed = np.concatenate((place, place[place > 0] - 1))
+            rank[changed] = ranks(changed)
         return counts
 
     @functools.cached_property
@@ -193,20 +222,25 @@ class ByteBpe:
                 yield None
             at = found.end() if found else len(text)
 
-    def count_texts(self, texts: list[str], memo: dict[str, int]) -> list[int]:
-        """Tokens of each text. ``memo`` remembers pre-tokens, up to a bounded number."""
+    def _cut(self, stretch: str) -> list[str]:
+        try:
+            stretch.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern.findall(stretch)
+        return self.narrow.findall(stretch)
+
+    def count_texts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; pre-tokens are remembered, up to a bounded number."""
         totals = [0] * len(texts)
         waiting: list[tuple[int, list[str]]] = []
         held = 0
 
         def settle():
             nonlocal held
-            new = list({p for _, found in waiting for p in found if p not in memo})
-            memo.update(zip(new, self.count_pre_tokens([p.encode() for p in new]).tolist()))
+            wanted = set().union(*(found for _, found in waiting))
+            memo = self.memo.fill(wanted, self._counts)
             for i, found in waiting:
                 totals[i] += sum(map(memo.__getitem__, found))
-            if len(memo) > _MEMO:
-                memo.clear()
             waiting.clear()
             held = 0
 
@@ -215,13 +249,22 @@ class ByteBpe:
                 if stretch is None:
                     totals[i] += 1
                     continue
-                waiting.append((i, self.pattern.findall(stretch)))
+                waiting.append((i, self._cut(stretch)))
                 held += len(stretch)
                 if held > _STRETCH:
                     settle()
         settle()
         return totals
 
+    def _counts(self, pre_tokens: list[str]) -> list[int]:
+        return self.count_pre_tokens([p.encode() for p in pre_tokens]).tolist()
+
+
+@functools.lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> ByteBpe:
+    """The vocabulary of a path, read once in a worker, with what it has counted."""
+    return ByteBpe(path)
+
 
 def with_token_counts(
     docs: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens"
@@ -236,10 +279,10 @@ def with_token_counts(
     at = rest.columns.index(text)
 
     def run(batches):
-        bpe, memo = ByteBpe(vocabulary), {}
+        bpe = vocabulary_of(vocabulary)
         for batch in batches:
             raw = [t or b"" for t in raw_texts(batch.column(at))]
-            counts = bpe.count_texts([decoded(t) for t in raw], memo)
+            counts = bpe.count_texts([decoded(t) for t in raw])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(map(len, raw), pa.int64()), pa.array(counts, pa.int64())],
                 [*batch.schema.names, "n_bytes", out],

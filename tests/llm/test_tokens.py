@@ -36,20 +36,29 @@ def odd_texts():
 
 def test_odd_texts(library, ours):
     texts = odd_texts()
-    assert ours.count_texts(texts, {}) == wanted(library, texts)
+    assert ours.count_texts(texts) == wanted(library, texts)
 
 
-@pytest.mark.parametrize("limit", ["_STRETCH", "_MEMO", "LONG"])
-def test_limits_change_nothing(library, ours, limit, monkeypatch):
+@pytest.mark.parametrize("limit", ["_STRETCH", "_MEMO", "_MEMO_CHARS", "LONG"])
+def test_limits_change_nothing(library, limit, monkeypatch):
     monkeypatch.setattr(tokens, limit, 12)
+    ours = tokens.ByteBpe(PATH)
     texts = [*odd_texts()[:600], cases.LONG[:20_000]]
-    assert ours.count_texts(texts, {}) == wanted(library, texts)
+    assert ours.count_texts(texts) == wanted(library, texts)
+
+
+def test_narrow_texts_are_cut_alike(ours):
+    rnd = random.Random(6)
+    letters = [chr(c) for c in range(256)] + [" "] * 60 + ["'s", "'ll", "\n\n"] * 5
+    for _ in range(2_000):
+        text = "".join(rnd.choices(letters, k=rnd.randint(0, 60)))
+        assert ours.narrow.findall(text) == ours.pattern.findall(text)
 
 
 def test_long_sequences(library, ours):
     rnd = random.Random(4)
     texts = ["".join(rnd.choices("abcdefgh", k=n)) for n in (3_000, 40_000)] + ["ab" * 20_000]
-    assert ours.count_texts(texts, {}) == wanted(library, texts)
+    assert ours.count_texts(texts) == wanted(library, texts)
 
 
 def test_table(spark, library):
