@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from presswork.llm.common import raw_texts
+from presswork.llm.common import Memo, raw_texts
+from presswork.llm.tokens import NEVER, pair_ranks, spread_pairs
 
 # Fixed values of the model format.
 SPACE = "▁"
@@ -31,11 +32,10 @@ UNKNOWN_SURFACE = " ⁇ "
 BROKEN = "�"
 
 _MEMO = 1 << 17
-_MEMO_CHARS = 64
 _STRETCH = 1 << 20
-_SHORT = 24
-_NEVER = float("inf")
-_PIECE = struct.Struct("<ii")
+# Stretches up to this many characters are merged together in arrays, and remembered.
+_SHORT = 48
+_PIECE = np.dtype([("id", "<i4"), ("covers", "<i4")])
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -162,25 +162,6 @@ class Normalizer:
         return bytes(out), np.array([*source, at], np.int64)
 
 
-class _Memo(dict):
-    """Pieces of stretches by stretch: two generations, so that common ones stay."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, stretch: str) -> bytes:
-        found = self.old.get(stretch)
-        if found is None:
-            found = self.make(stretch)
-        if len(stretch) <= _MEMO_CHARS:
-            if len(self) >= _MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[stretch] = found
-        return found
-
-
 class PieceModel:
     """A BPE model of the ``sentencepiece`` library with byte fallback."""
 
@@ -216,11 +197,12 @@ class PieceModel:
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in byte_ids}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.id_of = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
-        self.rank_of = {p: -self.scores[i] for p, i in self.id_of.items()}
-        self.controls = {i for i, kind in enumerate(self.kinds) if kind == CONTROL}
+        self.is_control = np.array([kind == CONTROL for kind in self.kinds])
+        self.covers = np.array([len(p.encode()) for p in self.pieces])
         self.surface = [self._surface(i, trainer) for i in range(len(self.pieces))]
         self._cut()
-        self.memo = _Memo(self._packed)
+        self._pair()
+        self.memo = Memo(_MEMO, _SHORT)
 
     def _surface(self, i: int, trainer: dict) -> bytes:
         kind = self.kinds[i]
@@ -247,20 +229,88 @@ class PieceModel:
         # Long texts are worked through in parts that begin at such a space.
         self.gap = None if inner else re.compile(f"(?<=[^ {SPACE}]) ")
 
-    def merge(self, stretch: str) -> list[str]:
-        """Pieces of a stretch: the best-scored adjacent pair is merged first, of equally
-        scored ones the leftmost."""
-        if len(stretch) <= _SHORT:
-            return self._merge_short(list(stretch))
+    def _pair(self) -> None:
+        """Lookup tables for merging in arrays: symbols are pieces and single characters."""
+        single = sorted({c for p in self.id_of for c in p} - set(self.id_of))
+        symbol = self.id_of | {c: len(self.pieces) + i for i, c in enumerate(single)}
+        # The last symbol stands for every other character.
+        self.n_symbols = len(self.pieces) + len(single) + 1
+        self.symbol_of = np.full(0x110000, self.n_symbols - 1, np.int32)
+        for c, i in symbol.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = i
+        pairs = sorted(
+            (-self.scores[i], symbol[p[:k]] * self.n_symbols + symbol[p[k:]], i)
+            for p, i in self.id_of.items()
+            for k in range(1, len(p))
+            if p[:k] in symbol and p[k:] in symbol
+        )
+        self.pair_keys, self.pair_ranks = spread_pairs(np.array([k for _, k, _ in pairs], np.int64))
+        self.made = np.array([i for *_, i in pairs], np.int64)
+        # Pairs of equal score have one level, so that the leftmost counts.
+        score = np.array([s for s, *_ in pairs])
+        level = np.cumsum(np.concatenate(([0], score[1:] != score[:-1])), dtype=np.int32)
+        self.level = np.concatenate((level, [NEVER])).astype(np.int32)
+
+    def _merge_short(self, stretches: list[str]) -> list[bytes]:
+        """The pieces of many stretches at once: each round merges in every stretch its
+        best-scored pair, of equally scored ones the leftmost."""
+        flat = self.symbol_of[np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4")]
+        flat = flat.astype(np.int64)
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        row = np.repeat(np.arange(len(stretches)), sizes)
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """Ranks of the pairs that begin at places, none at the end of a stretch."""
+            after = np.minimum(at + 1, len(flat) - 1)
+            out = pair_ranks(self.pair_keys, self.pair_ranks, flat[at] * self.n_symbols + flat[after])
+            out[(row[after] != row[at]) | (after == at)] = len(self.made)
+            return np.minimum(out, len(self.made))
+
+        rank = ranks(np.arange(len(flat)))
+        done_rows, done_ids = [], []
+        while len(flat):
+            level = self.level[rank]
+            starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            size = np.diff(np.concatenate((starts, [len(row)])))
+            least = np.repeat(np.minimum.reduceat(level, starts), size)
+            over = least == NEVER
+            done_rows.append(row[over])
+            done_ids.append(flat[over])
+            hit = np.flatnonzero((level == least) & ~over)
+            hit = hit[np.concatenate(([True], row[hit[1:]] != row[hit[:-1]]))] if len(hit) else hit
+            flat[hit] = self.made[rank[hit]]
+            stay = ~over
+            stay[hit + 1] = False
+            place = (np.cumsum(stay) - 1)[hit]
+            flat, row, rank = flat[stay], row[stay], rank[stay]
+            changed = np.concatenate((place, place[place > 0] - 1))
+            rank[changed] = ranks(changed)
+        rows, ids = np.concatenate(done_rows), np.concatenate(done_ids)
+        order = np.argsort(rows, kind="stable")  # a stretch leaves whole, in its order
+        rows, ids = rows[order], ids[order]
+        packed = np.empty(len(ids), _PIECE)
+        odd = set(rows[ids >= len(self.pieces)].tolist())
+        ids = np.minimum(ids, len(self.pieces) - 1)
+        packed["id"], packed["covers"] = ids, self.covers[ids]
+        edges = np.searchsorted(rows, np.arange(len(stretches) + 1)) * _PIECE.itemsize
+        buffer, edges = packed.tobytes(), edges.tolist()
+        out = [buffer[a:b] for a, b in zip(edges, edges[1:])]
+        for i in odd:  # characters without a piece of their own
+            out[i] = self._packed(self._merge_long(stretches[i]))
+        return out
+
+    def _merge_long(self, stretch: str) -> list[str]:
+        """The same merges for one long stretch, in order of a queue."""
         parts = list(stretch)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         queue: list[tuple[float, int, int, str]] = []
 
         def offer(left: int, right: int) -> None:
             whole = parts[left] + parts[right]
-            rank = self.rank_of.get(whole)
-            if rank is not None:
-                heapq.heappush(queue, (rank, left, right, whole))
+            i = self.id_of.get(whole)
+            if i is not None:
+                heapq.heappush(queue, (-self.scores[i], left, right, whole))
 
         for i in range(len(parts) - 1):
             offer(i, i + 1)
@@ -277,28 +327,11 @@ class PieceModel:
                 offer(before[left], left)
         return [p for p in parts if p]
 
-    def _merge_short(self, parts: list[str]) -> list[str]:
-        """The same for a few characters, by looking through all pairs in each round."""
-        rank = self.rank_of.get
-        ranks = [rank(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == _NEVER:
-                break
-            at = ranks.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank(parts[at - 1] + parts[at], _NEVER)
-            if at < len(ranks):
-                ranks[at] = rank(parts[at] + parts[at + 1], _NEVER)
-        return parts
-
-    def _packed(self, stretch: str) -> bytes:
+    def _packed(self, parts: list[str]) -> bytes:
         """(id, normalised bytes covered) of each piece. The bytes of a character outside
         the vocabulary are pieces of their own; the last of them covers it."""
         out = []
-        for piece in self.merge(stretch):
+        for piece in parts:
             raw = piece.encode()
             i = self.id_of.get(piece)
             if i is not None:
@@ -306,11 +339,23 @@ class PieceModel:
             else:
                 out += [(self.byte_id[b], 0) for b in raw[:-1]]
                 out.append((self.byte_id[raw[-1]], len(raw)))
-        return b"".join(_PIECE.pack(*p) for p in out)
-
-    def _pieces(self, text: str) -> np.ndarray:
-        found = map(self.memo.__getitem__, self.stretch.findall(text))
-        return np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
+        return np.array(out, _PIECE).tobytes()
+
+    def _made(self, stretches: list[str]) -> list[bytes]:
+        """Pieces of each stretch, packed."""
+        short = [s for s in stretches if len(s) <= _SHORT]
+        made = dict(zip(short, self._merge_short(short))) if short else {}
+        return [made.get(s) or self._packed(self._merge_long(s)) for s in stretches]
+
+    def _pieces(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids and bytes covered, as two columns, for each normalised text."""
+        cut = [self.stretch.findall(text) for text in texts]
+        wanted = set().union(*cut)
+        memo = self.memo.fill(wanted, self._made)
+        return [
+            np.frombuffer(b"".join(map(memo.__getitem__, found)), "<i4").reshape(-1, 2)
+            for found in cut
+        ]
 
     def _parts(self, text: str) -> Iterator[str]:
         at = 0
@@ -320,54 +365,85 @@ class PieceModel:
                 break
             yield text[at : gap.start()]
             at = gap.start()
-        yield text[at:]
+        if at < len(text):
+            yield text[at:]
 
-    def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the pieces of a text, and the byte each begins and ends at in it.
-
-        ``raw`` is UTF-8; broken sequences are read as U+FFFD, and places then refer to
-        the text with these.
-        """
+    def _normal_parts(self, raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
+        """Parts of the normalised text that can be cut alone, with the source of each byte
+        of them and of their end."""
         text = raw.decode("utf-8", "replace")
-        raw = text.encode()
         if not self.normalizer.plain:
-            normal, source = self.normalizer.normalize(raw)
-            found = self._pieces(normal.decode())
-            edges = source[np.concatenate(([0], np.cumsum(found[:, 1], dtype=np.int64)))]
-            return found[:, 0].copy(), edges[:-1], edges[1:]
+            normal, source = self.normalizer.normalize(text.encode())
+            yield normal.decode(), source
+            return
         # Without a map each character stands for itself and a space for its sign, so the
-        # source of a byte follows from the number of spaces before it.
-        ids, ends, at = [], [np.zeros(1, np.int64)], 0
-        for part in self._parts(text) if text else ():
+        # sources follow from where the spaces are.
+        at = 0
+        for part in self._parts(text):
             own = np.frombuffer(part.encode(), np.uint8)
             prefix = SPACE if at == 0 and self.normalizer.dummy_prefix else ""
-            found = self._pieces(prefix + part.replace(" ", SPACE))
+            starts = np.arange(at, at + len(own))
             width = np.where(own == 0x20, len(SPACE.encode()), 1)
-            shift = len(prefix.encode())
-            source = np.zeros(int(width.sum()) + shift + 1, np.int64)
-            source[shift:-1] = np.repeat(np.arange(len(own)), width)
-            source[-1] = len(own)
-            ids.append(found[:, 0])
-            ends.append(at + source[np.cumsum(found[:, 1], dtype=np.int64)])
+            source = np.full(len(prefix.encode()) + int(width.sum()) + 1, at)
+            source[len(prefix.encode()) : -1] = np.repeat(starts, width)
+            source[-1] = at + len(own)
+            yield prefix + part.replace(" ", SPACE), source
             at += len(own)
-        if not ids:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        edges = np.concatenate(ends)
-        return np.concatenate(ids), edges[:-1], edges[1:]
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces of a text, and the byte each begins and ends at in it."""
+        return self.encode_all([raw])[0]
+
+    def encode_all(self, raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of many texts, whose new stretches are merged together.
+
+        Texts are UTF-8; broken sequences are read as U+FFFD, and places then refer to the
+        text with these.
+        """
+        ids: list[list[np.ndarray]] = [[] for _ in raws]
+        edges = [[np.zeros(1, np.int32)] for _ in raws]
+        waiting: list[tuple[int, str, np.ndarray]] = []
+        held = 0
+
+        def settle():
+            nonlocal held
+            for (i, _, source), found in zip(waiting, self._pieces([n for _, n, _ in waiting])):
+                if not ids[i]:
+                    edges[i] = [source[:1].astype(np.int32)]
+                ids[i].append(found[:, 0])
+                edges[i].append(source[np.cumsum(found[:, 1], dtype=np.int64)].astype(np.int32))
+            waiting.clear()
+            held = 0
+
+        for i, raw in enumerate(raws):
+            for normal, source in self._normal_parts(raw):
+                waiting.append((i, normal, source))
+                held += len(normal)
+                if held > _STRETCH:
+                    settle()
+        settle()
+        empty = np.zeros(0, np.int32)
+        out = []
+        for own, places in zip(ids, edges):
+            joined = np.concatenate(places)
+            out.append((np.concatenate(own) if own else empty, joined[:-1], joined[1:]))
+        return out
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids, as the library's decode gives it."""
-        if any(i < 0 or i >= len(self.pieces) for i in ids):
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.pieces):
             raise ValueError("an id outside the vocabulary")
-        made = [self.surface[i] for i in ids]
+        listed = ids.tolist()
+        made = list(map(self.surface.__getitem__, listed))
         if self.normalizer.dummy_prefix or self.normalizer.remove_extra:
-            self._strip_first_space(ids, made)
-        if self.controls.isdisjoint(ids):  # else pieces may end a run of bytes unseen
+            self._strip_first_space(listed, made)
+        if not self.is_control[ids].any():  # else pieces may end a run of bytes unseen
             try:
                 return b"".join(made).decode()
             except UnicodeDecodeError:
                 pass
-        return self._decode_broken(ids, made)
+        return self._decode_broken(listed, made)
 
     def _strip_first_space(self, ids: list[int], made: list[bytes]) -> None:
         """Drop the space that encoding put before the text (all, if extra ones go)."""
@@ -416,12 +492,10 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, rows)])
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     values = np.concatenate(rows) if rows else np.zeros(0)
-    return pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), pa.array(values.astype(kind.to_pandas_dtype()), kind)
-    )
+    return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
 
 
 def encode(
@@ -446,19 +520,13 @@ def encode(
     def run(batches):
         pieces = model(vocabulary)
         for batch in batches:
-            rows = [pieces.encode(raw or b"") for raw in raw_texts(batch.column(at))]
-            made = [
-                _lists([r[k] for r in rows], pa.int32() if k == 0 else pa.int64())
-                for k in range(3)
-            ]
+            rows = pieces.encode_all([raw or b"" for raw in raw_texts(batch.column(at))])
+            made = [_lists([r[k] for r in rows]) for k in range(3)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(p) for p in places), *made], [*(f.name for f in kept), *names]
             )
 
-    fields = [
-        T.StructField(n, T.ArrayType(T.IntegerType() if n == "ids" else T.LongType()))
-        for n in names
-    ]
+    fields = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]
     return rest.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
@@ -473,9 +541,12 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
     def run(batches):
         pieces = model(vocabulary)
         for batch in batches:
+            rows = batch.column(at)
+            values = rows.values.fill_null(pieces.unknown).to_numpy()
+            edges = rows.offsets.to_pylist()
             texts = [
-                None if row is None else pieces.decode([pieces.unknown if i is None else i for i in row])
-                for row in batch.column(at).to_pylist()
+                pieces.decode(values[a:b]) if there else None
+                for a, b, there in zip(edges, edges[1:], rows.is_valid().to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out]

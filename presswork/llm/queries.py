@@ -141,14 +141,16 @@ def op13_pieces(spark, sf_dir):
     """Digests of the ids and of the decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(PIECES)
-    decoded = pieces.decode(pieces.encode(docs, path, keep_text=False), path)
+    encoded = pieces.encode(docs, path, keep_text=False)
+    n_bytes = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("n_bytes")
+    decoded = pieces.decode(encoded.select("doc_id", "ids", n_bytes), path)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("ends", -1), F.lit(0)).alias("n_bytes"),
+        "n_bytes",
     )
 
 

@@ -51,7 +51,7 @@ def test_spans_cover_the_text(ours):
         assert b"".join(raw[a:b] for a, b in zip(begins, ends)) == raw
 
 
-@pytest.mark.parametrize("limit", ["_STRETCH", "_MEMO", "_MEMO_CHARS", "_SHORT"])
+@pytest.mark.parametrize("limit", ["_STRETCH", "_MEMO", "_SHORT"])
 def test_limits_change_nothing(library, limit, monkeypatch):
     monkeypatch.setattr(pieces, limit, 5)
     small = pieces.PieceModel(PATH)
