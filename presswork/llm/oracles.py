@@ -109,7 +109,7 @@ WITH written AS (
 )
 SELECT file, "offset", CASE WHEN number % 193 = 0 THEN 'missing' ELSE 'changed' END AS status,
   sha256(record) AS left_digest,
-  CASE WHEN number % 193 <> 0 THEN sha256(record || '?') END AS right_digest, page_id
+  CASE WHEN number % 193 <> 0 THEN sha256(record || '?') END AS right_digest, 1::BIGINT AS copies, page_id
 FROM kept WHERE number % 193 = 0 OR number % 97 = 0
 """
 

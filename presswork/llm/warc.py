@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from presswork.operators.joins import join_hot_key
 from presswork.session import stored
 
 RANGE_BYTES = 1 << 16
@@ -118,13 +119,42 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- fixity
 
 
+# A record without an offset, or without a file, lies at a place of its own.
+_NO_OFFSET = -(1 << 63)
+
+
 def leaves(replica: DataFrame) -> DataFrame:
-    """(file, offset, n_bytes, digest) of each record; texts and binary records alike."""
-    return replica.select(
-        "file",
-        F.col("offset").cast("long").alias("offset"),
-        F.octet_length("record").cast("long").alias("n_bytes"),
-        F.sha2(F.col("record").cast("binary"), 256).alias("digest"),
+    """(file, offset, n_bytes, digest, copies) of each different record of a place.
+
+    Texts and binary records alike. ``file`` becomes text, and nulls in any column are
+    values like others: a missing file is ``-``, a record that is null has an empty digest.
+    """
+    return (
+        replica.select(
+            F.coalesce(F.concat(F.lit("="), F.col("file").cast("string")), F.lit("-")).alias("file"),
+            F.coalesce(F.col("offset").cast("long"), F.lit(_NO_OFFSET)).alias("offset"),
+            F.coalesce(F.octet_length("record").cast("long"), F.lit(-1)).alias("n_bytes"),
+            F.coalesce(F.sha2(F.col("record").cast("binary"), 256), F.lit("")).alias("digest"),
+        )
+        .groupBy("file", "offset", "n_bytes", "digest")
+        .agg(F.count("*").alias("copies"))
+    )
+
+
+def _places(records: DataFrame) -> DataFrame:
+    """(file, offset, digest) with one hash for all records of an offset, as a multiset.
+
+    The eight 32-bit words of the records' hashes are summed, which needs no order and
+    combines before the shuffle, however many records claim one offset.
+    """
+    each = F.sha2(F.concat_ws(":", "n_bytes", "digest", "copies"), 256)
+    words = records.select("file", "offset", each.alias("hash"))
+    sums = [
+        F.sum(F.conv(F.substring("hash", 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"w{i}")
+        for i in range(8)
+    ]
+    return words.groupBy("file", "offset").agg(*sums).select(
+        "file", "offset", F.sha2(F.concat_ws(":", *[f"w{i}" for i in range(8)]), 256).alias("digest")
     )
 
 
@@ -140,11 +170,11 @@ def _node(*parts: Column) -> Column:
 def tree(records: DataFrame, levels: int) -> list[DataFrame]:
     """Nodes (file, node, digest) per level, ranges first and roots last.
 
-    A range holds the records that begin in ``RANGE_BYTES`` bytes, so its size is bounded.
+    A range holds the offsets in ``RANGE_BYTES`` bytes, so its size is bounded.
     """
-    first = records.withColumn("node", F.floor(F.col("offset") / RANGE_BYTES)).groupBy("file", "node")
-    parts = [F.col(c).alias(f"p{i}") for i, c in enumerate(("offset", "n_bytes", "digest"))]
-    out = [stored(first.agg(_node(*parts)), "merkle")]
+    first = _places(records).withColumn("node", F.floor(F.col("offset") / RANGE_BYTES))
+    parts = [F.col(c).alias(f"p{i}") for i, c in enumerate(("offset", "digest"))]
+    out = [stored(first.groupBy("file", "node").agg(_node(*parts)), "merkle")]
     for _ in range(levels):
         children = [F.col("child").alias("p0"), F.col("digest").alias("p1")]
         above = (
@@ -159,23 +189,19 @@ def tree(records: DataFrame, levels: int) -> list[DataFrame]:
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(file, offset, status, left_digest, right_digest) of every record that differs.
+    """(file, offset, status, left_digest, right_digest, copies) of all that differs.
 
     status: changed, missing (not in ``right``) or extra (not in ``left``). Equal replicas,
-    also empty ones, give no rows. Records repeated at one offset of a file are compared as
-    one, by the smallest of their digests.
+    also empty ones, give no rows. The records of one file and offset are compared as a
+    multiset: where one kind of record is left over on either side it has changed, and
+    everything else left over is missing or extra, with its number of copies (of a changed
+    record, the larger one). Null files and offsets are places like others, a null record
+    has a null digest.
     """
-    sides = [
-        stored(
-            leaves(x).groupBy("file", "offset").agg(
-                F.min(F.struct("digest", "n_bytes")).alias("m")
-            ).select("file", "offset", "m.n_bytes", "m.digest"),
-            "leaves",
-        )
-        for x in (left, right)
-    ]
+    kind = left.schema["file"].dataType
+    sides = [stored(leaves(x), "leaves") for x in (left, right)]
     ends = [s.agg(F.max("offset")).first()[0] or 0 for s in sides]
-    levels, ranges = 0, max(ends) // RANGE_BYTES
+    levels, ranges = 0, max(0, *ends) // RANGE_BYTES
     while ranges:
         levels, ranges = levels + 1, ranges // FAN_OUT
     trees = [tree(s, levels) for s in sides]
@@ -196,20 +222,47 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     suspect = None
     for level in range(levels, -1, -1):
         suspect = differing(level, suspect)
+    record = ["file", "offset", "n_bytes", "digest"]
     found = [
         s.withColumn("node", F.floor(F.col("offset") / RANGE_BYTES))
         .join(suspect, ["file", "node"], "left_semi")
-        .select("file", "offset", F.col("digest").alias(f"{side}_digest"))
-        for s, side in zip(sides, ("left", "right"))
+        .select(*record, F.col("copies").alias(side))
+        for s, side in zip(sides, ("in_left", "in_right"))
     ]
-    status = (
-        F.when(F.col("right_digest").isNull(), "missing")
-        .when(F.col("left_digest").isNull(), "extra")
-        .otherwise("changed")
-    )
-    return (
+    surplus = stored(
         found[0]
-        .join(found[1], ["file", "offset"], "full")
-        .filter(~F.col("left_digest").eqNullSafe(F.col("right_digest")))
-        .select("file", "offset", status.alias("status"), "left_digest", "right_digest")
+        .join(found[1], record, "full")
+        .select(*record, (F.coalesce("in_left", F.lit(0)) - F.coalesce("in_right", F.lit(0))).alias("more"))
+        .filter("more != 0"),
+        "surplus",
+    )
+    # One row a place, combined before the shuffle; few places have more than one kind.
+    kinds = surplus.groupBy("file", "offset").agg(
+        (F.count_if(F.col("more") > 0) == 1).alias("one_left"),
+        (F.count_if(F.col("more") < 0) == 1).alias("one_right"),
+        F.min(F.when(F.col("more") > 0, F.col("digest"))).alias("left_digest"),
+        F.min(F.when(F.col("more") < 0, F.col("digest"))).alias("right_digest"),
+        F.max(F.abs("more")).alias("copies"),
+    )
+    pairs = F.col("one_left") & F.col("one_right")
+    changed = kinds.filter(pairs).select(
+        "file", "offset", F.lit("changed").alias("status"), "left_digest", "right_digest", "copies"
+    )
+    rest = join_hot_key(surplus, kinds.filter(~pairs).select("file", "offset"), ["file", "offset"])
+    gone = F.col("more") > 0
+    single = rest.select(
+        "file",
+        "offset",
+        F.when(gone, "missing").otherwise("extra").alias("status"),
+        F.when(gone, F.col("digest")).alias("left_digest"),
+        F.when(~gone, F.col("digest")).alias("right_digest"),
+        F.abs("more").alias("copies"),
+    )
+    return changed.unionByName(single).select(
+        F.when(F.col("file") != "-", F.substring("file", 2, 1 << 30).cast(kind)).alias("file"),
+        F.nullif("offset", F.lit(_NO_OFFSET)).alias("offset"),
+        "status",
+        F.nullif("left_digest", F.lit("")).alias("left_digest"),
+        F.nullif("right_digest", F.lit("")).alias("right_digest"),
+        "copies",
     )

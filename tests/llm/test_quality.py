@@ -30,23 +30,6 @@ def brute_base(text):
     return n, sum(map(len, words)), symbols, dup, len(covered), failed
 
 
-def brute_fit(x, steps):
-    """The same estimate on a matrix: bins of distances, all in memory."""
-    mu = np.array([np.sort(c)[(len(c) + 1) // 2 - 1] for c in x.T])
-    dev = np.array([np.sort(c)[(len(c) + 1) // 2 - 1] for c in np.abs(x - mu).T])
-    inv = np.linalg.inv(np.diag((1.4826 * dev) ** 2) + np.diag(np.square(outliers.FLOORS)))
-    for _ in range(steps):
-        gap = x - mu
-        d2 = np.einsum("ij,jk,ik->i", gap, inv, gap)
-        place = np.floor(np.log2(np.maximum(d2, 1e-9)) * outliers.BINS_PER_OCTAVE)
-        near = x[place <= np.sort(place)[math.ceil(0.75 * len(x)) - 1]]
-        mu = near.mean(axis=0)
-        inv = np.linalg.inv(np.cov(near.T, bias=True) + np.diag(np.square(outliers.FLOORS)))
-        middle = np.sort(place)[(len(x) + 1) // 2 - 1]
-        scale = max(1.0, 2 ** ((middle + 1) / outliers.BINS_PER_OCTAVE) / outliers.chi_square(0.5))
-    return mu, inv, scale
-
-
 def test_chi_square():
     # From printed tables, 7 degrees of freedom.
     for q, x in [(0.5, 6.346), (0.95, 14.067), (0.99, 18.475), (0.999, 24.322)]:
@@ -74,34 +57,6 @@ def test_blocks_do_not_change_statistics(limit, monkeypatch):
     assert text_stats.text_stats(text) == want
 
 
-def test_estimates_against_a_plain_statement(spark, monkeypatch):
-    monkeypatch.setattr(outliers, "MAX_STEPS", 4)
-    monkeypatch.setattr(outliers, "TOLERANCE", 0.0)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    measured = outliers.with_stats(docs.select("doc_id", "lang", "source", "text"), "text")
-    fitted = {r.pair: r for r in outliers.fit(measured).collect()}
-    good = measured.filter(~outliers.base_failed()).select(
-        outliers.pair_key("lang", "source").alias("pair"), "lang", *outliers._vector()
-    ).collect()
-    sizes = Counter(r.pair for r in good)
-    pool = Counter(r.lang for r in good if sizes[r.pair] < outliers.MIN_GROUP)
-
-    def group(r):
-        if sizes[r.pair] >= outliers.MIN_GROUP:
-            return r.pair
-        return r.lang if pool[r.lang] >= outliers.MIN_GROUP else "all"
-
-    for name in {group(r) for r in good}:
-        mine = [r for r in good if group(r) == name]
-        x = np.array([[r[f"x{i}"] for i in range(outliers.DIM)] for r in mine]) / outliers.GRID
-        mu, inv, scale = brute_fit(x, outliers.MAX_STEPS)
-        got = fitted[mine[0].pair]
-        assert got.n == len(mine)
-        assert np.allclose(got.mu, mu, atol=1e-9)
-        assert np.allclose(np.reshape(got.inv, inv.shape), inv, rtol=1e-6)
-        assert got.scale == pytest.approx(scale)
-
-
 def test_verdicts_against_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,14 +13,18 @@ SCHEMA = "file long, offset long, record string"
 
 
 def brute_audit(left, right):
-    a, b = {(f, o): r for f, o, r in left}, {(f, o): r for f, o, r in right}
+    """Places as multisets of records; see ``audit`` for what pairs up."""
     digest = lambda r: None if r is None else hashlib.sha256(r.encode()).hexdigest()
     out = []
-    for key in a.keys() | b.keys():
-        x, y = a.get(key), b.get(key)
-        if x != y:
-            status = "missing" if y is None else "extra" if x is None else "changed"
-            out.append((*key, status, digest(x), digest(y)))
+    for place in {r[:2] for r in left + right}:
+        a, b = (Counter(r[2] for r in side if r[:2] == place) for side in (left, right))
+        gone, new = a - b, b - a
+        if len(gone) == len(new) == 1:
+            (x, n), (y, m) = *gone.items(), *new.items()
+            out.append((*place, "changed", digest(x), digest(y), max(n, m)))
+            continue
+        out += [(*place, "missing", digest(r), None, n) for r, n in gone.items()]
+        out += [(*place, "extra", None, digest(r), n) for r, n in new.items()]
     return sorted(out, key=repr)
 
 
@@ -57,10 +62,31 @@ def test_equal_and_empty_replicas(spark):
     left = spark.createDataFrame(replica(50), SCHEMA)
     assert warc.audit(left, left.repartition(7)).count() == 0
     assert warc.audit(left.limit(0), left.limit(0)).count() == 0
-    assert warc.audit(left.unionByName(left), left).count() == 0
+    twice = warc.audit(left.unionByName(left), left)
+    assert {(r.status, r.copies) for r in twice.collect()} == {("missing", 1)} and twice.count() == 50
     assert {r.status for r in warc.audit(left, left.limit(0)).collect()} == {"missing"}
 
 
+@pytest.mark.parametrize("range_bytes", [5, 1 << 16])
+def test_repeated_places_and_nulls(spark, range_bytes, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", range_bytes)
+    left = [
+        (0, 0, "same"), (0, 9, "a"), (0, 9, "z"), (0, 20, "b"), (0, 20, "b"), (0, 30, None), (0, 40, ""),
+        (None, 0, "old"), (None, None, "x"), (1, None, "p"), (1, None, "q"), (2, 5, "u"), (3, -1, "n"),
+    ]
+    right = [
+        (0, 0, "same"), (0, 0, "zzz"), (0, 9, "a"), (0, 9, "y"), (0, 20, "b"), (0, 30, ""), (0, 40, None),
+        (None, 0, "new"), (None, None, "x"), (None, None, "x"), (1, None, "r"), (2, 5, "v"), (2, 5, "w"),
+        (3, -1, "m"),
+    ]
+    frames = [spark.createDataFrame(x, SCHEMA) for x in (left, right)]
+    got = warc.audit(*frames)
+    assert cases.as_set(got) == brute_audit(left, right)
+    assert got.schema["file"].dataType.simpleString() == "bigint"
+    for x in frames:
+        assert warc.audit(x, x).count() == 0
+
+
 def test_files_read_back(spark):
     pages = spark.read.parquet(PAGES)
     odd = [(None, None, None), (1, "http://a\r\nb", "x\r\n\r\nWARC/1.1\r\n\n"), (1, "u", ""), (1, "u", "")]
