@@ -32,16 +32,20 @@ def update_articles(spark: SparkSession, path: str, changed: DataFrame, files_pe
 
     Only the day folders in which a row changes are rewritten; all others keep their files.
     A changed row replaces the one with its article_id and must have its publication time.
-    The new contents of the days are stored first, so a run that fails before the last step
-    has changed nothing and can be run again.
+    Rows without a time have a folder of their own and are replaced like others. The new
+    contents of the days are stored first, so a run that fails before the last step has
+    changed nothing and can be run again.
     """
     rows = stored(changed.withColumn("published_day", F.to_date("published_at")), "changed")
-    days = rows.select("published_day").distinct()
-    kept = (
-        spark.read.parquet(path)
-        .join(days, "published_day", "left_semi")
-        .join(rows.select("published_day", "article_id"), ["published_day", "article_id"], "left_anti")
-    )
+    # One value per calendar day, as literals: only these folders are listed and read.
+    days = [r[0] for r in rows.select("published_day").distinct().collect()]
+    in_days = F.col("published_day").isin([d for d in days if d is not None])
+    if None in days:
+        in_days = in_days | F.col("published_day").isNull()
+    ids = rows.select(F.col("published_day").alias("_day"), F.col("article_id").alias("_id"))
+    kept = spark.read.parquet(path).filter(in_days)
+    replaced = (kept["article_id"] == F.col("_id")) & kept["published_day"].eqNullSafe(F.col("_day"))
+    kept = kept.join(ids, replaced, "left_anti")
     whole = stored(kept.unionByName(rows).drop("published_day"), "rewritten-days")
     writer = _by_day(whole, files_per_day).mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)

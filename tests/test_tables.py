@@ -216,6 +216,19 @@ def test_only_changed_days_are_rewritten(spark, tmp_path):
     assert {d for d in before if before[d] != after[d]} == {str(day)}
 
 
+def test_rows_without_a_time_are_replaced_like_others(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    schema = "article_id long, state string, published_at timestamp_ntz"
+    save_articles(
+        spark.createDataFrame([(1, "old", None), (2, "old", None), (3, "old", T0)], schema), path, 2
+    )
+    changed = spark.createDataFrame([(2, "new", None), (4, "added", None)], schema)
+    for _ in range(2):
+        update_articles(spark, path, changed, files_per_day=2)
+        got = {r.article_id: r.state for r in spark.read.parquet(path).collect()}
+        assert got == {1: "old", 2: "new", 3: "old", 4: "added"}
+
+
 def test_first_chunks_have_their_own_folder(spark, tmp_path):
     from presswork.sources.tables import first_chunks, save_chunks
 
