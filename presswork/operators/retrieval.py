@@ -7,17 +7,17 @@ user, 5 if none) / 10 + 0.1 published epoch / now epoch.
 from __future__ import annotations
 
 from datetime import UTC, datetime
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.operators.chat import PROMPT_MESSAGES, last_messages
 from presswork.operators.feed import dimensions, named_keys
-from presswork.operators.joins import BROADCAST_ROWS, top_per_group
+from presswork.operators.joins import checked_broadcast, top_per_group
 from presswork.operators.similarity import pair_dots, unit_rows
 from presswork.session import stored
 
@@ -36,8 +36,10 @@ SYSTEM_PROMPT = """당신은 최신 뉴스를 기반으로 질문에 답변하
     """
 NOTHING_FOUND = "관련된 최신 뉴스를 찾지 못했어요. 다른 질문을 해보시겠어요?"
 
-# One broadcast block of questions, in bytes of vectors; more questions go in more passes.
+# Questions up to this size (measured, weights included) are broadcast as one block. More are
+# dealt to blocks of this size, which meet tiles of chunks of the other size in tasks.
 QUERY_BYTES = 64 * 1024 * 1024
+TILE_BYTES = 128 * 1024 * 1024
 # A matrix product covers this many questions and chunks at a time.
 QUESTION_TILE = 1024
 CHUNK_TILE = 4096
@@ -190,13 +192,12 @@ def _now_epoch(as_of: datetime) -> float:
     return as_of.replace(tzinfo=UTC).timestamp()
 
 
-def score_block(pool: DataFrame, block: pa.Table, k: int, as_of: datetime) -> DataFrame:
-    """Every task scores its chunks against a block of questions; chunks are not moved."""
-    shared = pool.sparkSession.sparkContext.broadcast(block)
+def score_block(pool: DataFrame, block: Broadcast, k: int, as_of: datetime) -> DataFrame:
+    """Every task scores its chunks against the one block of questions; chunks stay."""
     now = _now_epoch(as_of)
 
     def score(batches):
-        best = _Best(_Questions(shared.value), k, now)
+        best = _Best(_Questions(block.value), k, now)
         for batch in batches:
             best.add(batch)
         yield from best.hits().to_batches()
@@ -204,13 +205,69 @@ def score_block(pool: DataFrame, block: pa.Table, k: int, as_of: datetime) -> Da
     return pool.mapInArrow(score, _HITS)
 
 
-def _blocks(asked: DataFrame, query_bytes: int) -> list[pa.Table]:
-    """All questions in blocks of about ``query_bytes`` of vectors, dealt by a hash."""
-    n, dim = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
-    n_blocks = max(1, -(-n * 8 * (dim or 1) // query_bytes))
-    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    parts = (numbered.filter(F.col("_block") == b).drop("_block") for b in range(n_blocks))
-    return [t for t in (p.toArrow() for p in parts) if t.num_rows]
+def score_grid(
+    pool: DataFrame, asked: DataFrame, blocks: int, k: int, as_of: datetime, tile_bytes: int
+) -> DataFrame:
+    """Blocks of questions meet tiles of chunks, each pair in a group of its own.
+
+    Both are dealt by hashes of their ids, so no group grows with the tables, and neither
+    side passes through the driver. ``pool`` should be a stored table: it is counted first.
+    """
+    n, dim = pool.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    tiles = max(1, -(-n * 4 * (dim or 1) // tile_bytes))
+    now = _now_epoch(as_of)
+
+    def dealt(rows: DataFrame, own: str, key: str, n_own: int, other: str, n_other: int):
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long")))
+        return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, copies)
+
+    def score(chunks: pa.Table, questions: pa.Table) -> pa.Table:
+        if not chunks.num_rows or not questions.num_rows:
+            return _HITS_ARROW.empty_table()
+        best = _Best(_Questions(questions), k, now)
+        for batch in chunks.to_batches():
+            best.add(batch)
+        return best.hits()
+
+    left = dealt(pool, "_tile", "chunk_id", tiles, "_block", blocks)
+    right = dealt(asked, "_block", "query_id", blocks, "_tile", tiles)
+    key = ["_tile", "_block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, _HITS)
+
+
+def _size(asked: DataFrame) -> tuple[int, int]:
+    """Questions, and bytes of their vectors and weights."""
+    entries = F.when(F.col("weights").isNotNull(), F.size("weights")).otherwise(0)
+    each = F.coalesce(F.size("vector"), F.lit(0)) * 8 + entries * 16 + 16
+    return asked.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+
+
+def best_chunks(
+    pool: DataFrame,
+    asked: DataFrame,
+    k: int,
+    as_of: datetime,
+    query_bytes: int = QUERY_BYTES,
+    tile_bytes: int = TILE_BYTES,
+) -> DataFrame:
+    """The k best chunks of ``pool`` for every question (query_id, vector, weights), ranked.
+
+    The result is stored, and a broadcast block is released when it is.
+    """
+    n, size = _size(asked)
+    order = [F.desc_nulls_last("score"), F.asc("chunk_id")]
+    if size > query_bytes:
+        blocks = -(-size // query_bytes)
+        hits = score_grid(stored(pool, "chunk-pool"), asked, blocks, k, as_of, tile_bytes)
+        return stored(top_per_group(hits, ["query_id"], order, k, rank="rank"), "hits")
+    if not n:
+        empty = pool.sparkSession.createDataFrame([], _HITS)
+        return empty.withColumn("rank", F.lit(0))
+    shared = pool.sparkSession.sparkContext.broadcast(asked.toArrow())
+    hits = score_block(pool, shared, k, as_of)
+    best = stored(top_per_group(hits, ["query_id"], order, k, rank="rank"), "hits")
+    shared.destroy()
+    return best
 
 
 def scoring_pool(
@@ -236,28 +293,21 @@ def retrieve(
     as_of: datetime,
     k: int = TOP_K,
     query_bytes: int = QUERY_BYTES,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """The k best chunks for every (query_id, user_id, vector), with rank and names.
 
-    Exact: every embedded chunk of a servable article is scored. Questions come in blocks
-    of a bounded size, as many as it takes; each block is one pass over the chunks. On
-    tables of ``save_bucketed`` no pass moves a vector. Only k rows per question leave a
-    task; texts are fetched for the winners alone. A zero vector has no similarity and
-    ranks last.
+    Exact: every embedded chunk of a servable article is scored. Questions of a bounded
+    size are one broadcast block and chunks stay where they are; on tables of
+    ``save_bucketed`` no vector moves. More questions meet the chunks in a grid of blocks
+    and tiles. Only k rows per question leave a task; texts are fetched for the winners
+    alone. A zero vector has no similarity and ranks last.
     """
     dims = dimensions(categories, sources)
     pool = scoring_pool(chunks, articles, categories, sources, dims)
-    blocks = _blocks(stored(_with_weights(queries, prefs), "questions"), query_bytes)
-    if not blocks:
-        hits = chunks.sparkSession.createDataFrame([], _HITS)
-    else:
-        hits = reduce(DataFrame.unionByName, (score_block(pool, b, k, as_of) for b in blocks))
-    best = top_per_group(
-        hits, ["query_id"], [F.desc_nulls_last("score"), F.asc("chunk_id")], k, rank="rank"
-    )
-    # Five numbers a row; a larger set of winners, and all texts, are joined as Spark sees fit.
-    if sum(b.num_rows for b in blocks) * k <= BROADCAST_ROWS:
-        best = F.broadcast(best)
+    asked = stored(_with_weights(queries, prefs), "questions")
+    # A few numbers a row; a larger set of winners, and all texts, are joined by shuffle.
+    best = checked_broadcast(best_chunks(pool, asked, k, as_of, query_bytes, tile_bytes))
     texts = chunks.select("chunk_id", "content").join(best, "chunk_id")
     return (
         articles.select("article_id", "title", "url", "published_at", "category_id", "source_id")

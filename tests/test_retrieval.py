@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from presswork.operators import retrieval
 from presswork.sources.tables import save_bucketed
@@ -95,13 +96,28 @@ def test_tiles(world, monkeypatch, questions, chunks):
     assert collected(retrieval.retrieve(*world["args"], k=5)) == expected(world, 5)
 
 
+@pytest.mark.parametrize("tile_bytes", [4 * 6 * 20, 1 << 20])
 @pytest.mark.parametrize("per_block", [1, 4])
-def test_several_blocks_of_questions(world, per_block):
-    """No question is lost, however many blocks it takes."""
-    got = retrieval.retrieve(*world["args"], k=5, query_bytes=per_block * 8 * 6)
+def test_many_questions_never_reach_the_driver(world, per_block, tile_bytes, monkeypatch):
+    """No question is lost, however many blocks and tiles it takes."""
+
+    def no_driver(*_):
+        raise AssertionError("rows on the driver")
+
+    monkeypatch.setattr(DataFrame, "toArrow", no_driver)
+    monkeypatch.setattr(DataFrame, "toPandas", no_driver)
+    size = per_block * (8 * 6 + 16)
+    got = retrieval.retrieve(*world["args"], k=5, query_bytes=size, tile_bytes=tile_bytes)
     assert collected(got) == expected(world, 5)
 
 
+def test_weights_count_as_bytes_of_questions(world):
+    *_, prefs, queries, _ = world["args"]
+    n, size = retrieval._size(retrieval._with_weights(queries, prefs))
+    weighted = sum(2 for q in world["queries"] if q[1] < 4)
+    assert (n, size) == (13, 13 * (8 * 6 + 16) + 16 * weighted)
+
+
 def test_scores_do_not_depend_on_batches(world):
     """Bit for bit, so that equal scores rank by chunk id everywhere."""
     chunks, *rest = world["args"]
