@@ -74,6 +74,54 @@ def test_equals_sequential_rule(spark, monkeypatch, tile_rows, pivots, t, noise)
     assert len(got) == len({r.duplicate_id for r in got})
 
 
+@pytest.mark.parametrize("listed, links", [(1, 0), (2, 500_000), (3, 40), (16, 0)])
+def test_short_lists_and_rounds_change_nothing(spark, monkeypatch, listed, links):
+    monkeypatch.setattr(dedup, "LISTED", listed)
+    monkeypatch.setattr(dedup, "SETTLE_LINKS", links)
+    monkeypatch.setattr(similarity, "MAX_TILE_ROWS", 40)
+    rows = clustered(160, 9, 8, 4, 0.6, seed=listed)
+    got = dedup.elect_duplicates(spark.createDataFrame(rows, SCHEMA), 0.6).collect()
+    assert {r.duplicate_id: r.representative_id for r in got} == one_at_a_time(rows, 0.6)
+
+
+def test_long_chain_is_settled_on_ids(spark, monkeypatch):
+    """2,000 articles, each like its neighbours in time only; vectors are compared once."""
+    rnd = np.random.default_rng(7)
+    steps = rnd.normal(size=(2001, 256))
+    vecs = (steps[:-1] + steps[1:]).astype(np.float32).tolist()
+    rows = [(i, 1, i % 2 + 1, START + timedelta(minutes=i), v) for i, v in enumerate(vecs)]
+    compared = []
+    plain = dedup.first_neighbours
+    monkeypatch.setattr(dedup, "first_neighbours", lambda *a: compared.append(1) or plain(*a))
+    monkeypatch.setattr(dedup, "first_hits", None)
+    got = dedup.elect_duplicates(spark.createDataFrame(rows, SCHEMA), 0.3).collect()
+    assert {r.duplicate_id: r.representative_id for r in got} == {i: i - 1 for i in range(1, 2000, 2)}
+    assert compared == [1]
+
+
+@pytest.mark.parametrize("pivots", [1, 256])
+def test_each_pair_of_nodes_meets_once(spark, monkeypatch, pivots):
+    monkeypatch.setattr(similarity, "MAX_TILE_ROWS", 10)
+    monkeypatch.setattr(similarity, "MAX_PIVOTS", pivots)
+    rows = clustered(150, 6, 8, 4, 1.0, seed=31, copies=0.0)
+    nodes = dedup._distinct_copies(dedup._keyed(spark.createDataFrame(rows, SCHEMA)))
+    placed = similarity.place(nodes, 0.3)
+    sides = []
+    monkeypatch.setattr(similarity, "_meet", lambda left, right, _: sides.append((left, right)) or left)
+    monkeypatch.setattr(similarity, "_first", lambda hits, _: hits)
+    similarity.first_neighbours(placed, 0.3, True)
+    left, right = (side.select(*similarity._KEY, "node_id").collect() for side in sides[0])
+    tiles = {}
+    for r in right:
+        tiles.setdefault(tuple(r)[:5], []).append(r.node_id)
+    met = {}
+    for r in left:
+        for other in tiles.get(tuple(r)[:5], []):
+            pair = (min(r.node_id, other), max(r.node_id, other))
+            met[pair] = met.get(pair, 0) + (1 if pair[0] != other or not (r.own and r.anchor_tile == r.probe_tile) else 0)
+    assert max(met.values()) == 1
+
+
 def test_similar_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "MAX_TILE_ROWS", 20)
     rows = clustered(200, 10, 8, 3, 0.8, seed=3)
