@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork import schemas
+from presswork.operators.joins import join_hot_key
+from presswork.session import stored
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,6 +55,118 @@ def representative_chains(articles: DataFrame) -> DataFrame:
     return counts.join(chained, "representative_id")
 
 
+def _jump(open_: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``open_`` with the row of ``table`` (keyed by id) that ``column`` points at, as ``_to``."""
+    target = table.select(
+        F.col("id").alias(column), F.struct(*[c for c in table.columns if c != "id"]).alias("_to")
+    )
+    return join_hot_key(open_, target, [column], "left")
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """(id, end, hops, looped) of every link (id, next): where it leads in the end.
+
+    Pointers double their reach in each round, so a chain of n takes log n rounds. What is
+    still under way when the reach exceeds the number of links runs into a loop: ``end`` is
+    then the smallest id of that loop, and ``hops`` are null.
+    """
+    left = links.count()
+    now = stored(links.select("id", "next", F.lit(1).cast("long").alias("hops")), "chain-links")
+    done, reach = [], 1
+    while True:
+        # A pointer at something that is no link has arrived.
+        moved = stored(_jump(now, now, "next"), "chain-links")
+        arrived = moved.filter(F.col("_to").isNull())
+        done.append(arrived.select("id", F.col("next").alias("end"), "hops", F.lit(False).alias("looped")))
+        if reach > left or moved.filter(F.col("_to").isNotNull()).isEmpty():
+            break
+        reach *= 2
+        # Rows that have arrived keep their pointers, for those that point at them.
+        now = stored(
+            moved.select(
+                "id",
+                F.coalesce("_to.next", "next").alias("next"),
+                (F.col("hops") + F.coalesce("_to.hops", F.lit(0))).alias("hops"),
+            ),
+            "chain-links",
+        )
+        done = []
+    looped = moved.filter(F.col("_to").isNotNull()).select("id", F.col("next").alias("member"))
+    if not looped.isEmpty():
+        done.append(
+            looped.join(_loop_names(links, looped), "member").select(
+                "id", F.col("least").alias("end"), F.lit(None).cast("long").alias("hops"), F.lit(True).alias("looped")
+            )
+        )
+    return reduce(DataFrame.unionByName, done)
+
+
+def _loop_names(links: DataFrame, looped: DataFrame) -> DataFrame:
+    """(member, least): the smallest id of the loop each member is in.
+
+    Jumping by more than all links maps a loop onto itself, so the places that looped
+    pointers have come to are exactly the members of loops.
+    """
+    members = looped.select(F.col("member").alias("id")).distinct()
+    rows = stored(
+        links.join(members, "id", "left_semi").select("id", "next", F.col("id").alias("least")), "loops"
+    )
+    size, reach = rows.count(), 1
+    while reach < size:
+        moved = _jump(rows, rows, "next")
+        rows = stored(
+            moved.select(
+                "id", F.col("_to.next").alias("next"), F.least("least", "_to.least").alias("least")
+            ),
+            "loops",
+        )
+        reach *= 2
+    return rows.select(F.col("id").alias("member"), "least")
+
+
+def final_representatives(articles: DataFrame) -> DataFrame:
+    """(article_id, representative_id, final_id, hops, looped) of every article with one.
+
+    ``final_id`` is the article at the end of the chain of representatives, ``hops`` the
+    links to it. A chain that runs into a loop ends at the smallest id of the loop and has
+    null hops. Only representatives that have one themselves are followed; their followers,
+    however many, are joined to the outcome once.
+    """
+    pointing = articles.filter(F.col("representative_id").isNotNull()).select(
+        "article_id", "representative_id"
+    )
+    used = pointing.select(F.col("representative_id").alias("article_id")).distinct()
+    chained = pointing.join(used, "article_id", "left_semi")
+    ends = stored(_ends(stored(chained.toDF("id", "next"), "chain-links")), "chain-ends")
+    found = join_hot_key(
+        pointing, ends.withColumnRenamed("id", "representative_id"), ["representative_id"], "left"
+    )
+    plain = F.col("looped").isNull()
+    return found.select(
+        "article_id",
+        "representative_id",
+        F.coalesce("end", "representative_id").alias("final_id"),
+        F.when(plain, F.lit(1).cast("long")).otherwise(F.col("hops") + 1).alias("hops"),
+        F.coalesce("looped", F.lit(False)).alias("looped"),
+    )
+
+
+def chain_repairs(articles: DataFrame) -> DataFrame:
+    """Rows to change so that every representative is none's duplicate: (article_id,
+    is_duplicate, representative_id).
+
+    Followers point straight at the end of their chain. The smallest article of a loop
+    becomes its representative.
+    """
+    found = final_representatives(articles)
+    itself = F.col("article_id") == F.col("final_id")
+    return found.filter(itself | (F.col("representative_id") != F.col("final_id"))).select(
+        "article_id",
+        (~itself).alias("is_duplicate"),
+        F.when(~itself, F.col("final_id")).alias("representative_id"),
+    )
+
+
 def check_constraints(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(kind, table, columns, n_rows) for every declared constraint of the given tables.
 

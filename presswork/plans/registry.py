@@ -526,6 +526,26 @@ def audit_constraints(t: NewsTables) -> DataFrame:
     return audit.check_constraints({n: stored(df, n) for n, df in t.broken_tables.items()})
 
 
+def _chained(t: NewsTables) -> DataFrame:
+    """Articles in runs of five that point at the one before, some of them in a ring."""
+    k = F.col("article_id")
+    before = F.when(k % 40 == 20, k + 4).when((k % 5 != 0) | (k % 40 == 25), k - 1)
+    return stored(
+        t.articles.select("article_id", before.isNotNull().alias("is_duplicate"), before.alias("representative_id")),
+        "chained",
+    )
+
+
+@query
+def audit_chain_ends(t: NewsTables) -> DataFrame:
+    return _nulls_as_text(audit.final_representatives(_chained(t)), "hops")
+
+
+@query
+def audit_chain_repairs(t: NewsTables) -> DataFrame:
+    return _nulls_as_text(audit.chain_repairs(_chained(t)), "representative_id")
+
+
 # --- streams -----------------------------------------------------------------
 
 
@@ -553,14 +573,13 @@ def _pushed(t: NewsTables, since) -> DataFrame:
     """All card fields and heartbeats of one poll of the live feed."""
     stored, out, state = (scratch_path(t.spark, n) for n in ("articles", "live", "state"))
     t.articles.write.parquet(stored)
-    jobs.push_once(
+    news = jobs.push_once(
         t.prefs, out, 0, spark=t.spark, articles_path=stored, schema=t.articles.schema,
         categories=t.categories, sources=t.news_sources, checkpoint=state, since=since,
         now=lambda: AS_OF,
     )
-    messages = t.spark.read.schema("user_id bigint, part bigint, payload string").json(
-        f"{out}/*", recursiveFileLookup=True
-    )
+    idle = t.spark.read.schema("user_id bigint, part bigint, payload string")
+    messages = jobs.deliver(t.spark, out, 0) if news else idle.json(f"{out}/idle=0")
     cards = F.from_json(
         "payload",
         "array<struct<article_id:bigint,title:string,description:string,url:string,"

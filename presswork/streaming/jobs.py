@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from presswork.operators.feed import (
     with_names,
 )
 from presswork.operators.ingest import awaiting_embedding
-from presswork.operators.joins import join_hot_key
+from presswork.operators.joins import checked_broadcast, join_hot_key
 from presswork.operators.tables import append_chunks
 from presswork.plans.collect import judge_entries, new_articles
 from presswork.session import scratch_scope, stored
@@ -117,39 +118,111 @@ def stream_chunks(
     return _start(rows, sink, checkpoint, poll)
 
 
-def live_messages(
+class Outbox(NamedTuple):
+    """What one batch of news leaves to be delivered; its size is that of articles plus users.
+
+    cards: article_id, category_id, published_at and the card as JSON, open at its end for
+    the reader's weight. lists: article ids by set of categories (set_id, part, article_ids,
+    newest first). users: user_id, set_id and weights by category.
+    """
+
+    cards: DataFrame
+    lists: DataFrame
+    users: DataFrame
+
+
+def outbox(
     articles: DataFrame,
     categories: DataFrame,
     sources: DataFrame,
     prefs: DataFrame,
     as_of: datetime,
-) -> DataFrame:
-    """Messages for one batch of new articles: per user a JSON array, newest first.
+) -> Outbox:
+    """One card per article, one list of ids per distinct set of categories, one row per user."""
+    named = with_names(servable(articles), dimensions(categories, sources))
+    shown = article_card(
+        named.withColumn("_at", F.col("published_at")), as_of, "category_id", "_at"
+    ).drop("category_weight")
+    fields = [c for c in shown.columns if c not in ("category_id", "_at")]
+    card = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    cards = shown.select(
+        "article_id",
+        "category_id",
+        F.col("_at").alias("published_at"),
+        F.substring(card, F.lit(1), F.length(card) - 1).alias("card"),
+    )
+    # A user has one row per category at most.
+    users = prefs.groupBy("user_id").agg(
+        F.array_sort(F.collect_set("category_id")).alias("categories"),
+        F.map_from_entries(F.collect_list(F.struct("category_id", "weight"))).alias("weights"),
+    )
+    users = users.withColumn("set_id", F.md5(F.array_join(F.col("categories").cast("array<string>"), ",")))
+    sets = users.select("set_id", "categories").distinct()
+    wanted = join_hot_key(
+        cards.select("article_id", "category_id", "published_at"),
+        stored(sets, "sets").select("set_id", F.explode("categories").alias("category_id")),
+        ["category_id"],
+    )
+    ranked = wanted.withColumn(
+        "rn", F.row_number().over(W.partitionBy("set_id").orderBy(*newest_first()))
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("rn", "article_id")))
+    lists = ranked.groupBy("set_id", F.ceil(F.col("rn") / EVENT_ARTICLES).alias("part")).agg(
+        F.transform(in_order, lambda e: e["article_id"]).alias("article_ids")
+    )
+    return Outbox(cards, lists, users.select("user_id", "set_id", "weights"))
+
 
-    Users without news in the batch get the heartbeat.
+def delivered(box: Outbox) -> DataFrame:
+    """Messages (user_id, part, payload): a JSON array of cards, newest first, in parts.
+
+    A list is filled with its cards once per set of categories; a user's message adds the
+    weights to it, with no ranking or grouping by user. Users without news get the heartbeat.
     """
-    weights = prefs.select("user_id", "category_id", F.col("weight").alias("category_weight"))
-    news = join_hot_key(
-        weights, with_names(servable(articles), dimensions(categories, sources)), ["category_id"]
+    places = box.lists.select("set_id", "part", F.posexplode("article_ids").alias("pos", "article_id"))
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "category_id", "card")))
+    filled = (
+        places.join(box.cards.drop("published_at"), "article_id")
+        .groupBy("set_id", "part")
+        .agg(in_order.alias("cards"))
     )
-    ranked = news.withColumn(
-        "rn", F.row_number().over(W.partitionBy("user_id").orderBy(*newest_first()))
+    weighted = F.transform(
+        "cards",
+        lambda c: F.concat(
+            c["card"],
+            F.lit(',"category_weight":'),
+            F.coalesce(F.element_at("weights", c["category_id"]).cast("string"), F.lit("null")),
+            F.lit("}"),
+        ),
     )
-    cards = article_card(ranked, as_of, "user_id", "rn")
-    card = F.struct(*[c for c in cards.columns if c not in ("user_id", "rn")])
-    in_order = F.array_sort(F.collect_list(F.struct("rn", card.alias("card"))))
-    full = (
-        cards.groupBy("user_id", F.ceil(F.col("rn") / EVENT_ARTICLES).alias("part"))
-        .agg(
-            F.to_json(
-                F.transform(in_order, lambda e: e["card"]), {"ignoreNullFields": "false"}
-            ).alias("payload")
-        )
+    full = join_hot_key(box.users, stored(filled, "filled-lists"), ["set_id"]).select(
+        "user_id", "part", F.concat(F.lit("["), F.array_join(weighted, ","), F.lit("]")).alias("payload")
     )
-    # Messages are read twice: to be sent, and to see who gets none.
-    full = stored(full, "messages")
-    idle = heartbeats(prefs).join(full.select("user_id").distinct(), "user_id", "left_anti")
-    return full.unionByName(idle)
+    idle = box.users.join(box.lists.select("set_id").distinct(), "set_id", "left_anti")
+    return full.unionByName(heartbeats(idle))
+
+
+def live_messages(
+    articles: DataFrame,
+    categories: DataFrame,
+    sources: DataFrame,
+    prefs: DataFrame,
+    as_of: datetime,
+) -> DataFrame:
+    """Messages for one batch of new articles, for all users."""
+    box = outbox(articles, categories, sources, prefs, as_of)
+    return delivered(Outbox(*(stored(df, name) for name, df in zip(Outbox._fields, box))))
+
+
+def deliver(
+    spark: SparkSession, out_path: str, number: int, users: DataFrame | None = None
+) -> DataFrame:
+    """Messages of batch ``number`` of a live feed, for the given users (user_id) or all."""
+    box = Outbox(*(spark.read.parquet(f"{out_path}/{name}/batch={number}") for name in Outbox._fields))
+    if users is not None:
+        wanted = checked_broadcast(users.select("user_id").distinct())
+        box = box._replace(users=box.users.join(wanted, "user_id", "left_semi"))
+    return delivered(box)
 
 
 def stream_live_feed(
@@ -165,8 +238,10 @@ def stream_live_feed(
     now: Callable[[], datetime],
     poll: str | None = POLL,
 ) -> StreamingQuery:
-    """Write each batch's messages as JSON lines below ``out_path/batch=<n>``.
+    """Write each batch's ``Outbox`` below ``out_path``, in folders ``batch=<n>``.
 
+    What a batch writes grows with its articles plus the users, not with their product;
+    ``deliver`` makes messages of it for the users who are there.
     The stream remembers which files it has read, not how new the articles were, so
     one that is stored late, or shares its time with another, is still delivered.
     ``since`` only keeps the history out when a feed is opened.
@@ -176,8 +251,11 @@ def stream_live_feed(
 
     def sink(batch: DataFrame, number: int) -> None:
         with scratch_scope(batch.sparkSession):
-            messages = live_messages(batch, categories, sources, prefs, now())
-            messages.write.mode("overwrite").json(f"{out_path}/batch={number}")
+            # Read three times below; a rerun of the batch overwrites its own folders.
+            fresh = stored(batch, "live-batch")
+            box = outbox(fresh, categories, sources, prefs, now())
+            for name, df in zip(Outbox._fields, box):
+                df.write.mode("overwrite").parquet(f"{out_path}/{name}/batch={number}")
 
     return _start(rows, sink, checkpoint, poll)
 

@@ -92,7 +92,7 @@ def test_live_feed(spark, tmp_path, dims):
         ).awaitTermination()
 
     def batch(n):
-        rows = spark.read.json(f"{out}/batch={n}").collect()
+        rows = jobs.deliver(spark, out, n).collect()
         return {r.user_id: json.loads(r.payload) for r in rows}
 
     add(article(1, 1, 0), article(2, 1, 5), article(3, 2, 3), article(4, 1, 9, processed=False))
@@ -108,6 +108,33 @@ def test_live_feed(spark, tmp_path, dims):
     assert second[10] == {"type": "heartbeat"}
 
 
+def written(folder):
+    return sum(
+        os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files if "part-" in f
+    )
+
+
+def test_outbox_grows_with_articles_plus_users(spark, tmp_path, dims):
+    """Ten times the users add a row each; cards and lists stay as they are."""
+    categories, sources, _ = dims
+    news = [article(i, 1 + i % 2, i)[:4] + ("d" * 2_000,) + article(i, 1, i)[5:] for i in range(60)]
+    df = spark.createDataFrame(news, ARTICLES)
+    sizes = []
+    for n_users in (200, 2_000):
+        prefs = spark.range(n_users).selectExpr(
+            "id AS user_id", "explode(slice(array(1, 2), 1, 1 + int(id % 2))) AS category_id", "int(id % 10) + 1 AS weight"
+        )
+        box = jobs.outbox(df, categories, sources, prefs, T0)
+        assert box.cards.count() == 60 and box.lists.count() == 2 and box.users.count() == n_users
+        path = str(tmp_path / f"box{n_users}")
+        for name, part in zip(jobs.Outbox._fields, box):
+            part.write.parquet(f"{path}/{name}/batch=0")
+        sizes.append(written(path))
+        got = jobs.deliver(spark, path, 0, users=spark.createDataFrame([(3,), (4,)], "user_id long"))
+        assert {r.user_id: len(json.loads(r.payload)) for r in got.collect()} == {3: 60, 4: 30}
+    assert sizes[1] - sizes[0] < 100 * 1_800
+
+
 def test_quiet_poll_sends_heartbeats(spark, tmp_path, dims):
     stored, out, state = (str(tmp_path / n) for n in ("articles", "out", "state"))
     categories, sources, prefs = dims
