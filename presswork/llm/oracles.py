@@ -113,7 +113,44 @@ SELECT file, "offset", CASE WHEN number % 193 = 0 THEN 'missing' ELSE 'changed'
 FROM kept WHERE number % 193 = 0 OR number % 97 = 0
 """
 
-ORACLES["op10_url_filter"] = r"""
+def _value(tag: str, name: str) -> str:
+    """SQL of an attribute's value in a tag."""
+    pattern = rf"""(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    groups = " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3))
+    return f"trim({groups}, ' ')"
+
+
+def _references(value: str) -> str:
+    for names, character in [
+        ("quot|#34|#x22", '"'), ("apos|#39|#x27", "''"), ("lt|#60|#x3c", "<"), ("gt|#62|#x3e", ">"),
+        ("sol|#47|#x2f", "/"), ("quest|#63|#x3f", "?"), ("equals|#61|#x3d", "="), ("colon|#58|#x3a", ":"),
+        ("amp|#38|#x26", "&"),
+    ]:
+        value = f"regexp_replace({value}, '(?i)&(?:{names});', '{character}', 'g')"
+    return value
+
+
+def _resolved(target: str, base: str) -> str:
+    origin = f"regexp_extract({base}, '(?s)^([^/?#]*://[^/?#]*)', 1)"
+    path = f"coalesce(nullif(regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/')"
+    return f"""CASE
+      WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {target}
+      WHEN starts_with({target}, '//') THEN regexp_extract({base}, '(?s)^([^/?#]*:)//', 1) || {target}
+      WHEN starts_with({target}, '/') THEN {origin} || {target}
+      WHEN starts_with({target}, '?') THEN {origin} || {path} || {target}
+      WHEN starts_with({target}, '#') THEN {base}
+      ELSE {origin} || regexp_replace({path}, '[^/]*$', '') || {target} END"""
+
+
+def _no_dots(path: str) -> str:
+    parts = f"string_split(regexp_replace({path}, '(/[.][.]?)\\z', '\\1/'), '/')"
+    return f"""CASE WHEN regexp_matches({path}, '/[.][.]?(/|\\z)') THEN array_to_string(list_reduce(
+      list_transform({parts}, lambda p: [p]), lambda kept, p: CASE WHEN p[1] = '.' THEN kept
+        WHEN p[1] = '..' THEN kept[1:greatest(len(kept) - 1, 1)] ELSE kept || p END), '/') ELSE {path} END"""
+
+
+ORACLES["op10_url_filter"] = (
+    r"""
 WITH RECURSIVE parts AS (
   SELECT row_number() OVER () AS row, page_id, url, html,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
@@ -123,35 +160,51 @@ WITH RECURSIVE parts AS (
 ), rules(verdict, host, path) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
          ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), bases AS (
+  SELECT row, url, html, """
+    + _references(_value("regexp_extract(html, '(?is)<base\\b[^>]*>')", "href"))
+    + r""" AS href FROM parts
+), based AS (
+  SELECT row, url, html, CASE WHEN coalesce(href, '') = '' THEN url ELSE """
+    + _resolved("href", "url")
+    + r""" END AS base FROM bases
 ), tags AS (
-  SELECT row, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM parts
+  SELECT row, url, base, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM based
 ), targets AS (
-  SELECT row, url, CASE
-      WHEN regexp_matches(tag, '(?is)^<link\b') AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?\s*canonical\b')
-        THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
-      WHEN regexp_matches(tag, '(?is)^<meta\b') AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh\b')
-        THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+  SELECT row, url, base, CASE
+      WHEN regexp_matches(tag, '(?is)^<link\b') AND regexp_matches("""
+    + _value("tag", "rel")
+    + r""", '(?is)(^|\s)canonical(\s|$)') THEN """
+    + _references(_value("tag", "href"))
+    + r"""
+      WHEN regexp_matches(tag, '(?is)^<meta\b') AND lower("""
+    + _value("tag", "http-equiv")
+    + r""") = 'refresh' THEN """
+    + _references(
+        f"regexp_extract({_value('tag', 'content')}, "
+        + r"""'(?is)\burl\s*=\s*["'']?\s*([^"''\s]+)', 1)"""
+    )
+    + r"""
     END AS target
   FROM tags
 ), raw_links AS (
-  SELECT url AS a, CASE
-      WHEN contains(target, '://') THEN target
-      WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^([^/?#]*:)//', 1) || target
-      WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^([^/?#]*://[^/?#]*)', 1) || target
-      ELSE regexp_extract(url, '(?s)^([^/?#]*://[^/?#]*)', 1)
-        || coalesce(nullif(regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/')
-        || target END AS b
-  FROM targets WHERE target <> ''
+  SELECT url AS a, """
+    + _resolved("target", "base")
+    + r""" AS b FROM targets WHERE target <> ''
 ), urls AS (
   SELECT DISTINCT u, regexp_replace(trim(u, ' '), '(?s)#.*$', '') AS bare
   FROM (SELECT a AS u FROM raw_links UNION SELECT b FROM raw_links UNION SELECT url FROM parts)
+), pathed AS (
+  SELECT *, regexp_extract(bare, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls
 ), plain AS (
   SELECT u, CASE WHEN contains(bare, '://') THEN
       translate(regexp_extract(bare, '(?s)^([^/?#]*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
       || '://' || translate(regexp_extract(bare, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-      || coalesce(nullif(regexp_extract(bare, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/')
+      || coalesce(nullif("""
+    + _no_dots("path")
+    + r""", ''), '/')
       || regexp_extract(bare, '(?s)(\?.*)$', 1) END AS node
-  FROM urls
+  FROM pathed
 ), links AS (
   SELECT x.node AS a, y.node AS b FROM raw_links l JOIN plain x ON l.a = x.u JOIN plain y ON l.b = y.u
   WHERE x.node <> y.node
@@ -180,6 +233,7 @@ SELECT p.page_id, p.host, p.path, rule,
   (direct IS NULL AND a.node IS NOT NULL) AS passed_on
 FROM parts p LEFT JOIN plain n ON p.url = n.u LEFT JOIN aliases a ON n.node = a.node LEFT JOIN ruled USING (row)
 """
+)
 
 ORACLES["op11_filter_audit"] = r"""
 WITH texts AS (

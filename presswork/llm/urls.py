@@ -48,8 +48,23 @@ def _fitting(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Column,
     return text, verdict
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; a last one leaves its slash."""
+    parts = F.split(F.regexp_replace(path, r"/\.{1,2}\z", "$0/"), "/")
+    none = F.array().cast("array<string>")
+
+    def add(kept: Column, part: Column) -> Column:
+        # The first part is empty, before the first slash, and stays.
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    dotted = F.regexp_like(path, F.lit(r"/\.{1,2}(/|\z)"))
+    return F.when(dotted, F.array_join(F.aggregate(parts, none, add), "/")).otherwise(path)
+
+
 def plain_url(url: Column) -> Column:
-    """The URL as a node: scheme and host in lower case, no fragment, ``/`` for no path."""
+    """The URL as a node: scheme and host in lower case, no fragment, no dot segments, ``/``
+    for no path."""
     bare = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
     head = F.regexp_extract(bare, r"(?s)^([^/?#]*?)://", 1)
     query = F.regexp_extract(bare, r"(?s)(\?.*)$", 1)
@@ -60,40 +75,80 @@ def plain_url(url: Column) -> Column:
             F.translate(head, _UPPER, _LOWER),
             F.lit("://"),
             host_of(bare),
-            F.when(path == "", F.lit("/")).otherwise(path),
+            F.when(path == "", F.lit("/")).otherwise(_without_dots(path)),
             query,
         ),
     )
 
 
 def _absolute(target: Column, base: Column) -> Column:
-    """A link target against the URL of its page."""
+    """A link target against a base URL; dot segments stay for ``plain_url``."""
     origin = F.regexp_extract(base, r"(?s)^([^/?#]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"(?s)^([^/?#]*:)//", 1)
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    path = path_of(base)
+    path = F.when(path == "", F.lit("/")).otherwise(path)
     return (
-        F.when(F.contains(target, F.lit("://")), target)
+        F.when(F.regexp_like(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), target)
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
         .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .when(F.startswith(target, F.lit("?")), F.concat(origin, path, target))
+        .when(F.startswith(target, F.lit("#")), base)
+        .otherwise(F.concat(origin, F.regexp_replace(path, r"[^/]*$", ""), target))
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute: quoted either way or bare; empty if it is not there."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.trim(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+
+
+# Character references that occur in addresses, the ampersand last.
+ENTITIES = [
+    (r"(?i)&(?:quot|#34|#x22);", '"'),
+    (r"(?i)&(?:apos|#39|#x27);", "'"),
+    (r"(?i)&(?:lt|#60|#x3c);", "<"),
+    (r"(?i)&(?:gt|#62|#x3e);", ">"),
+    (r"(?i)&(?:sol|#47|#x2f);", "/"),
+    (r"(?i)&(?:quest|#63|#x3f);", "?"),
+    (r"(?i)&(?:equals|#61|#x3d);", "="),
+    (r"(?i)&(?:colon|#58|#x3a);", ":"),
+    (r"(?i)&(?:amp|#38|#x26);", "&"),
+]
+
+
+def _decoded(value: Column) -> Column:
+    for pattern, character in ENTITIES:
+        value = F.regexp_replace(value, pattern, character)
+    return value
+
+
+def declared_base(html: Column, url: Column) -> Column:
+    """What relative targets of a page refer to: its first ``base href``, else its URL."""
+    tag = F.regexp_extract(html, r"(?is)<base\b[^>]*>", 0)
+    href = _decoded(_attribute(tag, "href"))
+    return F.when(F.coalesce(href, F.lit("")) == "", url).otherwise(_absolute(href, url))
+
+
 def declared_targets(html: Column) -> Column:
-    """Canonical link and refresh targets that a page's mark-up names, as written."""
+    """Canonical link and refresh targets that a page's mark-up names, references decoded.
+
+    ``canonical`` may stand anywhere in ``rel``.
+    """
     links = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
     canonical = F.filter(
-        links, lambda t: F.regexp_like(t, F.lit(r"(?is)\brel\s*=\s*[\"']?\s*canonical\b"))
-    )
-    hrefs = F.transform(
-        canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+        links, lambda t: F.regexp_like(_attribute(t, "rel"), F.lit(r"(?is)(^|\s)canonical(\s|$)"))
     )
+    hrefs = F.transform(canonical, lambda t: _decoded(_attribute(t, "href")))
     metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     refresh = F.filter(
-        metas, lambda t: F.regexp_like(t, F.lit(r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"))
+        metas, lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"
     )
     moved = F.transform(
-        refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+        refresh,
+        lambda t: _decoded(
+            F.regexp_extract(_attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s]+)", 1)
+        ),
     )
     return F.filter(F.concat(hrefs, moved), lambda x: (x != "") & x.isNotNull())
 
@@ -109,9 +164,10 @@ def judge_pages(
     nothing, repeated rows come out as often. No links or no rows are no special case.
     """
     target = F.explode(F.coalesce(declared_targets(F.col("html")), F.array().cast("array<string>")))
-    declared = pages.select("url", target.alias("target")).select(
+    base = declared_base(F.col("html"), F.col("url"))
+    declared = pages.select("url", base.alias("base"), target.alias("target")).select(
         plain_url(F.col("url")).alias("a"),
-        plain_url(_absolute(F.col("target"), F.col("url"))).alias("b"),
+        plain_url(_absolute(F.col("target"), F.col("base"))).alias("b"),
     )
     if redirects is not None:
         declared = declared.unionByName(
@@ -144,13 +200,15 @@ def judge_pages(
     )
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = _fitting(rules, host, path)
+    # Pages without a URL are no node; they are dealt out instead of meeting in one task.
+    no_node = F.concat(F.lit("-"), F.pmod(F.xxhash64("page_id", "html"), F.lit(4096)).cast("string"))
     own = pages.select(
         "page_id",
         host.alias("host"),
         path.alias("path"),
         rule.alias("rule"),
         verdict.alias("direct"),
-        F.md5(plain_url(F.col("url"))).alias("node"),
+        F.coalesce(F.md5(plain_url(F.col("url"))), no_node).alias("node"),
     )
     passed = F.col("direct").isNull() & F.coalesce("passed_on", F.lit(False))
     return own.join(aliases, "node", "left").select(

@@ -1,7 +1,12 @@
+import urllib.parse
+
+import duckdb
 import pytest
 
 from presswork.llm import urls
+from presswork.llm.oracles import ORACLES
 from presswork.llm.queries import URL_RULES
+from tests.compare import compare
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -74,6 +79,60 @@ def test_blocks_are_passed_on_to_aliases(spark):
     assert {i for i, r in got.items() if r.passed_on} == {1, 2, 3, 5, 6}
 
 
+TARGETS = [
+    "http://b.org/x", "HTTPS://B.org/x/../y", "//b.org/z", "/r", "rel", "./rel", "../up", "../../../far/", "..",
+    ".", "?z=1", "?z=../1", "a/./b/../c?q=/../", "/a/b/../../../c", "x..y/...", "mailto:me", "#top", "a b",
+]
+BASES = ["http://a.org/d/e/f?q=1", "http://A.org", "http://a.org/d/", "https://a.org/?x/y"]
+
+
+def test_targets_resolve_as_in_the_standard_library(spark):
+    rows = spark.createDataFrame([(b, t) for b in BASES for t in TARGETS], "base string, target string")
+    made = rows.select("*", urls.plain_url(urls._absolute(rows.target, rows.base)).alias("got"))
+    for base, target, got in made.collect():
+        wanted = urllib.parse.urljoin(base, target) if target != "#top" else base
+        parts = urllib.parse.urlsplit(wanted.replace("/x/../y", "/y"))
+        query = f"?{parts.query}" if parts.query else ""
+        plain = f"{parts.scheme}://{parts.netloc.lower()}{parts.path or '/'}{query}"
+        assert got == (plain if parts.netloc else None)
+
+
+LINKED = [
+    (1, "http://a.org/1", '<link rel="alternate CANONICAL" href="http://x.net/es/1">'),
+    (2, "http://a.org/2?a=1&b=2", None),
+    (3, "http://x.net/es/3", '<link href="http://a.org/2?a=1&amp;b=2" rel=canonical>'),
+    (4, "http://a.org/d/e/4", "<link rel='canonical' href='../up'>"),
+    (5, "http://x.net/fr/5", '<link rel="canonical" href="http://a.org/d/./x/../up">'),
+    (6, "http://a.org/6", '<base href="http://x.net/fr/"><link rel=canonical href=six>'),
+    (7, "http://a.org/p/7?y=1", '<LINK REL="canonical" HREF="?z=1">'),
+    (8, "http://a.org/p/7?z=1", "<meta http-equiv='refresh' content=\"0; URL='http://x.net/es/8'\">"),
+    (9, "http://a.org/9", '<link rel="notcanonical" href="http://x.net/es/1">'),
+    (10, "http://a.org/10", '<link data-rel="canonical" href="http://x.net/es/1">'),
+    (11, "http://a.org/11", '<link rel="canonical" data-href="http://x.net/es/1" href="#here">'),
+    (12, "http://a.org/12", '<base target="_top"><link rel="canonical" href="/x&#x2F;12">'),
+    (13, "http://x.net/es/13", '<link rel="canonical" href="http://a.org/x/12">'),
+    (14, "http://a.org/14", f"{'<p>' * 50_000}<link rel=canonical href=//x.net/fr/14>"),
+    (15, None, '<link rel=canonical href="http://x.net/es/1">'),
+    (15, None, '<link rel=canonical href="http://x.net/es/1">'),
+    (16, "http://a.org/16", "<link rel=canonical href=>"),
+    (17, "http://shop.com/17", '<link rel=canonical href="http://x.net/es/17">'),
+    (18, "http://a.org/18", '<link rel="canonical" href="http://shop.com/17"/>'),
+]
+
+
+def test_declared_links_of_every_form(spark):
+    got = judged(spark, LINKED)
+    assert {i for i, r in got.items() if r.passed_on} == {1, 2, 4, 6, 7, 8, 12, 14}
+
+
+def test_sql_on_a_table_with_links(spark, tmp_path):
+    spark.createDataFrame(LINKED, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "p"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/p/*.parquet')")
+    got = urls.judge_pages(spark.createDataFrame(LINKED, SCHEMA), URL_RULES)
+    assert compare(got, con, ORACLES["op10_url_filter"]) is None
+
+
 def test_redirect_table_and_hot_group(spark):
     rows = [(i, f"http://h{i % 3}.org/p{i}", None) for i in range(300)] + [(900, "http://x.net/es/1", "")]
     pages = [(i, u) for i, u, _ in rows if i % 2 == 0 and i < 900]
