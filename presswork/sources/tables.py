@@ -93,24 +93,34 @@ def read_jdbc_range(
     num_partitions: int,
     properties: dict[str, str] | None = None,
 ) -> DataFrame | None:
-    """Read a query over JDBC in ``num_partitions`` ranges of a numeric column.
+    """Read a query over JDBC in ranges of about equal row counts of a numeric column.
 
-    The bounds come from the query itself; None means it selects nothing.
+    The column alone is read first, by equal widths, and Spark takes its quantiles, so gaps
+    and dense stretches of ids do not skew the partitions that carry the rows. Equal values
+    are never split; NULLs belong to the first range. None means the query selects nothing.
     """
     properties = properties or {}
-    bounds = spark.read.jdbc(
+    low, high, n = spark.read.jdbc(
         url,
-        f"(SELECT MIN({column}) AS LO, MAX({column}) AS HI FROM ({query}) q) b",
+        f"(SELECT MIN({column}) AS LO, MAX({column}) AS HI, COUNT(*) AS N FROM ({query}) q) b",
         properties=properties,
     ).first()
-    if bounds is None or bounds[0] is None:
+    if not n:
         return None
-    return spark.read.jdbc(
+    rows = f"({query}) q"
+    if low is None or num_partitions < 2:
+        return spark.read.jdbc(url, rows, properties=properties)
+    ids = spark.read.jdbc(
         url,
-        f"({query}) q",
-        column=column,
-        lowerBound=int(bounds[0]),
-        upperBound=int(bounds[1]) + 1,
+        f"(SELECT {column} AS ID FROM ({query}) q) i",
+        column="ID",
+        lowerBound=int(low),
+        upperBound=int(high) + 1,
         numPartitions=num_partitions,
         properties=properties,
     )
+    shares = [i / num_partitions for i in range(1, num_partitions)]
+    cuts = sorted(set(ids.agg(F.percentile_approx(F.col("ID").cast("long"), shares, 10_000)).first()[0]))
+    edges = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    ranges = [f"{column} < {cuts[0]} OR {column} IS NULL", *edges, f"{column} >= {cuts[-1]}"]
+    return spark.read.jdbc(url, rows, predicates=ranges, properties=properties)

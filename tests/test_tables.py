@@ -157,6 +157,17 @@ def test_jdbc_ranges(spark):
     assert none is None
 
 
+def test_jdbc_ranges_hold_equal_counts_despite_gaps(spark):
+    url = "jdbc:derby:memory:presswork;create=true"
+    dense, sparse = spark.range(1, 901), spark.range(1, 101).selectExpr("id * 1000000 AS id")
+    ids = dense.unionByName(sparse).unionByName(spark.range(50).selectExpr("7L AS id"))
+    ids.select(F.col("id").alias("ARTICLE_ID")).write.jdbc(url, "GAPPED", mode="overwrite")
+    df = read_jdbc_range(spark, url, "SELECT ARTICLE_ID FROM GAPPED", "ARTICLE_ID", 8)
+    assert rows(df) == rows(ids)
+    sizes = df.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 2 * 1050 / 8
+
+
 def test_bucketed_tables_join_without_shuffle(spark):
     left = spark.range(1000).select(F.col("id").alias("article_id"), F.lit("a").alias("a"))
     save_bucketed(left, "presswork_articles", buckets=4)
