@@ -28,7 +28,12 @@ def judge_entries(
 
 
 def new_articles(judged: DataFrame, articles: DataFrame, as_of: datetime) -> DataFrame:
-    return insert_if_absent(valid(judged), articles, [F.asc(c) for c in FIRST_WINS], as_of)
+    return insert_first(valid(judged), articles, as_of)
+
+
+def insert_first(entries: DataFrame, articles: DataFrame, as_of: datetime) -> DataFrame:
+    """New article rows of valid entries, the first of each url by ``FIRST_WINS``."""
+    return insert_if_absent(entries, articles, [F.asc(c) for c in FIRST_WINS], as_of)
 
 
 def collect_feeds(

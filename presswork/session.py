@@ -57,7 +57,7 @@ def scratch_scope(spark: SparkSession):
     try:
         yield
     finally:
-        _delete(spark, f"{_scratch_root(spark)}/{_SCOPE.name}")
+        remove_path(spark, f"{_scratch_root(spark)}/{_SCOPE.name}")
         _SCOPE.name = before
 
 
@@ -80,14 +80,19 @@ def stored(df, name: str):
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when their readers are done."""
-    _delete(spark, _scratch_root(spark))
+    remove_path(spark, _scratch_root(spark))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``import presswork`` work inside Python workers (once per application)."""
     sc = spark.sparkContext

@@ -27,12 +27,13 @@ from presswork.operators.feed import (
     servable,
     with_names,
 )
-from presswork.operators.ingest import awaiting_embedding
+from presswork.operators.ingest import awaiting_embedding, valid
 from presswork.operators.joins import checked_broadcast, join_hot_key
 from presswork.operators.tables import append_chunks
-from presswork.plans.collect import judge_entries, new_articles
+from presswork.plans.collect import insert_first, judge_entries
 from presswork.session import scratch_scope, stored
 from presswork.sources.rss import read_feed_files
+from presswork.sources.url_index import UrlIndex
 
 # How often the live feed looks for news, and the idle message.
 POLL = "10 seconds"
@@ -77,20 +78,34 @@ def stream_ingest(
     now: Callable[[], datetime],
     content_first: Sequence[int] = (),
     poll: str | None = None,
+    index_path: str | None = None,
 ) -> StreamingQuery:
     """Append new articles from feed files as they land, created at ``now()``.
 
-    A url is unique for good: each batch is checked against all that is stored. A
-    watermark would bound that check but also drop articles that arrive late.
+    A url is unique for good: each batch is checked against all that is stored, through a
+    ``UrlIndex`` at ``index_path`` (by default beside the articles) of which only the buckets
+    of the batch's urls are read. The articles themselves are read when the index is missing
+    or behind, or when a batch is run again. A watermark would bound the check but also drop
+    articles that arrive late.
     """
     items = read_feed_files(spark, feed_path, streaming=True)
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        index = UrlIndex(spark, index_path or f"{out_path.rstrip('/')}_urls")
         with scratch_scope(spark):
-            known = _stored(spark, out_path, STORED_ARTICLES)
-            judged = judge_entries(batch, sources, content_first)
-            new_articles(judged, known, now()).write.mode("append").parquet(out_path)
+            entries = stored(valid(judge_entries(batch, sources, content_first)), "entries")
+            if index.is_current(number):
+                before = index.head(number - 1)
+                known, entries = before, index.unknown(entries)
+            else:
+                known = _stored(spark, out_path, STORED_ARTICLES)
+                before = stored(known.select("url", "article_id"), "known-urls")
+                index.add(before, number - 1, before)
+            index.begin(number)
+            added = stored(insert_first(entries, known, now()), "added")
+            added.write.mode("append").parquet(out_path)
+            index.add(added, number, before)
 
     return _start(items, sink, checkpoint, poll)
 

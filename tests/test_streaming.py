@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions.encoder import EncoderSpec, HashedNgrams
 from presswork.session import shared_folder
+from presswork.sources import url_index
 from presswork.streaming import jobs
 from tests.test_sources import land
 
@@ -45,6 +46,45 @@ def test_ingest_keeps_late_articles_and_urls_unique(spark, tmp_path):
     assert {r.created_at for r in got.values()} == {T0}
 
 
+def test_batches_look_up_urls_in_the_index(spark, tmp_path, monkeypatch):
+    feeds, out, state = (str(tmp_path / n) for n in ("feeds", "out", "state"))
+    sources = spark.createDataFrame([(1, 7, "p_s")], "source_id int, category_id int, name string")
+    when = "Fri, 01 Mar 2024 10:00:00 GMT"
+    whole = []
+    plain = jobs._stored
+    monkeypatch.setattr(jobs, "_stored", lambda *a: whole.append(1) or plain(*a))
+
+    def run(number, *urls, checkpoint=state):
+        land(tmp_path / "feeds", 1, feed(*[(f"t{u}", u, when) for u in urls]), f"{number}.xml")
+        jobs.stream_ingest(spark, feeds, sources, out, checkpoint, lambda: T0).awaitTermination()
+        found = spark.read.parquet(out).collect()
+        assert sorted(r.article_id for r in found) == list(range(1, len(found) + 1))
+        return sorted(r.url for r in found)
+
+    many = [f"http://a.org/{i}" for i in range(200)]
+    assert run(0, *many) == sorted(many) and len(whole) == 1
+    # Later batches never read the articles, and only the buckets of their own urls.
+    assert run(1, many[5], "http://b.org/1", "http://b.org/1") == sorted([*many, "http://b.org/1"])
+    assert len(whole) == 1
+    index = jobs.UrlIndex(spark, f"{out}_urls")
+    one = url_index.with_key(spark.createDataFrame([("http://a.org/7",)], "url string")).first().bucket
+    few = index.keys([one])
+    few.collect()
+    plan = few._jdf.queryExecution().executedPlan()
+    assert "PartitionFilters: [" in plan.toString() and f"= {one})" in plan.toString()
+    files = [r[0] for r in few.select(F.input_file_name()).distinct().collect()]
+    assert len(files) == 1 and f"bucket={one}" in files[0]
+    assert index.keys().select(F.input_file_name()).distinct().count() > 100
+    index.compact(1)
+    assert index.keys().count() == 201 and {r.batch for r in index.keys().collect()} == {1}
+    assert run(2, many[9], "http://b.org/2") == sorted([*many, "http://b.org/1", "http://b.org/2"])
+    assert len(whole) == 1
+    # A replay from a lost checkpoint meets the marks and goes by the articles.
+    again = run(3, "http://b.org/3", checkpoint=str(tmp_path / "state2"))
+    assert again == sorted([*many, *[f"http://b.org/{i}" for i in (1, 2, 3)]])
+    assert len(whole) == 2
+
+
 def scratch_folders(spark):
     root = f"{shared_folder(spark)}/presswork/{spark.sparkContext.applicationId}"
     return {n for n in os.listdir(root.removeprefix("file:"))} if os.path.exists(root) else set()
