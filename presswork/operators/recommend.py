@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -156,6 +156,18 @@ def recommend(
     ).withColumnRenamed("weight", "category_weight")
 
 
+def _unseen_before(seen_ranks: Column) -> Column:
+    """For each of a sorted list of seen ranks, how many unseen ranks come before it."""
+    none = F.array().cast("array<int>")
+    return F.coalesce(F.transform(seen_ranks, lambda rank, i: rank - i - 1), none)
+
+
+def _unseen_rank(number: Column) -> Column:
+    """The rank of the ``number``-th unseen article: one more for each seen one before it."""
+    skipped = F.filter("unseen_before", lambda n: n < number)
+    return (number + F.size(skipped)).cast("int")
+
+
 def _pick_unseen(
     articles: DataFrame,
     dims: tuple,
@@ -167,11 +179,12 @@ def _pick_unseen(
 ) -> tuple[DataFrame, DataFrame]:
     """Page rows per (user, category) with seen articles left out before ranking.
 
-    Only the ``depth`` newest articles per category are looked at. If a user has seen
-    s of them, the page is inside the first offset + slots + s ranks, so the pick is
-    exact when that is within ``depth`` or the category ends there. Pairs for which it
-    is not (a user who has seen nearly all of the newest ``depth``) go to a round with
-    eight times the depth, until none is left. Also returns the articles looked at.
+    A pair's seen ranks become one sorted array, from which the rank of each of its slots
+    follows by arithmetic, so a slot is a row and no list of candidates is made. Only the
+    ``depth`` newest articles per category are ranked: the pick is exact when the last slot's
+    rank is within ``depth`` or the category ends there. Pairs for which it is not (a user who
+    has seen nearly all of the newest ``depth``) go to a round with eight times the depth,
+    until none is left. Also returns the articles looked at.
     """
     depth = max(GROUP_LIMIT, 2 * (offset + limit))
     pending = weighted.filter(F.col("slots") > 0)
@@ -180,36 +193,33 @@ def _pick_unseen(
         ranked = _newest_ranked(articles, dims, n_categories, depth)
         most = n_categories * depth
         sizes = ranked.groupBy("bucket").agg(F.max("rn").alias("n_ranked"))
-        ids = ranked.select("bucket", "article_id")
+        ids = ranked.select("bucket", "article_id", "rn")
         # The seen table may be huge and one user may own a third of it: it is cut to the
         # ranked articles first, by broadcast when those are few.
         recent_seen = seen.select("user_id", "article_id").join(
             F.broadcast(ids) if most <= BROADCAST_ROWS else ids, "article_id"
         )
-        recent_seen = cut_lineage(recent_seen.distinct())
-        n_seen = recent_seen.groupBy("user_id", "bucket").agg(F.count("*").alias("n_seen"))
+        # At most ``depth`` ranks for a pair, equal ones dropped before they meet.
+        ranks = recent_seen.select("user_id", "bucket", "rn").distinct()
+        seen_ranks = ranks.groupBy("user_id", "bucket").agg(
+            F.sort_array(F.collect_list("rn")).alias("seen_ranks")
+        )
         wants = (
             join_hot_key(pending, sizes, ["bucket"], few_rows=n_categories)
-            .join(n_seen, ["user_id", "bucket"], "left")
-            .withColumn(
-                "reach", F.lit(offset) + F.col("slots") + F.coalesce("n_seen", F.lit(0))
-            )
+            .join(seen_ranks, ["user_id", "bucket"], "left")
+            .withColumn("unseen_before", _unseen_before(F.col("seen_ranks")))
+            .withColumn("last", _unseen_rank(F.col("slots") + offset))
         )
-        exact = (F.col("reach") <= depth) | (F.col("n_ranked") < depth)
+        wants = cut_lineage(wants.drop("seen_ranks"))
+        exact = (F.col("last") <= depth) | (F.col("n_ranked") < depth)
         open_pairs = wants.filter(~exact).select(*pending.columns)
-        candidates = (
-            join_hot_key(wants.filter(exact), ranked, ["bucket"], few_rows=most)
-            .filter(F.col("rn") <= F.col("reach"))
-            .join(
-                recent_seen.select("user_id", "article_id"), ["user_id", "article_id"], "left_anti"
-            )
-        )
-        unseen_rank = W.partitionBy("user_id", "bucket").orderBy("rn")
-        done.append(
-            candidates.withColumn("bucket_rank", F.row_number().over(unseen_rank) - offset)
-            .filter((F.col("bucket_rank") > 0) & (F.col("bucket_rank") <= F.col("slots")))
-            .select(*_PICKED)
+        slots = (
+            wants.filter(exact)
+            .withColumn("bucket_rank", F.explode(F.sequence(F.lit(1), F.col("slots"))))
+            .withColumn("rn", _unseen_rank(F.col("bucket_rank") + offset))
         )
+        picked = join_hot_key(slots, ranked, ["bucket", "rn"], few_rows=most)
+        done.append(picked.select(*_PICKED))
         if open_pairs.isEmpty():
             return reduce(DataFrame.unionByName, done), ranked
         pending = cut_lineage(open_pairs)
