@@ -77,11 +77,14 @@ def write_embeddings(chunks: DataFrame, encoded: DataFrame) -> DataFrame:
     )
 
 
-def upsert_prefs(prefs: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
+def upsert_prefs(
+    prefs: DataFrame, changes: DataFrame, as_of: datetime, numbered_after: DataFrame | None = None
+) -> DataFrame:
     """Set weights from (user_id, category_id, weight, seq); the highest ``seq`` wins.
 
     Known pairs keep their ``pref_id`` and creation time, new ones are numbered onwards and
-    created at ``as_of``.
+    created at ``as_of``. If ``prefs`` is a part of the table, ``numbered_after`` holds the
+    highest ``pref_id`` of the whole.
     """
     key = ["user_id", "category_id"]
     last = cut_lineage(
@@ -95,7 +98,8 @@ def upsert_prefs(prefs: DataFrame, changes: DataFrame, as_of: datetime) -> DataF
             for c in prefs.columns
         ]
     )
-    added = assign_ids(absent_from(last, prefs, key), key, "pref_id", prefs)
+    existing = prefs if numbered_after is None else numbered_after
+    added = assign_ids(absent_from(last, prefs, key), key, "pref_id", existing)
     added = added.withColumnRenamed("_weight", "weight")
     if "created_at" in prefs.columns:
         added = added.withColumn("created_at", ntz(as_of))

@@ -801,8 +801,16 @@ FROM prefs WHERE user_id NOT IN (SELECT user_id FROM prefs JOIN news USING (cate
     )
 
 
+# Changes by way of a store give what the same changes to a whole table give.
+_STORED = {
+    "stored_prefs": "upsert_prefs",
+    "stored_sessions": "upsert_sessions",
+    "stored_vectors": "embedding_backlog",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         **feeds(),
         **collection(),
         **duplicates(),
@@ -810,3 +818,4 @@ def oracle_sql() -> dict[str, str]:
         **audits(),
         **streams(),
     }
+    return sql | {name: sql[same] for name, same in _STORED.items()}

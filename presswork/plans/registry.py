@@ -25,7 +25,7 @@ from presswork.plans.chat_turn import close_turns
 from presswork.plans.fixtures import AS_OF, MID_MONTH, NOON, YESTERDAY, NewsTables
 from presswork.plans.hourly import run_hourly
 from presswork.session import ntz, scratch_path, ship_package, stored
-from presswork.sources import rss, synthetic
+from presswork.sources import keyed, rss, synthetic
 from presswork.streaming import jobs
 
 QUERIES: dict[str, Callable[[NewsTables], DataFrame]] = {}
@@ -275,6 +275,23 @@ def embedding_backlog(t: NewsTables) -> DataFrame:
     )
 
 
+@query
+def stored_vectors(t: NewsTables) -> DataFrame:
+    """The backlog in two batches that overlap, into a store beside the chunks."""
+    waiting = stored(tables.embedding_backlog(t.chunks).select("chunk_id", "content"), "waiting")
+    schema = t.chunks.select("chunk_id", "embedding").schema
+    store = keyed.KeyedTable(t.spark, scratch_path(t.spark, "vectors"), schema, ["chunk_id"], 16)
+    for batch in (waiting.filter("chunk_id % 3 < 2"), waiting.filter("chunk_id % 3 > 0")):
+        keyed.store_vectors(store, embed(batch, "content", spec=_LETTERS))
+    places = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return keyed.chunks_with_vectors(t.chunks, store).select(
+        "chunk_id",
+        F.size("embedding").alias("dimensions"),
+        F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"),
+        F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 2).alias("weighted"),
+    )
+
+
 @query
 def parse_embedding(t: NewsTables) -> DataFrame:
     v = F.col("vec_id")
@@ -450,21 +467,34 @@ def chat_turn_closed(t: NewsTables) -> DataFrame:
     )
 
 
-@query
-def upsert_sessions(t: NewsTables) -> DataFrame:
-    def sessions(messages):
-        return messages.groupBy("session_id").agg(
-            F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at")
-        ).withColumn("user_id", F.col("session_id").cast("bigint") % 15)
-
+def _session_changes(t: NewsTables) -> tuple[DataFrame, DataFrame]:
+    """Sessions as they were, and later touches of these and new ones by other users."""
     before = t.chat_history.filter(F.col("created_at") < ntz(YESTERDAY))
     after = t.chat_history.filter(F.col("created_at") >= ntz(YESTERDAY))
+    sessions = before.groupBy("session_id").agg(
+        F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at")
+    ).withColumn("user_id", F.col("session_id").cast("bigint") % 15)
     touches = after.select(
         "session_id",
         (F.col("session_id").cast("bigint") % 15 + 100).alias("user_id"),
         F.col("created_at").alias("touched_at"),
     )
-    return tables.upsert_sessions(sessions(before), touches)
+    return sessions, touches
+
+
+@query
+def upsert_sessions(t: NewsTables) -> DataFrame:
+    return tables.upsert_sessions(*_session_changes(t))
+
+
+@query
+def stored_sessions(t: NewsTables) -> DataFrame:
+    sessions, touches = _session_changes(t)
+    path = scratch_path(t.spark, "sessions")
+    store = keyed.KeyedTable(t.spark, path, sessions.schema, ["session_id"], 16)
+    store.add(sessions)
+    keyed.store_sessions(store, touches)
+    return store.read()
 
 
 @query
@@ -482,8 +512,7 @@ def user_prefs(t: NewsTables) -> DataFrame:
     return chat.prefs_with_names(t.prefs, t.categories)
 
 
-@query
-def upsert_prefs(t: NewsTables) -> DataFrame:
+def _pref_changes(t: NewsTables) -> tuple[DataFrame, DataFrame]:
     e = F.col("event_id")
     changes = t.raw("events").filter(F.col("event_type") == "click").select(
         "user_id",
@@ -491,8 +520,22 @@ def upsert_prefs(t: NewsTables) -> DataFrame:
         (1 + e % 10).cast("int").alias("weight"),
         e.alias("seq"),
     )
-    prefs = t.prefs.withColumn("created_at", ntz(YESTERDAY))
-    return tables.upsert_prefs(prefs, changes, AS_OF)
+    return t.prefs.withColumn("created_at", ntz(YESTERDAY)), changes
+
+
+@query
+def upsert_prefs(t: NewsTables) -> DataFrame:
+    return tables.upsert_prefs(*_pref_changes(t), AS_OF)
+
+
+@query
+def stored_prefs(t: NewsTables) -> DataFrame:
+    prefs, changes = _pref_changes(t)
+    path = scratch_path(t.spark, "prefs")
+    store = keyed.KeyedTable(t.spark, path, prefs.schema, ["user_id", "category_id"], 16)
+    store.add(prefs)
+    keyed.store_prefs(store, changes, AS_OF)
+    return store.read()
 
 
 # --- audits ------------------------------------------------------------------

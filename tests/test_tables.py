@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from presswork.operators import audit, ingest, joins, tables
 from presswork.schemas import CATEGORIES, NEWS_SOURCES
-from presswork.sources import seeds
+from presswork.sources import keyed, seeds
 from presswork.sources.tables import (
     read_jdbc_range,
     save_articles,
@@ -253,3 +253,122 @@ def test_first_chunks_have_their_own_folder(spark, tmp_path):
     assert rows(first_chunks(back)) == rows(first_chunks(chunks)) == [(1, 0, [1.0]), (3, 0, [3.0])]
     plan = first_chunks(back)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(first_chunk" in plan
+
+
+def bucket_files(path):
+    """Data files by bucket folder."""
+    found = {}
+    for folder in (path / "rows").glob("bucket=*"):
+        found[folder.name] = {f.name for f in folder.glob("*.parquet")}
+    return found
+
+
+PREFS = "pref_id long, user_id long, category_id int, weight int"
+CHANGES = "user_id long, category_id int, weight int, seq long"
+
+
+def prefs_store(spark, path, rows, buckets=16, files=1):
+    df = spark.createDataFrame(rows, PREFS)
+    key = ["user_id", "category_id"]
+    store = keyed.KeyedTable(spark, str(path), df.schema, key, buckets, files)
+    store.add(df)
+    return store, df
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stored_prefs_as_a_whole_table(spark, tmp_path, files):
+    store, df = prefs_store(
+        spark, tmp_path, [(i + 1, i // 4, i % 4, 1 + i % 10) for i in range(2_000)], files=files
+    )
+    assert rows(store.read()) == rows(df)
+    changes = spark.createDataFrame(
+        [(7, 1, 9, 0), (7, 1, 8, 1), (9_000, 2, 7, 2), (9_001, 2, 6, 3), (None, 1, 5, 4)], CHANGES
+    )
+    before = bucket_files(tmp_path)
+    keyed.store_prefs(store, changes, T0)
+    after = bucket_files(tmp_path)
+    assert rows(store.read()) == rows(tables.upsert_prefs(df, changes, T0))
+    moved = {b for b in after if after[b] != before.get(b)}
+    assert 0 < len(moved) <= 4 < len(after)  # four keys, so at most four folders are new
+    # Run again: nothing new, no id given out twice.
+    once = rows(store.read())
+    keyed.store_prefs(store, changes.filter("user_id is not null"), T0)
+    assert rows(store.read()) == once
+    keyed.store_prefs(store, spark.createDataFrame([(9_002, 1, 3, 1)], CHANGES), T0)
+    ids = [r.pref_id for r in store.read().collect()]
+    assert len(ids) == len(set(ids)) and max(ids) == 2_004
+
+
+def test_ids_reserved_by_a_failed_change_are_not_given_again(spark, tmp_path, monkeypatch):
+    store, _ = prefs_store(spark, tmp_path, [(1, 1, 1, 1)])
+
+    def lost(self, rows, mode):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(keyed.KeyedTable, "_write", lost)
+        with pytest.raises(OSError):
+            keyed.store_prefs(store, spark.createDataFrame([(2, 1, 3, 1)], CHANGES), T0)
+    assert rows(store.read()) == [(1, 1, 1, 1)]
+    keyed.store_prefs(store, spark.createDataFrame([(2, 1, 3, 1)], CHANGES), T0)
+    assert rows(store.read()) == [(1, 1, 1, 1), (3, 2, 1, 3)]
+
+
+def test_change_reads_only_touched_buckets(spark, tmp_path):
+    store, df = prefs_store(spark, tmp_path, [(i, i, 1, 1) for i in range(500)])
+    one = df.filter("user_id = 3")
+    touched = store.touched(one)
+    assert len(touched.inputFiles()) >= 1
+    read = touched.select(F.input_file_name().alias("f")).distinct().collect()
+    assert len(read) == 1 and "3" in {str(r.user_id) for r in touched.collect()}
+    assert store.touched(df.limit(0)).count() == 0
+
+
+def test_stored_sessions(spark, tmp_path):
+    day = lambda d: datetime(2024, 1, d)
+    schema = "session_id string, user_id long, created_at timestamp_ntz, updated_at timestamp_ntz"
+    old = spark.createDataFrame([(f"s{i}", i, day(1), day(1)) for i in range(100)], schema)
+    touches = spark.createDataFrame(
+        [("s7", 2, day(3)), ("n", 4, day(5)), ("n", 3, day(4))],
+        "session_id string, user_id long, touched_at timestamp_ntz",
+    )
+    store = keyed.KeyedTable(spark, str(tmp_path), old.schema, ["session_id"], 16)
+    keyed.store_sessions(store, touches.limit(0))  # nothing stored, nothing to do
+    assert store.read().count() == 0
+    store.add(old)
+    for _ in range(2):
+        keyed.store_sessions(store, touches)
+        assert rows(store.read()) == rows(tables.upsert_sessions(old, touches))
+
+
+def test_stored_vectors_are_appended_and_merged_on_read(spark, tmp_path):
+    schema = "chunk_id long, embedding array<float>"
+    chunks = spark.createDataFrame([(i, [9.0] if i == 4 else None) for i in range(60)], schema)
+    store = keyed.KeyedTable(spark, str(tmp_path), chunks.schema, ["chunk_id"], 8)
+    assert rows(keyed.chunks_with_vectors(chunks, store)) == rows(chunks)
+
+    def encoded(ids, value):
+        return spark.createDataFrame([(i, [value]) for i in ids] + [(99, None)], schema)
+
+    keyed.store_vectors(store, encoded(range(30), 1.0))
+    first = bucket_files(tmp_path)
+    keyed.store_vectors(store, encoded(range(20, 40), 2.0))  # ten of them are there
+    second = bucket_files(tmp_path)
+    assert all(first[b] <= second[b] for b in first)
+    want = [(i, [9.0] if i == 4 else [1.0] if i < 30 else [2.0] if i < 40 else None) for i in range(60)]
+    assert rows(keyed.chunks_with_vectors(chunks, store)) == sorted(want, key=str)
+    stored_before = rows(store.read())
+    store.compact(chunks)
+    assert rows(store.read()) == stored_before
+    assert all(len(f) == 1 for f in bucket_files(tmp_path).values())
+
+
+def test_a_key_that_many_rows_of_a_batch_share(spark, tmp_path):
+    """Half of all changes are to one pair; the last of them counts."""
+    store, _ = prefs_store(spark, tmp_path, [(1, 1, 1, 1)])
+    changes = spark.range(4_000).selectExpr(
+        "if(id % 2 = 0, 1, id) as user_id", "1 as category_id", "cast(1 + id % 10 as int) as weight", "id as seq"
+    )
+    keyed.store_prefs(store, changes, T0)
+    got = {(r.user_id, r.category_id): r.weight for r in store.read().collect()}
+    assert len(got) == 2_000 and got[1, 1] == 1 + 3_998 % 10
