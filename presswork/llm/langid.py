@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.llm.common import decoded, raw_texts
+from presswork.session import stored
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -121,10 +122,11 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
         yield from rows()
 
     grams = usable.mapInArrow(count, "lang string, gram long, n long")
-    total = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Read twice below, so counted once: as long as the alphabets allow, not the texts.
+    total = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = total.withColumn("rank", rank).filter(F.col("rank") <= size)
-    if top.filter("rank = 1").limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+    if total.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; is lang a language column?")
     profiles: dict[str, list] = {}
     for r in top.orderBy("lang", "rank").toLocalIterator():
