@@ -402,10 +402,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that ``assess`` keeps; columns and types as in ``docs``."""
     columns = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(columns)}
-    narrow = docs.select(*[col(c).alias(at[c]) for c in ("lang", "source", "text")])
     lang, source, text = at["lang"], at["source"], at["text"]
-    measured = stored(with_stats(narrow, text).drop(text), "text-stats")
-    fitted = fit(measured, lang, source)
-    renamed = docs.toDF(*[at[c] for c in columns])
-    kept = judge(with_stats(renamed, text), fitted, lang, source).filter("kept")
+    # Texts are stored beside their statistics: a second reading is cheaper than a second
+    # count, and rows need no key to find their verdicts by. The fit reads the numbers only.
+    measured = stored(with_stats(docs.toDF(*at.values()), text), "text-stats")
+    kept = judge(measured, fit(measured, lang, source), lang, source).filter("kept")
     return kept.select(*[col(at[c]).alias(c) for c in columns])
