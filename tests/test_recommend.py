@@ -163,3 +163,17 @@ def test_top_per_group_past_the_limit(spark):
     plain = top_per_group(df, ["k"], [F.asc("v")], 900)
     assert deep.filter("rn <= 900").exceptAll(plain).count() == 0
     assert deep.count() == 4500
+
+
+def test_unseen_ranks(spark):
+    """The n-th rank that is not in the list of seen ones."""
+    cases = [([], 12), ([1, 2, 3], 12), ([2, 3, 7, 12], 12), ([12], 3), (None, 5), (list(range(1, 12)), 2)]
+    df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(cases)], "i int, seen array<int>, n int")
+    got = df.withColumn("unseen_before", recommend._unseen_before(F.col("seen"))).select(
+        "i", F.explode(F.sequence(F.lit(1), "n")).alias("k"), "unseen_before"
+    ).withColumn("rank", recommend._unseen_rank(F.col("k")))
+    ranks = {}
+    for r in got.orderBy("i", "k").collect():
+        ranks.setdefault(r.i, []).append(r["rank"])
+    for i, (seen, n) in enumerate(cases):
+        assert ranks[i] == [r for r in range(1, 100) if r not in (seen or [])][:n]
