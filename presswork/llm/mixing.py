@@ -7,12 +7,16 @@ document, so a draw needs no state, is the same on every run and expects exactly
 Copies are dealt to a global order by a second hash.
 
 Rates above ``PART_MEAN`` are the sum of several draws of a part each, which has the same
-distribution and keeps the inversion short and exact.
+distribution and keeps the inversion short and exact. Where a row needs very many draws,
+they and its copies are dealt to tasks in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.llm.common import col, fresh, partitions_for
@@ -24,6 +28,8 @@ PART_MEAN = 16.0
 STEPS = 80
 CHARS_PER_PARTITION = 1 << 26
 _COPIES_AT_ONCE = 1024
+# Rows with more draws than this are drawn in blocks of as many. Results are the same.
+PARTS_AT_ONCE = 1024
 
 
 def _hash_number(*parts: Column, digits: int) -> Column:
@@ -73,6 +79,43 @@ def source_rates(
     )
 
 
+def _in_blocks(
+    many: DataFrame,
+    kept: list[str],
+    key: str,
+    name: str,
+    parts_of: str,
+    cdf_of: str,
+    first: str,
+    last: str,
+    drawn: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """Rows of ``many`` once per block of draws, with the first and last copy of the block.
+
+    Blocks are drawn for distinct keys, numbered on by running sums of a few numbers each,
+    and meet their rows again; what is dealt out is a row per some 16,000 copies.
+    """
+    block, n = fresh(many, "draw_block", "n_drawn")
+    keys = many.select(*[col(c) for c in (key, name, parts_of, cdf_of)]).dropDuplicates([key, name])
+    dealt = keys.withColumn(
+        block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((col(parts_of) - 1) / PARTS_AT_ONCE)))
+    )
+    tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = col(block) * PARTS_AT_ONCE + 1
+    high = F.least(col(parts_of), low + (PARTS_AT_ONCE - 1))
+    sums = stored(
+        dealt.repartition(tasks, col(key), col(name), col(block)).select(
+            col(key), col(name), col(block), drawn(low, high).alias(n)
+        ),
+        "draws",
+    )
+    run = F.sum(col(n)).over(W.partitionBy(col(key), col(name)).orderBy(col(block)))
+    ends = sums.withColumn(last, run).filter(col(n) > 0)
+    ends = ends.withColumn(first, col(last) - col(n) + 1)
+    placed = many.join(ends, [key, name]).repartition(tasks, col(key), col(block))
+    return placed.select(*[col(c) for c in [*kept, first, last]])
+
+
 def replicate(
     docs: DataFrame,
     weights: dict[str, float],
@@ -84,11 +127,11 @@ def replicate(
 
     A document occurs as often as its draw says, perhaps never. Draws depend on the seed and
     doc_id; rows without doc_id draw by their text, and repeated rows draw alike. Null
-    source is a source. Columns named copy or shuffle_key give way to the new ones. Sizes
+    source is a source. Draws and copies of a row at a very high rate are spread over tasks. Columns named copy or shuffle_key give way to the new ones. Sizes
     come from whole texts. No rows: no rows.
     """
     rest = docs.drop("copy", "shuffle_key")
-    key, n, block, name = fresh(rest, "draw_key", "n_copies", "copy_block", "source_key")
+    key, block, name = fresh(rest, "draw_key", "copy_block", "source_key")
     rates = source_rates(docs, weights, other, total)
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1))
     by_source = stored(
@@ -108,32 +151,38 @@ def replicate(
     source_key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     seeded = F.lit(str(seed))
 
-    parts_of, cdf_of = fresh(rest, "n_parts", "cdf_steps")
+    parts_of, cdf_of, first, last = fresh(rest, "n_parts", "cdf_steps", "first_copy", "last_copy")
     few = by_source.select(name, F.col("parts").alias(parts_of), F.col("cdf").alias(cdf_of))
     placed = join_hot_key(rest.withColumns({key: draw_id, name: source_key}), few, [name])
 
-    def draw(part: Column) -> Column:
-        u = _hash_number(seeded, col(key), part.cast("string"), digits=13) / F.lit(float(1 << 52))
-        return F.size(F.filter(col(cdf_of), lambda c: c <= u)).cast("long")
-
-    drawn = F.aggregate(
-        F.sequence(F.lit(1).cast("long"), col(parts_of)),
-        F.lit(0).cast("long"),
-        lambda total_, part: total_ + draw(part),
-    )
-    some = placed.withColumn(n, drawn).filter(col(n) > 0)
+    def drawn(low: Column, high: Column) -> Column:
+        """The sum of draws ``low`` to ``high`` of a key."""
+
+        def draw(part: Column) -> Column:
+            u = _hash_number(seeded, col(key), part.cast("string"), digits=13)
+            u = u / F.lit(float(1 << 52))
+            return F.size(F.filter(col(cdf_of), lambda c: c <= u)).cast("long")
+
+        zero = F.lit(0).cast("long")
+        return F.aggregate(F.sequence(low, high), zero, lambda sum_, part: sum_ + draw(part))
+
+    kept = [*rest.columns, key]
+    one = F.lit(1).cast("long")
+    few_draws = placed.filter(col(parts_of) <= PARTS_AT_ONCE)
+    some = few_draws.withColumn(last, drawn(one, col(parts_of))).withColumn(first, one)
+    some = some.filter(col(last) > 0).select(*[col(c) for c in [*kept, first, last]])
+    most_draws = by_source.agg(F.max("parts")).first()[0] or 0
+    if most_draws > PARTS_AT_ONCE:
+        many = placed.filter(col(parts_of) > PARTS_AT_ONCE)
+        some = some.unionByName(_in_blocks(many, kept, key, name, parts_of, cdf_of, first, last, drawn))
     # Two steps, so that a document with very many copies needs no very long array.
     blocks = some.withColumn(
-        block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((col(n) - 1) / _COPIES_AT_ONCE)))
+        block,
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((col(last) - col(first)) / _COPIES_AT_ONCE))),
     )
+    start = col(first) + col(block) * _COPIES_AT_ONCE
     copies = blocks.withColumn(
-        "copy",
-        F.explode(
-            F.sequence(
-                col(block) * _COPIES_AT_ONCE + 1,
-                F.least(col(n), (col(block) + 1) * _COPIES_AT_ONCE),
-            )
-        ),
+        "copy", F.explode(F.sequence(start, F.least(col(last), start + (_COPIES_AT_ONCE - 1))))
     )
     order = _hash_number(
         F.concat(seeded, F.lit("/order")), col(key), F.col("copy").cast("string"), digits=13

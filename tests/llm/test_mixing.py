@@ -50,6 +50,25 @@ def test_copies_against_a_plain_statement(spark, total):
     assert counted == brute_copies(rows, weights, 1.0, total, 3)
 
 
+def test_draws_in_blocks_are_the_same(spark, monkeypatch):
+    rows = [*cases.ROWS, *[(100 + i, cases.ENGLISH, "en", f"s{i % 7}", 1) for i in range(40)]]
+    docs = cases.clashing(spark, ["copy", "draw_block", "first_copy", "n_drawn", "k"], rows)
+    columns = ["doc_id", "text", "source", "copy", "shuffle_key"]
+    want = mixing.replicate(docs, {}, 1.0, 3_000_000, seed=3).select(*columns).collect()
+    monkeypatch.setattr(mixing, "PARTS_AT_ONCE", 2)
+    got = mixing.replicate(docs, {}, 1.0, 3_000_000, seed=3).select(*columns).collect()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_row_at_a_very_high_rate(spark):
+    docs = cases.documents(spark, [(1, "ab", "en", "a", 2), (2, "cd " * 1000, "en", "b", 3000)])
+    mixed = mixing.replicate(docs, {"a": 1.0, "b": 0.0}, total=4_000_000, seed=5)
+    got = mixed.groupBy("doc_id").agg(F.count("*"), F.min("copy"), F.max("copy"), F.countDistinct("copy"))
+    [(doc_id, n, low, high, distinct)] = got.collect()
+    assert (doc_id, low, high, distinct) == (1, 1, n, n)
+    assert n == brute_copies([(1, "ab", "en", "a")], {}, 1.0, 4_000_000, 5)[(1, "ab", "a")]
+
+
 def test_rate_and_order(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     mixed = mixing.replicate(docs, {"src0": 5.0}, 1.0, total=20_000_000, seed=1)
