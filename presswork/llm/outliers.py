@@ -15,10 +15,13 @@ until the determinant falls no more; the least determinant of a group is its est
 Vectors lie on a grid and are summed as whole numbers, so results do not depend on how rows
 are dealt out.
 
-Groups with fewer than ``MIN_GROUP`` texts are pooled by language, and those of languages
-where the pool is still too small are judged by an estimate over all texts; if even these are
-too few, nothing is rejected. A variance floor per statistic keeps constant statistics from turning small
-differences into large distances.
+A text has three distances: by the estimate of its language and source, of its language, and
+of all texts. Their logarithms are averaged with weights that grow smoothly with the texts
+behind each estimate (``GROUP_TEXTS``, ``TABLE_TEXTS``), so a large source is judged by itself,
+a small one mostly by its language, junk that is the majority of a small group does not
+become its norm, and no verdict turns on a group's having one text more. What weight is left
+in a tiny table counts as an ordinary distance. A variance floor per statistic keeps constant
+statistics from turning small differences into large distances.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +46,10 @@ MORE = ["n_lines", "n_distinct", "n_upper", "n_marks"]
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-MIN_GROUP = 50
+# An estimate of n texts has weight n / (n + this) against the next wider one, ...
+GROUP_TEXTS = 1000
+# ... and the one of all texts n / (n + this) against an ordinary distance.
+TABLE_TEXTS = 30
 GRID = 1024
 BINS_PER_OCTAVE = 16
 # More steps than this are an error. The determinant falls with every step, so they do end.
@@ -129,23 +134,13 @@ def pair_key(lang: str, source: str) -> Column:
     return F.concat(part(lang), F.lit("/"), part(source))
 
 
-# The group of all texts, which judges what no smaller one does.
-_ALL = "3"
+# Estimates that judge a text, from the narrowest to the widest.
+LEVELS = ["own", "language", "all"]
 
 
-def _fit_keys(rows: DataFrame) -> DataFrame:
-    """(pair, g): the group whose estimate judges each language and source."""
-    sizes = rows.groupBy("pair", "language").agg(F.count("*").alias("n"))
-    pool = F.sum(F.when(F.col("n") < MIN_GROUP, F.col("n")).otherwise(0)).over(
-        W.partitionBy("language")
-    )
-    return sizes.withColumn("pool", pool).select(
-        "pair",
-        F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("1"), "pair"))
-        .when(F.col("pool") >= MIN_GROUP, F.concat(F.lit("2"), "language"))
-        .otherwise(F.lit(_ALL))
-        .alias("g"),
-    )
+def _groups() -> list[Column]:
+    """The group of a text at each level."""
+    return [F.concat(F.lit("1"), "pair"), F.concat(F.lit("2"), "language"), F.lit("3")]
 
 
 # Where steps start from: median deviations, correlations of squashed values, of directions.
@@ -282,13 +277,14 @@ def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def squared_distance() -> Column:
-    """Squared Mahalanobis distance of x0.. from mu, inv (before scaling)."""
-    gap = [F.col(f"x{i}") / F.lit(float(GRID)) - F.col("mu")[i] for i in range(DIM)]
+def squared_distance(fit: str = "") -> Column:
+    """Squared Mahalanobis distance of x0.. from mu, inv (before scaling), or those in ``fit``."""
+    at = f"{fit}." if fit else ""
+    gap = [F.col(f"x{i}") / F.lit(float(GRID)) - F.col(f"{at}mu")[i] for i in range(DIM)]
     total = F.lit(0.0)
     for i in range(DIM):
         for j in range(i, DIM):
-            part = gap[i] * gap[j] * F.col("inv")[i * DIM + j]
+            part = gap[i] * gap[j] * F.col(f"{at}inv")[i * DIM + j]
             total = total + (part if i == j else 2 * part)
     return total
 
@@ -330,10 +326,11 @@ def _step(rows: DataFrame, fits: DataFrame, groups: int) -> DataFrame:
 
 
 def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(pair, mu, inv, scale, n) per language and source of ``measured`` (with statistics).
+    """(pair, own, language, all) per language and source of ``measured`` (with statistics).
 
-    Rows that fail the base rules take no part. Each start of each group is followed until
-    its determinant falls no more; more than ``MAX_STEPS`` steps are an error.
+    Each of ``LEVELS`` is an estimate (mu, inv, scale, n). Rows that fail the base rules take
+    no part. Each start of each group is followed until its determinant falls no more; more
+    than ``MAX_STEPS`` steps are an error.
     """
     good = measured.filter(~base_failed()).select(
         pair_key(lang, source).alias("pair"),
@@ -341,13 +338,16 @@ def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> Data
         *_vector(),
     )
     good = stored(good, "vectors")
-    keys = stored(_fit_keys(good), "fit-keys")
-    size = keys.select("g").distinct().count()
-    grouped = join_hot_key(good, keys, ["pair"]).drop("pair", "language")
-    if keys.filter(F.col("g") == _ALL).count():
-        everyone = good.drop("pair", "language").withColumn("g", F.lit(_ALL))
-        grouped = grouped.filter(F.col("g") != _ALL).unionByName(everyone)
-    rows = stored(grouped, "grouped-vectors")
+    pairs = good.select("pair", "language").distinct()
+    keys = stored(
+        pairs.select("pair", *[g.alias(f"g_{level}") for level, g in zip(LEVELS, _groups())]), "fit-keys"
+    )
+    size = keys.select(F.explode(F.array(*[f"g_{level}" for level in LEVELS]))).distinct().count()
+    # A text counts in three estimates; vectors are seven numbers.
+    rows = stored(
+        good.select(F.explode(F.array(*_groups())).alias("g"), *[f"x{i}" for i in range(DIM)]),
+        "grouped-vectors",
+    )
     axes = F.array(
         *[F.struct(F.lit(i).alias("axis"), F.col(f"x{i}").alias("x")) for i in range(DIM)]
     )
@@ -366,18 +366,38 @@ def fit(measured: DataFrame, lang: str = "lang", source: str = "source") -> Data
         now = stored(_step(rows, now, size), "fit")
         steps += 1
     best = now.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "mu", "inv", "scale")).alias("b"))
-    return keys.join(best.select("g", "b.mu", "b.inv", "b.scale", "b.n"), "g").drop("g")
+    best = stored(best.select("g", F.struct("b.mu", "b.inv", "b.scale", "b.n").alias("best")), "estimates")
+    out = keys
+    for level in LEVELS:
+        own = best.select(F.col("g").alias(f"g_{level}"), F.col("best").alias(level))
+        out = join_hot_key(out, own, [f"g_{level}"])
+    return out.select("pair", *LEVELS)
+
+
+def _blended(discount: Column) -> Column:
+    """Squared distance from the three estimates, as the weighted mean of their logarithms.
+
+    Distances below the median of ordinary texts count as that, so none can outweigh another
+    by being tiny.
+    """
+    ordinary = chi_square(0.5)
+    out = F.lit(math.log(ordinary))
+    for level in reversed(LEVELS):
+        own = squared_distance(level) / F.col(f"{level}.scale") * discount
+        n = F.col(f"{level}.n")
+        weight = n / (n + F.lit(TABLE_TEXTS if level == "all" else GROUP_TEXTS))
+        out = weight * F.log(F.greatest(own, F.lit(ordinary))) + (1 - weight) * out
+    return F.exp(out)
 
 
 def judge(measured: DataFrame, fitted: DataFrame, lang: str = "lang", source: str = "source"):
-    """``measured`` with base_failed, distance (squared, scaled, discounted) and kept."""
+    """``measured`` with base_failed, distance (squared, scaled, discounted, blended) and kept."""
     names = measured.columns
     framed = measured.withColumns(
         {"pair": pair_key(lang, source), **{f"x{i}": c for i, c in enumerate(_vector())}}
     )
     placed = join_hot_key(framed, fitted, ["pair"], "left")
-    discount = F.col("n_words") / (F.col("n_words") + F.lit(PRIOR_WORDS))
-    distance = F.when(F.col("n") >= MIN_GROUP, squared_distance() / F.col("scale") * discount)
+    distance = _blended(F.col("n_words") / (F.col("n_words") + F.lit(PRIOR_WORDS)))
     far = F.coalesce(distance > chi_square(1 - TAIL), F.lit(False))
     return placed.select(
         *names,

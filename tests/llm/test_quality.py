@@ -143,13 +143,13 @@ def brute_rest(x, mu, inv):
 def test_no_step_and_no_start_lowers_the_determinant(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.lit("s"))
     measured = outliers.with_stats(docs.select("doc_id", "lang", "source", "text"), "text")
-    fitted = {r.pair: r for r in outliers.fit(measured).collect()}
+    fitted = {r.pair: r.own for r in outliers.fit(measured).collect()}
     good = measured.filter(~outliers.base_failed()).select(
         outliers.pair_key("lang", "source").alias("pair"), *outliers._vector()
     ).collect()
     seen = 0
     for name, size in Counter(r.pair for r in good).items():
-        if size < outliers.MIN_GROUP:
+        if size < 50:
             continue
         x = np.array([list(r)[1:] for r in good if r.pair == name]) / outliers.GRID
         got = fitted[name]
@@ -177,6 +177,37 @@ def test_no_step_and_no_start_lowers_the_determinant(spark):
     assert seen > 1
 
 
+def test_junk_that_is_the_majority_of_a_small_group_goes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'")
+    first = docs.orderBy("doc_id").limit(50).withColumn("source", F.lit("small"))
+    plain = first.unionByName(docs.join(first, "doc_id", "left_anti").withColumn("source", F.lit("s")))
+    menus = [
+        (10_000_000 + i, " | ".join(f"<item{i}x{k}>" for k in range(60)), "en", "small", 1)
+        for i in range(80)
+    ]
+    got = outliers.assess(plain.unionByName(cases.documents(spark, menus))).collect()
+    junk = [r for r in got if r.doc_id >= 10_000_000]
+    assert len(junk) == 80 and not any(r.base_failed or r.kept for r in junk)
+    alone = {r.doc_id for r in outliers.assess(plain).filter("kept").collect()}
+    assert len(alone - {r.doc_id for r in got if r.kept}) <= 0.02 * len(alone)
+    small = {r.doc_id for r in first.collect()} & alone
+    assert len(small - {r.doc_id for r in got if r.kept}) <= 2
+
+
+def test_one_text_more_turns_no_other_verdict(spark):
+    """A distance moves little when a group grows from 49 texts to 50 to 51."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").orderBy("doc_id")
+    rest = docs.withColumn("source", F.lit("s")).filter("doc_id % 2 = 0")
+    small = docs.filter("doc_id % 2 = 1").withColumn("source", F.lit("small"))
+    seen = []
+    for n in (49, 50, 51):
+        got = outliers.assess(rest.unionByName(small.limit(n))).filter("distance is not null")
+        seen.append({r.doc_id: r.distance for r in got.collect()})
+    for a, b in zip(seen, seen[1:]):
+        moved = [abs(math.log(a[d] / b[d])) for d in a if d in b]
+        assert max(moved) < 0.5 and sum(moved) / len(moved) < 0.05
+
+
 def test_estimates_that_do_not_rest_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(outliers, "MAX_STEPS", 1)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source", "text")
