@@ -44,42 +44,89 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical(text: str) -> str:
+_SPELLINGS = [
+    ("licenc", "licens"),
+    ("sub licens", "sublicens"),
+    ("authoris", "authoriz"),
+    ("organis", "organiz"),
+    ("favour", "favor"),
+    ("merchantib", "merchantab"),
+    ("non commercial", "noncommercial"),
+    (" version ", " v"),
+]
+_NOT_HOLDERS = (
+    "notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|protection|"
+    "infringements?|materials?|works?|year|and|or|in|to|on|of|for|is|are|as|that|which|has|"
+    "permissions?|disclaimers?|treaty|rights?"
+)
+
+
+def _is_statement(line: str) -> str:
+    """Whether a line in lower case is a copyright statement."""
+    start = "^[^a-z0-9©(]*"
+    sure = (
+        r"copyright[^a-z0-9]*(?:\(c\)|©[^a-z0-9]{0,9}[a-z]|[0-9]{4}|yyyy\b)"
+        r"|\(c\)[^a-z0-9]*(?:copyright[^a-z0-9]*)?[0-9]{4}|©|all rights reserved[^a-z0-9]*$"
+    )
+    named = rf"{start}copyright[ \t]+"
+    return (
+        f"(regexp_matches({line}, '{start}(?:{sure})') OR (regexp_matches({line}, '{named}[a-z0-9]')"
+        rf" AND NOT regexp_matches({line}, '{named}(?:{_NOT_HOLDERS})\b')))"
+    )
+
+
+def _lines(text: str) -> str:
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-    out = f"translate({text}, {letters})"
-    out = rf"regexp_replace({out}, '(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*', '\1', 'g')"
+    return f"string_split(translate({text}, {letters}), chr(10))"
+
+
+def _canonical(text: str) -> str:
+    rest = f"list_transform({_lines(text)}, lambda l: CASE WHEN {_is_statement('l')} THEN '' ELSE l END)"
+    return _joined_words(f"array_to_string({rest}, chr(10))")
+
+
+def _stated(text: str) -> str:
+    """Lines of notices that stand behind copyright statements."""
+    tail = r"(?:\bthis (?:work|software) is )?\b(?:licen[sc]ed|released|distributed) under\b[^\n]*"
+    found = f"list_filter({_lines(text)}, lambda l: {_is_statement('l')})"
+    tails = f"list_transform({found}, lambda l: regexp_extract(l, '{tail}', 0))"
+    joined = _joined_words(f"coalesce(array_to_string({tails}, chr(10)), '')")
+    return f"list_filter(string_split({joined}, chr(10)), lambda l: l <> '')"
+
+
+def _joined_words(out: str) -> str:
     out = rf"regexp_replace({out}, '[^a-z0-9\n\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')"
-    for spelling, one in [
-        ("licenc", "licens"),
-        ("sub licens", "sublicens"),
-        ("authoris", "authoriz"),
-        ("organis", "organiz"),
-        ("favour", "favor"),
-        ("merchantib", "merchantab"),
-        ("non commercial", "noncommercial"),
-        (" version ", " v"),
-    ]:
+    for spelling, one in _SPELLINGS:
         out = f"replace({out}, '{spelling}', '{one}')"
     out = rf"trim(regexp_replace({out}, ' ?\n ?', chr(10), 'g'), ' ')"
     return rf"regexp_replace(regexp_replace({out}, '\n+', chr(10), 'g'), '^\n|\n$', '', 'g')"
 
 
+def _on_one_line(form: str) -> str:
+    out = f"replace({form}, chr(10), ' ')"
+    for spelling, one in _SPELLINGS:
+        if " " in spelling:
+            out = f"replace({out}, '{spelling}', '{one}')"
+    return out
+
+
 ORACLES["op3_licence_scan"] = f"""
 WITH listed(licence, text) AS (
   VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in known_texts())}
 ), known AS (
-  SELECT sha256(replace({_canonical("text")}, chr(10), ' ')) AS digest, min(licence) AS licence
+  SELECT sha256({_on_one_line(_canonical("text"))}) AS digest, min(licence) AS licence
   FROM listed GROUP BY 1
 ), forms AS (
-  SELECT row_number() OVER () AS row, doc_id, {_canonical("coalesce(text, '')")} AS form FROM documents
+  SELECT row_number() OVER () AS row, doc_id, {_canonical("coalesce(text, '')")} AS form,
+         {_stated("coalesce(text, '')")} AS stated FROM documents
 ), lines AS (
-  SELECT row, sha256(unnest(string_split(form, chr(10)))) AS digest FROM forms
+  SELECT row, sha256(unnest(list_concat(string_split(form, chr(10)), stated))) AS digest FROM forms
 ), named AS (
   SELECT row, count(*) AS n_notices,
          array_to_string(list_sort(list_distinct(list(licence))), ',') AS notices
   FROM lines JOIN known USING (digest) GROUP BY row
 ), whole AS (
-  SELECT row, doc_id, sha256(replace(form, chr(10), ' ')) AS digest FROM forms
+  SELECT row, doc_id, sha256({_on_one_line("form")}) AS digest FROM forms
 )
 SELECT doc_id, digest, licence, coalesce(n_notices, 0)::BIGINT AS n_notices, notices
 FROM whole LEFT JOIN known USING (digest) LEFT JOIN named USING (row)

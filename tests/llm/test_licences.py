@@ -1,6 +1,9 @@
 import textwrap
 
+import duckdb
+
 from presswork.llm import licence_texts, licences
+from presswork.llm.oracles import ORACLES
 from tests.llm import cases
 
 
@@ -103,3 +106,25 @@ def test_whole_texts_of_common_licences(spark):
     apache = licence_texts.TEXTS["Apache-2.0"]
     texts += [("Apache-2.0", apache.split("APPENDIX")[0]), (None, apache.replace("royalty", "royal"))]
     assert [x[0] for x in scanned(spark, [t for _, t in texts])] == [n for n, _ in texts]
+
+
+def test_sql_states_the_same_rule(spark):
+    head, body = licences.MIT.split("\n", 1)
+    lines = [
+        "Copyright 2020 X", "Copyright © X", "* Copyright (C) X", "Copyright The X Authors", "© X",
+        "(c) 2020 X", "All Rights Reserved.", "all rights reserved by us", "copyright law is old",
+        "(c) us who do this", "Copyright 2020 X Co., Ltd. Licensed under the MIT License",
+        "Copyright yyyy x", "see (c) 2020", "Copyright\tnotices", "copyright ©, 1 x", "COPYRIGHTS 2020",
+        "© X. This software is licensed under the Apache License, Version 2.0", "Copyright", "(c)",
+    ]
+    texts = [f"{head}\n{line}\n{body}" for line in lines] + [f"a\r\n {x}\r\nb" for x in lines]
+    texts += ["\n".join(lines), "", None, "CC0\nversion\n1.0", textwrap.fill(licences.ISC, 31)]
+    texts += ["Released under the\nMIT License", "Mozilla Public License,\nVersion\n2.0", "“MIT” licence"]
+    docs = cases.documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    columns = ["doc_id", "digest", "licence", "n_notices", "notices"]
+    want = db.sql(ORACLES["op3_licence_scan"]).select(*columns).fetchall()
+    got = [tuple(r) for r in licences.scan(docs).select(*columns).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(r[2] == "MIT" for r in got) > 8 and sum(r[3] for r in got) > 4
