@@ -60,22 +60,28 @@ _HITS_ARROW = pa.schema(
 
 
 class _Questions:
-    """Questions of one block as arrays: ids, unit vectors, weight per category."""
+    """Questions of one block as arrays: ids, unit vectors, weights per question."""
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("query_id").to_numpy()
         self.unit = unit_rows(table.column("vector"))
-        self.weights = [dict(w or []) for w in table.column("weights").to_pylist()]
-        self.by_category: dict[int, np.ndarray] = {}
+        weights = table.column("weights").combine_chunks()
+        self.ends = weights.offsets.to_numpy()
+        self.category = weights.keys.to_numpy(zero_copy_only=False)
+        self.weight = weights.items.to_numpy(zero_copy_only=False).astype(float)
 
-    def preference(self, categories: np.ndarray) -> np.ndarray:
-        """questions x chunks; a category is looked up once."""
+    def preference(self, categories: np.ndarray, rows: slice) -> np.ndarray:
+        """questions of ``rows`` x chunks: never more than one tile of questions at a time."""
         known, where = np.unique(categories, return_inverse=True)
-        for c in known.tolist():
-            if c not in self.by_category:
-                found = [w.get(c, DEFAULT_WEIGHT) for w in self.weights]
-                self.by_category[c] = np.array(found, dtype=float)
-        return np.stack([self.by_category[c] for c in known.tolist()], axis=1)[:, where]
+        ends = self.ends[rows.start : rows.stop + 1]
+        entries = slice(ends[0], ends[-1])
+        category, weight = self.category[entries], self.weight[entries]
+        own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        at = np.minimum(np.searchsorted(known, category), len(known) - 1)
+        met = known[at] == category
+        table = np.full((len(ends) - 1, len(known)), float(DEFAULT_WEIGHT))
+        table[own[met], at[met]] = weight[met]
+        return table[:, where]
 
 
 class _Best:
@@ -108,7 +114,7 @@ class _Best:
                 "chunk": part.column("chunk_id").to_numpy(),
                 "article": part.column("article_id").to_numpy(),
                 "recency": part.column("epoch").to_numpy() / self.now * RECENCY_SHARE,
-                "preference": self.questions.preference(part.column("category_id").to_numpy()),
+                "category": part.column("category_id").to_numpy(),
                 "no_direction": ~unit.any(axis=1),
             }
             for q in range(0, len(self.questions.ids), QUESTION_TILE):
@@ -116,7 +122,7 @@ class _Best:
 
     def _add_tile(self, tile: dict, rows: slice) -> None:
         unit = self.questions.unit[rows]
-        preference = tile["preference"][rows]
+        preference = self.questions.preference(tile["category"], rows)
         rank_by = self._score(unit @ tile["unit"].T, preference, tile["recency"][None, :])
         rank_by[:, tile["no_direction"]] = -np.inf
         rank_by[~unit.any(axis=1)] = -np.inf

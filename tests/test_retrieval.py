@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -168,6 +169,42 @@ def test_cost_follows_the_matrix_product():
     assert spent < 10 * (time.process_time() - start) + 5
 
 
+def test_memory_does_not_follow_questions_times_chunks():
+    """Ten times the questions against the same chunks: no matrix of all of them is held."""
+    rnd = np.random.default_rng(2)
+    peaks = []
+    for n in (3_000, 30_000):
+        weights = pa.array([[(1, 9)] if i % 2 else None for i in range(n)], pa.map_(pa.int32(), pa.int32()))
+        vectors = pa.array(list(rnd.normal(size=(n, 4))), pa.list_(pa.float64()))
+        table = pa.table({"query_id": np.arange(n), "vector": vectors, "weights": weights})
+        chunks = pa.table(
+            {
+                "chunk_id": np.arange(4096),
+                "article_id": np.arange(4096),
+                "embedding": pa.array(list(rnd.normal(size=(4096, 4))), pa.list_(pa.float64())),
+                "category_id": (np.arange(4096) % 3).astype(np.int32),
+                "epoch": np.ones(4096),
+            }
+        )
+        tracemalloc.start()
+        best = retrieval._Best(retrieval._Questions(table), 5, 1.0)
+        best.add(chunks)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert best.hits().num_rows == 5 * n
+    assert peaks[1] - peaks[0] < 27_000 * 4096
+
+
+def test_weights_by_question_and_category():
+    weights = pa.array([[(3, 7), (1, 2)], None, [], [(2, 9), (3, 1)]], pa.map_(pa.int32(), pa.int32()))
+    vectors = pa.array([[1.0]] * 4)
+    found = retrieval._Questions(pa.table({"query_id": range(4), "vector": vectors, "weights": weights}))
+    categories = np.array([3, 5, 1, 3])
+    want = [[7, 5, 2, 7], [5, 5, 5, 5], [5, 5, 5, 5], [1, 5, 5, 1]]
+    assert found.preference(categories, slice(0, 4)).tolist() == want
+    assert found.preference(categories, slice(3, 7)).tolist() == want[3:]
+
+
 def test_bucketed_chunks_stay_where_they_are(spark, world):
     chunks, articles, *rest = world["args"]
     save_bucketed(chunks, "presswork_r_chunks", buckets=4)
