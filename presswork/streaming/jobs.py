@@ -28,7 +28,7 @@ from presswork.operators.feed import (
     with_names,
 )
 from presswork.operators.ingest import awaiting_embedding, valid
-from presswork.operators.joins import checked_broadcast, join_hot_key
+from presswork.operators.joins import checked_broadcast, dealt, join_hot_key
 from presswork.operators.tables import append_chunks
 from presswork.plans.collect import insert_first, judge_entries
 from presswork.session import scratch_scope, stored
@@ -193,6 +193,10 @@ def delivered(box: Outbox) -> DataFrame:
 
     A list is filled with its cards once per set of categories; a user's message adds the
     weights to it, with no ranking or grouping by user. Users without news get the heartbeat.
+
+    Messages come list by list: one after the other for all its readers, so the same cards
+    follow each other and columnar files of them keep each text once per list. Where there
+    are fewer lists than tasks, the readers of a list are shared out.
     """
     places = box.lists.select("set_id", "part", F.posexplode("article_ids").alias("pos", "article_id"))
     in_order = F.array_sort(F.collect_list(F.struct("pos", "category_id", "card")))
@@ -210,7 +214,13 @@ def delivered(box: Outbox) -> DataFrame:
             F.lit("}"),
         ),
     )
-    full = join_hot_key(box.users, stored(filled, "filled-lists"), ["set_id"]).select(
+    filled = stored(filled, "filled-lists")
+    tasks = int(filled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = -(-tasks // max(1, filled.count()))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
+    lists = dealt(filled.withColumn("share", every), "set_id", "part", "share")
+    users = box.users.withColumn("share", F.pmod(F.xxhash64("user_id"), F.lit(shares)))
+    full = join_hot_key(lists, users, ["set_id", "share"]).select(
         "user_id", "part", F.concat(F.lit("["), F.array_join(weighted, ","), F.lit("]")).alias("payload")
     )
     idle = box.users.join(box.lists.select("set_id").distinct(), "set_id", "left_anti")

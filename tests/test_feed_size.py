@@ -57,3 +57,25 @@ def test_new_since_readers_may_repeat_or_be_null(spark, news):
     )
     got = feed.new_since(*tables, prefs, T0 - timedelta(days=1)).groupBy("user_id").count().collect()
     assert {(r.user_id, r["count"]) for r in got} == {(1, N_ARTICLES), (None, N_ARTICLES // 2)}
+
+
+def test_messages_come_list_by_list(spark, news, tmp_path, monkeypatch):
+    """Cards of all readers' messages, with lists of 80 KB as of ten times shorter texts."""
+    monkeypatch.setattr(jobs, "EVENT_ARTICLES", 10)
+    rows = jobs.live_messages(*news, T0 + timedelta(hours=1))
+    cards = F.from_json("payload", "array<struct<article_id:bigint,description:string>>")
+    cards = rows.select("user_id", "part", F.posexplode(cards).alias("pos", "card"))
+    size = written(cards.select("user_id", "part", "pos", "card.*"), str(tmp_path / "cards"))
+    stored = spark.read.parquet(str(tmp_path / "cards"))
+    assert stored.count() == N_USERS * N_ARTICLES
+    assert stored.groupBy("user_id").count().filter(F.col("count") == N_ARTICLES).count() == N_USERS
+    assert size < 5 * N_ARTICLES * LENGTH
+
+
+def test_one_list_for_many_readers_is_shared_out(spark, news):
+    """Fewer lists than tasks: all readers still get each part once, from several tasks."""
+    articles, *dims = news
+    rows = jobs.live_messages(articles.limit(50), *dims, T0)
+    got = rows.select("user_id", "part", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.user_id, r.part) for r in got) == [(i, 1) for i in range(N_USERS)]
+    assert len({r.task for r in got}) > 2
