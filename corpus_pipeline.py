@@ -10,7 +10,8 @@ from presswork.session import scratch_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; texts without letters go."""
+    """Documents in a language that was learned; texts without letters, or far from every
+    language as the learning documents are spread, go."""
     prepare(spark)
     return langid.keep_identified(docs)
 

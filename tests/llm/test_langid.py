@@ -1,3 +1,5 @@
+import base64
+import random
 import unicodedata
 import zlib
 from collections import Counter
@@ -105,3 +107,20 @@ def test_a_language_asked_for(spark):
     german = langid.keep_identified(docs, languages=["de"])
     share = german.filter("lang = 'de'").count() / german.count()
     assert share > 0.95
+
+
+def test_texts_far_from_every_profile_go(spark):
+    """Nearest is not near: another alphabet, another language and encoded data have scores."""
+    rnd = random.Random(3)
+    other = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        base64.b64encode(rnd.randbytes(3000)).decode(),
+        rnd.randbytes(1500).hex(),
+    ]
+    clean = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(-1 - i, x, None) for i, x in enumerate(other)], clean.schema)
+    docs = clean.unionByName(junk)
+    kept = {r.doc_id for r in langid.keep_identified(docs).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in clean.select("doc_id").collect()}
+    assert langid.keep_identified(docs, min_score=0.0).count() == docs.count()
