@@ -18,7 +18,7 @@ from presswork.operators.joins import (
     join_hot_key,
     top_per_group,
 )
-from presswork.session import cut_lineage, ntz
+from presswork.session import cut_lineage, ntz, stored
 
 # A list of at most this many rows is a page: its keys are looked up one by one.
 PAGE_ROWS = 1000
@@ -274,14 +274,65 @@ def new_since(
     return rows.select("category_id", "user_id", "category_weight", *rest)
 
 
-def merge_shown(shown: DataFrame, arrived: DataFrame) -> DataFrame:
+def reader_lists(prefs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readers (user_id, list_id), and the preferences behind each list of categories.
+
+    Users with the same categories are shown the same articles. The second table has the
+    columns of ``prefs`` that feeds take, with ``list_id`` as its ``user_id``.
+    """
+    ids = F.array_sort(F.collect_list("category_id"))
+    users = prefs.groupBy("user_id").agg(ids.alias("categories"))
+    users = users.withColumn(
+        "list_id", F.md5(F.array_join(F.col("categories").cast("array<string>"), ","))
+    )
+    users = stored(users, "reader-lists")
+    lists = users.select("list_id", "categories").distinct()
+    wanted = lists.select(
+        F.col("list_id").alias("user_id"),
+        F.explode("categories").alias("category_id"),
+        F.lit(None).cast("int").alias("weight"),
+    )
+    return users.select("user_id", "list_id"), wanted
+
+
+def merge_shown(shown: DataFrame, arrived: DataFrame, readers: DataFrame) -> DataFrame:
     """Put newly arrived rows in front of those on screen, skipping ones already there.
 
-    Both sides carry ``user_id``, ``position`` and the article columns; positions are
-    renumbered from 1. A user's group is one screen plus what has just arrived.
+    ``shown`` has ``user_id``, ``position`` and the article columns. ``arrived`` has the same
+    with ``list_id`` instead of ``user_id``, positions from 1 without gaps, and ``readers``
+    (user_id, list_id) says who is shown which list. Positions are renumbered from 1.
+
+    A list is ranked once for all its readers. What a reader has on screen gives a few ranks
+    to skip, and new positions follow by arithmetic: only screens and readers are shuffled,
+    never the rows of all users.
     """
-    key = ["user_id", "article_id"]
-    fresh = arrived.join(shown.select(*key), key, "left_anti")
-    both = fresh.withColumn("_part", F.lit(1)).unionByName(shown.withColumn("_part", F.lit(2)))
-    in_order = W.partitionBy("user_id").orderBy("_part", "position")
-    return both.withColumn("position", F.row_number().over(in_order)).drop("_part")
+    columns = ["user_id", *[c for c in shown.columns if c != "user_id"]]
+    arrived = stored(arrived, "arrived-lists")
+    ranks = arrived.select("list_id", "article_id", F.col("position").alias("rank"))
+    on_screen = shown.select("user_id", "article_id").join(readers, "user_id")
+    skipped = (
+        join_hot_key(on_screen, ranks, ["list_id", "article_id"])
+        .groupBy("user_id")
+        .agg(F.sort_array(F.collect_set("rank")).alias("skipped"))
+    )
+    sizes = arrived.groupBy("list_id").agg(F.count("*").cast("int").alias("n_arrived"))
+    users = join_hot_key(readers.join(skipped, "user_id", "left"), sizes, ["list_id"])
+    none = F.array().cast("array<int>")
+    users = stored(users.withColumn("skipped", F.coalesce("skipped", none)), "readers")
+
+    before = F.size(F.filter("skipped", lambda rank: rank < F.col("position")))
+    fresh = (
+        join_hot_key(users.drop("n_arrived"), arrived, ["list_id"])
+        .filter(~F.array_contains("skipped", F.col("position")))
+        .withColumn("position", F.col("position") - before)
+    )
+    ahead = users.select(
+        F.col("user_id").alias("_user"), (F.col("n_arrived") - F.size("skipped")).alias("_ahead")
+    )
+    in_order = W.partitionBy("user_id").orderBy("position")
+    kept = (
+        shown.withColumn("position", F.row_number().over(in_order))
+        .join(ahead, F.col("user_id").eqNullSafe(F.col("_user")), "left")
+        .withColumn("position", F.col("position") + F.coalesce("_ahead", F.lit(0)))
+    )
+    return fresh.select(*columns).unionByName(kept.select(*columns))

@@ -99,12 +99,13 @@ def merge_live_feed(t: NewsTables) -> DataFrame:
     shown = recommend.recommend(
         t.articles, t.categories, t.news_sources, t.users, t.prefs, limit=12
     ).select("user_id", "article_id", "position")
-    arrived = feed.new_since(t.articles, t.categories, t.news_sources, t.prefs, YESTERDAY)
-    by_time = W.partitionBy("user_id").orderBy(*feed.newest_first())
-    arrived = arrived.select(
-        "user_id", "article_id", F.row_number().over(by_time).alias("position")
+    readers, lists = feed.reader_lists(t.prefs)
+    arrived = feed.new_since(t.articles, t.categories, t.news_sources, lists, YESTERDAY)
+    by_time = W.partitionBy("list_id").orderBy(*feed.newest_first())
+    arrived = arrived.withColumnRenamed("user_id", "list_id").select(
+        "list_id", "article_id", F.row_number().over(by_time).alias("position")
     )
-    return feed.merge_shown(shown, arrived)
+    return feed.merge_shown(shown, arrived, readers)
 
 
 @query

@@ -79,3 +79,42 @@ def test_one_list_for_many_readers_is_shared_out(spark, news):
     got = rows.select("user_id", "part", F.spark_partition_id().alias("task")).collect()
     assert sorted((r.user_id, r.part) for r in got) == [(i, 1) for i in range(N_USERS)]
     assert len({r.task for r in got}) > 2
+
+
+def test_merge_ranks_a_list_once(spark):
+    """Against a plain statement; readers, screens and articles may repeat or be null."""
+    shown = spark.createDataFrame(
+        [(1, 7, 1), (1, 90, 2), (1, 7, 3), (2, 91, 1), (None, 5, 1), (4, 92, 1)],
+        "user_id long, article_id long, position int",
+    )
+    arrived = spark.createDataFrame(
+        [("a", 5, 1), ("a", 7, 2), ("a", 7, 3), ("a", 8, 4), ("b", 9, 1)],
+        "list_id string, article_id long, position int",
+    )
+    readers = spark.createDataFrame(
+        [(1, "a"), (2, "b"), (3, "a"), (None, "a"), (6, "c")], "user_id long, list_id string"
+    )
+    got = {}
+    for r in feed.merge_shown(shown, arrived, readers).orderBy("position").collect():
+        got.setdefault(r.user_id, []).append((r.article_id, r.position))
+    want = {
+        1: [5, 8, 7, 90, 7], 2: [9, 91], 3: [5, 7, 7, 8], None: [5, 7, 7, 8, 5], 4: [92],
+    }
+    assert got == {u: [(a, i) for i, a in enumerate(ids, 1)] for u, ids in want.items()}
+
+
+def test_merge_shuffles_readers_not_rows(spark):
+    """Ten times the arrived articles for the same readers: no more is shuffled by user."""
+    readers, lists = feed.reader_lists(spark.range(50).selectExpr(
+        "id AS user_id", "explode(array(1, 2)) AS category_id", "1 AS weight"
+    ))
+    assert lists.count() == 2 and readers.select("list_id").distinct().count() == 1
+    shown = spark.range(50).selectExpr("id AS user_id", "id AS article_id", "1 AS position")
+    arrived = readers.select("list_id").distinct().crossJoin(spark.range(3000)).selectExpr(
+        "list_id", "id AS article_id", "int(id + 1) AS position"
+    )
+    merged = feed.merge_shown(shown, arrived, readers)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    fresh = plan[: plan.index("Window")]
+    assert "RepartitionBy" not in fresh and merged.count() == 50 * 3000
+    assert [r.position for r in merged.filter("user_id = 5 and article_id in (4, 6, 5)").orderBy("position").collect()] == [5, 6, 3000]
