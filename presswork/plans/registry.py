@@ -21,6 +21,7 @@ from presswork.operators import (
     retrieval,
     tables,
 )
+from presswork.operators.joins import one_by_one
 from presswork.plans.chat_turn import close_turns
 from presswork.plans.fixtures import AS_OF, MID_MONTH, NOON, YESTERDAY, NewsTables
 from presswork.plans.hourly import run_hourly
@@ -623,7 +624,12 @@ def _pushed(t: NewsTables, since) -> DataFrame:
         now=lambda: AS_OF,
     )
     idle = t.spark.read.schema("user_id bigint, part bigint, payload string")
-    messages = jobs.deliver(t.spark, out, 0) if news else idle.json(f"{out}/idle=0")
+    # A message is parsed once for all who get it.
+    messages = (
+        jobs.deliver(t.spark, out, 0, by_reader=False)
+        if news
+        else idle.json(f"{out}/idle=0").withColumn("readers", F.array("user_id"))
+    )
     cards = F.from_json(
         "payload",
         "array<struct<article_id:bigint,title:string,description:string,url:string,"
@@ -632,10 +638,13 @@ def _pushed(t: NewsTables, since) -> DataFrame:
     )
     is_idle = F.col("payload") == jobs.HEARTBEAT
     pushed = messages.select(
-        "user_id",
+        "readers",
         is_idle.alias("heartbeat"),
         F.posexplode_outer(F.when(~is_idle, cards)).alias("pos", "card"),
-    ).select("user_id", "heartbeat", "pos", "card.*")
+    )
+    pushed = pushed.select(one_by_one("readers").alias("user_id"), "heartbeat", "pos", "card").select(
+        "user_id", "heartbeat", "pos", "card.*"
+    )
     return _nulls_as_text(pushed, "pos", "article_id", "press_count", "category_weight")
 
 

@@ -28,7 +28,15 @@ from presswork.operators.feed import (
     with_names,
 )
 from presswork.operators.ingest import awaiting_embedding, valid
-from presswork.operators.joins import checked_broadcast, dealt, join_hot_key
+from presswork.operators.joins import (
+    assign_ids,
+    beside_blocks,
+    checked_broadcast,
+    in_blocks,
+    join_hot_key,
+    one_by_one,
+    shared_out,
+)
 from presswork.operators.tables import append_chunks
 from presswork.plans.collect import insert_first, judge_entries
 from presswork.session import scratch_scope, stored
@@ -40,6 +48,10 @@ POLL = "10 seconds"
 HEARTBEAT = '{"type":"heartbeat"}'
 # Articles per pushed message, so that no message grows without bound.
 EVENT_ARTICLES = 100
+# Readers of one message that go on together: at most so many, and so many bytes with their
+# copies of the cards.
+READERS = 1024
+READERS_BYTES = 64 * 1024 * 1024
 
 STORED_ARTICLES = (
     "article_id bigint, source_id int, category_id int, title string, description string, "
@@ -191,40 +203,82 @@ def outbox(
 def delivered(box: Outbox) -> DataFrame:
     """Messages (user_id, part, payload): a JSON array of cards, newest first, in parts.
 
-    A list is filled with its cards once per set of categories; a user's message adds the
-    weights to it, with no ranking or grouping by user. Users without news get the heartbeat.
+    Users without news get the heartbeat.
+    """
+    return mailed(box).select(one_by_one("readers").alias("user_id"), "part", "payload")
+
+
+def mailed(box: Outbox) -> DataFrame:
+    """The messages of ``delivered`` with those they go to: (readers, part, payload).
 
-    Messages come list by list: one after the other for all its readers, so the same cards
-    follow each other and columnar files of them keep each text once per list. Where there
-    are fewer lists than tasks, the readers of a list are shared out.
+    A list is filled with its cards once per set of categories. Readers with the same weights
+    get the same messages, so the weights are added once for ``READERS`` of them, with no
+    ranking or grouping by user; readers whose weights are like no other's have their own row.
+
+    A list has a task of its own, or several that share its readers out, where they meet it one
+    block after the other. The same cards follow each other, and columnar files of them keep
+    each text once per list.
     """
-    places = box.lists.select("set_id", "part", F.posexplode("article_ids").alias("pos", "article_id"))
+    lists = assign_ids(box.lists, ["set_id", "part"], "_place")
+    places = lists.select("set_id", "part", "_place", F.posexplode("article_ids").alias("pos", "article_id"))
     in_order = F.array_sort(F.collect_list(F.struct("pos", "category_id", "card")))
     filled = (
         places.join(box.cards.drop("published_at"), "article_id")
-        .groupBy("set_id", "part")
-        .agg(in_order.alias("cards"))
+        .groupBy("set_id", "part", "_place")
+        .agg(in_order.alias("cards"), F.sum(F.octet_length("card")).alias("_bytes"))
     )
+    filled = stored(filled, "filled-lists")
+    n_lists = box.lists.count()
+    blocks = _letters(box.users, n_lists)
+    lists, shares = shared_out(filled, blocks, "set_id", n_lists)
+    place = ((F.col("_place") - 1) * shares + F.col("_share")).cast("int")
+    lists = lists.repartitionById(max(1, n_lists * shares), place)
+
+    weights = F.map_from_entries("_letter.weights")
     weighted = F.transform(
         "cards",
         lambda c: F.concat(
             c["card"],
             F.lit(',"category_weight":'),
-            F.coalesce(F.element_at("weights", c["category_id"]).cast("string"), F.lit("null")),
+            F.coalesce(F.element_at(weights, c["category_id"]).cast("string"), F.lit("null")),
             F.lit("}"),
         ),
     )
-    filled = stored(filled, "filled-lists")
-    tasks = int(filled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = -(-tasks // max(1, filled.count()))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
-    lists = dealt(filled.withColumn("share", every), "set_id", "part", "share")
-    users = box.users.withColumn("share", F.pmod(F.xxhash64("user_id"), F.lit(shares)))
-    full = join_hot_key(lists, users, ["set_id", "share"]).select(
-        "user_id", "part", F.concat(F.lit("["), F.array_join(weighted, ","), F.lit("]")).alias("payload")
+    fit = F.floor(F.lit(READERS_BYTES) / F.greatest("_bytes", F.lit(1)))
+    fit = F.greatest(F.least(fit, F.lit(READERS)), F.lit(1)).cast("int")
+    starts = F.sequence(F.lit(1), F.size("_letter.readers"), F.col("_fit"))
+    full = (
+        beside_blocks(lists, blocks, "set_id", shares)
+        .select("part", "cards", fit.alias("_fit"), one_by_one("_rows").alias("_letter"))
+        .select(
+            "part",
+            F.concat(F.lit("["), F.array_join(weighted, ","), F.lit("]")).alias("payload"),
+            F.transform(starts, lambda i: F.slice("_letter.readers", i, F.col("_fit"))).alias("_readers"),
+        )
+        .select(one_by_one("_readers").alias("readers"), "part", "payload")
+    )
+    idle = heartbeats(box.users.join(box.lists.select("set_id").distinct(), "set_id", "left_anti"))
+    return full.unionByName(idle.select(F.array("user_id").alias("readers"), "part", "payload"))
+
+
+def _letters(users: DataFrame, n_lists: int) -> DataFrame:
+    """Users with the same categories and weights together, at most about ``READERS`` or, where
+    lists are few, as many as give each task some; in blocks by set."""
+    entries = F.array_sort(F.map_entries("weights"))
+    users = stored(users.select("user_id", "set_id", entries.alias("weights")), "readers")
+    tasks = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, min(READERS, users.count() * n_lists // tasks))
+    users = users.withColumn("_weights", F.md5(F.col("weights").cast("string")))
+    same = ["set_id", "_weights"]
+    sizes = users.groupBy(same).agg(F.ceil(F.count("*") / most).alias("_n"))
+    letters = (
+        join_hot_key(users, sizes, same)
+        .groupBy(*same, F.pmod(F.xxhash64("user_id"), F.col("_n")))
+        .agg(F.first("weights").alias("weights"), F.collect_list(F.struct("user_id")).alias("readers"))
+        .select("set_id", "weights", F.transform("readers", lambda r: r["user_id"]).alias("readers"))
     )
-    idle = box.users.join(box.lists.select("set_id").distinct(), "set_id", "left_anti")
-    return full.unionByName(heartbeats(idle))
+    letters = stored(letters, "letters")
+    return in_blocks(letters, "set_id", 1, "letter-blocks", weight=F.size("readers"))
 
 
 def live_messages(
@@ -240,14 +294,21 @@ def live_messages(
 
 
 def deliver(
-    spark: SparkSession, out_path: str, number: int, users: DataFrame | None = None
+    spark: SparkSession,
+    out_path: str,
+    number: int,
+    users: DataFrame | None = None,
+    by_reader: bool = True,
 ) -> DataFrame:
-    """Messages of batch ``number`` of a live feed, for the given users (user_id) or all."""
+    """Messages of batch ``number`` of a live feed, for the given users (user_id) or all.
+
+    Rows of ``delivered``, or of ``mailed`` if not ``by_reader``.
+    """
     box = Outbox(*(spark.read.parquet(f"{out_path}/{name}/batch={number}") for name in Outbox._fields))
     if users is not None:
         wanted = checked_broadcast(users.select("user_id").distinct())
         box = box._replace(users=box.users.join(wanted, "user_id", "left_semi"))
-    return delivered(box)
+    return delivered(box) if by_reader else mailed(box)
 
 
 def stream_live_feed(

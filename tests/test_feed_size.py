@@ -2,12 +2,14 @@
 
 import os
 import random
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.operators import feed
+from presswork.operators import feed, joins
 from presswork.streaming import jobs
 
 T0 = datetime(2024, 3, 1)
@@ -118,3 +120,78 @@ def test_merge_shuffles_readers_not_rows(spark):
     fresh = plan[: plan.index("Window")]
     assert "RepartitionBy" not in fresh and merged.count() == 50 * 3000
     assert [r.position for r in merged.filter("user_id = 5 and article_id in (4, 6, 5)").orderBy("position").collect()] == [5, 6, 3000]
+
+
+# Run in a session of its own, with a heap that holds a small part of readers times texts.
+IN_LITTLE_MEMORY = """
+import sys, tempfile
+from datetime import datetime, timedelta
+from pyspark.sql import SparkSession, functions as F
+from presswork.operators import feed
+from presswork.streaming import jobs
+
+spark = SparkSession.builder.master("local[2]").config(map={
+    "spark.driver.memory": "640m", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC",
+    "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": tempfile.mkdtemp(dir=sys.argv[1]),
+}).getOrCreate()
+at = datetime(2024, 3, 1)
+text = F.concat(F.col("id"), F.repeat(F.lit("long text "), F.lit(20_000)))
+articles = spark.range(3).select(
+    F.col("id").alias("article_id"), F.lit(1).alias("source_id"), F.lit(1).alias("category_id"),
+    F.lit("t").alias("title"), text.alias("description"), F.lit("u").alias("url"),
+    F.lit(at).cast("timestamp_ntz").alias("published_at"), F.lit(True).alias("is_processed"),
+    F.lit(False).alias("is_duplicate"),
+)
+categories = spark.createDataFrame([(1, "c1")], "category_id int, name string")
+sources = spark.createDataFrame([(1, 1, "p_s")], "source_id int, category_id int, name string")
+prefs = spark.range(6_000).selectExpr("id AS user_id", "1 AS category_id", "int(id % 10) + 1 AS weight")
+if sys.argv[2] == "new_since":
+    rows = feed.new_since(articles, categories, sources, prefs, at - timedelta(days=1))
+    rows = rows.select("user_id", F.length("description").alias("n"))
+else:
+    rows = jobs.live_messages(articles, categories, sources, prefs, at)
+    rows = rows.select("user_id", F.length("payload").alias("n"))
+rows.write.parquet(sys.argv[1] + "/out")
+print("ROWS", spark.read.parquet(sys.argv[1] + "/out").filter("n > 200000").count())
+"""
+
+
+@pytest.mark.parametrize("made,n_rows", [("live_messages", 6_000)])
+def test_texts_of_all_readers_are_never_held_at_once(tmp_path, made, n_rows):
+    """3.6 GB of texts, 1.2 GB of one article, in a heap of 640 MB."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(feed.__file__)))
+    env = os.environ | {"PYTHONPATH": os.path.dirname(root), "SPARK_LOCAL_IP": "127.0.0.1"}
+    done = subprocess.run(
+        [sys.executable, "-c", IN_LITTLE_MEMORY, str(tmp_path), made],
+        env=env, cwd=tmp_path, capture_output=True, text=True, timeout=600,
+    )
+    assert f"ROWS {n_rows}" in done.stdout, done.stderr[-3000:]
+
+
+def test_readers_with_the_same_weights_share_messages(spark, news):
+    """One row for readers who get the same, and one each for those who do not."""
+    *tables, _ = news
+    same = spark.range(100).selectExpr("id AS user_id", "1 AS category_id", "5 AS weight")
+    other = spark.range(100, 107).selectExpr("id AS user_id", "1 AS category_id", "int(id - 100) AS weight")
+    quiet = spark.createDataFrame([(900, 9, 1)], "user_id long, category_id int, weight int")
+    prefs = same.unionByName(other.filter("weight != 5")).unionByName(quiet)
+    box = jobs.outbox(tables[0].limit(30), *tables[1:], prefs, T0)
+    box = jobs.Outbox(*(df.localCheckpoint() for df in box))
+    mailed = jobs.mailed(box).collect()
+    payloads = {r.payload for r in mailed}
+    assert len(payloads) == 8 and jobs.HEARTBEAT in payloads
+    assert max(len(r.readers) for r in mailed) > 5
+    singly = sorted((u, r.part, r.payload) for r in mailed for u in r.readers)
+    assert singly == sorted(map(tuple, jobs.delivered(box).collect()))
+    assert [u for u, *_ in singly] == [*range(105), 106, 900]
+
+
+def test_blocks_are_broadcast_in_turns(spark, monkeypatch):
+    """Readers of more than one broadcast still meet every unit of their key once."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 40)
+    rows = spark.range(300).selectExpr("id % 2 AS k", "id AS user_id")
+    blocks = joins.in_blocks(rows, "k", 7, "test-blocks")
+    units, shares = joins.shared_out(spark.range(3).selectExpr("id AS k", "id AS unit"), blocks, "k", 3)
+    met = joins.beside_blocks(units, blocks, "k", shares)
+    got = met.select("k", "unit", F.explode("_rows.user_id").alias("user_id")).collect()
+    assert shares > 1 and sorted(map(tuple, got)) == sorted((i % 2, i % 2, i) for i in range(300))
