@@ -156,7 +156,7 @@ print("ROWS", spark.read.parquet(sys.argv[1] + "/out").filter("n > 200000").coun
 """
 
 
-@pytest.mark.parametrize("made,n_rows", [("live_messages", 6_000)])
+@pytest.mark.parametrize("made,n_rows", [("new_since", 18_000), ("live_messages", 6_000)])
 def test_texts_of_all_readers_are_never_held_at_once(tmp_path, made, n_rows):
     """3.6 GB of texts, 1.2 GB of one article, in a heap of 640 MB."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(feed.__file__)))
@@ -168,6 +168,18 @@ def test_texts_of_all_readers_are_never_held_at_once(tmp_path, made, n_rows):
     assert f"ROWS {n_rows}" in done.stdout, done.stderr[-3000:]
 
 
+def test_texts_of_a_task_fit_a_dictionary(spark):
+    """Each task's articles are cut by size, and every article is in one task."""
+    rows = spark.range(400).selectExpr(
+        "id % 390 AS article_id", "int(id % 3) AS category_id", "repeat('x', int(20000 + id % 7 * 1000)) AS description"
+    )
+    sets, n = feed._task_sets(rows, "category_id")
+    got = sets.select("_place", F.explode("_articles").alias("a")).select("_place", "a.*")
+    by = got.groupBy("_place").agg(F.sum(F.length("description")).alias("n")).collect()
+    assert got.count() == 400 and sorted(r["_place"] for r in by) == list(range(n))
+    assert n > 10 and max(r.n for r in by) < feed.TASK_BYTES + 30_000
+
+
 def test_readers_with_the_same_weights_share_messages(spark, news):
     """One row for readers who get the same, and one each for those who do not."""
     *tables, _ = news
