@@ -15,6 +15,7 @@ from presswork.operators.joins import (
     assign_ids,
     beside_blocks,
     checked_broadcast,
+    dealt,
     in_blocks,
     is_small,
     join_hot_key,
@@ -31,6 +32,8 @@ PAGE_ROWS = 1000
 # fit the dictionary of a column in a file (1 MB), and meets so many readers at a time.
 TASK_BYTES = 512 * 1024
 READERS = 128
+# Articles of a list that a reader is given in one go.
+SEGMENT = 512
 
 
 def newest_first() -> list[Column]:
@@ -360,8 +363,13 @@ def merge_shown(shown: DataFrame, arrived: DataFrame, readers: DataFrame) -> Dat
     A list is ranked once for all its readers. What a reader has on screen gives a few ranks
     to skip, and new positions follow by arithmetic: only screens and readers are shuffled,
     never the rows of all users.
+
+    The result has a row per reader and article. It is made by segments of a list, each
+    for one reader after the other: a segment repeats from reader to reader but for skipped
+    ranks, so that columnar files, which compress repeats that are near, take little for it.
     """
     columns = ["user_id", *[c for c in shown.columns if c != "user_id"]]
+    rest = [c for c in columns if c not in ("user_id", "position")]
     arrived = stored(arrived, "arrived-lists")
     ranks = arrived.select("list_id", "article_id", F.col("position").alias("rank"))
     on_screen = shown.select("user_id", "article_id").join(readers, "user_id")
@@ -375,11 +383,41 @@ def merge_shown(shown: DataFrame, arrived: DataFrame, readers: DataFrame) -> Dat
     none = F.array().cast("array<int>")
     users = stored(users.withColumn("skipped", F.coalesce("skipped", none)), "readers")
 
-    before = F.size(F.filter("skipped", lambda rank: rank < F.col("position")))
+    segment = F.floor((F.col("position") - 1) / SEGMENT)
+    segments = (
+        arrived.groupBy("list_id", segment.alias("_segment"))
+        .agg(F.sort_array(F.collect_list(F.struct("position", *rest))).alias("_articles"))
+    )
+    segments = stored(segments, "segments")
+    n_segments = segments.count()
+    tasks = int(arrived.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_block = max(1, min(READERS, users.count() * n_segments // tasks))
+    blocks = in_blocks(
+        users.select("list_id", "user_id", "skipped"), "list_id", per_block, "reader-blocks"
+    )
+    segments, shares = shared_out(segments, blocks, "list_id", n_segments)
+    # Stored as dealt, a file per share, so that tasks can be as many.
+    segments = stored(dealt(segments, "list_id", "_segment", "_share"), "dealt-segments")
+    met = beside_blocks(segments, blocks, "list_id", shares).select(
+        "_articles", one_by_one("_rows").alias("_reader")
+    )
+    first, last = F.col("_articles")[0]["position"], F.col("_articles")[F.size("_articles") - 1]["position"]
+    before = F.size(F.filter("_reader.skipped", lambda rank: rank < first))
+    here = F.filter("_reader.skipped", lambda rank: rank.between(first, last))
+    left = F.filter("_articles", lambda a: ~F.array_contains("_here", a["position"]))
     fresh = (
-        join_hot_key(users.drop("n_arrived"), arrived, ["list_id"])
-        .filter(~F.array_contains("skipped", F.col("position")))
-        .withColumn("position", F.col("position") - before)
+        met.select("_articles", "_reader.user_id", (first - before).alias("_first"), here.alias("_here"))
+        .select(
+            "user_id",
+            "_first",
+            F.when(F.size("_here") == 0, F.col("_articles")).otherwise(left).alias("_left"),
+        )
+        .select("user_id", "_first", F.posexplode("_left").alias("_pos", "_article"))
+        .select(
+            "user_id",
+            (F.col("_first") + F.col("_pos")).alias("position"),
+            *[F.col(f"_article.`{c}`") for c in rest],
+        )
     )
     ahead = users.select(
         F.col("user_id").alias("_user"), (F.col("n_arrived") - F.size("skipped")).alias("_ahead")

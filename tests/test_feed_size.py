@@ -207,3 +207,21 @@ def test_blocks_are_broadcast_in_turns(spark, monkeypatch):
     met = joins.beside_blocks(units, blocks, "k", shares)
     got = met.select("k", "unit", F.explode("_rows.user_id").alias("user_id")).collect()
     assert shares > 1 and sorted(map(tuple, got)) == sorted((i % 2, i % 2, i) for i in range(300))
+
+
+def test_merged_lists_repeat_from_reader_to_reader(spark, tmp_path):
+    """1.5 million rows, at 1.3 bytes a row at most, with each reader's own gaps."""
+    readers = spark.range(500).selectExpr("id AS user_id", "'a' AS list_id")
+    shown = spark.range(500).selectExpr("id AS user_id", "id * 5 AS article_id", "1 AS position")
+    arrived = spark.range(3000).selectExpr(
+        "'a' AS list_id", "id * 1000003 % 3000 AS article_id", "int(id + 1) AS position"
+    )
+    merged = feed.merge_shown(shown, arrived, readers)
+    size = written(merged, str(tmp_path / "merged"))
+    stored = spark.read.parquet(str(tmp_path / "merged"))
+    per_user = stored.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.countDistinct("article_id").alias("ids"), F.countDistinct("position").alias("places"),
+        F.max("position").alias("last"), F.max_by("article_id", "position").alias("kept"),
+    )
+    assert per_user.filter("n = 3000 AND ids = 3000 AND places = 3000 AND last = 3000 AND kept = user_id * 5").count() == 500
+    assert size < 2_000_000
