@@ -225,3 +225,17 @@ def test_merged_lists_repeat_from_reader_to_reader(spark, tmp_path):
     )
     assert per_user.filter("n = 3000 AND ids = 3000 AND places = 3000 AND last = 3000 AND kept = user_id * 5").count() == 500
     assert size < 2_000_000
+
+
+def test_readers_go_on_in_runs_of_bounded_bytes(spark, news, monkeypatch):
+    """The longer a list's cards are, the fewer of its readers go on together."""
+    *tables, _ = news
+    prefs = spark.range(300).selectExpr("id AS user_id", "1 AS category_id", "5 AS weight")
+    box = jobs.outbox(tables[0].limit(20), *tables[1:], prefs, T0)
+    box = jobs.Outbox(*(df.localCheckpoint() for df in box))
+    card = box.cards.agg(F.sum(F.length("card")).alias("n")).first().n
+    monkeypatch.setattr(jobs, "READERS_BYTES", 4 * card)
+    mailed = jobs.mailed(box).collect()
+    assert len({r.payload for r in mailed}) == 1
+    assert 2 <= max(len(r.readers) for r in mailed) <= 8
+    assert sorted(u for r in mailed for u in r.readers) == list(range(300))
