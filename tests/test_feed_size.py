@@ -147,12 +147,12 @@ sources = spark.createDataFrame([(1, 1, "p_s")], "source_id int, category_id int
 prefs = spark.range(6_000).selectExpr("id AS user_id", "1 AS category_id", "int(id % 10) + 1 AS weight")
 if sys.argv[2] == "new_since":
     rows = feed.new_since(articles, categories, sources, prefs, at - timedelta(days=1))
-    rows = rows.select("user_id", F.length("description").alias("n"))
+    rows = rows.select("user_id", "description")
 else:
     rows = jobs.live_messages(articles, categories, sources, prefs, at)
     rows = rows.select("user_id", F.length("payload").alias("n"))
 rows.write.parquet(sys.argv[1] + "/out")
-print("ROWS", spark.read.parquet(sys.argv[1] + "/out").filter("n > 200000").count())
+print("ROWS", spark.read.parquet(sys.argv[1] + "/out").count())
 """
 
 
